@@ -14,18 +14,16 @@ from __future__ import annotations
 
 import random
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .store import stored
 
-#: The white space stripped from both ends of a line, and the letters lower-cased.
-LINE_SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 SLOTS = 4  # of a bucket
 KICKS = 500
 
@@ -98,6 +96,7 @@ class CuckooFilter:
         return ((table[first] == mark[:, None]) | (table[second] == mark[:, None])).any(axis=1)
 
 
+KEY_SCHEMA = "a long, b long, doc_id long"
 FILTER_SCHEMA = "shard int, buckets long, n long, slots binary, ok boolean"
 
 
@@ -123,15 +122,29 @@ def _update(old: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
     return _row(int(row["shard"]), f, ok)
 
 
-def line_keys(text: Column) -> Column:
-    """For each line: a, b (128 bits of hash of the key; equal keys are taken for the same line), long_enough."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+#: The seed of the second hash; the first has Spark's own, 42.
+SEEDS = 42, 7_046_029_254_386_353_131
+
+
+def line_keys(text: str | None) -> list[tuple[int, int]]:
+    """For each line the 128 bits of hash that stand for its key: the line without white space at both
+    ends (bytes strip exactly the six ASCII space characters), A-Z lower-cased."""
+    keys = [line.strip().lower() for line in (text or "").encode("utf-8", "replace").split(b"\n")]
+    return [(_signed(xxhash.xxh64_intdigest(k, SEEDS[0])), _signed(xxhash.xxh64_intdigest(k, SEEDS[1]))) for k in keys]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    def key(line: Column) -> Column:
-        k = F.translate(F.btrim(line, F.lit(LINE_SPACE)), UPPER, LOWER)
-        return F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit("line"), k).alias("b"), F.length(k).alias("n"))
 
-    return F.transform(lines, key)
+def counted_keys(text: str | None, min_chars: int) -> set[tuple[int, int]]:
+    """The keys of min_chars code points or more."""
+    found = set()
+    for line in set((text or "").encode("utf-8", "replace").split(b"\n")):
+        k = line.strip().lower()
+        if len(k) >= min_chars and (len(k) >= 4 * min_chars or len(k.decode("utf-8")) >= min_chars):
+            found.add((_signed(xxhash.xxh64_intdigest(k, SEEDS[0])), _signed(xxhash.xxh64_intdigest(k, SEEDS[1]))))
+    return found
 
 
 @dataclass(frozen=True)
@@ -151,11 +164,26 @@ class LineIndex:
 
     def _postings(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-        keys = F.array_distinct(F.filter(line_keys(F.col("text")), lambda k: k["n"] >= self.min_chars))
-        rows = docs.select("doc_id", F.explode(keys).alias("k")).select("k.a", "k.b", "doc_id")
+        rows = docs.mapInPandas(self._keyed(), KEY_SCHEMA)
         again = docs.groupBy("doc_id").count().filter("count > 1")
         return rows if again.isEmpty() else rows.distinct()
 
+    def _keyed(self, maybe=None):
+        """Texts to rows of a, b, doc_id; maybe: keeps those of which it says so."""
+        least = self.min_chars
+
+        def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                each = [counted_keys(t, least) for t in rows["text"]]
+                found = np.array([k for keys in each for k in keys], np.int64).reshape(-1, 2)
+                ids = np.repeat(rows["doc_id"].to_numpy(np.int64), [len(keys) for keys in each])
+                if maybe is not None and len(found):
+                    hit = maybe(found)
+                    found, ids = found[hit], ids[hit]
+                yield pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "doc_id": ids})
+
+        return keyed
+
     def _filtered(self, keys: DataFrame) -> DataFrame:
         return keys.groupBy("shard").applyInPandas(_build, FILTER_SCHEMA)
 
@@ -197,39 +225,28 @@ class LineIndex:
         return self._moved(left, stored(left.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "refs"))
 
     def _probe(self):
-        """A column function: which of the key hashes a may be repeated. None: the filters are too large to send."""
+        """A function of an array of keys: which may be repeated. None: the filters are too large to send."""
         size = self.filters.agg(F.sum(F.length("slots"))).first()[0] or 0
         if size > self.broadcast_bytes:
             return None
         rows = self.filters.select("shard", "buckets", "n", "slots").collect()  # at most broadcast_bytes
         sent, shards = self.spark.sparkContext.broadcast({r["shard"]: (r["buckets"], bytes(r["slots"]), r["n"]) for r in rows}), self.shards
 
-        @F.pandas_udf("array<boolean>")
-        def probe(a: pd.Series, b: pd.Series) -> pd.Series:
-            if len(a) == 0:
-                return a
-            ends = np.cumsum([len(x) for x in a])
-            keys, other = (np.concatenate(list(x)).astype(np.int64) for x in (a, b))
-            found, shard = np.zeros(len(keys), bool), np.mod(other, shards)
+        def probe(keys: np.ndarray) -> np.ndarray:
+            found, shard = np.zeros(len(keys), bool), np.mod(keys[:, 1], shards)
             for s in np.unique(shard).tolist():
                 if s in sent.value:
-                    found[shard == s] = CuckooFilter(*sent.value[s]).contains(keys[shard == s])
-            return pd.Series(np.split(found, ends[:-1]))
+                    found[shard == s] = CuckooFilter(*sent.value[s]).contains(keys[shard == s, 0])
+            return found
 
         return probe
 
     def repeated(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id and its keys (gone: array of a, b) whose lines it loses."""
-        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), line_keys(F.col(text_col)).alias("k")).filter("doc_id is not null")
-        keys = F.array_distinct(F.filter("k", lambda k: k["n"] >= self.min_chars))
-        docs = docs.select("doc_id", keys.alias("k")).filter(F.size("k") > 0)
-        if probe := self._probe():
-            docs = docs.select("doc_id", F.arrays_zip(F.col("k"), probe(F.col("k.a"), F.col("k.b")).alias("hit")).alias("k"))
-            docs = docs.select("doc_id", F.explode(F.filter("k", lambda x: x["hit"])).alias("k")).select("doc_id", "k.k.a", "k.k.b")
-        else:
-            docs = docs.select("doc_id", F.explode("k").alias("k")).select("doc_id", "k.a", "k.b")
+        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+        held = docs.mapInPandas(self._keyed(self._probe()), KEY_SCHEMA)
         often = self.refs.filter(F.col("n_docs") >= self.min_docs).select("a", "b", "last_doc")
-        lost = docs.join(often, ["a", "b"]).filter("doc_id != last_doc")
+        lost = held.join(often, ["a", "b"]).filter("doc_id != last_doc")
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
 
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,22 +256,24 @@ class LineIndex:
         A row without doc_id loses nothing; a null text counts as one empty line and stays ''."""
         lost = self.repeated(docs, id_col, text_col).withColumnsRenamed({"doc_id": "_lines_id", "gone": "_lines_gone"})
         found = docs.join(lost, docs[id_col].cast("long") == F.col("_lines_id"), "left")
-        keys = line_keys(docs[text_col])
+        cut = F.pandas_udf(_kept, "n_lines long, n_dropped long, text string")
         return found.select(
-            F.pandas_udf(_kept, "n_lines long, n_dropped long, text string")(F.coalesce(docs[text_col], F.lit("")), keys["a"], keys["b"], F.col("_lines_gone.a"), F.col("_lines_gone.b")).alias("lines"),
+            cut(docs[text_col], F.col("_lines_gone.a"), F.col("_lines_gone.b")).alias("lines"),
             *[docs[c] for c in docs.columns],
         )
 
 
-def _kept(text: pd.Series, a: pd.Series, b: pd.Series, gone_a: pd.Series, gone_b: pd.Series) -> pd.DataFrame:
+def _kept(text: pd.Series, gone_a: pd.Series, gone_b: pd.Series) -> pd.DataFrame:
     out = []
-    for t, x, y, p, q in zip(text, a, b, gone_a, gone_b, strict=True):
+    for t, p, q in zip(text, gone_a, gone_b, strict=True):
+        t = t or ""
+        lines = t.split("\n")
         if p is None or len(p) == 0:
-            out.append((len(x), 0, t))
+            out.append((len(lines), 0, t))
             continue
         gone = set(zip(p.tolist(), q.tolist(), strict=True))
-        kept = [line for line, *k in zip(t.split("\n"), x.tolist(), y.tolist(), strict=True) if tuple(k) not in gone]
-        out.append((len(x), len(x) - len(kept), "\n".join(kept)))
+        kept = [line for line, key in zip(lines, line_keys(t), strict=True) if key not in gone]
+        out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
     return pd.DataFrame(out, columns=["n_lines", "n_dropped", "text"])
 
 
