@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .compression import quality_rules
+from .knn import voronoi_top_k
+from .langid import identify
 from .line_dedup import dedup_lines
+from .mixing import form, mix
 from .simhash import simhash_components
 
 
@@ -50,5 +53,74 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_compression_rules, op3_simhash)}
-ORACLES = {"op1_line_dedup": OP1_SQL}
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, the selected languages and their proportions."""
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score."""
+    return voronoi_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP5_SQL = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, s.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(s.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM ok q JOIN ok s ON q.vec_id % 50 = 0 AND q.vec_id <> s.vec_id
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its raked ratio, probability, weight and whether it is kept."""
+    found = mix(_table(spark, sf_dir, "documents"), form(F.col("text")))
+    return found.withColumns({c: F.round(c, 9) for c in ("ratio", "probability", "weight")})
+
+
+def _op6_sql(rounds: int = 12, share: float = 0.8) -> str:
+    powers = {"source": 0.5, "lang": 0.7, "topic": 1.0}
+    steps, last = [], {d: f"t_{d}" for d in powers}
+    for d, power in powers.items():
+        steps.append(
+            f"t_{d} AS MATERIALIZED (SELECT {d}, pow(had, {power}) / sum(pow(had, {power})) OVER () * sum(had) OVER () AS target, CAST(1 AS DOUBLE) AS f "
+            f"FROM (SELECT {d}, CAST(sum(tokens) AS DOUBLE) AS had FROM cells GROUP BY {d}))"
+        )
+    for i in range(rounds):
+        for d in powers:
+            x, y = (last[o] for o in powers if o != d)
+            m, n = (o for o in powers if o != d)
+            steps.append(
+                f"r{i}_{d} AS MATERIALIZED (SELECT t.{d}, CASE WHEN had > 0 THEN target / had ELSE 1 END AS f FROM t_{d} t JOIN "
+                f"(SELECT c.{d}, sum(c.tokens * x.f * y.f) AS had FROM cells c JOIN {x} x ON x.{m} = c.{m} JOIN {y} y ON y.{n} = c.{n} GROUP BY c.{d}) h ON h.{d} = t.{d})"
+            )
+            last[d] = f"r{i}_{d}"
+    joins = " ".join(f"JOIN {last[d]} f_{d} ON f_{d}.{d} = c.{d}" for d in powers)
+    return f"""
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+    CASE WHEN text IS NULL THEN '(none)'
+         WHEN len(regexp_extract_all(text, ' \\| ')) / greatest(length(text), 1) > 0.02 THEN 'table'
+         WHEN len(regexp_extract_all(text, '[#*$%&<>]')) / greatest(length(text), 1) > 0.1 THEN 'symbols'
+         WHEN len(regexp_extract_all(text, '[0-9]')) / greatest(length(text), 1) > 0.1 THEN 'digits'
+         WHEN length(text) < 400 THEN 'short' ELSE 'prose' END AS topic,
+    CAST(coalesce(len(regexp_extract_all(text, '[^ \\t-\\r]+')), 0) AS BIGINT) AS tokens
+  FROM documents
+), cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM docs GROUP BY ALL),
+{", ".join(steps)},
+fitted AS MATERIALIZED (SELECT c.source, c.lang, c.topic, CASE WHEN c.tokens > 0 THEN f_source.f * f_lang.f * f_topic.f ELSE 1 END AS ratio FROM cells c {joins}),
+drawn AS (
+  SELECT d.*, ratio, least(1.0, ratio * {share}) AS p, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
+  FROM docs d JOIN fitted USING (source, lang, topic)
+)
+SELECT doc_id, source, lang, topic, tokens, round(ratio, 9) AS ratio, round(p, 9) AS probability, round(ratio * {share} / p, 9) AS weight, u < p AS kept FROM drawn
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_compression_rules, op3_simhash, op4_language_mixture, op5_voronoi_topk, op6_mix_sources)}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_voronoi_topk": OP5_SQL, "op6_mix_sources": _op6_sql()}
