@@ -251,14 +251,14 @@ class LineIndex:
 
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """docs with its columns, text_col cut to the kept lines joined by a line feed, in a column of
-        structs named `lines` before it (n_lines, n_dropped, text); nothing else of docs changes.
+        structs named `_lines` before it (n_lines, n_dropped, text); nothing else of docs changes.
 
         A row without doc_id loses nothing; a null text counts as one empty line and stays ''."""
         lost = self.repeated(docs, id_col, text_col).withColumnsRenamed({"doc_id": "_lines_id", "gone": "_lines_gone"})
         found = docs.join(lost, docs[id_col].cast("long") == F.col("_lines_id"), "left")
         cut = F.pandas_udf(_kept, "n_lines long, n_dropped long, text string")
         return found.select(
-            cut(docs[text_col], F.col("_lines_gone.a"), F.col("_lines_gone.b")).alias("lines"),
+            cut(docs[text_col], F.col("_lines_gone.a"), F.col("_lines_gone.b")).alias("_lines"),
             *[docs[c] for c in docs.columns],
         )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .compression import quality_rules
@@ -9,7 +11,11 @@ from .knn import voronoi_top_k
 from .langid import identify
 from .line_dedup import dedup_lines
 from .mixing import form, mix
+from .pagediff import extract_pages
+from .pieces import encode_pieces
 from .simhash import simhash_components
+from .urlfilter import judge_urls
+from .warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
     found = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2("lines.text", 256).alias("kept_sha256"))
+    return found.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.text", 256).alias("kept_sha256"))
 
 
 OP1_SQL = """
@@ -122,5 +128,57 @@ SELECT doc_id, source, lang, topic, tokens, round(ratio, 9) AS ratio, round(p, 9
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_compression_rules, op3_simhash, op4_language_mixture, op5_voronoi_topk, op6_mix_sources)}
-ORACLES = {"op1_line_dedup": OP1_SQL, "op5_voronoi_topk": OP5_SQL, "op6_mix_sources": _op6_sql()}
+def op7_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict, block_score."""
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op9_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    return archived(_table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (
+  SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+
+def model_path() -> str:
+    """The SentencePiece model: PIECE_MODEL, else where the public tokenizers are installed."""
+    return os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_pieces, score, n_best_scores, round_trip."""
+    return encode_pieces(_table(spark, sf_dir, "documents"), model_path())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_compression_rules,
+        op3_simhash,
+        op4_language_mixture,
+        op5_voronoi_topk,
+        op6_mix_sources,
+        op7_page_difference,
+        op8_url_filter,
+        op9_warc_chain,
+        op10_pieces,
+    )
+}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_voronoi_topk": OP5_SQL, "op6_mix_sources": _op6_sql(), "op9_warc_chain": OP9_SQL}

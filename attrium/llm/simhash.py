@@ -15,11 +15,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .store import stored
+from .store import append_columns, stored
 
 WIDTHS = (22, 21, 21)
 #: Fixed value: generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the binary Golay code.
@@ -81,11 +82,8 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            yield pd.DataFrame({"doc_id": rows["doc_id"], "fp": pd.Series([fingerprint(t) for t in rows["text"]], index=rows.index, dtype="int64")})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, fp long")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    return append_columns(docs, F.col("_text"), lambda texts: [[fingerprint(t) for t in texts]], pa.schema([("fp", pa.int64())])).drop("_text")
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

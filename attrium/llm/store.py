@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +35,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def append_columns(df: DataFrame, text: Column, fn: Callable[[list], list[list]], schema: pa.Schema) -> DataFrame:
+    """df with the fields of schema after its columns. fn gets the values of `text` in a batch and gives,
+    for each field, the list (or Arrow array) of its values. Other columns pass through as they are."""
+    names = list(df.columns)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fn(b.column(len(names)).to_pylist()), schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *new], names=[*names, *schema.names])
+
+    return df.select("*", text.alias("_appended_from")).mapInArrow(each, T.StructType([*df.schema.fields, *from_arrow_schema(schema).fields]))
