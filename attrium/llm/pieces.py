@@ -14,9 +14,11 @@ import heapq
 import re
 from array import array
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .store import append_columns
@@ -26,7 +28,9 @@ UNITS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 UNKNOWN = 10.0  # below the lowest score: what a character costs that must be spelt in bytes
 RESERVED = -1e8  # pieces scored below are last resorts, and no measure of the others
 OWN = "\0" + SPACE  # stands for a "▁" of the text; no unit of UNITS is like it
-CACHED, LONGEST = 200_000, 48  # units remembered in a worker, and the longest of them
+CACHED, LONGEST = 250_000, 48  # units remembered in a worker (twice: newer and older), and the longest of them
+
+_IDS, _SCORE, _GAP = map(itemgetter, range(3))
 
 
 @dataclass(frozen=True)
@@ -37,7 +41,8 @@ class Vocabulary:
     scores: dict[str, float]
     bytes_ids: list[int]
     spelt: list[bytes]
-    longest: int
+    reach: dict[str, float | None]  # of every beginning of a piece: its score, None if it is no piece itself
+    pairs: frozenset[str]  # characters that stand side by side in a piece
     lowest: float
 
     @classmethod
@@ -58,60 +63,91 @@ class Vocabulary:
                 spelt.append(piece.replace(SPACE, " ").encode())
                 if SPACE in piece.lstrip(SPACE) or "\n" in piece:
                     raise ValueError(f"piece {i} goes over the end of a unit")
-        return cls(ids, scores, bytes_ids, spelt, max(map(len, ids)), min(s for s in scores.values() if s > RESERVED))
+        reach = {p[:k]: scores.get(p[:k]) for p in scores for k in range(1, len(p) + 1)}
+        return cls(ids, scores, bytes_ids, spelt, reach, frozenset(p[k : k + 2] for p in scores for k in range(len(p) - 1)), min(s for s in scores.values() if s > RESERVED))
 
 
 @dataclass
 class Lattice:
     vocabulary: Vocabulary
     known: dict[str, tuple] = field(default_factory=dict)
+    older: dict[str, tuple] = field(default_factory=dict)
+    ways: dict[tuple[str, int], list] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.known[OWN] = array("i", [self.vocabulary.bytes_ids[b] for b in SPACE.encode()]).tobytes(), self.vocabulary.lowest - UNKNOWN, float("inf")
 
     def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end, the edges into it: start, score, ids. A character that is no piece is spelt in bytes."""
         v, n = self.vocabulary, len(unit)
         into: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
-            for j in range(i + 1, min(n, i + v.longest) + 1):
-                if (s := v.scores.get(p := unit[i:j])) is not None:
-                    into[j].append((i, s, (v.ids[p],)))
+            for j in range(i + 1, n + 1):
+                if (p := unit[i:j]) not in v.reach:
+                    break
+                if p in v.scores:
+                    into[j].append((i, v.scores[p], (v.ids[p],)))
             if unit[i] not in v.scores:
                 into[i + 1].append((i, v.lowest - UNKNOWN, tuple(v.bytes_ids[b] for b in unit[i].encode("utf-8", "replace"))))
         return into
 
-    def viterbi(self, unit: str) -> tuple[array, float, float]:
-        """Ids and score of the best segmentation, and how much the second best is below it."""
+    def viterbi(self, unit: str) -> tuple[bytes, float, float]:
+        """Ids (32 bits each) and score of the best segmentation, and how far the second best is below it.
+
+        A unit falls apart where two characters stand side by side in no piece; the parts are solved alone."""
         if (found := self.known.get(unit)) is not None:
             return found
-        get, n, most = self.vocabulary.scores.get, len(unit), self.vocabulary.longest
-        worst = float("-inf")
+        if (found := self.older.get(unit)) is None:
+            pairs, cuts = self.vocabulary.pairs, [0]
+            cuts += [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
+            if len(cuts) == 1:
+                found = self._forward(unit)
+            else:
+                parts = [self.viterbi(unit[i:j]) for i, j in zip(cuts, [*cuts[1:], len(unit)], strict=True)]
+                found = b"".join(map(_IDS, parts)), sum(map(_SCORE, parts)), min(map(_GAP, parts))
+        if len(unit) <= LONGEST:
+            if len(self.known) >= CACHED:
+                self.older, self.known = self.known, {OWN: self.known[OWN]}
+            self.known[unit] = found
+        return found
+
+    def _forward(self, unit: str) -> tuple[bytes, float, float]:
+        v, n = self.vocabulary, len(unit)
+        get, worst = v.reach.get, float("-inf")
         best, back, second = [0.0] + [worst] * n, [0] * (n + 1), [worst] * (n + 1)
-        rare = self.vocabulary.lowest - UNKNOWN
         for i in range(n):
-            base = best[i]
-            for j in range(i + 1, (n if n - i < most else i + most) + 1):
-                s = get(unit[i:j])
+            base, j = best[i], i
+            while j < n:
+                j += 1
+                s = get(unit[i:j], 1)
                 if s is None:
-                    if j > i + 1:
-                        continue
-                    s = rare
+                    continue
+                if s > 0:  # no piece begins so
+                    break
                 s += base
                 if s > best[j]:
                     second[j], best[j], back[j] = best[j], s, i
                 elif s > second[j]:
                     second[j] = s
-        j, ids, gap = n, [], float("inf")
+            if unit[i] not in v.scores:
+                s = base + v.lowest - UNKNOWN
+                if s > best[i + 1]:
+                    second[i + 1], best[i + 1], back[i + 1] = best[i + 1], s, i
+                elif s > second[i + 1]:
+                    second[i + 1] = s
+        j, parts, gap = n, [], float("inf")
         while j:
             i = back[j]
-            gap = min(gap, best[j] - second[j])
-            piece = self.vocabulary.ids.get(unit[i:j])
-            ids.append((piece,) if piece is not None else tuple(self.vocabulary.bytes_ids[b] for b in unit[i:j].encode("utf-8", "replace")))
+            if best[j] - second[j] < gap:
+                gap = best[j] - second[j]
+            piece = v.ids.get(unit[i:j])
+            if piece is not None:
+                parts.append(piece)
+            else:
+                parts += [v.bytes_ids[b] for b in reversed(unit[i:j].encode("utf-8", "replace"))]
             j = i
-        found = array("i", [x for part in reversed(ids) for x in part]), best[n], gap
-        if n <= LONGEST:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[unit] = found
-        return found
+        parts.reverse()
+        return array("i", parts).tobytes(), best[n], gap
 
     def a_star(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations, best first: backward search with forward Viterbi scores as heuristic."""
@@ -142,19 +178,11 @@ class Lattice:
             out += [OWN, *UNITS.findall(p.replace(" ", SPACE))]
         return out
 
-    def encode(self, text: str | None) -> tuple[array, float, list[float], list[str]]:
-        """Ids and score of the best segmentation, each unit's gap to its second best, the units."""
-        ids, score, gaps, units = array("i"), 0.0, [], self.units(text)
-        known = self.known
-        for u in units:
-            part, s, gap = known.get(u) or (self.viterbi(u) if u != OWN else self._own_space())
-            ids.extend(part)
-            score += s
-            gaps.append(gap)
-        return ids, score, gaps, units
-
-    def _own_space(self) -> tuple[array, float, float]:
-        return array("i", [self.vocabulary.bytes_ids[b] for b in SPACE.encode()]), self.vocabulary.lowest - UNKNOWN, float("inf")
+    def encode(self, text: str | None) -> tuple[bytes, float, list[float], list[str]]:
+        """Ids (32 bits each) and score of the best segmentation, each unit's gap to its second best, the units."""
+        units = self.units(text)
+        found = [k or self.viterbi(u) for u, k in zip(units, list(map(self.known.get, units)), strict=True)]
+        return b"".join(map(_IDS, found)), sum(map(_SCORE, found)), list(map(_GAP, found)), units
 
     def n_best(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
         """Score and ids of the n best segmentations (all, if fewer), best first; among equal scores the
@@ -164,7 +192,7 @@ class Lattice:
         for loss, changes in self._changes(gaps, units, n):
             ids: list[int] = []
             for k, u in enumerate(units):
-                ids += changes.get(k) or (self.viterbi(u) if u != OWN else self._own_space())[0].tolist()
+                ids += changes.get(k) or list(array("i", self.viterbi(u)[0]))
             out.append((score - loss, ids))
         return out
 
@@ -174,11 +202,25 @@ class Lattice:
     def _changes(self, gaps: list[float], units: list[str], n: int) -> list[tuple[float, dict[int, list[int]]]]:
         """How much each of the n best loses, and the units in which it differs from the best."""
         found: list[tuple[float, dict]] = [(0.0, {})]
-        for k in heapq.nsmallest(n - 1, (k for k, g in enumerate(gaps) if g != float("inf")), key=lambda k: (gaps[k], k)):
-            ways = self.a_star(units[k], n)
+        at = np.argsort(np.array(gaps), kind="stable")[: n - 1].tolist() if len(gaps) < 64 else self._closest(gaps, n - 1)
+        for k in at:
+            if gaps[k] == float("inf"):
+                break
+            if (ways := self.ways.get((units[k], n))) is None:
+                ways = self.a_star(units[k], n)
+                if len(units[k]) <= LONGEST:
+                    if len(self.ways) >= CACHED // 10:
+                        self.ways.clear()
+                    self.ways[units[k], n] = ways
             found = heapq.nsmallest(n, ((loss + ways[0][0] - s, changes | ({k: list(ids)} if w else {})) for loss, changes in found for w, (s, ids) in enumerate(ways)), key=lambda x: x[0])
         return found
 
+    @staticmethod
+    def _closest(gaps: list[float], n: int) -> list[int]:
+        each = np.array(gaps)
+        few = np.flatnonzero(each <= np.partition(each, n - 1)[n - 1])
+        return few[np.argsort(each[few], kind="stable")][:n].tolist()
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         spelt = self.vocabulary.spelt
@@ -186,6 +228,15 @@ class Lattice:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
+_LATTICES: dict[str, Lattice] = {}  # of a Python worker, which serves many tasks
+
+
+def _lattice(path: str, sent: Broadcast) -> Lattice:
+    if path not in _LATTICES:
+        _LATTICES[path] = Lattice(sent.value)
+    return _LATTICES[path]
+
+
 FIELDS = pa.schema([("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("score", pa.float64()), ("n_best_scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
 
 
@@ -196,22 +247,19 @@ def encode_pieces(docs: DataFrame, model_path: str, n: int = 3, id_col: str = "d
     A null or empty text has no pieces and score 0. Repeated rows and null ids stay as they are. The
     vocabulary (its size is fixed by the model) is read on the driver and sent to the tasks."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
-    lattices: list[Lattice] = []
 
     def each(texts: list) -> list:
-        if not lattices:
-            lattices.append(Lattice(sent.value))
-        lattice = lattices[0]
-        flat, ends, n_pieces, best, others, same = array("i"), [0], [], [], [], []
+        lattice = _lattice(model_path, sent)
+        flat, ends, n_pieces, best, others, same = [], [0], [], [], [], []
         for text in texts:
             ids, score, gaps, units = lattice.encode(text)
-            flat.extend(ids)
-            ends.append(len(flat))
-            n_pieces.append(len(ids))
+            flat.append(ids)
+            n_pieces.append(len(ids) // 4)
+            ends.append(ends[-1] + n_pieces[-1])
             best.append(score)
             others.append(lattice.scores(score, gaps, units, n))
-            same.append(lattice.decode(ids) == (text or ""))
-        lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32)))
+            same.append(lattice.decode(np.frombuffer(ids, np.int32).tolist()) == (text or ""))
+        lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(b"".join(flat), np.int32)))
         return [lists, n_pieces, best, others, same]
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
@@ -222,4 +270,4 @@ def decode_pieces(pieces: DataFrame, model_path: str, id_col: str = "doc_id", id
     """doc_id and text of rows of ids; null ids are no text ('')."""
     sent = pieces.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
     rows = pieces.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("_ids"))
-    return append_columns(rows, F.col("_ids"), lambda each: [[Lattice(sent.value).decode(x or []) for x in each]], pa.schema([("text", pa.string())])).drop("_ids")
+    return append_columns(rows, F.col("_ids"), lambda each: [[_lattice(model_path, sent).decode(x or []) for x in each]], pa.schema([("text", pa.string())])).drop("_ids")
