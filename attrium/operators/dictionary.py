@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
@@ -108,14 +107,8 @@ def segment_names(names: DataFrame, dictionary: DataFrame, k: int = 8) -> DataFr
     lattice = each.join(edges.groupBy("token", "table_name", "table_description").agg(F.sort_array(F.collect_list("e")).alias("edges")), ["token", "table_name", "table_description"], "left")
     kind = "array<struct<covered:int,score:double,fragments:array<string>,full_names:array<string>,korean_words:array<string>,origins:array<string>,ambiguity:int>>"
 
-    @F.pandas_udf(kind)
-    def best(token: pd.Series, edges: pd.Series) -> pd.Series:
-        return pd.Series([_paths(t, [] if e is None else list(e), k) for t, e in zip(token, edges, strict=True)])
-
-    @F.pandas_udf(kind)
-    def combined(parts: pd.Series) -> pd.Series:
-        return pd.Series([_combined([list(p) for p in each], k) for each in parts])
-
+    best = F.udf(lambda token, edges: _paths(token, edges or [], k), kind, useArrow=True)
+    combined = F.udf(lambda parts: _combined(parts, k), kind, useArrow=True)
     solved = lattice.select("token", "table_name", "table_description", best("token", "edges").alias("paths"))
     whole = tokens.join(solved, ["token", "table_name", "table_description"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "paths"))), lambda x: x["paths"]).alias("parts"))
     out = whole.select(*key, F.posexplode(combined("parts")).alias("rank", "p"))
