@@ -4,7 +4,7 @@ A page becomes a list of blocks. Pages are sorted by host and URL path; each is
 that shares the longer beginning of its path, their blocks are aligned by longest common subsequence, and
 blocks that both have are deleted. Two things are kept from the difference: paragraphs and headings of an
 <article> or <main> (hosts repeat passages within articles, and a shared passage is no template), and pages
-of which the neighbour is a copy (over half of their text is common), for which the other neighbour serves.
+of which the neighbour is a copy (over half of their text outside chrome is common), for which the other neighbour serves.
 """
 
 from __future__ import annotations
@@ -153,8 +153,9 @@ OUTLINE = pa.schema([("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int3
 
 
 def _outline(pages: list) -> list:
-    each = [[line for line, _ in blocks(p)] for p in pages]
-    return [[[_signed_hash(x) for x in lines] for lines in each], [[len(x) for x in lines] for lines in each]]
+    """Hashes of the blocks, and their lengths (0 for chrome, which says nothing on whether a page is a copy)."""
+    each = [blocks(p) for p in pages]
+    return [[[_signed_hash(x) for x, _ in lines] for lines in each], [[len(x) if kind != CHROME else 0 for x, kind in lines] for lines in each]]
 
 
 def _common(rows: pd.DataFrame) -> pd.Series:
@@ -180,7 +181,7 @@ def _host_path(url: Column) -> tuple[Column, Column]:
 def shared_blocks(pages: DataFrame) -> DataFrame:
     """pages: key, url, html. Returns key and gone: hashes of the blocks to delete where markup leaves it open."""
     host, path = _host_path(F.col("url"))
-    outline = append_columns(pages.select("key", host.alias("host"), path.alias("path"), "html"), F.col("html"), _outline, OUTLINE).drop("html")
+    outline = append_columns(pages.select("key", F.xxhash64(host).alias("host"), path.alias("path"), "html"), F.col("html"), _outline, OUTLINE).drop("html")
     ordered = outline.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
     ordered = stored(ordered.withColumns({"part": F.spark_partition_id(), "pos": F.monotonically_increasing_id()}), "outlines")
     # neighbours stand at pos - 1 and pos + 1, at the edge of a partition in the next one that has rows

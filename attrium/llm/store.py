@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
+SLICE = 4 << 20  # bytes of text that a task turns into Python objects at a time, or one text if it is longer
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
@@ -43,8 +45,10 @@ def append_columns(df: DataFrame, text: Column, fn: Callable[[list], list[list]]
     names = list(df.columns)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fn(b.column(len(names)).to_pylist()), schema, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *new], names=[*names, *schema.names])
+        for whole in batches:
+            rows = max(1, whole.num_rows * SLICE // max(SLICE, whole.column(len(names)).nbytes))
+            for b in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
+                new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fn(b.column(len(names)).to_pylist()), schema, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *new], names=[*names, *schema.names])
 
     return df.select("*", text.alias("_appended_from")).mapInArrow(each, T.StructType([*df.schema.fields, *from_arrow_schema(schema).fields]))
