@@ -206,13 +206,13 @@ PAGE = "<html><head><title>T</title><script>var t='</p>';</script></head><body><
 
 
 def test_pages(spark):
-    body = ["<p>First text of %d &amp; more<br>next   line</p><ul><li>one %d</ul>" % (i, i) for i in range(4)]
+    body = ["<p>First text of %d &amp; more<br>next   line %d</p><ul><li>one %d</ul>" % (i, i, i) for i in range(4)]
     rows = [(i, f"http://h.example/a/{i}", PAGE.format(b)) for i, b in enumerate(body)]
     rows += [(9, "http://h.example/a/9", PAGE.format("<article><h1>H</h1><p>x <b>y</b>z<aside>no</aside><form><input>f</form></article>")), (10, None, None), (11, "x", ""), (12, "http://lone/", "<p>a<p>b")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = {r["page_id"]: r["text"] for r in pagediff.extract_pages(df).collect()}
     for i in range(4):
-        assert out[i] == f"First text of {i} & more next line one {i}"
+        assert out[i] == f"First text of {i} & more next line {i} one {i}"
     assert out[9] == "H x yz" and out[10] == "" and out[11] == "" and out[12] == "a b"
     assert pagediff.extract_pages(df.limit(0)).count() == 0
 
