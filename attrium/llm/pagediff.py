@@ -182,7 +182,8 @@ def shared_blocks(pages: DataFrame) -> DataFrame:
     """pages: key, url, html. Returns key and gone: hashes of the blocks to delete where markup leaves it open."""
     host, path = _host_path(F.col("url"))
     outline = append_columns(pages.select("key", F.xxhash64(host).alias("host"), path.alias("path"), "html"), F.col("html"), _outline, OUTLINE).drop("html")
-    ordered = outline.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
+    parsed = stored(outline, "parsed")  # ranges are found by a pass of their own, which would parse all pages again
+    ordered = parsed.repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
     ordered = stored(ordered.withColumns({"part": F.spark_partition_id(), "pos": F.monotonically_increasing_id()}), "outlines")
     # neighbours stand at pos - 1 and pos + 1, at the edge of a partition in the next one that has rows
     edges = ordered.groupBy("part").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
