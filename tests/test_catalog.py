@@ -5,8 +5,8 @@ from compare import compare, connection
 from pyspark.sql import functions as F
 
 from attrium.functions import text as X
-from attrium.operators import core, dictionary as D, terms
-from attrium.plans import queries
+from attrium.operators import audit, core, dictionary as D, naming as N, terms
+from attrium.plans import naming_queries as queries
 
 SF = "/root/testdata/sf0.001"
 DICT = [("DT", "DATE", "일자", 10), ("HMS", "TIME", "시각", 10), ("ORG", "ORGANIZATION", "기관", 10), ("CD", "CODE", "코드", 10)]
@@ -49,6 +49,36 @@ def test_fan_out_keeps_rows(spark):
         assert core.fan_out(df.select("source_id", "column_name"), core.dedup_sources(df, mode)).count() == 30
 
 
+def test_names_from_comments(spark):
+    """Slash, glossary, repeated grade; null, empty and symbols only; ID stays."""
+    g = spark.createDataFrame([("FY", "회계"), ("sms", "문자메시지")], "source string, target string")
+    cases = [("FY년도", "회계년도", "재작성", 96), ("SMS수신여부", "문자메시지수신여부", "재작성", 96), ("차대번호/임시번호", "차대번호", "재작성", 85), ("우대등급등급코드", "우대등급코드", "정규화", 96), ("고객ID", "고객ID", "유지", 100), ("XY 값", "XY값", "재작성", 55), (None, "", "유지", 100), ("", "", "유지", 100), ("/", "", "재작성", 85)]
+    df = spark.createDataFrame([(f"r{i}", c[0]) for i, c in enumerate(cases)], "source_id string, column_description string")
+    got = {r["source_id"]: (r["name"], r["action"], r["confidence"]) for r in N.deterministic_names(df, g).collect()}
+    assert got == {f"r{i}": c[1:] for i, c in enumerate(cases)}
+    assert N.deterministic_names(df.limit(0), g).count() == 0
+
+
+def test_semantic_units(spark):
+    row = spark.createDataFrame([("차량형태코드차",), ("",)], "c string").select(N.semantic_units(F.col("c"), ["차", "차량"]).alias("u")).collect()
+    assert [r["u"] for r in row] == [["차량", "형태코드", "차"], [""]]
+
+
+def test_review_loop(spark):
+    """Only pending rows are proposed for, what is proposed for others is dropped, and it ends after its rounds."""
+    df = spark.createDataFrame([("a", 10), ("b", 95), ("c", 60)], "source_id string, confidence int")
+    stray = spark.createDataFrame([("b", 1)], "source_id string, confidence int")
+    out = N.review_loop(df, lambda r: r.filter("confidence < 90").select("source_id"), lambda r: r.withColumn("confidence", F.col("confidence") + 40).unionByName(stray), 2)
+    assert {tuple(r) for r in out.collect()} == {("a", 90), ("b", 95), ("c", 100)}
+
+
+def test_score_caps(spark):
+    rubric = spark.createDataFrame([("x", 60.0), ("y", 40.0)], "id string, weight double")
+    ratings = spark.createDataFrame([(r, d, 5.0) for r in "abc" for d in "xy"], "review string, dimension string, rating double")
+    facts = spark.createDataFrame([("a", 0, 0, 9, 9), ("b", 1, 0, 9, 9), ("c", 1, 0, 8, 9)], "review string, critical int, failed_checks int, reviewed int, expected int")
+    assert {r["review"]: (r["score"], r["passed"]) for r in audit.score_observations(ratings, rubric, facts).collect()} == {"a": (100.0, True), "b": (69.0, False), "c": (59.0, False)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES)[::6])
 def test_query(spark, name):
     assert compare(spark, connection(SF), SF, queries.QUERIES[name], queries.ORACLES[name]) == ""
