@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import itemgetter
 
@@ -28,6 +29,7 @@ UNITS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 UNKNOWN = 10.0  # below the lowest score: what a character costs that must be spelt in bytes
 RESERVED = -1e8  # pieces scored below are last resorts, and no measure of the others
 OWN = "\0" + SPACE  # stands for a "▁" of the text; no unit of UNITS is like it
+TOGETHER = 1 << 20  # characters of texts whose units are solved side by side
 CACHED, LONGEST = 150_000, 48  # units remembered in a worker (twice: newer and older), and the longest of them
 
 _IDS, _SCORE, _GAP = map(itemgetter, range(3))
@@ -42,7 +44,6 @@ class Vocabulary:
     bytes_ids: list[int]
     spelt: list[bytes]
     reach: dict[str, float | None]  # of every beginning of a piece: its score, None if it is no piece itself
-    pairs: frozenset[str]  # characters that stand side by side in a piece
     lowest: float
 
     @classmethod
@@ -64,7 +65,44 @@ class Vocabulary:
                 if SPACE in piece.lstrip(SPACE) or "\n" in piece:
                     raise ValueError(f"piece {i} goes over the end of a unit")
         reach = {p[:k]: scores.get(p[:k]) for p in scores for k in range(1, len(p) + 1)}
-        return cls(ids, scores, bytes_ids, spelt, reach, frozenset(p[k : k + 2] for p in scores for k in range(len(p) - 1)), min(s for s in scores.values() if s > RESERVED))
+        return cls(ids, scores, bytes_ids, spelt, reach, min(s for s in scores.values() if s > RESERVED))
+
+
+class Trie:
+    """The beginnings of pieces as numbered states (0: none), for walks from many characters at once."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        number = {p: i for i, p in enumerate(["", *v.reach])}
+        self.letters = {c: i for i, c in enumerate(sorted({c for p in v.reach for c in p}), 1)}
+        self.letter = np.zeros(0x110000, np.int64)
+        self.letter[list(map(ord, self.letters))] = list(self.letters.values())
+        steps = np.array([number[p[:-1]] * (len(self.letters) + 1) + self.letters[p[-1]] for p in v.reach])
+        order = np.argsort(steps)
+        self.steps, self.to = steps[order], order + 1
+        self.is_piece = np.array([False, *(s is not None for s in v.reach.values())])
+        # state 0 stands for a character spelt in bytes
+        self.score = np.array([v.lowest - UNKNOWN, *(s or 0.0 for s in v.reach.values())])
+        self.id = np.array([-1, *(v.ids.get(p, -1) for p in v.reach)], np.int32)
+
+    def edges(self, codes: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and state of each piece that lies in codes; a character of `inner` that is none is
+        an edge of state 0. Characters in no piece end every walk."""
+        letter = self.letter[codes]
+        at, state, length, found = np.flatnonzero(letter), np.zeros(np.count_nonzero(letter), np.int64), 0, []
+        alone = inner.copy()
+        while at.size:
+            step = state * (len(self.letters) + 1) + letter[at + length]
+            k = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+            on = self.steps[k] == step
+            at, state, length = at[on], self.to[k[on]], length + 1
+            hit = self.is_piece[state]
+            found.append((at[hit], at[hit] + length, state[hit]))
+            if length == 1:
+                alone[at[hit]] = False
+        spelt = np.flatnonzero(alone)
+        found.append((spelt, spelt + 1, np.zeros(len(spelt), np.int64)))
+        start, end, state = (np.concatenate(x) for x in zip(*found, strict=True))
+        return start, end, state
 
 
 @dataclass
@@ -75,7 +113,9 @@ class Lattice:
     ways: dict[tuple[str, int], list] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.known[OWN] = array("i", [self.vocabulary.bytes_ids[b] for b in SPACE.encode()]).tobytes(), self.vocabulary.lowest - UNKNOWN, float("inf")
+        v = self.vocabulary
+        self.trie = Trie(v)
+        self.known[OWN] = array("i", [v.bytes_ids[b] for b in SPACE.encode()]).tobytes(), v.lowest - UNKNOWN, float("inf")
 
     def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end, the edges into it: start, score, ids. A character that is no piece is spelt in bytes."""
@@ -91,63 +131,64 @@ class Lattice:
                 into[i + 1].append((i, v.lowest - UNKNOWN, tuple(v.bytes_ids[b] for b in unit[i].encode("utf-8", "replace"))))
         return into
 
-    def viterbi(self, unit: str) -> tuple[bytes, float, float]:
-        """Ids (32 bits each) and score of the best segmentation, and how far the second best is below it.
-
-        A unit falls apart where two characters stand side by side in no piece; the parts are solved alone."""
-        if (found := self.known.get(unit)) is not None:
-            return found
-        if (found := self.older.get(unit)) is None:
-            pairs, cuts = self.vocabulary.pairs, [0]
-            cuts += [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
-            if len(cuts) == 1:
-                found = self._forward(unit)
-            else:
-                parts = [self.viterbi(unit[i:j]) for i, j in zip(cuts, [*cuts[1:], len(unit)], strict=True)]
-                found = b"".join(map(_IDS, parts)), sum(map(_SCORE, parts)), min(map(_GAP, parts))
-        if len(unit) <= LONGEST:
-            if len(self.known) >= CACHED:
-                self.older, self.known = self.known, {OWN: self.known[OWN]}
-            self.known[unit] = found
-        return found
+    def viterbi(self, units: list[str]) -> list[tuple[bytes, float, float]]:
+        """For each unit, ids (32 bits each) and score of the best segmentation, and how far the second best
+        is below it. Among equal scores the longest last piece wins.
 
-    def _forward(self, unit: str) -> tuple[bytes, float, float]:
-        v, n = self.vocabulary, len(unit)
-        get, worst = v.reach.get, float("-inf")
-        best, back, second = [0.0] + [worst] * n, [0] * (n + 1), [worst] * (n + 1)
-        for i in range(n):
-            base, j = best[i], i
-            while j < n:
-                j += 1
-                s = get(unit[i:j], 1)
-                if s is None:
-                    continue
-                if s > 0:  # no piece begins so
-                    break
-                s += base
-                if s > best[j]:
-                    second[j], best[j], back[j] = best[j], s, i
-                elif s > second[j]:
-                    second[j] = s
-            if unit[i] not in v.scores:
-                s = base + v.lowest - UNKNOWN
-                if s > best[i + 1]:
-                    second[i + 1], best[i + 1], back[i + 1] = best[i + 1], s, i
-                elif s > second[i + 1]:
-                    second[i + 1] = s
-        j, parts, gap = n, [], float("inf")
-        while j:
-            i = back[j]
-            if best[j] - second[j] < gap:
-                gap = best[j] - second[j]
-            piece = v.ids.get(unit[i:j])
-            if piece is not None:
-                parts.append(piece)
-            else:
-                parts += [v.bytes_ids[b] for b in reversed(unit[i:j].encode("utf-8", "replace"))]
-            j = i
-        parts.reverse()
-        return array("i", parts).tobytes(), best[n], gap
+        All units are solved side by side. They stand in a row with a line feed, which is in no piece, after
+        each; node i lies before character i. Nodes that no piece goes across part a unit, and best scores
+        count from there. The edges into nodes equally far from the last such node are one step."""
+        if not units:
+            return []
+        trie, codes = self.trie, np.frombuffer(("\n".join(units) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array(list(map(len, units)))
+        lasts = np.cumsum(sizes + 1) - 1
+        inner = np.ones(len(codes), bool)
+        inner[lasts] = False
+        start, end, state = trie.edges(codes, inner)
+
+        n = len(codes)
+        parting = np.cumsum(np.bincount(start + 1, minlength=n + 1) - np.bincount(end, minlength=n + 1))[:n] == 0
+        since = np.maximum.accumulate(np.where(parting, np.arange(n), 0))
+        far, length = end - since[start], end - start
+        order = np.argsort((far * n + end) * (length.max() + 1) - length, kind="stable")
+        start, end, state, far = start[order], end[order], state[order], far[order]
+        score = trie.score[state]
+
+        firsts = np.flatnonzero(np.r_[True, end[1:] != end[:-1]])  # of the edges into a node
+        node, of = end[firsts], np.repeat(np.arange(len(firsts)), np.diff(np.r_[firsts, len(end)]))
+        base, gap, edge = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        turns = np.r_[np.flatnonzero(np.r_[True, far[1:] != far[:-1]]), len(far)].tolist()
+        for a, b in zip(turns, turns[1:]):
+            g, h = of[a], of[b - 1] + 1
+            sums, begins, into = base[start[a:b]] + score[a:b], firsts[g:h] - a, node[g:h]
+            top = np.maximum.reduceat(sums, begins)
+            best = np.flatnonzero(sums == top[of[a:b] - g])
+            owner = of[a:b][best]
+            best = best[np.r_[True, owner[1:] != owner[:-1]]]
+            sums[best] = float("-inf")
+            gap[into], edge[into] = top - np.maximum.reduceat(sums, begins), best + a
+            base[into] = np.where(parting[into], 0.0, top)
+
+        on, at = np.zeros(n, bool), np.flatnonzero(parting & np.r_[False, inner[:-1]])
+        while at.size:
+            on[at] = True
+            at = start[edge[at]]
+            at = at[~parting[at]]
+        path = np.flatnonzero(on)
+        bounds = np.searchsorted(path, np.r_[lasts - sizes, n], side="right")
+        total, least = np.add.reduceat(score[edge[path]], bounds[:-1]), np.minimum.reduceat(gap[path], bounds[:-1])
+
+        ids = trie.id[state[edge[path]]]
+        lone = ids < 0
+        if lone.any():
+            spelt = [[self.vocabulary.bytes_ids[x] for x in chr(c).encode("utf-8", "replace")] for c in codes[path[lone] - 1].tolist()]
+            many = np.ones(len(ids), np.int64)
+            many[lone] = list(map(len, spelt))
+            ids, lone, bounds = np.repeat(ids, many), np.repeat(lone, many), np.r_[0, np.cumsum(many)][bounds]
+            ids[lone] = [x for each in spelt for x in each]
+        flat, ends = ids.tobytes(), (4 * bounds).tolist()
+        return [(flat[i:j], s, g) for i, j, s, g in zip(ends, ends[1:], total.tolist(), least.tolist(), strict=False)]
 
     def a_star(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations, best first: backward search with forward Viterbi scores as heuristic."""
@@ -178,21 +219,31 @@ class Lattice:
             out += [OWN, *UNITS.findall(p.replace(" ", SPACE))]
         return out
 
-    def encode(self, text: str | None) -> tuple[bytes, float, list[float], list[str]]:
-        """Ids (32 bits each) and score of the best segmentation, each unit's gap to its second best, the units."""
-        units = self.units(text)
-        found = [k or self.viterbi(u) for u, k in zip(units, list(map(self.known.get, units)), strict=True)]
-        return b"".join(map(_IDS, found)), sum(map(_SCORE, found)), list(map(_GAP, found)), units
+    def encode(self, texts: list[str | None]) -> list[tuple[list[str], list[tuple[bytes, float, float]]]]:
+        """For each text its units, and what viterbi() says of each of them."""
+        split = list(map(self.units, texts))
+        if len(self.known) >= CACHED:
+            self.older, self.known = self.known, {OWN: self.known[OWN]}
+        new = set().union(*split) - self.known.keys()
+        again = {u: f for u in new if (f := self.older.get(u)) is not None}
+        self.known |= again
+        missing = [u for u in new if u not in again]
+        self.known.update(zip(missing, self.viterbi(missing), strict=True))
+        out = [(units, list(map(self.known.__getitem__, units))) for units in split]
+        for u in missing:
+            if len(u) > LONGEST:
+                del self.known[u]
+        return out
 
     def n_best(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
         """Score and ids of the n best segmentations (all, if fewer), best first; among equal scores the
         order is that of the search and the same in every run."""
-        _, score, gaps, units = self.encode(text)
-        out = []
-        for loss, changes in self._changes(gaps, units, n):
+        ((units, found),) = self.encode([text])
+        score, out = sum(map(_SCORE, found)), []
+        for loss, changes in self._changes(list(map(_GAP, found)), units, n):
             ids: list[int] = []
-            for k, u in enumerate(units):
-                ids += changes.get(k) or list(array("i", self.viterbi(u)[0]))
+            for k, (best, _, _) in enumerate(found):
+                ids += changes.get(k) or list(array("i", best))
             out.append((score - loss, ids))
         return out
 
@@ -237,6 +288,19 @@ def _lattice(path: str, sent: Broadcast) -> Lattice:
     return _LATTICES[path]
 
 
+def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Runs of texts with about TOGETHER characters, or one text that is longer."""
+    part, size = [], 0
+    for text in texts:
+        if part and size + len(text or "") > TOGETHER:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text or "")
+    if part:
+        yield part
+
+
 FIELDS = pa.schema([("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("score", pa.float64()), ("n_best_scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
 
 
@@ -251,14 +315,15 @@ def encode_pieces(docs: DataFrame, model_path: str, n: int = 3, id_col: str = "d
     def each(texts: list) -> list:
         lattice = _lattice(model_path, sent)
         flat, ends, n_pieces, best, others, same = [], [0], [], [], [], []
-        for text in texts:
-            ids, score, gaps, units = lattice.encode(text)
-            flat.append(ids)
-            n_pieces.append(len(ids) // 4)
-            ends.append(ends[-1] + n_pieces[-1])
-            best.append(score)
-            others.append(lattice.scores(score, gaps, units, n))
-            same.append(lattice.decode(np.frombuffer(ids, np.int32).tolist()) == (text or ""))
+        for part in groups(texts):
+            for text, (units, found) in zip(part, lattice.encode(part), strict=True):
+                ids, score = b"".join(map(_IDS, found)), sum(map(_SCORE, found))
+                flat.append(ids)
+                n_pieces.append(len(ids) // 4)
+                ends.append(ends[-1] + n_pieces[-1])
+                best.append(float(score))
+                others.append(lattice.scores(score, list(map(_GAP, found)), units, n))
+                same.append(lattice.decode(np.frombuffer(ids, np.int32).tolist()) == (text or ""))
         lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(b"".join(flat), np.int32)))
         return [lists, n_pieces, best, others, same]
 

@@ -262,8 +262,15 @@ def test_pieces(spark, edges):
         want = brute("▁" + t.replace(" ", "▁"))[:4]
         got = lattice.n_best(t, 4)
         assert [s for s, _ in got] == want and all(lattice.decode(ids) == t for _, ids in got)
-    for t in ("", "▁ a▁▁b", "\0▁x", "tab\tand\r\n  spaces  ", "汉字 😀 é"):
-        assert lattice.decode(list(memoryview(lattice.encode(t)[0]).cast("i"))) == t
+    texts = ["", "▁ a▁▁b", "\0▁x", "tab\tand\r\n  spaces  ", "汉字 😀 é", "x" * 3000, "汉字x" * 99, None]
+    for t, (units, found) in zip(texts, lattice.encode(texts), strict=True):
+        assert lattice.decode([i for ids, _, _ in found for i in memoryview(ids).cast("i")]) == (t or "")
+        for u, (_, score, gap) in zip(units, found, strict=True):
+            if u == pieces.OWN:
+                continue
+            ways = [s for s, _ in lattice.a_star(u, 2)]
+            assert score == pytest.approx(ways[0]) and gap == pytest.approx(ways[0] - ways[1] if len(ways) > 1 else float("inf"))
+    assert [len(g) for g in pieces.groups(["a" * pieces.TOGETHER, None, "b"] * 2)] == [2, 1, 2, 1]
     out = pieces.encode_pieces(edges, queries.model_path()).collect()
     assert len(out) == len(EDGES) and all(r["round_trip"] for r in out)
     back = pieces.decode_pieces(pieces.encode_pieces(edges, queries.model_path()), queries.model_path()).collect()
