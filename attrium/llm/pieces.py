@@ -191,19 +191,28 @@ class Lattice:
         return [(flat[i:j], s, g) for i, j, s, g in zip(ends, ends[1:], total.tolist(), least.tolist(), strict=False)]
 
     def a_star(self, unit: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations, best first: backward search with forward Viterbi scores as heuristic."""
+        """The n best segmentations, best first: backward search with forward Viterbi scores as heuristic. What
+        is nearest to the start goes first among equals, and no node is left more than n times: only its n
+        best ways to the end can be part of the result. So ties cost no more than other units."""
         into, size = self.edges(unit), len(unit)
         forward = [0.0] + [float("-inf")] * size
         for j in range(1, size + 1):
             forward[j] = max((forward[i] + s for i, s, _ in into[j]), default=float("-inf"))
-        heap, order, out = [(-forward[size], 0, size, 0.0, ())], 1, []
+        heap, order, out, left = [(-forward[size], size, 0, 0.0, None)], 1, [], [0] * (size + 1)
         while heap and len(out) < n:
-            _, _, at, done, ids = heapq.heappop(heap)
+            _, at, _, done, way = heapq.heappop(heap)
             if at == 0:
-                out.append((done, ids))
+                ids: list[int] = []
+                while way:
+                    piece, way = way
+                    ids += piece
+                out.append((done, tuple(ids)))
+                continue
+            left[at] += 1
+            if left[at] > n:
                 continue
             for i, s, piece in into[at]:
-                heapq.heappush(heap, (-(forward[i] + s + done), order, i, s + done, piece + ids))
+                heapq.heappush(heap, (-(forward[i] + s + done), i, order, s + done, (piece, way)))
                 order += 1
         return out
 
