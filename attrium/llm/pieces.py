@@ -29,7 +29,7 @@ UNITS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 UNKNOWN = 10.0  # below the lowest score: what a character costs that must be spelt in bytes
 RESERVED = -1e8  # pieces scored below are last resorts, and no measure of the others
 OWN = "\0" + SPACE  # stands for a "▁" of the text; no unit of UNITS is like it
-TOGETHER = 1 << 20  # characters of texts whose units are solved side by side
+TOGETHER = 1 << 18  # characters of texts whose units are solved side by side
 CACHED, LONGEST = 150_000, 48  # units remembered in a worker (twice: newer and older), and the longest of them
 
 _IDS, _SCORE, _GAP = map(itemgetter, range(3))
