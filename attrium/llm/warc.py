@@ -7,9 +7,10 @@ the file, twice as far in each round, reaches the true records and none inside a
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,11 +98,20 @@ FOUND = "file string, file_bytes long, start long, successor long, page_id long,
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def unpacked(content: bytes) -> bytes:
+    """What a file holds: all members of a gzip file, one after the other (a member that is cut off and bytes
+    that begin no member raise an error); any other file as it is."""
+    if content[:2] != b"\x1f\x8b":
+        return bytes(content)
+    with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:
+        return members.read()
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in FOUND.split(", ")]
     for rows in batches:
         for path, content in zip(rows["path"], rows["content"], strict=True):
-            data = zlib.decompressobj(31).decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
+            data = unpacked(content)
             found = pd.DataFrame([(path, len(data), *c) for c in candidates(data)], columns=names)
             yield found.astype({"page_id": "Int64", "refers_to": "Int64"})
 

@@ -1,5 +1,6 @@
 """The ten operators against plain Python, and their edge cases."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -238,6 +239,17 @@ def test_warc_round_trip(spark, tmp_path):
         warc.reachable(np.array([0, 10]), np.array([5, 20]), 20)
 
 
+def test_warc_members(spark, tmp_path):
+    bodies = [f"HTTP/1.1 200 OK\r\n\r\npage {i} ".encode() + b"x" * i for i in range(300)]
+    members = [gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(b), b)) for i, b in enumerate(bodies)]
+    (tmp_path / "many.warc.gz").write_bytes(b"".join(members))
+    out = warc.read_archives(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["payload_digest"]) for r in out) == [(i, hashlib.sha256(b[19:]).hexdigest()) for i, b in enumerate(bodies)]
+    for torn in (members[0] + members[1][:-9], members[0] + members[1][:15], members[0] + b"no member"):
+        with pytest.raises((EOFError, OSError)):
+            warc.unpacked(torn)
+
+
 def test_pieces(spark, edges):
     v = pieces.Vocabulary.load(queries.model_path())
     lattice = pieces.Lattice(v)
