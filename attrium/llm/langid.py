@@ -20,7 +20,6 @@ from .store import append_columns, stored
 DIM = 1 << 16  # trigram buckets
 SMOOTH = 0.05  # added to each bucket's count
 STEPS = 12  # of expectation-maximisation
-WIDEST = 8  # languages of a text that are weighed at all, by their own likelihood
 PENALTY = 0.02  # log likelihood a trigram that each further language must gain, beside half the log of their number
 
 
@@ -97,21 +96,19 @@ def _em(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
 def mixture(counts: np.ndarray, at: np.ndarray, p: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """counts of the buckets at. Proportions over all languages; the selected set, largest proportion
     first (ties: the earlier language), and its proportions."""
-    own = logp[:, at] @ counts
-    few = np.sort(np.argsort(-own, kind="stable")[:WIDEST])
-    part = p[np.ix_(few, at)]
-    w, _ = _em(part, counts)
-    every = np.zeros(len(p))
-    every[few] = w
-    best = few[int(np.argmax(own[few]))]
-    order = [best, *[k for k in few[np.argsort(-w, kind="stable")].tolist() if k != best]]
-    n = counts.sum()
+    own, part, n = logp[:, at] @ counts, p[:, at], counts.sum()
+    every, _ = _em(part, counts)
+    best, least = int(np.argmax(own)), PENALTY * n + 0.5 * np.log(n)
     chosen, proportions, top = [best], np.ones(1), own[best]
-    for k in order[1:]:
-        w, ll = _em(p[np.ix_([*chosen, k], at)], counts)
-        if ll - top <= PENALTY * n + 0.5 * np.log(n):
-            break
-        chosen, proportions, top = [*chosen, k], w, ll
+    slope = part @ (counts / part[best])
+    for k in np.argsort(-every, kind="stable").tolist():
+        # log likelihood is concave in the proportions, so that no mixture of these gains more than the steepest slope
+        if k == best or max(slope[k], slope[chosen].max()) - n <= least:
+            continue
+        w, ll = _em(part[[*chosen, k]], counts)
+        if ll - top > least:
+            chosen, proportions, top = [*chosen, k], w, ll
+            slope = part @ (counts / (w @ part[chosen]))
     by = np.argsort(-proportions, kind="stable")
     return every, np.array(chosen)[by], proportions[by]
 

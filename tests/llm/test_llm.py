@@ -165,6 +165,23 @@ def test_language_mixture_and_edges(spark, edges):
     assert langid.identify(edges.limit(0)).count() == 0
 
 
+def test_every_language_is_weighed():
+    """Ten languages alike and one of its own: the tenth of a text in that one counts, whatever stands before it."""
+    rng = np.random.default_rng(8)
+    base = np.concatenate([rng.random(300), np.full(300, 1e-7)])
+    p = np.stack([base * np.concatenate([rng.uniform(0.7, 1.4, 300), np.ones(300)]) for _ in range(10)] + [base[::-1]])
+    p /= p.sum(axis=1, keepdims=True)
+    counts = np.round(5000 * (0.9 * p[3] + 0.1 * p[10]))
+    at = np.nonzero(counts)[0]
+    every, chosen, w = langid.mixture(counts[at], at, p, np.log(p))
+    assert chosen.tolist() == [3, 10] and w[1] == pytest.approx(0.1, abs=0.02) and every[10] == pytest.approx(0.1, abs=0.02)
+    # one that fails the penalty doesn't end the choice: here the second in weight is near to the first
+    p = np.array([[0.5, 0.5, 1e-9], [0.62, 0.38, 1e-9], [1e-9, 1e-9, 1.0]])
+    p /= p.sum(axis=1, keepdims=True)
+    every, chosen, _ = langid.mixture(np.array([5300.0, 4200.0, 500.0]), np.arange(3), p, np.log(p))
+    assert every[1] > every[2] and chosen.tolist() == [0, 2]
+
+
 def test_voronoi_is_exact(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(400)]
