@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from attrium.llm import compression, knn, langid, line_dedup, mixing, pagediff, pieces, queries, simhash, urlfilter, warc
+from attrium.llm import compression, knn, langid, line_dedup, minhash, mixing, pagediff, pieces, queries, simhash, urlfilter, warc
 from attrium.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -147,6 +147,36 @@ def test_simhash_edges(spark, edges):
     assert simhash.simhash_components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [16, 2])
+def test_stage_finds_all_similar_texts(spark, monkeypatch, hot):
+    import corpus_pipeline
+
+    monkeypatch.setattr(minhash, "HOT", hot)
+    rng = random.Random(9)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(3, 300))]
+        for k in range(9):
+            words = list(base)
+            for _ in range(k * len(base) // 150 + (k > 6)):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(4000)}"
+            texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(500, None), (501, ""), (None, texts[0].upper()), (None, "alone"), (1, texts[20])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    assert any(((simhash.fingerprint(rows[a][1]) ^ simhash.fingerprint(rows[b][1])) & (2**64 - 1)).bit_count() > 2 for a, b in near)
+    part = list(range(len(rows)))
+    for a, b in near:
+        part = [part[a] if x == part[b] else x for x in part]
+    ids = {c: min((rows[i][0] for i in range(len(rows)) if part[i] == c and rows[i][0] is not None), default=None) for c in set(part)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda pairs: sorted(pairs, key=repr)
+    assert order(tuple(r) for r in minhash.near_duplicates(docs).collect()) == order((i, ids[part[k]]) for k, (i, _) in enumerate(rows))
+    kept = set(ids.values())
+    assert order(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == order(r for r in rows if r[0] in kept)
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
