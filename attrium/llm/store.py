@@ -39,16 +39,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in runs of about SLICE bytes of that column, or one row that is longer."""
+    for whole in batches:
+        rows = max(1, whole.num_rows * SLICE // max(SLICE, whole.column(column).nbytes))
+        yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
+
+
 def append_columns(df: DataFrame, text: Column, fn: Callable[[list], list[list]], schema: pa.Schema) -> DataFrame:
     """df with the fields of schema after its columns. fn gets the values of `text` in a batch and gives,
     for each field, the list (or Arrow array) of its values. Other columns pass through as they are."""
     names = list(df.columns)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            rows = max(1, whole.num_rows * SLICE // max(SLICE, whole.column(len(names)).nbytes))
-            for b in (whole.slice(i, rows) for i in range(0, whole.num_rows, rows)):
-                new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fn(b.column(len(names)).to_pylist()), schema, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *new], names=[*names, *schema.names])
-
-    return df.select("*", text.alias("_appended_from")).mapInArrow(each, T.StructType([*df.schema.fields, *from_arrow_schema(schema).fields]))
+        for b in slices(batches, len(names)):
+            new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fn(b.column(len(names)).to_pylist()), schema, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *new], names=[*names, *schema.names])
+
+    own = "_appended_from"
+    while own in names:
+        own += "_"
+    return df.select("*", text.alias(own)).mapInArrow(each, T.StructType([*df.schema.fields, *from_arrow_schema(schema).fields]))

@@ -240,16 +240,6 @@ def test_raking_meets_marginals(spark, edges):
     assert mixing.mix(edges.limit(0), F.lit("t")).count() == 0
 
 
-def test_lcs():
-    rng = random.Random(7)
-    for _ in range(200):
-        a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in range(2))
-        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, j in itertools.product(range(len(a)), range(len(b))):
-            n[i + 1][j + 1] = n[i][j] + 1 if a[i] == b[j] else max(n[i][j + 1], n[i + 1][j])
-        assert sum(pagediff.lcs(a, b)) == n[-1][-1]
-
-
 PAGE = "<html><head><title>T</title><script>var t='</p>';</script></head><body><div>Site of all things</div><header>Top</header><div class='ad big'>Buy</div>{}<section id=comments><p>me too</p></section><div>Imprint and terms</div><footer>foot</footer></body>"
 
 
