@@ -1,26 +1,33 @@
 """WARC archives: writing, and reading by boundary chains.
 
-A record's payload may hold the very bytes that begin a record. So tasks emit every place where one may
-begin, with the place where it would end (its successor); jumping along these pointers from the start of
-the file, twice as far in each round, reaches the true records and none inside a payload.
+A record's payload may hold the very bytes that begin a record. So the tasks that read the splits of a file
+emit every place where a record may begin, with the place where it would end (its successor); jumping along
+these pointers from the start of the file reaches the true records and none inside a payload. Within a run of
+places the jumps are made on arrays; what is left of them, one pointer out of each run, is jumped twice as far
+in each round by joins, across the splits of the file. Payloads are hashed where they are read: only those
+that a false beginning cuts in pieces are read again and put together.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import io
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from .store import new_path
+from .store import new_path, slices, stored
 
 END = "\r\n\r\n"
-MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+MAGIC = b"WARC/1."
+CUT = b"\n" + MAGIC  # files are read in the pieces between these; no beginning of it is also its end, so none is missed
+RUN = 1 << 16  # pieces of a split that are jumped through on arrays
+SENT = 200_000  # groups of equal payloads (about 100 bytes each) that are broadcast; more are joined
+SALTS = 16
 LEAST = 100  # bytes of a payload that may be given as a revisit
 
 
@@ -38,7 +45,12 @@ def write_archives(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.select("*", F.octet_length("html").alias("bytes"), F.sha2("html", 256).alias("digest"))
     first = rows.filter(F.col("bytes") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
+    first = stored(first, "first")
+    if first.count() <= SENT:
+        rows = rows.join(F.broadcast(first), "digest", "left")
+    else:  # a payload that very many pages have is dealt over SALTS tasks
+        salted = first.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\n"), _lines(("Content-Type", "text/html; charset=utf-8"), ("Content-Length", F.col("bytes").cast("string"))), F.lit("\r\n"))
     block = F.when(again, http).otherwise(F.concat(http, "html"))
@@ -65,87 +77,170 @@ def _field(head: bytes, name: bytes) -> str | None:
     return found[1].decode("utf-8", "replace") if found else None
 
 
-def _page(urn: str | None) -> int | None:
+def _page(urn: str | None) -> str | None:
     found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
-    return int(found[1]) if found else None
-
-
-def candidates(data: bytes) -> list[tuple]:
-    """start, successor (-1: what stands there is no record), then what the record would say."""
-    out = []
-    for m in MAGIC.finditer(data):
-        head_end = data.find(b"\r\n\r\n", m.end() - 2)
-        head = data[m.end() : head_end] if head_end >= 0 else b""
-        length = _field(head, b"Content-Length")
-        start = head_end + 4
-        end = start + int(length) if length and length.isdigit() else -1
-        if end < 0 or data[end : end + 4] != b"\r\n\r\n":
-            out.append((m.start(), -1, None, 0, None, None, None))
-            continue
-        kind = _field(head, b"WARC-Type")
-        http_end = data.find(b"\r\n\r\n", start, end) + 4
-        if kind == "revisit":
-            size = int(_field(data[start:http_end], b"Content-Length") or 0)
-            digest = (_field(head, b"WARC-Payload-Digest") or "").removeprefix("sha256:")
-        else:
-            size = end - http_end if http_end > 3 else 0
-            digest = hashlib.sha256(data[end - size : end]).hexdigest()
-        out.append((m.start(), end + 4, _page(_field(head, b"WARC-Record-ID")), size, digest, kind, _page(_field(head, b"WARC-Refers-To"))))
-    return out
-
-
-FOUND = "file string, file_bytes long, start long, successor long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-
-
-def unpacked(content: bytes) -> bytes:
-    """What a file holds: all members of a gzip file, one after the other (a member that is cut off and bytes
-    that begin no member raise an error); any other file as it is."""
-    if content[:2] != b"\x1f\x8b":
-        return bytes(content)
-    with gzip.GzipFile(fileobj=io.BytesIO(content)) as members:
-        return members.read()
-
-
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in FOUND.split(", ")]
-    for rows in batches:
-        for path, content in zip(rows["path"], rows["content"], strict=True):
-            data = unpacked(content)
-            found = pd.DataFrame([(path, len(data), *c) for c in candidates(data)], columns=names)
-            yield found.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
-def reachable(starts: np.ndarray, successors: np.ndarray, size: int) -> np.ndarray:
-    """Which starts (sorted) the chain from 0 reaches; raises if it breaks off before size."""
-    n = len(starts)
-    jump = np.searchsorted(starts, successors)
-    good = (jump < n) & (starts[np.minimum(jump, n - 1)] == successors)
-    end = np.where(successors == size, n, n + 1)  # n: the end of the file, n + 1: nowhere
-    jump = np.concatenate([np.where(good, jump, end), [n, n + 1]])
-    seen = np.zeros(n + 2, bool)
-    seen[0 if starts[0] == 0 else n + 1] = True
-    for _ in range(max(1, int(n + 1).bit_length()) + 1):
-        seen[jump[seen]] = True
-        jump = jump[jump]
-    if seen[n + 1]:
-        raise ValueError("the chain of records breaks off")
-    return seen[:n]
+    return found[1] if found else None
 
 
-def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("start")
-    keep = reachable(rows["start"].to_numpy(), rows["successor"].to_numpy(), int(rows["file_bytes"].iloc[0]))
-    return rows[keep][[x.split()[0] for x in RECORD.split(", ")]]
+#: ids stay text until the end: pandas would make floating-point numbers of long columns with nulls
+RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
+PIECE = pa.schema(
+    [("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("size", pa.int64()), ("leads", pa.bool_()), ("reach", pa.int64()), ("whole", pa.bool_()), ("piece", pa.binary())]
+    + [("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
+)
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+NOTHING = None, -1, None, None, None
+
+
+def _record(head: bytes, block: bytes) -> tuple:
+    """RECORD from header lines and content."""
+    kind, http_end = _field(head, b"WARC-Type"), block.find(b"\r\n\r\n") + 4
+    if kind == "revisit":
+        size = int(_field(block[:http_end], b"Content-Length") or 0)
+        digest = (_field(head, b"WARC-Payload-Digest") or "").removeprefix("sha256:")
+    else:
+        size = len(block) - http_end if http_end > 3 else 0
+        digest = hashlib.sha256(block[len(block) - size :]).hexdigest()
+    return _page(_field(head, b"WARC-Record-ID")), size, digest, kind, _page(_field(head, b"WARC-Refers-To"))
+
+
+def candidate(piece: bytes) -> tuple:
+    """Of what follows a CUT (or begins a file): whether it has the magic itself; how far its end is from the
+    magic (-1: no record begins here); whether the piece holds the whole record; then what the record says."""
+    leads = piece.startswith(MAGIC)
+    at = len(MAGIC) if leads else 0
+    end = piece.find(b"\r\n\r\n", at)
+    length = _field(piece[at:end], b"Content-Length") if end >= 0 and piece[at : at + 3] in (b"0\r\n", b"1\r\n") else None
+    if not length or not length.isdigit():
+        return leads, -1, False, *NOTHING
+    start, n = end + 4, int(length)
+    rest = len(piece) - start - n  # the last line feed before a CUT is part of it
+    whole = rest in (3, 4) and piece[start + n :] == b"\r\n\r\n"[:rest]
+    if rest >= 0 and not whole:
+        return leads, -1, False, *NOTHING
+    reach = start - at + len(MAGIC) + n + 4
+    return leads, reach, whole, *(_record(piece[at:end], piece[start : start + n]) if whole else NOTHING)
+
 
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("lineSep", CUT.decode()).option("recursiveFileLookup", "true").text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").cast("binary").alias("body"))
 
-def read_archives(spark, path: str) -> DataFrame:
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches, 3):
+        bodies = b.column(3).to_pylist()
+        found = [list(x) for x in zip(*map(candidate, bodies), strict=True)] or [[]] * 8
+        fields = [list(map(len, bodies)), *found[:3], [hashlib.sha256(x).digest() for x in bodies], *found[3:]]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, f.type) for x, f in zip(fields, list(PIECE)[3:], strict=True))], schema=PIECE)
+
+
+def _jumps(starts: np.ndarray, successors: np.ndarray) -> np.ndarray:
+    """Index in starts (sorted) of each successor; len(starts) if it is none of them."""
+    at = np.searchsorted(starts, successors)
+    return np.where((at < len(starts)) & (starts[np.minimum(at, len(starts) - 1)] == successors), at, len(starts))
+
+
+PLACED = "file string, block long, run long, file_bytes long, start long, successor long, leaves long, whole boolean, piece binary, " + RECORD
+
+
+def _placed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Start and successor in the file of each piece of a run, and where its chain leaves the run (-1: nowhere)."""
+    rows = rows.sort_values("seq")
+    step = rows["size"].to_numpy(np.int64) + len(CUT)
+    at = rows["base"].to_numpy(np.int64) + np.cumsum(step) - step
+    starts = np.where(at == 0, 0, at - len(MAGIC))
+    good = (rows["reach"].to_numpy(np.int64) >= 0) & (rows["leads"].to_numpy(bool) == (at == 0))
+    successors = np.where(good, starts + rows["reach"].to_numpy(np.int64), -1)
+    n = len(rows)
+    jump = np.append(_jumps(starts, successors), n)
+    outside = (successors > starts[-1]) | (successors < 0)
+    leaves = np.append(np.where(outside, successors, -1), 0)
+    last = np.arange(n + 1)  # the last place of the run on each chain
+    hop = np.where(jump < n, jump, last)
+    for _ in range(n.bit_length()):
+        last, hop = hop[last], hop[hop]
+    return rows.assign(start=starts, successor=successors, leaves=leaves[last[:n]])[_names(PLACED)]
+
+
+def _reached(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a run with whether the chain that enters it reaches them."""
+    rows = rows.sort_values("start")
+    n, seen = len(rows), np.zeros(len(rows) + 1, bool)
+    starts = rows["start"].to_numpy(np.int64)
+    seen[_jumps(starts, entries["start"].to_numpy(np.int64))] = True
+    jump = np.append(_jumps(starts, rows["successor"].to_numpy(np.int64)), n)
+    for _ in range(n.bit_length() + 1):
+        seen[jump[seen]] = True
+        jump = jump[jump]
+    return rows.assign(reached=seen[:n])[_names(REACHED)]
+
+
+REACHED = "file string, start long, successor long, whole boolean, piece binary, reached boolean, " + RECORD
+
+
+def _chained(placed: DataFrame) -> DataFrame:
+    """file, block, run, start: where the chain of each file enters its runs. Raises if one breaks off."""
+    files = placed.groupBy("file").agg(F.first("file_bytes").alias("file_bytes"))
+    nodes = placed.filter("leaves >= 0").select("file", F.col("leaves").alias("start")).unionByName(files.select("file", F.lit(0).cast("long").alias("start"))).distinct()
+    jump = stored(placed.join(nodes, ["file", "start"]).select("file", "start", F.col("leaves").alias("to"), "block", "run"), "jumps")
+    most = jump.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+    steps, seen = jump.select("file", "start", "to"), files.select("file", F.lit(0).cast("long").alias("start"))
+    for _ in range(int(most).bit_length()):
+        ahead = seen.join(steps, ["file", "start"]).select("file", F.col("to").alias("start"))
+        seen = stored(seen.unionByName(ahead).distinct(), "seen")
+        onward = steps.select("file", F.col("to").alias("then"), F.col("start").alias("to"))
+        steps = stored(steps.join(onward, ["file", "to"], "left").select("file", "start", F.coalesce("then", "to").alias("to")), "steps")
+    ends = seen.withColumnRenamed("start", "file_bytes")
+    if broken := files.join(ends, ["file", "file_bytes"], "left_anti").count():
+        raise ValueError(f"the chain of records breaks off in {broken} files")
+    return jump.join(seen, ["file", "start"]).select("file", "block", "run", "start")
+
+
+def _joined(rows: pd.DataFrame) -> pd.DataFrame:
+    """The record of the pieces of one payload."""
+    data = CUT.join(rows.sort_values("at")["body"])
+    leads = data.startswith(MAGIC)
+    at = len(MAGIC) if leads else 0
+    end = data.find(b"\r\n\r\n", at)
+    start, n = end + 4, int(_field(data[at:end], b"Content-Length"))
+    if data[start + n :] not in (b"\r\n\r", b"\r\n\r\n"):
+        raise ValueError("a record has no end")
+    return pd.DataFrame([_record(data[at:end], data[start : start + n])], columns=_names(RECORD))
+
+
+def read_archives(spark: SparkSession, path: str, cell: int = 1 << 26) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each record of the files in path.
 
-    A task holds one file at a time, so files should stay in the range of a gigabyte or less. A file whose
-    chain doesn't reach its end raises an error; no file, no row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length > 0").select("path", "content")
-    return files.mapInPandas(_scan, FOUND).groupBy("file").applyInPandas(_chain, RECORD)
+    Files whose name ends in .gz are unpacked, all members of them (one that is cut off raises an error), by
+    one task each; others are read in splits. Groups are runs of RUN pieces or single records, never files.
+    A file whose chain doesn't reach its end raises an error; no file, no row. Pieces of a record are looked
+    up in cells of that many bytes of the file."""
+    found = stored(_pieces(spark, path).mapInArrow(_scan, from_arrow_schema(PIECE)).withColumn("run", F.shiftright("seq", RUN.bit_length() - 1)), "pieces")
+    runs = found.groupBy("file", "block", "run").agg((F.sum("size") + F.count("*") * len(CUT)).alias("n"))
+    before = F.expr("coalesce(sum(n) over (partition by file order by block, run rows between unbounded preceding and 1 preceding), 0)")
+    runs = runs.select("file", "block", "run", before.alias("base"), F.expr(f"sum(n) over (partition by file) - {len(CUT)}").alias("file_bytes"))
+    run = ["file", "block", "run"]
+    placed = stored(found.join(runs, run).groupBy(*run).applyInPandas(_placed, PLACED), "placed")
+    entries = _chained(placed)
+    marked = stored(placed.groupBy(*run).cogroup(entries.groupBy(*run)).applyInPandas(_reached, REACHED), "marked")
+    numbers = lambda df: df.select(*[F.col(c).cast("long") if c in ("page_id", "refers_to") else c for c in _names(RECORD)])
+    out = numbers(marked.filter("reached and whole"))
+    parts = marked.filter("reached and not whole").select("file", "start", "successor", "piece")
+    if parts.isEmpty():
+        return out
+    # payloads in pieces: the pieces from a record's start on that are no record
+    wide = parts.select("file", F.col("start").alias("record"), "successor", F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor(F.col("successor") / cell))).alias("cell"))
+    inner = marked.filter("not reached").select("file", F.floor(F.col("start") / cell).alias("cell"), F.col("start").alias("at"), "piece")
+    inner = inner.join(wide, ["file", "cell"]).filter("at > record and at < successor").select("file", "record", "at", "piece")
+    wanted = stored(inner.unionByName(parts.select("file", F.col("start").alias("record"), F.col("start").alias("at"), "piece")), "parts")
+    bodies = _pieces(spark, path).select(F.unhex(F.sha2("body", 256)).alias("piece"), "body").join(wanted.select("piece").distinct(), "piece", "left_semi").dropDuplicates(["piece"])
+    return out.unionByName(numbers(wanted.join(bodies, "piece").groupBy("file", "record").applyInPandas(_joined, RECORD)))
 
 
 def archived(pages: DataFrame, path: str | None = None) -> DataFrame:

@@ -1,7 +1,5 @@
 """The ten operators against plain Python, and their edge cases."""
 
-import gzip
-import hashlib
 import itertools
 import random
 
@@ -10,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from attrium.llm import compression, knn, langid, line_dedup, minhash, mixing, pagediff, pieces, queries, simhash, urlfilter, warc
+from attrium.llm import compression, knn, langid, line_dedup, minhash, mixing, pagediff, pieces, queries, simhash, urlfilter
 from attrium.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -264,29 +262,6 @@ def test_urls(spark):
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
-def test_warc_round_trip(spark, tmp_path):
-    fake = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    big = "payload " * 30
-    rows = [(1, "http://a", fake * 3), (2, "u\r\nX: y", big), (3, None, big), (4, "d", None), (5, "e", ""), (6, "f", "WARC/1.0\r\n"), (7, "g", "é" * 100), (8, "h", big), (None, "i", big), (2, "j", big)]
-    out = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w")).collect()
-    got = sorted((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in out)
-    want = [(i or 0, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if h == big and i != 2 else "response", 2 if h == big and i != 2 else 0) for i, _, h in rows]
-    assert got == sorted(want)
-    with pytest.raises(ValueError):
-        warc.reachable(np.array([0, 10]), np.array([5, 20]), 20)
-
-
-def test_warc_members(spark, tmp_path):
-    bodies = [f"HTTP/1.1 200 OK\r\n\r\npage {i} ".encode() + b"x" * i for i in range(300)]
-    members = [gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, len(b), b)) for i, b in enumerate(bodies)]
-    (tmp_path / "many.warc.gz").write_bytes(b"".join(members))
-    out = warc.read_archives(spark, str(tmp_path)).collect()
-    assert sorted((r["page_id"], r["payload_digest"]) for r in out) == [(i, hashlib.sha256(b[19:]).hexdigest()) for i, b in enumerate(bodies)]
-    for torn in (members[0] + members[1][:-9], members[0] + members[1][:15], members[0] + b"no member"):
-        with pytest.raises((EOFError, OSError)):
-            warc.unpacked(torn)
-
-
 def test_pieces(spark, edges):
     v = pieces.Vocabulary.load(queries.model_path())
     lattice = pieces.Lattice(v)
