@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .compression import quality_rules
+from .compression import calibrate, quality_rules
 from .knn import voronoi_top_k
 from .langid import identify
 from .line_dedup import dedup_lines
@@ -49,8 +49,10 @@ FROM judged GROUP BY doc_id
 
 
 def op2_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, and what the bands saw."""
-    return quality_rules(_table(spark, sf_dir, "documents"))
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, zstd_ratio,
+    bad_chunks, reason. The bands come from documents that labels calls good."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules(docs, bands=calibrate(docs, _table(spark, sf_dir, "labels").filter("quality = 1")))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,15 +100,33 @@ def test_base_counts():
 def test_bands_reject_repeats_and_noise():
     rng = random.Random(4)
     clean = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(900))
-    assert compression.judge(clean)[6]
-    assert compression.judge("".join(chr(rng.randrange(33, 127)) for _ in range(6000)))[7:][2] in ("base", "incompressible")
-    assert compression.verdict(b"abc def ghi jkl mno " * 300)[2] == "repetitive"
+    noise = lambda n: "".join(chr(rng.randrange(33, 127)) for _ in range(n))
+    bands = compression.bands_of(*(np.array(x, float) for x in zip(*((len(t), compression.ratio(t)) for t in (clean[i : i + n].encode() for n in (200, 400, 800, 1600, 3200) for i in range(0, 1500, 25))), strict=True)))
+    assert len(bands) == 5 and compression.verdict(clean.encode(), bands)[2] == ""
+    for n in (300, 700, 6000):
+        assert compression.verdict(noise(n).encode(), bands)[2] == "incompressible"
+        assert compression.verdict((b"abc def ghi jkl mno " * n)[:n], bands)[2] == "repetitive"
+    assert compression.verdict((clean[:2600] + noise(1300)).encode(), (compression.Band(512, 0.0, 0.8), compression.Band(1024, 0.0, 0.7), compression.Band(4096, 0.0, 0.9)))[2] == "chunks"
+    assert [len(c) for c in compression.chunks(b"x" * 2500)] == [1024, 1476] and [len(c) for c in compression.chunks(b"x" * 2600)] == [1024, 1024, 552]
+    assert compression.bands_of(np.array([]), np.array([])) == ()
+
+
+def test_bands_on_labels_not_used_for_them(spark):
+    """Recall of low quality and clean texts kept, on the half of the labels that calibration doesn't see."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    bands = compression.calibrate(docs, labels.filter("quality = 1 and doc_id % 2 = 0"))
+    held = labels.filter("doc_id % 2 = 1").join(compression.quality_rules(docs, bands=bands), "doc_id").filter("not base_failed").toPandas()
+    low, clean = held[held["quality"] == 0], held[held["quality"] == 1]
+    assert (~low["kept"]).mean() > 0.7 and clean["kept"].mean() > 0.99
+    assert set(held["reason"]) >= {"", "repetitive"}
 
 
 def test_quality_edges(spark, edges):
     out = compression.quality_rules(edges).collect()
     assert len(out) == len(EDGES) and all(r["base_failed"] for r in out if r["doc_id"] in (1, 2, 3))
     assert compression.quality_rules(edges.limit(0)).count() == 0
+    assert compression.calibrate(edges, edges) == compression.BANDS == compression.calibrate(edges.limit(0), edges.limit(0))
 
 
 def brute_simhash(t):
@@ -255,13 +273,31 @@ def test_pages(spark):
 
 def test_urls(spark):
     rows = [(1, "http://a.example.com/en/1"), (2, "https://WWW.example.com/en/1?x"), (3, "http://b.net/es/9"), (4, "http://b.net/de/9"), (5, None), (6, "no scheme"), (7, "http://x.com"), (8, "http://other.com/z#f"), (None, "http://b.net/fr/")]
-    out = {r["page_id"]: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    clash = {c: F.lit(1) for c in ("host", "label", "fold", "suffix", "length", "features", "rule")}
+    out = {r["page_id"]: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string").withColumns(clash)).collect()}
     assert [(out[i]["rule"], out[i]["verdict"]) for i in (1, 2, 3, 8, None)] == [("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("com/", "allow"), ("net/fr/", "block")]
     assert out[4]["rule"] is None and out[7]["rule"] is None and (out[5]["host"], out[6]["path"]) == ("", "")
     assert (out[2]["host"], out[2]["path"]) == ("www.example.com", "/en/1")
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_trees_judge_hosts_not_learned_from(spark):
+    """Labels of half of the hosts; the other half is judged by how its URLs look."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = urlfilter.with_parts(pages, F.col("url")).withColumn("truth", urlfilter.weak_label(F.lit(None).cast("string")))
+    seen = F.pmod(F.xxhash64("host", F.lit(2)), F.lit(2)) == 0
+    judged = urlfilter.judge_urls(rows.withColumn("known", F.when(seen, F.col("truth"))), rules=(urlfilter.Rule("block", "none/"),), label_col="known")
+    held = judged.join(rows.filter(~seen).select("page_id", "truth"), "page_id").toPandas()
+    blocked = held["verdict"] == "block"
+    assert held["truth"].sum() > 20 and blocked[held["truth"] == 1].mean() > 0.9 and blocked[held["truth"] == 0].mean() < 0.02
+
+
+def test_suffix_statistics_leave_out_the_own_fold(spark):
+    rows = [("com", 0, 1.0), ("com", 0, 1.0), ("com", 1, 0.0), ("net", 2, 1.0)]
+    out = {(r["suffix"], r["fold"]): round(r["suffix_rate"], 6) for r in urlfilter.suffix_statistics(spark.createDataFrame(rows, "suffix string, fold int, label double")).collect()}
+    assert out == {("com", 0): round(1 / 3, 6), ("com", 1): 0.75, ("com", None): 0.6, ("net", 2): 0.5, ("net", None): round(2 / 3, 6)}
+
+
 def test_pieces(spark, edges):
     v = pieces.Vocabulary.load(queries.model_path())
     lattice = pieces.Lattice(v)
