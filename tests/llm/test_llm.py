@@ -228,19 +228,50 @@ def test_every_language_is_weighed():
     assert every[1] > every[2] and chosen.tolist() == [0, 2]
 
 
-def test_voronoi_is_exact(spark):
+def brute_top_k(rows, dim, every, k=5):
+    ints = {i: [int(np.floor(256 * x)) for x in v] + [0] * (dim - len(v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
+    held = lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
+    want = []
+    for q in (i for i in ints if i % every == 0):
+        best = sorted((-held(sum(a * b for a, b in zip(ints[q], v, strict=True))), i) for i, v in ints.items() if i != q)[:k]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize(("sent", "seed"), [(knn.SENT, knn.SEED), (0, 16)])
+def test_voronoi_is_exact(spark, monkeypatch, sent, seed):
+    monkeypatch.setattr(knn, "SENT", sent)
+    monkeypatch.setattr(knn, "SEED", seed)
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(400)]
     rows += [(400 + i, [0.5] * 8) for i in range(60)] + [(500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [0.0] * 8), (504, [1.0, 2.0]), (None, [1.0] * 8), (7, rows[7][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("g", "x", "b", "h", "ring", "q")})
     got = sorted(tuple(r) for r in knn.voronoi_top_k(df, F.col("vec_id") % 7 == 0, 5, pivots=5, query_block=16, data_block=64).collect())
-    ints = {i: [int(np.floor(256 * x)) for x in v] + [0] * (8 - len(v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    want = []
-    for q in (i for i in ints if i % 7 == 0):
-        best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == sorted(want)
+    assert got == brute_top_k(rows, 8, 7)
     assert knn.voronoi_top_k(df.limit(0), F.col("vec_id") % 7 == 0).count() == 0
+    assert knn.voronoi_top_k(df, F.lit(False)).count() == 0
+    assert len(knn.voronoi_top_k(df.filter("vec_id < 3"), F.col("vec_id") == 0).collect()) == 2
+
+
+def test_wide_components_are_exact(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-2, 9)).tolist()) for i in range(80)] + [(80, [1e300, -1e300, 1.7e308, 0.0]), (81, [-1.7e308] * 4), (84, [2.0**40 + 1, 1.0, -1.0, 3.0])]
+    got = sorted(tuple(r) for r in knn.voronoi_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 4 == 0, query_block=8, data_block=32).collect())
+    want = brute_top_k([(i, v) for i, v in rows if i < 80 or i == 84], 4, 4)
+    assert [r for r in got if r[0] not in (80, 81)] and {r[0] for r in got} == {r[0] for r in want} | {80}
+    exact = {(i, j): max(-(2**63) + 1, min(2**63 - 1, sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(v, w, strict=True)))) for i, v in rows for j, w in rows if max(map(abs, v + w)) < 1e290}
+    assert all(exact[q, s] == score for q, _, s, score in got if (q, s) in exact)
+
+
+def test_only_needed_rows_are_sent(spark):
+    """Where vectors lie in clusters, most rows go to one block of queries only."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 32))
+    rows = [(i, (centres[i % 12] / np.linalg.norm(centres[i % 12]) + 0.02 * rng.normal(size=32)).tolist()) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = knn.plan(df, F.col("vec_id") % 5 == 0, pivots=24, query_block=100)
+    assert made.blocks >= 10 and made.sent.count() < 0.25 * made.blocks * len(rows)
+    assert sorted(tuple(r) for r in knn.voronoi_top_k(df, F.col("vec_id") % 50 == 0, pivots=24, query_block=20).collect()) == brute_top_k(rows, 32, 50)
 
 
 def test_raking_meets_marginals(spark, edges):
