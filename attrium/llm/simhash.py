@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
-from .store import append_columns, stored
+from .store import append_columns, join_unique, stored
 
 WIDTHS = (22, 21, 21)
 #: Fixed value: generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the binary Golay code.
 GOLAY = 0b110001110101
-HOT = 256  # fingerprints under a key from which midpoints replace pairs
+HOT = 256  # fingerprints that live under a key from which midpoints replace pairs; below, what looks there meets so many at most
 
 
 def _remainders() -> np.ndarray:
@@ -134,10 +134,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have fingerprint 0 and are linked to each other. A null doc_id is no name: such a
     row gets the name of its component, null if no other row is in it. Repeated rows stay."""
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = connected_components(near_links(distinct))
     named = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(names, "root").select("fp", "component_id")
-    every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(every, "fp").select("doc_id", "fp", "component_id")
+    every = stored(distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "every")
+    return join_unique(prints, every, "fp", distinct.select("fp", "n")).select("doc_id", "fp", "component_id")

@@ -7,14 +7,15 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 SLICE = 4 << 20  # bytes of text that a task turns into Python objects at a time, or one text if it is longer
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one on a local master (tests); on a
+    cluster, where executors would not see it, an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
@@ -22,12 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: All that one driver stores lies in a folder of this name, within the shared one.
+RUN = f"attrium-{uuid.uuid4().hex}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{RUN}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all that this driver has stored; results that are still to be computed from it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -39,6 +52,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that has over 1 / HOT_KEYS of all rows is hot; so there are at most so many.
+HOT_KEYS = 10_000
+
+
+def join_unique(rows: DataFrame, by_key: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """rows joined with by_key, which has each key once. counts: key, n, the rows of each key. What belongs to
+    hot keys (HOT_KEYS rows at most, whatever the input) is broadcast, so that none of them fills one task."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(by_key.join(F.broadcast(counts.filter(F.col("n") > total / HOT_KEYS).select(key)), key, "left_semi"))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(by_key, key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The rows of batches in runs of about SLICE bytes of that column, or one row that is longer."""
     for whole in batches:
