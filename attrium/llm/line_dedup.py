@@ -6,8 +6,9 @@ The index keeps three tables in the shared folder:
   filters   shard, buckets, n, slots  a cuckoo filter for each shard, of the keys in min_docs documents or more
 insert() and delete() turn an index into a new one, and a filter takes single keys in and out as their
 counts cross min_docs, so removing a batch of documents restores the earlier decisions. clean() probes
-the filters where the text is read, so only lines that may be repeated are shuffled; the exact table then
-removes the filter's false positives.
+the filters where the text is read, so only lines that may be repeated are shuffled; filters that are too large
+to send stay where they are, and keys are dealt to their shards and probed there. The exact table then removes
+the filter's false positives.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from .store import stored
 
 SLOTS = 4  # of a bucket
 KICKS = 500
+SALTS = 8
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:
@@ -150,7 +152,7 @@ def counted_keys(text: str | None, min_chars: int) -> set[tuple[int, int]]:
 @dataclass(frozen=True)
 class LineIndex:
     """min_chars: shorter keys are never counted. broadcast_bytes: larger filters are not sent to the
-    tasks that read texts; then every line goes to the exact join, with the same result."""
+    tasks that read texts; then keys go to the shards, with the same result."""
 
     spark: SparkSession
     min_chars: int = 20
@@ -193,8 +195,9 @@ class LineIndex:
     def _moved(self, postings: DataFrame, refs: DataFrame) -> LineIndex:
         """The index with these exact tables and filters that follow them."""
         often = refs.filter(F.col("n_docs") >= self.min_docs)
-        if self.filters is None:
-            shards = max(1, -(-often.count() // self.keys_per_shard))
+        n = often.count()
+        if self.filters is None or n > 4 * self.shards * self.keys_per_shard:
+            shards = max(1, -(-n // self.keys_per_shard))
             filters = stored(self._filtered(often.select("a", self._shard(shards))), "filters")
             return replace(self, postings=postings, refs=refs, filters=filters, shards=shards)
         was = self.refs.filter(F.col("n_docs") >= self.min_docs)
@@ -209,9 +212,12 @@ class LineIndex:
         return replace(self, postings=postings, refs=refs, filters=filters)
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineIndex:
-        """Adds documents that the index doesn't hold yet. Rows that repeat a doc_id count as one document
-        with the lines of all; rows without doc_id are left out; a null text is one empty line."""
-        new = stored(self._postings(docs, id_col, text_col), "postings")
+        """Adds documents. Rows that repeat a doc_id, also one that the index holds, count as one document with
+        the lines of all; rows without doc_id are left out; a null text is one empty line."""
+        new = self._postings(docs, id_col, text_col)
+        if self.postings is not None:
+            new = new.join(self.postings, ["a", "b", "doc_id"], "left_anti")
+        new = stored(new, "postings")
         counts = new.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
         if self.refs is None:
             return self._moved(new, stored(counts, "refs"))
@@ -219,10 +225,13 @@ class LineIndex:
         return self._moved(self.postings.unionByName(new), stored(refs, "refs"))
 
     def delete(self, doc_ids: DataFrame, id_col: str = "doc_id") -> LineIndex:
-        """Takes documents out; ids that the index doesn't hold change nothing."""
+        """Takes documents out; ids that the index doesn't hold change nothing. Only the keys of these documents
+        are counted again."""
         gone = doc_ids.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
         left = stored(self.postings.join(gone, "doc_id", "left_anti").select("a", "b", "doc_id"), "postings")
-        return self._moved(left, stored(left.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")), "refs"))
+        touched = stored(self.postings.join(gone, "doc_id", "left_semi").select("a", "b").distinct(), "touched")
+        counts = left.join(touched, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        return self._moved(left, stored(self.refs.join(touched, ["a", "b"], "left_anti").unionByName(counts), "refs"))
 
     def _probe(self):
         """A function of an array of keys: which may be repeated. None: the filters are too large to send."""
@@ -241,10 +250,35 @@ class LineIndex:
 
         return probe
 
+    def _at_shards(self, keys: DataFrame) -> DataFrame:
+        """keys that the filter of their shard may hold. A shard is met in SALTS parts, each of which begins with
+        its filter and streams its keys; a key that very many documents hold is so dealt out."""
+        none = {c: F.lit(None).cast(t) for c, t in (("buckets", "long"), ("n", "long"), ("slots", "binary"))}
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+        rows = keys.select(self._shard(self.shards), salt.alias("salt"), *keys.columns, *[v.alias(c) for c, v in none.items()])
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *[F.lit(0).cast("long").alias(c) for c in keys.columns], "buckets", "n", "slots")
+
+        def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, at = None, (-1, -1)
+            for b in batches:
+                for place, part in b.groupby(["shard", "salt"], sort=False):
+                    if place != at:
+                        first = part.iloc[0]
+                        at, now = place, CuckooFilter(int(first["buckets"]), first["slots"], int(first["n"])) if first["slots"] is not None else None
+                    part = part[part["slots"].isna()]
+                    if now is not None and len(part):
+                        yield part[now.contains(part["a"].to_numpy(np.int64))][["a", "b", "doc_id"]]
+
+        dealt = filters.unionByName(rows).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("slots").isNull())
+        return dealt.mapInPandas(probed, KEY_SCHEMA)
+
     def repeated(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id and its keys (gone: array of a, b) whose lines it loses."""
         docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-        held = docs.mapInPandas(self._keyed(self._probe()), KEY_SCHEMA)
+        probe = self._probe()
+        held = docs.mapInPandas(self._keyed(probe), KEY_SCHEMA)
+        if probe is None:
+            held = self._at_shards(held)
         often = self.refs.filter(F.col("n_docs") >= self.min_docs).select("a", "b", "last_doc")
         lost = held.join(often, ["a", "b"]).filter("doc_id != last_doc")
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
