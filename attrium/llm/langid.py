@@ -19,7 +19,8 @@ from .store import append_columns, stored
 
 DIM = 1 << 16  # trigram buckets
 SMOOTH = 0.05  # added to each bucket's count
-STEPS = 12  # of expectation-maximisation
+NEAR = 0.1  # log likelihood that expectation-maximisation may lie below the greatest when it ends
+LANGUAGES = 400  # of a model at most: 100 MB
 PENALTY = 0.02  # log likelihood a trigram that each further language must gain, beside half the log of their number
 
 
@@ -71,9 +72,12 @@ def train(labelled: DataFrame, docs_per_lang: int = 10_000) -> tuple[list[str],
     """labelled: doc_id, text, lang. Languages, sorted, and their bucket probabilities.
 
     Learns from about docs_per_lang texts of each language (that is the bound on the sample, drawn by a
-    hash of doc_id), all of them if there are fewer. The model is one vector of 256 KB for each language."""
+    hash of doc_id), all of them if there are fewer. The model is one vector of 256 KB for each language; more
+    than LANGUAGES of them raise an error."""
     labelled = labelled.filter("lang is not null and doc_id is not null")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages: the values of lang can't be languages")
     if not sizes:
         return [], np.zeros((0, DIM))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, docs_per_lang / n))])
@@ -84,33 +88,49 @@ def train(labelled: DataFrame, docs_per_lang: int = 10_000) -> tuple[list[str],
 
 
 def _em(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions of the languages in p (one row each), and the log likelihood."""
+    """Proportions of the languages in p (one row each), and the log likelihood. It ends when no mixture of
+    these languages is more than NEAR better: the likelihood is concave, so its steepest slope bounds that."""
     w = np.full(len(p), 1 / len(p))
     total = n.sum()
-    for _ in range(STEPS):
+    while True:
         mixed = w @ p
-        w = w * (p @ (n / mixed)) / total
-    return w, float(n @ np.log(w @ p))
+        slope = p @ (n / mixed)
+        if slope.max() - total <= NEAR:
+            return w, float(n @ np.log(mixed))
+        w = w * slope / total
 
 
 def mixture(counts: np.ndarray, at: np.ndarray, p: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """counts of the buckets at. Proportions over all languages; the selected set, largest proportion
-    first (ties: the earlier language), and its proportions."""
+    first (ties: the earlier language), and its proportions.
+
+    The set has the greatest likelihood less the penalty. It grows from the best language by additions; then
+    languages are dropped or exchanged as long as that gains. No set is tried that cannot gain: a mixture of k
+    languages is at best as likely as that of all."""
     own, part, n = logp[:, at] @ counts, p[:, at], counts.sum()
-    every, _ = _em(part, counts)
-    best, least = int(np.argmax(own)), PENALTY * n + 0.5 * np.log(n)
-    chosen, proportions, top = [best], np.ones(1), own[best]
-    slope = part @ (counts / part[best])
-    for k in np.argsort(-every, kind="stable").tolist():
-        # log likelihood is concave in the proportions, so that no mixture of these gains more than the steepest slope
-        if k == best or max(slope[k], slope[chosen].max()) - n <= least:
-            continue
-        w, ll = _em(part[[*chosen, k]], counts)
-        if ll - top > least:
-            chosen, proportions, top = [*chosen, k], w, ll
-            slope = part @ (counts / (w @ part[chosen]))
-    by = np.argsort(-proportions, kind="stable")
-    return every, np.array(chosen)[by], proportions[by]
+    every, top = _em(part, counts)
+    least = PENALTY * n + 0.5 * np.log(n)
+    known: dict[tuple[int, ...], tuple[np.ndarray, float]] = {}
+
+    def value(chosen: tuple[int, ...]) -> float:
+        if chosen not in known:
+            known[chosen] = (np.ones(1), float(own[chosen[0]])) if len(chosen) == 1 else _em(part[list(chosen)], counts)
+        return known[chosen][1] - least * len(chosen)
+
+    best = (int(np.argmax(own)),)
+    gained = top + NEAR - 2 * least > value(best)
+    while gained:
+        gained, rest = False, [k for k in np.argsort(-every, kind="stable").tolist() if k not in best]
+        others = [tuple(sorted((*best, k))) for k in rest] if top + NEAR - least * (len(best) + 1) > value(best) else []
+        others += [tuple(x for x in best if x != out) for out in best if len(best) > 1]
+        others += [tuple(sorted({*best, k} - {out})) for k in rest for out in best] if top + NEAR - least * len(best) > value(best) else []
+        for chosen in others:
+            if value(chosen) > value(best):
+                best, gained = chosen, True
+                break
+    w = known[best][0]
+    by = np.argsort(-w, kind="stable")
+    return every, np.array(best)[by], w[by]
 
 
 FIELDS = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("proportions", pa.list_(pa.float64()))])
