@@ -39,22 +39,33 @@ def targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return shares.crossJoin(F.broadcast(total)).select(dim, (F.pow("had", F.lit(power)) / F.col("powers") * F.col("all")).alias("target"))  # total: one row
 
 
-def rake(cells: DataFrame, wanted: dict[str, DataFrame], rounds: int = 12) -> DataFrame:
+def rake(cells: DataFrame, wanted: dict[str, DataFrame], near: float = 1e-12, rounds: int = 40) -> DataFrame:
     """cells: the dimensions and tokens, one row each. Adds ratio: fitted tokens over own tokens.
 
     The fitted table is tokens x one factor for each value of each dimension; a round sets the factors of
-    one dimension after the other so that its marginal is met. Only the cells and the factors are handled,
-    in sums and joins; every step is written, so that plans stay short."""
+    one dimension after the other so that its marginal is met, until no factor changes by more than `near` of
+    itself. Targets that empty cells leave out of reach never settle: then it ends when a round changes no less
+    than nine tenths of what the one before did, or after `rounds`, and the last dimension's marginal is the one
+    that is met. Only the cells and the factors are handled, in sums and joins;
+    every step is written, so that plans stay short."""
     dims = list(wanted)
     factors = {d: wanted[d].select(d, F.lit(1.0).alias(f"f_{d}")) for d in dims}
+    was = float("inf")
     for _ in range(rounds):
+        off = 0.0
         for d in dims:
             now, w = cells, F.col("tokens").cast("double")
             for o in dims:
                 if o != d:
                     now, w = now.join(factors[o], o), w * F.col(f"f_{o}")
-            had = now.groupBy(d).agg(F.sum(w).alias("had"))
-            factors[d] = stored(wanted[d].join(had, d).select(d, F.when(F.col("had") > 0, F.col("target") / F.col("had")).otherwise(1.0).alias(f"f_{d}")), f"factors-{d}")
+            had = now.groupBy(d).agg(F.sum(w).alias("had")).join(factors[d], d)
+            new = wanted[d].join(had, d).select(d, F.when(F.col("had") > 0, F.col("target") / F.col("had")).otherwise(1.0).alias(f"f_{d}"), F.col(f"f_{d}").alias("before"))
+            new = stored(new, f"factors-{d}")
+            off = max(off, new.agg(F.max(F.abs(F.col(f"f_{d}") / F.col("before") - 1))).first()[0] or 0.0)
+            factors[d] = new.drop("before")
+        if off <= near or off > 0.9 * was:
+            break
+        was = off
     out, ratio = cells, F.lit(1.0)
     for d in dims:
         out, ratio = out.join(factors[d], d), ratio * F.col(f"f_{d}")
@@ -66,22 +77,50 @@ def chance(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, topic: Column, share: float = 0.8, powers: dict[str, float] | None = None, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """One row for each row of docs: doc_id, source, lang, topic, tokens, ratio, probability, weight, kept.
+def with_cells(docs: DataFrame, topic: Column, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """docs and _cell: struct of source, lang, topic and tokens."""
+    name = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
+    return docs.withColumn("_cell", F.struct(name(F.col(source_col)).alias("source"), name(F.col(lang_col)).alias("lang"), name(topic).alias("topic"), tokens(F.col(text_col)).alias("tokens")))
+
+
+def calibrated(rows: DataFrame, powers: dict[str, float] | None = None) -> DataFrame:
+    """rows: source, lang, topic, tokens. The cells and the ratio that a token of each shall count (see mix)."""
+    powers = powers or POWERS
+    cells = stored(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "marginals")
+    fitted = rake(cells, {d: stored(targets(cells, d, powers[d]), f"targets-{d}") for d in DIMS})
+    return stored(fitted.select(*DIMS, F.when(F.col("tokens") > 0, F.col("ratio")).otherwise(1.0).alias("ratio")), "ratios")
+
+
+def copies(ratio: Column, share: float, doc_id: Column) -> Column:
+    """How often a document is drawn: share x ratio in expectation, also where that is over 1."""
+    x = ratio * share
+    return (F.floor(x) + F.when(chance(doc_id) < x - F.floor(x), 1).otherwise(0)).cast("long")
+
+
+SENT = 100_000  # cells (about 60 bytes each) that are broadcast; more are joined
+
+
+def resample(docs: DataFrame, topic: Column, share: float = 0.8, powers: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, each as often as it is drawn: tokens have the target marginals in expectation, with no
+    weights left to carry. Texts aren't shuffled: what is joined to them are the ratios of their cells."""
+    rows = with_cells(docs, topic, text_col, source_col, lang_col)
+    ratios = calibrated(stored(rows.select("_cell.*"), "rows"), powers).select(F.struct(*DIMS).alias("_key"), F.col("ratio").alias("_ratio"))
+    ratios = F.broadcast(ratios) if ratios.count() <= SENT else ratios
+    drawn = rows.join(ratios, F.struct(*[F.col(f"_cell.{d}").alias(d) for d in DIMS]) == F.col("_key"))
+    drawn = drawn.withColumn("_copies", copies(F.col("_ratio"), share, F.col(id_col))).filter("_copies > 0")
+    return drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).drop("_copy")
+
+
+def mix(docs: DataFrame, topic: Column, share: float = 0.8, powers: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """One row for each row of docs: doc_id, source, lang, topic, tokens, ratio, probability, weight, kept, copies.
 
     Token weights are raked to the targets of source, language and topic (see POWERS). ratio is what a
     token of the document's cell shall count; a document is kept with probability min(1, share x ratio),
     and a kept one counts weight times, so weighted tokens have the target marginals in expectation, at
-    share of the volume. A null source, language or topic is a value of its own, `(none)`. Documents
-    without a word have ratio 1 if their cell has no token at all. Repeated rows count each, and are kept
-    or dropped together."""
-    powers = powers or POWERS
-    name = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), name(F.col(source_col)).alias("source"), name(F.col(lang_col)).alias("lang"), name(topic).alias("topic"), tokens(F.col(text_col)).alias("tokens"))
-    rows = stored(rows, "rows")
-    cells = stored(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "marginals")
-    fitted = rake(cells, {d: stored(targets(cells, d, powers[d]), f"targets-{d}") for d in DIMS}, rounds)
-    ratios = fitted.select(*DIMS, F.when(F.col("tokens") > 0, F.col("ratio")).otherwise(1.0).alias("ratio"))
+    share of the volume; copies draws whole documents instead of weights. A null source, language or topic is a
+    value of its own, `(none)`. Documents without a word have ratio 1 if their cell has no token at all.
+    Repeated rows count each, and are kept or dropped together."""
+    rows = stored(with_cells(docs, topic, text_col, source_col, lang_col).select(F.col(id_col).cast("long").alias("doc_id"), "_cell.*"), "rows")
     p = F.least(F.lit(1.0), F.col("ratio") * share)
-    found = rows.join(stored(ratios, "ratios"), list(DIMS)).withColumn("probability", p)
-    return found.select("doc_id", *DIMS, "tokens", "ratio", "probability", (F.col("ratio") * share / F.col("probability")).alias("weight"), (chance(F.col("doc_id")) < F.col("probability")).alias("kept"))
+    found = rows.join(calibrated(rows, powers), list(DIMS)).withColumn("probability", p)
+    return found.select("doc_id", *DIMS, "tokens", "ratio", "probability", (F.col("ratio") * share / F.col("probability")).alias("weight"), (chance(F.col("doc_id")) < F.col("probability")).alias("kept"), copies(F.col("ratio"), share, F.col("doc_id")).alias("copies"))

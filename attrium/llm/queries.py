@@ -86,7 +86,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its raked ratio, probability, weight and whether it is kept."""
+    """Every document with its raked ratio, probability, weight, whether it is kept, and copies."""
     found = mix(_table(spark, sf_dir, "documents"), form(F.col("text")))
     return found.withColumns({c: F.round(c, 9) for c in ("ratio", "probability", "weight")})
 
@@ -126,7 +126,8 @@ drawn AS (
   SELECT d.*, ratio, least(1.0, ratio * {share}) AS p, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u
   FROM docs d JOIN fitted USING (source, lang, topic)
 )
-SELECT doc_id, source, lang, topic, tokens, round(ratio, 9) AS ratio, round(p, 9) AS probability, round(ratio * {share} / p, 9) AS weight, u < p AS kept FROM drawn
+SELECT doc_id, source, lang, topic, tokens, round(ratio, 9) AS ratio, round(p, 9) AS probability, round(ratio * {share} / p, 9) AS weight, u < p AS kept,
+  CAST(floor(ratio * {share}) + CASE WHEN u < ratio * {share} - floor(ratio * {share}) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM drawn
 """
 
 
