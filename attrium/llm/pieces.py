@@ -6,6 +6,11 @@ what follows) whose best paths add up. In a unit, forward Viterbi scores are the
 backward search, so A-star reaches segmentations best first. The runner-up of a unit is known from the
 Viterbi pass alone, so for the N best of a text the search is run only in the N - 1 units whose runners-up
 are closest: whatever changes another unit is no better than N - 1 changes of one of these.
+
+The lattice is scored by what the model's file gives for each piece, and texts are taken as they are. So ids
+differ from those of the model's own program in two ways: its normaliser (which may fold characters and
+spaces) isn't applied, and where the file is a BPE model, whose scores are ranks of merges, the segmentation
+of the best total score is taken instead of the one that the merges lead to.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from operator import itemgetter
 
 import numpy as np
@@ -249,17 +255,14 @@ class Lattice:
         order is that of the search and the same in every run."""
         ((units, found),) = self.encode([text])
         score, out = sum(map(_SCORE, found)), []
-        for loss, changes in self._changes(list(map(_GAP, found)), units, n):
+        for loss, changes in self.changes(list(map(_GAP, found)), units, n):
             ids: list[int] = []
             for k, (best, _, _) in enumerate(found):
                 ids += changes.get(k) or list(array("i", best))
             out.append((score - loss, ids))
         return out
 
-    def scores(self, score: float, gaps: list[float], units: list[str], n: int) -> list[float]:
-        return [score - loss for loss, _ in self._changes(gaps, units, n)]
-
-    def _changes(self, gaps: list[float], units: list[str], n: int) -> list[tuple[float, dict[int, list[int]]]]:
+    def changes(self, gaps: list[float], units: list[str], n: int) -> list[tuple[float, dict[int, list[int]]]]:
         """How much each of the n best loses, and the units in which it differs from the best."""
         found: list[tuple[float, dict]] = [(0.0, {})]
         at = np.argsort(np.array(gaps), kind="stable")[: n - 1].tolist() if len(gaps) < 64 else self._closest(gaps, n - 1)
@@ -310,36 +313,78 @@ def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield part
 
 
-FIELDS = pa.schema([("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("score", pa.float64()), ("n_best_scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
+CHANGE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])
+FIELDS = pa.schema(
+    [("ids", pa.list_(pa.int32())), ("n_pieces", pa.int64()), ("score", pa.float64())]
+    + [("n_best", pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(CHANGE))]))), ("round_trip", pa.bool_())]
+)
+
+
+class _NBest:
+    """The column n_best, built flat: only what each segmentation changes in the best one."""
+
+    def __init__(self) -> None:
+        self.scores, self.changes, self.starts, self.ends = [], [0], [], []
+        self.rows, self.ids, self.id_ends = [0], [], [0]
+
+    def add(self, score: float, found: list[tuple[bytes, float, float]], ways: list[tuple[float, dict[int, list[int]]]]) -> None:
+        at = None
+        for loss, changes in ways:
+            for k in sorted(changes):
+                if at is None:
+                    at = [0, *accumulate(len(ids) >> 2 for ids, _, _ in found)]
+                self.starts.append(at[k])
+                self.ends.append(at[k + 1])
+                self.ids += changes[k]
+                self.id_ends.append(len(self.ids))
+            self.scores.append(score - loss)
+            self.changes.append(len(self.starts))
+        self.rows.append(len(self.scores))
+
+    def column(self) -> pa.Array:
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        numbers = lambda x: pa.array(x, pa.int32())
+        changes = pa.StructArray.from_arrays([numbers(self.starts), numbers(self.ends), lists(self.id_ends, numbers(self.ids))], fields=list(CHANGE))
+        return lists(self.rows, pa.StructArray.from_arrays([pa.array(self.scores, pa.float64()), lists(self.changes, changes)], fields=list(FIELDS.field("n_best").type.value_type)))
 
 
 def encode_pieces(docs: DataFrame, model_path: str, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and, for its whole text: ids of the best segmentation, n_pieces, score, the scores of the n
-    best, and whether decoding the ids gives the text back.
+    """doc_id and, for its whole text: ids of the best segmentation, n_pieces, score, n_best, and whether
+    decoding the ids gives the text back.
 
-    A null or empty text has no pieces and score 0. Repeated rows and null ids stay as they are. The
+    n_best has the n best segmentations (all, if fewer), best first: score, and changes, which put ids in the
+    place of those from start to end (not included) of the best; segmentations() writes them out. A null or
+    empty text has no pieces and one segmentation, of score 0. Repeated rows and null ids stay as they are. The
     vocabulary (its size is fixed by the model) is read on the driver and sent to the tasks."""
     sent = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
 
     def each(texts: list) -> list:
         lattice = _lattice(model_path, sent)
-        flat, ends, n_pieces, best, others, same = [], [0], [], [], [], []
+        flat, ends, n_pieces, best, others, same = [], [0], [], [], _NBest(), []
         for part in groups(texts):
             for text, (units, found) in zip(part, lattice.encode(part), strict=True):
-                ids, score = b"".join(map(_IDS, found)), sum(map(_SCORE, found))
+                ids, score = b"".join(map(_IDS, found)), float(sum(map(_SCORE, found)))
                 flat.append(ids)
                 n_pieces.append(len(ids) // 4)
                 ends.append(ends[-1] + n_pieces[-1])
-                best.append(float(score))
-                others.append(lattice.scores(score, list(map(_GAP, found)), units, n))
+                best.append(score)
+                others.add(score, found, lattice.changes(list(map(_GAP, found)), units, n))
                 same.append(lattice.decode(np.frombuffer(ids, np.int32).tolist()) == (text or ""))
         lists = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(b"".join(flat), np.int32)))
-        return [lists, n_pieces, best, others, same]
+        return [lists, n_pieces, best, others.column(), same]
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     return append_columns(docs, F.col("_text"), each, FIELDS).drop("_text")
 
 
+def segmentations(encoded: DataFrame) -> DataFrame:
+    """doc_id, rank (from 1), score, ids: the n best segmentations written out, one row each."""
+    each = encoded.select("doc_id", F.col("ids").alias("_best"), F.posexplode("n_best").alias("_at", "_way"))
+    # later changes first, so that the places of the earlier ones hold
+    put = lambda ids, c: F.concat(F.slice(ids, F.lit(1), c["start"]), c["ids"], F.slice(ids, c["end"] + 1, F.greatest(F.size(ids) - c["end"], F.lit(0))))
+    return each.select("doc_id", (F.col("_at") + 1).alias("rank"), F.col("_way.score").alias("score"), F.aggregate(F.reverse("_way.changes"), F.col("_best"), put).alias("ids"))
+
+
 def decode_pieces(pieces: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text of rows of ids; null ids are no text ('')."""
     sent = pieces.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))

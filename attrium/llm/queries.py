@@ -165,7 +165,7 @@ def model_path() -> str:
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces, score, n_best_scores, round_trip."""
+    """doc_id, ids, n_pieces, score, n_best (scores and changes), round_trip."""
     return encode_pieces(_table(spark, sf_dir, "documents"), model_path())
 
 

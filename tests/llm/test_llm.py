@@ -391,6 +391,11 @@ def test_pieces(spark, edges):
     assert [len(g) for g in pieces.groups(["a" * pieces.TOGETHER, None, "b"] * 2)] == [2, 1, 2, 1]
     out = pieces.encode_pieces(edges, queries.model_path()).collect()
     assert len(out) == len(EDGES) and all(r["round_trip"] for r in out)
+    texts = [(i, t) for i, t in enumerate(["the internationalisation of it all", "ab c", "x", "", None, "▁ a▁▁b 汉字", "aaa bbb aaa bbb"])]
+    found = pieces.segmentations(pieces.encode_pieces(spark.createDataFrame(texts, "doc_id long, text string"), queries.model_path(), 6)).orderBy("doc_id", "rank").collect()
+    want = [(i, k + 1, ids) for i, t in texts for k, (_, ids) in enumerate(lattice.n_best(t, 6))]
+    assert [(r["doc_id"], r["rank"], r["ids"]) for r in found] == want and len(want) > 20
+    assert [r["score"] for r in found] == pytest.approx([s for _, t in texts for s, _ in lattice.n_best(t, 6)])
     back = pieces.decode_pieces(pieces.encode_pieces(edges, queries.model_path()), queries.model_path()).collect()
     assert sorted(r["text"] for r in back) == sorted(t or "" for _, t, *_ in EDGES)
 
