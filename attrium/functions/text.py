@@ -88,32 +88,45 @@ def can_keep_description(c: Column) -> Column:
     return F.coalesce((c != "") & (c == nfkc(c)) & (F.size(forbidden_characters(c)) == 0), F.lit(False))
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def classify_risk(c: Column, conflict: Column | None = None) -> Column:
     """Struct of codes (in the order of RISKS), level, requires_generation, requires_review.
 
-    A null description counts as empty. conflict: whether a terminology conflict is known."""
-    text = nfkc(F.coalesce(c, F.lit("")))
-    blank = trim_all(text) == ""
-    tests = {
-        "empty_description": blank,
-        "unicode_normalization": text != F.coalesce(c, F.lit("")),
-        "whitespace": F.rlike(text, F.lit(r"(?U)\s")) & ~blank,
-        "slash_ambiguity": F.contains(text, F.lit("/")),
-        "special_symbol": F.size(F.filter(symbols_in(text), lambda x: x != "/")) > 0,
-        "english_translation_required": F.size(invalid_english_tokens(text)) > 0,
-        "numeric_sensitive": F.rlike(text, F.lit("[0-9]")),
-        "terminology_conflict": F.coalesce(conflict, F.lit(False)) if conflict is not None else F.lit(False),
-        "unsupported_character": F.rlike(F.regexp_replace(text, rf"[A-Za-z0-9]|[{HANGUL}]|(?U:\s)|[\p{{P}}\p{{S}}]", ""), F.lit("(?s).")),
-    }
-    codes = F.filter(F.array(*[F.when(tests[k], F.lit(k)) for k in RISKS]), lambda x: x.isNotNull())
-    level = (
-        F.when(tests["empty_description"], "critical")
-        .when(tests["slash_ambiguity"] | tests["english_translation_required"], "high")
-        .when(F.size(codes) > 0, "medium")
-        .otherwise("low")
-    )
-    has = lambda some: F.arrays_overlap(codes, F.array(*map(F.lit, some)))
-    return F.struct(codes.alias("codes"), level.alias("level"), has(GENERATION).alias("requires_generation"), has(REVIEW).alias("requires_review"))
+    A null description counts as empty. conflict: whether a terminology conflict is known. The normal form is
+    made once, and the codes once from it."""
+    raw = F.coalesce(c, F.lit(""))
+    known = F.coalesce(conflict, F.lit(False)) if conflict is not None else F.lit(False)
+
+    def codes(x: Column) -> Column:
+        text = x["text"]
+        tests = {
+            "empty_description": text == "",
+            "unicode_normalization": text != x["raw"],
+            "whitespace": F.rlike(text, F.lit(r"(?U)[\s\x{1C}-\x{1F}]")),
+            "slash_ambiguity": F.contains(text, F.lit("/")),
+            "special_symbol": F.rlike(text, F.lit(r"[\p{P}\p{S}]")),
+            "english_translation_required": F.size(invalid_english_tokens(text)) > 0,
+            "numeric_sensitive": F.rlike(text, F.lit("[0-9]")),
+            "terminology_conflict": x["known"],
+            "unsupported_character": F.rlike(text, F.lit(rf"(?U)[^A-Za-z0-9{HANGUL}\s\x{{1C}}-\x{{1F}}\p{{P}}\p{{S}}]")),
+        }
+        return F.filter(F.array(*[F.when(tests[k], F.lit(k)) for k in RISKS]), lambda k: k.isNotNull())
+
+    def judged(found: Column) -> Column:
+        has = lambda some: F.arrays_overlap(found, F.array(*map(F.lit, some)))
+        level = (
+            F.when(F.array_contains(found, "empty_description"), "critical")
+            .when(has(("slash_ambiguity", "english_translation_required")), "high")
+            .when(F.size(found) > 0, "medium")
+            .otherwise("low")
+        )
+        return F.struct(found.alias("codes"), level.alias("level"), has(GENERATION).alias("requires_generation"), has(REVIEW).alias("requires_review"))
+
+    return let(let(F.struct(nfkc(raw).alias("text"), raw.alias("raw"), known.alias("known")), codes), judged)
 
 
 def join_full_name(parts: Column) -> Column:

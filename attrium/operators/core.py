@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,6 +10,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as X
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut at the folder in spark.checkpoint.dir. Where that is unset, a temporary one on a
+    local master (tests); on a cluster, where executors would not see it, an error."""
+    sc = df.sparkSession.sparkContext
+    found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if found or not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def keyed(df: DataFrame, mode: str) -> DataFrame:
     """Adds the deduplication key. mapping: name and description without white space; context: name, table,
     its description and data type; comment: normalised name and description."""
@@ -71,8 +84,13 @@ def issue(df: DataFrame, code: str, severity: str = "error", details: Column | N
     return df.select("source_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), (details if details is not None else F.lit(None)).cast("string").alias("details"))
 
 
-def issue_stats(issues: DataFrame) -> DataFrame:
-    return issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_distinct("source_id").alias("affected"))
+def issue_stats(issues: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Errors, warnings and affected sources; with results also covered sources and rows that repeat another."""
+    out = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_distinct("source_id").alias("affected"))
+    if results is None:
+        return out
+    each = results.groupBy(*results.columns).agg(F.count("*").alias("n"))
+    return out.crossJoin(each.agg(F.count_distinct("source_id").alias("covered"), F.coalesce(F.sum("n") - F.count("*"), F.lit(0)).alias("duplicates")))  # one row a side
 
 
 def issue_code_counts(issues: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
-from .core import consistency, dedup_sources, fan_out, issue, missing, union_issues
+from .core import consistency, cut, dedup_sources, fan_out, issue, missing, union_issues
 
 KEY = ["abbreviation", "full_name", "korean_word"]
 #: Names at the end of which the last abbreviation scores higher.
@@ -43,13 +43,15 @@ def aggregate_dictionary(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(*KEY).agg(F.count_distinct("source_id").alias("occurrence_count"))
 
 
-def mine_dictionary(sources: DataFrame, candidates: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """Proposals of representatives to a counted dictionary: fan out, unify, drop failing rows, count."""
+def mine_dictionary(sources: DataFrame, candidates: DataFrame, dictionary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Proposals of representatives to a counted dictionary, and the failed rows: fan out, unify, check, take
+    what the checks recommend, check again, part, count. Proposals for unknown ids are left out."""
     aliases = dedup_sources(sources, "mapping")
-    own = fan_out(candidates, aliases)
-    unified = reconcile_full_name(own, dictionary).drop("cause")
-    good = partition_failed(unified, mapping_issues(sources, unified))[1]
-    return aggregate_dictionary(good)
+    own = fan_out(missing(candidates, missing(candidates, sources)), aliases)
+    unified = cut(reconcile_full_name(own, dictionary).drop("cause"))
+    corrected = cut(recommended_corrections(unified, mapping_issues(sources, unified, dictionary)))
+    failed, good = partition_failed(sources, corrected, mapping_issues(sources, corrected, dictionary))
+    return aggregate_dictionary(good), failed
 
 
 def dictionary_index(df: DataFrame) -> DataFrame:
@@ -69,13 +71,16 @@ def dictionary_profile(df: DataFrame) -> DataFrame:
 
 def resolve_sense(fragments: DataFrame, dictionary: DataFrame) -> DataFrame:
     """fragments: fragment, table_name, table_description. The best sense of each, with its context score
-    (log count, +8 if the table's description holds the Korean word, +2 if its name shares a token), and
+    (log count, +8 if the table's description holds the Korean word, both without spaces and the like, +2 if its
+    name and the full name share a part of A-Z and 0-9), and
     whether it is ambiguous: tied here, or of several meanings anywhere."""
     d = dictionary.dropDuplicates([*KEY, "occurrence_count"])
     many = d.groupBy("abbreviation").agg((F.count_distinct("korean_word", "full_name") > 1).alias("many"))
     rows = fragments.distinct().join(d, F.col("fragment") == F.col("abbreviation")).drop("fragment")
-    in_text = F.coalesce(F.contains("table_description", "korean_word"), F.lit(False))
-    shared = F.coalesce(F.arrays_overlap(F.split("full_name", " "), F.split(F.upper("table_name"), "[^A-Z0-9]+")), F.lit(False))
+    word = X.normalize_korean_key(F.col("korean_word"))
+    in_text = F.coalesce((word != "") & F.contains(X.normalize_korean_key(F.col("table_description")), word), F.lit(False))
+    parts = lambda c: F.filter(F.split(c, "[^A-Z0-9]+"), lambda x: x != "")
+    shared = F.coalesce(F.arrays_overlap(parts(F.col("full_name")), parts(F.upper("table_name"))), F.lit(False))
     score = F.bround(F.log1p(F.col("occurrence_count").cast("double")) + 8 * in_text.cast("int") + 2 * shared.cast("int"), 6)
     rows = rows.withColumn("score", score)
     by = Window.partitionBy("abbreviation", "table_name", "table_description")
@@ -86,18 +91,21 @@ def resolve_sense(fragments: DataFrame, dictionary: DataFrame) -> DataFrame:
 def segment_names(names: DataFrame, dictionary: DataFrame, k: int = 8) -> DataFrame:
     """names: column_name, table_name, table_description. The k best segmentations of each distinct name.
 
-    Substrings of distinct tokens meet the dictionary in an equi-join, senses are resolved once for each
-    (fragment, table), and each (token, table) then has its lattice of edges in one row; a small search
-    over that row gives its k best, and tokens of a name are combined. Columns: the inputs, rank, covered
-    (characters in dictionary or digit pieces), score, fragments, full_names, korean_words, origins, ambiguity."""
+    Substrings of distinct tokens, no longer than the longest abbreviation, meet the dictionary in an
+    equi-join; senses are resolved once for each (fragment, table). Each (token, table) then has its lattice of
+    edges in one row; a small search gives the k best ways through each distinct lattice, and tokens of a name
+    are combined, each distinct list of ways once. Null names and tables count as empty; a name without A-Z0-9
+    has no row. Columns: the inputs, rank, covered (characters in dictionary or digit pieces), score,
+    fragments, full_names, korean_words, origins, ambiguity."""
     key = ["column_name", "table_name", "table_description"]
-    rows = names.select(*key).distinct()
+    rows = names.select(*[F.coalesce(c, F.lit("")).alias(c) for c in key]).distinct()
     tokens = rows.select(*key, F.posexplode(F.regexp_extract_all(F.upper("column_name"), F.lit("[A-Z0-9]+"), 0)).alias("pos", "token"))
     each = tokens.select("token", "table_name", "table_description").distinct()
     n = F.length("token")
-    starts = each.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    parts = starts.select("*", F.explode(F.sequence(F.col("start") + 1, n)).alias("end")).withColumn("fragment", F.expr("substring(token, start + 1, end - start)"))
-    parts = parts.filter((F.length("fragment") > 1) | (n == 1))
+    longest = F.broadcast(dictionary.agg(F.coalesce(F.max(F.length("abbreviation")), F.lit(1)).alias("longest")))  # one row
+    starts = each.crossJoin(longest).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    parts = starts.select("*", F.explode(F.sequence(F.col("start") + 1, F.least(n, F.col("start") + F.col("longest")))).alias("end")).withColumn("fragment", F.expr("substring(token, start + 1, end - start)"))
+    parts = parts.filter((F.length("fragment") > 1) | (n == 1)).drop("longest")
     known = dictionary.select(F.col("abbreviation").alias("fragment")).distinct()
     hits = parts.join(known, "fragment", "left_semi")
     senses = resolve_sense(hits.select("fragment", "table_name", "table_description"), dictionary)
@@ -105,13 +113,16 @@ def segment_names(names: DataFrame, dictionary: DataFrame, k: int = 8) -> DataFr
         "token", "table_name", "table_description", F.struct("start", "end", "full_name", "korean_word", F.col("occurrence_count").cast("int").alias("n"), "many").alias("e")
     )
     lattice = each.join(edges.groupBy("token", "table_name", "table_description").agg(F.sort_array(F.collect_list("e")).alias("edges")), ["token", "table_name", "table_description"], "left")
+    lattice = lattice.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<start:int,end:int,full_name:string,korean_word:string,n:int,many:boolean>>")))
     kind = "array<struct<covered:int,score:double,fragments:array<string>,full_names:array<string>,korean_words:array<string>,origins:array<string>,ambiguity:int>>"
 
     best = F.udf(lambda token, edges: _paths(token, edges or [], k), kind, useArrow=True)
     combined = F.udf(lambda parts: _combined(parts, k), kind, useArrow=True)
-    solved = lattice.select("token", "table_name", "table_description", best("token", "edges").alias("paths"))
+    ways = lattice.select("token", "edges").distinct().select("token", "edges", best("token", "edges").alias("paths"))
+    solved = lattice.join(ways, ["token", "edges"]).drop("edges")
     whole = tokens.join(solved, ["token", "table_name", "table_description"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "paths"))), lambda x: x["paths"]).alias("parts"))
-    out = whole.select(*key, F.posexplode(combined("parts")).alias("rank", "p"))
+    names_of = whole.select("parts").distinct().select("parts", combined("parts").alias("found"))
+    out = whole.join(names_of, "parts").select(*key, F.posexplode("found").alias("rank", "p"))
     return out.select(*key, (F.col("rank") + 1).alias("rank"), "p.*")
 
 
@@ -131,14 +142,14 @@ def _paths(token: str, edges: list, k: int, wide: int = 24) -> list[dict]:
         if token[i].isdigit():
             end = next((j for j in range(i, n) if not token[j].isdigit()), n)
             out[i].append((end, 0.5 * (end - i), end - i, (token[i:end], token[i:end], token[i:end], "numeric"), 0))
-        out[i].append((i + 1, -20.0, 0, (token[i], "", "", "inference"), 0))
+        out[i].append((i + 1, -20.0, 0, (token[i], token[i], "", "inference"), 0))
     tails: list[list] = [[] for _ in range(n)] + [[(0, 0.0, (), 0)]]
     for i in range(n - 1, -1, -1):
         best: dict[tuple, tuple] = {}
         for end, s, size, part, amb in out[i]:
             for covered, score, parts, a in tails[end]:
                 merge = part[3] == "inference" and parts and parts[0][3] == "inference"
-                new = ((part[0] + parts[0][0], "", "", "inference"), *parts[1:]) if merge else (part, *parts)
+                new = ((part[0] + parts[0][0], part[0] + parts[0][0], "", "inference"), *parts[1:]) if merge else (part, *parts)
                 now = (covered + size, score + s, new, a + amb)
                 if new not in best or _rank(now) < _rank(best[new]):
                     best[new] = now
@@ -159,98 +170,162 @@ def _combined(parts: list[list], k: int) -> list[dict]:
     return [_struct(p) for p in done]
 
 
+#: Fixed value: what stands for a Korean name that nothing is known of.
+PLACEHOLDER = "미정"
+
+
 def direct_baseline(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Names split at `_` only, the best sense for each token: names and confidence 25, 65 or 80."""
+    """Names split at `_` only, the best sense for each token: names, confidence 25, 65 or 80, stratum. A token
+    that the dictionary lacks stands for itself and has the placeholder; so has a name without a token."""
     key = ["source_id", "column_name", "table_name", "table_description"]
-    tokens = df.select(*key, F.posexplode(F.filter(F.split(F.upper("column_name"), "_"), lambda x: x != "")).alias("pos", "fragment"))
+    rows = df.select("source_id", *[F.coalesce(c, F.lit("")).alias(c) for c in key[1:]])
+    tokens = rows.select(*key, F.posexplode(F.filter(F.split(F.upper("column_name"), "_"), lambda x: x != "")).alias("pos", "fragment"))
     senses = resolve_sense(tokens.select("fragment", "table_name", "table_description"), dictionary)
     found = tokens.join(senses, ["fragment", "table_name", "table_description"], "left")
-    parts = found.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("full_name", "fragment").alias("full"), F.coalesce("korean_word", F.lit("")).alias("korean"), F.coalesce("many", F.lit(False)).alias("many"), F.col("full_name").isNull().alias("open")))).alias("c"))
-    confidence = F.when(F.exists("c", lambda x: x["open"]), 25).when(F.exists("c", lambda x: x["many"]), 65).otherwise(80)
-    return parts.select("source_id", X.join_full_name(F.transform("c", lambda x: x["full"])).alias("english_full_name"), X.join_korean_name(F.transform("c", lambda x: x["korean"])).alias("korean_attribute_name"), confidence.alias("confidence"))
+    part = F.struct("pos", F.coalesce("full_name", "fragment").alias("full"), F.coalesce("korean_word", F.lit(PLACEHOLDER)).alias("korean"), F.coalesce("many", F.lit(False)).alias("many"), F.col("full_name").isNull().alias("open"))
+    parts = rows.select("source_id").join(found.groupBy("source_id").agg(F.array_sort(F.collect_list(part)).alias("c")), "source_id", "left")
+    parts = parts.withColumn("c", F.coalesce("c", F.array().cast("array<struct<pos:int,full:string,korean:string,many:boolean,open:boolean>>")))
+    words = F.filter(F.transform("c", lambda x: F.regexp_replace(x["korean"], r"(?U)[\s_]+", "")), lambda x: x != "")
+    once = F.aggregate(words, F.array().cast("array<string>"), lambda a, x: F.when(F.try_element_at(a, F.lit(-1)).eqNullSafe(x), a).otherwise(F.concat(a, F.array(x))))
+    opened, many = F.exists("c", lambda x: x["open"]), F.exists("c", lambda x: x["many"])
+    name = F.array_join(once, "")
+    return parts.select(
+        "source_id",
+        F.array_join(F.transform("c", lambda x: x["full"]), " ").alias("english_full_name"),
+        F.when(name == "", PLACEHOLDER).otherwise(name).alias("korean_attribute_name"),
+        F.when(opened, 25).when(many, 65).otherwise(80).alias("confidence"),
+        F.when(opened, "unmapped_inference").when(many, "mapping_ambiguity").otherwise("deterministic").alias("review_stratum"),
+    )
+
+
+CONTEXT = ("column_name", "table_name", "table_description", "data_type")
 
 
 def deterministic_results(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """source_id with names, evidence, confidence, coverage and stratum of the best segmentation; each
-    distinct name and table is solved once."""
-    best = segment_names(df, dictionary)
+    """source_id with names, components, evidence, confidence, coverage and stratum of the best segmentation;
+    each distinct name and table is solved once. Null names and tables count as empty; a name that has no
+    segmentation is one component of unknown meaning."""
     key = ["column_name", "table_name", "table_description"]
+    best = segment_names(df, dictionary)
     size = F.length(F.regexp_replace(F.upper("column_name"), "[^A-Z0-9]", ""))
     best = best.withColumns({"coverage": F.col("covered") / size, "open": F.array_contains("origins", "inference")})
+    full = (F.col("coverage") == 1) & ~F.col("open")
     firsts = best.groupBy(*key).agg(
         F.min_by(F.struct("coverage", "open", "ambiguity", "fragments", "full_names", "korean_words", "origins"), "rank").alias("b"),
-        F.count_if((F.col("coverage") == 1) & ~F.col("open")).alias("complete"),
+        F.array_sort(F.collect_list(F.when(full, F.struct("rank", "fragments")))).alias("complete"),  # of at most k
     )
-    b = F.col("b")
-    split_ambiguous = F.col("complete") > 1
-    parts = F.arrays_zip(b["fragments"].alias("fragment"), b["full_names"].alias("full"), b["korean_words"].alias("korean"), b["origins"].alias("origin"))
-    stratum = F.when(b["open"], "unmapped_inference").when(split_ambiguous, "segmentation_ambiguity").when(b["ambiguity"] > 0, "mapping_ambiguity").otherwise("deterministic")
-    named = firsts.select(
-        *key,
-        X.join_full_name(b["full_names"]).alias("english_full_name"),
-        X.join_korean_name(F.transform(parts, lambda x: F.when(x["korean"] == "", F.lit(None)).otherwise(x["korean"]))).alias("korean_attribute_name"),
-        X.evidence_text(parts).alias("evidence"),
-        F.bround(b["coverage"], 6).alias("coverage"),
-        X.confidence_score(b["coverage"], b["open"], b["ambiguity"], F.col("complete"), split_ambiguous).alias("confidence"),
-        stratum.alias("review_stratum"),
+    rows = df.select("source_id", "row_no", *[F.coalesce(c, F.lit("")).alias(c) for c in CONTEXT if c in df.columns])
+    rows = rows.join(firsts, key, "left")
+    b, whole, one = F.col("b"), F.col("column_name"), lambda x: F.array(x)
+    found = F.arrays_zip(b["fragments"].alias("fragment"), b["full_names"].alias("full"), b["korean_words"].alias("korean"), b["origins"].alias("origin"))
+    found = F.when(b.isNull(), F.arrays_zip(one(whole).alias("fragment"), one(whole).alias("full"), one(F.lit("")).alias("korean"), one(F.lit("inference")).alias("origin"))).otherwise(found)
+    said = F.transform(found, lambda x: F.struct(x["fragment"].alias("fragment"), x["full"].alias("full"), F.when((x["origin"] == "inference") & (x["korean"] == ""), PLACEHOLDER).otherwise(x["korean"]).alias("korean"), x["origin"].alias("origin")))
+    rows = rows.withColumn("components", said).withColumns(
+        {"coverage": F.coalesce(b["coverage"], F.lit(0.0)), "open": F.coalesce(b["open"], F.lit(True)), "ambiguity": F.coalesce(b["ambiguity"], F.lit(0)), "complete": F.coalesce("complete", F.array().cast("array<struct<rank:int,fragments:array<string>>>"))}
     )
-    named = named.withColumnsRenamed({c: f"_{c}" for c in key})
-    rows = df.select("source_id", "row_no", *key)
-    return rows.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]).drop(*[f"_{c}" for c in key])
+    n = F.size("complete")
+    split = (n > 1) & (F.try_element_at("complete", F.lit(1))["fragments"] != F.try_element_at("complete", F.lit(2))["fragments"])
+    stratum = F.when(F.col("open"), "unmapped_inference").when(F.col("ambiguity") > 0, "mapping_ambiguity").when(split, "segmentation_ambiguity").otherwise("deterministic")
+    korean = X.join_korean_name(F.transform("components", lambda x: x["korean"]))
+    return rows.select(
+        "source_id", "row_no", *[c for c in CONTEXT if c in rows.columns],
+        X.join_full_name(F.transform("components", lambda x: x["full"])).alias("english_full_name"),
+        F.when(korean == "", PLACEHOLDER).otherwise(korean).alias("korean_attribute_name"),
+        X.evidence_text(F.col("components")).alias("evidence"),
+        F.bround("coverage", 6).alias("coverage"),
+        X.confidence_score(F.col("coverage"), F.col("open"), F.col("ambiguity"), n, split).alias("confidence"),
+        stratum.alias("review_stratum"),
+        "components",
+    )
 
 
 def segmentation_profile(results: DataFrame) -> DataFrame:
-    return results.agg(F.count("*").alias("n_rows"), F.count_if(F.expr("coverage = 1")).alias("segmentable"), F.count_if(F.expr("review_stratum = 'segmentation_ambiguity'")).alias("split_ambiguous"), F.count_if(F.expr("review_stratum = 'mapping_ambiguity'")).alias("meaning_ambiguous"))
+    """Rows, rows that the dictionary covers whole, rows of each ambiguity, distinct unresolved pieces."""
+    open_ = F.explode_outer(F.transform(F.filter("components", lambda c: c["origin"] == "inference"), lambda c: c["fragment"]))
+    tokens = results.select(open_.alias("t")).agg(F.count_distinct("t").alias("unresolved_tokens"))
+    rows = results.agg(F.count("*").alias("n_rows"), F.count_if(F.expr("coverage = 1")).alias("segmentable"), F.count_if(F.expr("review_stratum = 'segmentation_ambiguity'")).alias("split_ambiguous"), F.count_if(F.expr("review_stratum = 'mapping_ambiguity'")).alias("meaning_ambiguous"))
+    return rows.crossJoin(tokens)  # one row a side
+
+
+def assign_strata(results: DataFrame, few: int = 5, threshold: int = 85) -> DataFrame:
+    """Names found in more than one context become duplicate_context. Of the others that aren't confirmed, the
+    first few in order become review_needed: deterministic ones first, then any."""
+    context = [c for c in CONTEXT if c in results.columns]
+    contexts = consistency(results, ["column_name"], F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in context])).select("column_name")
+    rows = results.join(contexts.withColumn("dup", F.lit(True)), "column_name", "left")
+    plain = F.col("review_stratum") == "deterministic"
+    picked = rows.filter(F.col("dup").isNull() & ~(plain & (F.col("confidence") >= threshold)))
+    picked = picked.orderBy(~plain, "row_no").limit(few).select("source_id", F.lit(True).alias("pick"))
+    out = rows.join(F.broadcast(picked), "source_id", "left")
+    return out.withColumn("review_stratum", F.when(F.col("dup"), "duplicate_context").when(F.col("pick"), "review_needed").otherwise(F.col("review_stratum"))).drop("dup", "pick")
 
 
-def assign_strata(results: DataFrame, few: int = 5) -> DataFrame:
-    """Names found in more than one table become duplicate_context; then the first few rows, in order, of
-    those that are still deterministic and below confidence 85 become review_needed."""
-    contexts = consistency(results, ["column_name"], F.struct("table_name", "table_description")).select("column_name")
-    rows = results.join(contexts.withColumn("dup", F.lit(True)), "column_name", "left")
-    rows = rows.withColumn("review_stratum", F.when(F.col("dup"), "duplicate_context").otherwise(F.col("review_stratum"))).drop("dup")
-    picked = rows.filter("review_stratum = 'deterministic' and confidence < 85").orderBy("row_no").limit(few).select("source_id", F.lit(True).alias("pick"))
-    out = rows.join(picked, "source_id", "left")
-    return out.withColumn("review_stratum", F.when(F.col("pick"), "review_needed").otherwise(F.col("review_stratum"))).drop("pick")
+def _about(rows: DataFrame, code: str, details: str, severity: str = "error") -> DataFrame:
+    """Issues that carry the candidate they are about."""
+    return rows.select("source_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(details).cast("string").alias("details"), *KEY)
 
 
 def mapping_issues(sources: DataFrame, candidates: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """All rules on mined mappings: format, meaning, coverage, duplicates and conflicts."""
+    """All rules on mined mappings: format, meaning, coverage, duplicates and conflicts. Issues of a candidate
+    carry its abbreviation, full_name and korean_word; those of a source don't."""
     rows = candidates.join(sources.select("source_id", "column_name", "column_description"), "source_id")
     ok_abbr = F.rlike("abbreviation", F.lit("^[A-Z][A-Z0-9]*$"))
     ok_full = F.rlike("full_name", F.lit("^[A-Z][A-Z0-9]*( [A-Z0-9]+)*$"))
     inside = F.contains(X.compact_identifier(F.col("column_name")), F.col("abbreviation"))
-    word = X.normalize_korean_key(F.col("korean_word"))
-    said = F.contains(X.normalize_korean_key(F.coalesce("column_description", F.lit(""))), word)
+    word, said = X.normalize_korean_key(F.col("korean_word")), X.normalize_korean_key(F.coalesce("column_description", F.lit("")))
+    described = F.coalesce("column_description", F.lit("")) != ""
     found = [
-        issue(rows.filter(~ok_abbr), "invalid_abbreviation", details=F.col("abbreviation")),
-        issue(rows.filter(ok_abbr & ~inside), "abbreviation_not_in_column", details=F.col("abbreviation")),
-        issue(rows.filter(~ok_full), "invalid_full_name", details=F.col("full_name")),
-        issue(rows.filter(word == ""), "empty_korean_word", details=F.col("abbreviation")),
-        issue(rows.filter((word != "") & ~said), "korean_word_not_in_description", details=F.col("korean_word")),
-        issue(missing(candidates, sources), "unknown_source_id", details=F.col("abbreviation")),
+        _about(rows.filter(~ok_abbr), "invalid_abbreviation", "abbreviation"),
+        _about(rows.filter(ok_abbr & ~inside), "abbreviation_not_in_column", "abbreviation"),
+        _about(rows.filter(~ok_full), "invalid_full_name", "full_name"),
+        _about(rows.filter(word == ""), "empty_korean_word", "abbreviation"),
+        _about(rows.filter((word != "") & described & ~F.contains(said, word)), "korean_word_not_in_description", "korean_word"),
+        _about(missing(candidates, sources), "unknown_source_id", "abbreviation"),
         issue(missing(sources, candidates), "missing_source_mapping"),
+        duplicate_mapping(candidates),
     ]
     if dictionary is not None:
         known = canonical_dictionary(dictionary).select("abbreviation", "korean_key", F.col("full_name").alias("known"))
         odd = rows.filter(ok_abbr & ok_full).withColumn("korean_key", word).join(known, ["abbreviation", "korean_key"]).filter("full_name != known")
-        found.append(issue(odd, "noncanonical_full_name", details=F.col("known")))
+        found.append(_about(odd, "noncanonical_full_name", "known"))
     votes = candidates.groupBy(*KEY).agg(F.count_distinct("source_id").alias("n"))
     best = votes.groupBy("abbreviation", "korean_word").agg(F.count("*").alias("names"), F.min_by("full_name", F.struct(-F.col("n"), F.col("full_name"))).alias("recommended")).filter("names > 1")
     minority = candidates.join(best, ["abbreviation", "korean_word"]).filter("full_name != recommended")
-    found.append(issue(minority, "conflicting_full_name", details=F.col("recommended")))
+    found.append(_about(minority, "conflicting_full_name", "recommended"))
     return union_issues(*found)
 
 
 def duplicate_mapping(candidates: DataFrame) -> DataFrame:
-    cols = ["source_id", *KEY]
-    return candidates.groupBy(*cols).count().agg((F.sum("count") - F.count("*")).alias("duplicates"))
-
-
-def partition_failed(candidates: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates with an error of their source (codes in order), and the clean ones."""
-    codes = issues.filter("severity = 'error'").groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
-    return candidates.join(codes, "source_id"), missing(candidates, codes)
+    """One warning on the whole, with how many candidates repeat another; none if none does."""
+    total = candidates.groupBy("source_id", *KEY).count().agg((F.sum("count") - F.count("*")).alias("n")).filter("n > 0")
+    return total.select(F.lit(None).cast("string").alias("source_id"), F.lit("duplicate_mapping").alias("code"), F.lit("warning").alias("severity"), F.col("n").cast("string").alias("details"))
+
+
+def recommended_corrections(candidates: DataFrame, issues: DataFrame) -> DataFrame:
+    """Candidates with the full names that conflicts (first) and the dictionary recommend for their
+    abbreviation and Korean key; the smallest, if a key has several."""
+    targets = issues.filter("code in ('conflicting_full_name', 'noncanonical_full_name') and coalesce(details, '') != ''")
+    rank = F.struct(F.col("code") != "conflicting_full_name", F.col("details"))
+    targets = targets.groupBy("abbreviation", X.normalize_korean_key(F.col("korean_word")).alias("_key")).agg(F.min_by("details", rank).alias("_target"))
+    rows = candidates.withColumn("_key", X.normalize_korean_key(F.col("korean_word"))).join(targets, ["abbreviation", "_key"], "left")
+    return rows.withColumn("full_name", F.coalesce("_target", "full_name")).select(*candidates.columns)
+
+
+def partition_failed(sources: DataFrame, candidates: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Failed rows and the candidates that are left.
+
+    An error on a candidate fails that one; an error on a source fails all its candidates, or gives one row
+    without a candidate if it has none. Failed rows: source_id, the candidate, issue_codes in order. Sources
+    that aren't known have no failed row."""
+    errors = issues.filter("severity = 'error'").join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    own = errors.filter("abbreviation is not null or full_name is not null or korean_word is not null").select("source_id", *KEY, "code")
+    whole = errors.filter("abbreviation is null and full_name is null and korean_word is null").select("source_id", "code")
+    each = candidates.select("source_id", *KEY).distinct()
+    spread = own.unionByName(whole.join(each, "source_id", "left").select("source_id", *KEY, "code"))
+    failed = spread.groupBy("source_id", *KEY).agg(F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("issue_codes"))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"f.{c}")) for c in KEY]
+    valid = candidates.alias("c").join(failed.alias("f"), [F.col("c.source_id") == F.col("f.source_id"), *same], "left_anti")
+    return failed, valid
 
 
 def apply_status(results: DataFrame, issues: DataFrame, threshold: int = 85) -> DataFrame:

@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from .core import dedup_sources, fan_out, missing, replace_rows
-from .terms import comment_issues
+from .core import cut, fan_out, missing, replace_rows
+from .terms import Resolver, comment_issues, first_listed, reconcile_terms
 
 #: Labels of statuses and actions.
 CONFIRMED, REVIEW, FAILED = "자동확정", "검토필요", "검증실패"
 KEEP, NORMALIZE, REWRITE = "유지", "정규화", "재작성"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut at the folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
-    sc = df.sparkSession.sparkContext
-    found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found or not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def in_order(pos: str, value: Column) -> Column:
     """Aggregate: the values of a group in the order of pos; null values are left out."""
     return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(pos, value.alias("v"))))), lambda x: x["v"])
@@ -49,7 +39,7 @@ def processing_key(df: DataFrame) -> DataFrame:
 def deterministic_names(df: DataFrame, glossary: DataFrame) -> DataFrame:
     """df: source_id, column_description; glossary: source, target. The name that fixed policy gives: the
     first alternative of a slash, English from the glossary, no white space or symbols. Columns: source_id,
-    original_description, name, action, confidence, unknown (English left), review_reasons.
+    original_description, name, action, confidence, unknown (English left), review_reasons, reason.
 
     Tokens meet the glossary in a join, so that it may have any size. A null description counts as empty."""
     text = F.coalesce("column_description", F.lit(""))
@@ -62,12 +52,24 @@ def deterministic_names(df: DataFrame, glossary: DataFrame) -> DataFrame:
     named = found.groupBy("source_id").agg(
         F.array_join(in_order("pos", F.when(english, F.coalesce("target", "piece")).otherwise(F.col("piece"))), "").alias("name"),
         in_order("pos", F.when(english & F.col("target").isNull(), F.col("piece"))).alias("unknown"),
+        in_order("pos", F.when(english & F.col("target").isNotNull(), F.concat(F.lit("영문 "), "piece", F.lit("을 '"), "target", F.lit("'로 한글화")))).alias("translated"),
     )
-    name = F.regexp_replace(X.compact_whitespace(F.regexp_replace("name", "등급등급", "등급")), r"[^\x{AC00}-\x{D7A3}\x{3131}-\x{314E}\x{314F}-\x{3163}A-Za-z0-9]", "")
-    out = rows.join(named.withColumn("name", name), "source_id")
+    #: What a reason says of each step.
+    graded = F.regexp_replace("name", "등급등급", "등급")
+    compacted = X.compact_whitespace(graded)
+    steps = F.array(
+        F.when(F.contains("name", F.lit("등급등급")), "중복 접미사 '등급등급'을 '등급'으로 정규화"),
+        F.when(compacted != graded, "공백 제거"),
+    )
+    name = F.regexp_replace(compacted, r"[^\x{AC00}-\x{D7A3}\x{3131}-\x{314E}\x{314F}-\x{3163}A-Za-z0-9]", "")
+    cleaned = F.array(F.when(name != compacted, "허용되지 않은 기호 제거"))
+    out = rows.join(named.select("source_id", "unknown", "translated", F.concat(steps, cleaned).alias("steps"), name.alias("name")), "source_id")
+    alternatives = F.filter(F.split("original_description", "/"), lambda x: x != "")
+    dropped = F.when(F.size(alternatives) > 1, F.array_join(F.slice(alternatives, 2, 1 << 30), ", ")).otherwise("확인 불가")
     slash, open_ = F.contains("original_description", F.lit("/")), F.size("unknown") > 0
     changed = (F.col("name") != F.col("original_description")) | open_
     translated = F.size(X.invalid_english_tokens(X.nfkc(F.col("original_description")))) > 0
+    why = F.concat(F.array(F.when(slash, F.concat(F.lit("슬래시 대안 중 첫 의미를 임시 선택하고 "), dropped, F.lit(" 제외")))), "translated", "steps")
     return out.select(
         "source_id",
         "original_description",
@@ -76,6 +78,7 @@ def deterministic_names(df: DataFrame, glossary: DataFrame) -> DataFrame:
         F.when(~changed, 100).when(open_, 55).when(slash, 85).otherwise(96).alias("confidence"),
         "unknown",
         F.filter(F.array(F.when(slash, F.lit("slash_choice")), F.when(open_, F.lit("unknown_english"))), lambda x: x.isNotNull()).alias("review_reasons"),
+        F.when(~changed, "정책을 충족하는 컬럼설명을 원문 그대로 유지").otherwise(F.coalesce(F.nullif(F.array_join(why, "; "), F.lit("")), F.lit("문자 정책에 맞게 정규화"))).alias("reason"),
     )
 
 
@@ -174,8 +177,9 @@ def clear_failures(results: DataFrame) -> DataFrame:
 
 def finalize(results: DataFrame, issues: DataFrame, decisions: DataFrame | None = None, threshold: int = 90) -> DataFrame:
     """source_id, confidence, status, codes. Failed on an error or a failure still open (a rejected proposal
-    is none); to review on low confidence, reasons, a slash or a tied term, which caps confidence at 89.
-    results: source_id, original_description, confidence, review_reasons."""
+    is none); to review on low confidence, reasons, a reported change of meaning, a slash or a tied term, which
+    caps confidence at 89. results: source_id, original_description, confidence, review_reasons; added_concepts
+    and removed_concepts may be left out."""
     codes = issues.filter("severity = 'error'").groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
     rows = results.join(codes, "source_id", "left")
     if decisions is not None:
@@ -185,6 +189,9 @@ def finalize(results: DataFrame, issues: DataFrame, decisions: DataFrame | None
     failed = F.exists("review_reasons", lambda r: F.startswith(r, F.lit("review:")) & (r != "review:rejected_result"))
     confidence = F.when(F.col("tied"), F.least("confidence", F.lit(89))).otherwise(F.col("confidence"))
     doubt = (confidence < threshold) | (F.size("review_reasons") > 0) | F.contains("original_description", F.lit("/")) | F.col("tied").isNotNull()
+    for c in ("added_concepts", "removed_concepts"):
+        if c in results.columns:
+            doubt = doubt | (F.coalesce(F.size(c), F.lit(0)) > 0)
     status = F.when(F.col("codes").isNotNull() | failed, FAILED).when(doubt, REVIEW).otherwise(CONFIRMED)
     return rows.select("source_id", confidence.alias("confidence"), status.alias("status"), F.coalesce("codes", F.lit("")).alias("codes"))
 
@@ -250,13 +257,6 @@ def resolution_requests(segments: DataFrame, dictionary: DataFrame, k: int = 4)
     return few.join(options, key, "left")
 
 
-def recommended_corrections(candidates: DataFrame, issues: DataFrame) -> DataFrame:
-    """candidates with the full name that conflict and non-canonical issues recommend in their details."""
-    to = issues.filter(F.col("code").isin("conflicting_full_name", "noncanonical_full_name")).select("source_id", "abbreviation", "korean_word", "recommended").distinct()
-    best = to.groupBy("source_id", "abbreviation", "korean_word").agg(F.min("recommended").alias("recommended"))
-    return candidates.join(best, ["source_id", "abbreviation", "korean_word"], "left").select("source_id", "abbreviation", F.coalesce("recommended", "full_name").alias("full_name"), "korean_word")
-
-
 def review_strata(results: DataFrame) -> DataFrame:
     """One row for each (name, description): the first row's id and strata, and how often the key occurs.
     results: row_no, source_id, column_name, column_description, action, status, confidence, terms (boolean).
@@ -315,12 +315,42 @@ def locked_sample(population: DataFrame, manifest: DataFrame) -> DataFrame:
     return population.join(F.broadcast(manifest) if manifest.count() <= 10_000 else manifest, "source_id")
 
 
-def name_from_comments(df: DataFrame, glossary: DataFrame, threshold: int = 90) -> DataFrame:
-    """source_id, name, action, confidence, status, codes for every row: each different (name, description) is
-    named and checked once, by its first row, and its result copied to the others."""
-    aliases = dedup_sources(df, "comment")
+MOST_TERMS = 10_000
+
+
+def name_from_comments(df: DataFrame, glossary: DataFrame, synonyms: DataFrame | None = None, proposals: DataFrame | None = None, resolver: Resolver | None = first_listed, threshold: int = 90) -> DataFrame:
+    """source_id, name, action, reason, confidence, status, codes for every row.
+
+    Each different processing key is named once, by its first row: by policy, then by an accepted proposal
+    (source_id, original_description, name, confidence, review_reasons), then with unified terms, whose
+    frequencies are those of the policy's names. The result is copied to all rows of the key, and every row is
+    checked against its own description."""
+    keyed = processing_key(df).select("source_id", "row_no", F.to_json("processing_key").alias("_key"))
+    firsts = keyed.groupBy("_key").agg(F.min_by("source_id", "row_no").alias("representative"), F.count("*").alias("weight"))
+    aliases = cut(keyed.join(firsts, "_key").select("source_id", "representative", "weight"))
     first = df.join(ids(aliases.select(F.col("representative").alias("source_id"))), "source_id", "left_semi")
     named = deterministic_names(first, glossary)
-    checked = named.select("source_id", F.col("original_description").alias("column_description"), "original_description", "name", "action", F.lit("policy").alias("reason"))
-    done = finalize(named, comment_issues(checked).withColumn("severity", F.lit("error")), threshold=threshold)
-    return fan_out(named.select("source_id", "name", "action").join(done, "source_id"), aliases)
+    policy = named
+    if proposals is not None:
+        issues_of = lambda r: comment_issues(r.withColumn("column_description", F.col("original_description")))
+        named = cut(named)
+        checked = named.select("source_id", "action", "reason").join(proposals, "source_id")
+        taken = accept(named, proposals, issues_of(named), issues_of(checked)).select("source_id", "name", "confidence", "review_reasons", "failure_code")
+        old = named.select("source_id", "original_description", "action", "reason", F.col("name").alias("_policy"))
+        renamed = F.col("name") != F.col("_policy")
+        named = old.join(taken, "source_id").withColumn("action", F.when(renamed, REWRITE).otherwise(F.col("action"))).drop("_policy", "failure_code")
+    decisions = None
+    if synonyms is not None:
+        candidates = [r["candidate"] for r in synonyms.select("candidate").distinct().limit(MOST_TERMS + 1).collect()]
+        if len(candidates) > MOST_TERMS:
+            raise ValueError(f"over {MOST_TERMS} terms in the synonym rules")
+        weights = aliases.filter("source_id = representative").select("source_id", "weight")
+        parted = lambda r: r.withColumn("units", semantic_units(F.col("name"), candidates)).join(weights, "source_id")
+        around = first.select("source_id", "table_name", "table_description")
+        named, decisions = reconcile_terms(parted(named).join(around, "source_id"), synonyms, parted(policy), resolver)
+        decisions = fan_out(decisions, aliases)
+    every = fan_out(named.drop("original_description", "weight", "table_name", "table_description"), aliases)
+    every = every.join(df.select("source_id", "column_description", F.coalesce("column_description", F.lit("")).alias("original_description")), "source_id")
+    issues = comment_issues(every.withColumn("column_description", F.col("original_description")))
+    done = finalize(every, issues, decisions, threshold)
+    return every.select("source_id", "name", "action", "reason").join(done, "source_id")

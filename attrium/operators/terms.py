@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 
+#: Labels of actions, and what a reason says of terms that were unified.
+KEPT, NORMALIZED = "유지", "정규화"
+UNIFIED = "용어 통일 빈도 기준 "
+
 
 def check_rules(glossary: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Issues of rule tables: code and name. glossary: source, target; synonyms: group_id, candidate."""
@@ -19,46 +25,132 @@ def check_rules(glossary: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def synonym_frequency(units: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """units: source_id, units (array), weight. Weighted rows that hold each candidate as a unit; zero if none."""
-    each = units.select("weight", F.explode(F.array_distinct("units")).alias("candidate"))
-    counts = each.groupBy("candidate").agg(F.sum("weight").alias("n"))
+    """units: source_id, units (array), weight. Weighted number of units that are each candidate; zero if none."""
+    counts = units.select("weight", F.explode("units").alias("candidate")).groupBy("candidate").agg(F.sum("weight").alias("n"))
     return synonyms.join(counts, "candidate", "left").select("group_id", "candidate", "candidate_order", F.coalesce("n", F.lit(0)).cast("long").alias("frequency"))
 
 
-def select_preferred_term(frequency: DataFrame) -> DataFrame:
-    """The most frequent candidate of each group; among equals the first listed."""
-    by = Window.partitionBy("group_id")  # a group is a handful of words
-    rows = frequency.select("*", F.max("frequency").over(by).alias("top"), F.row_number().over(by.orderBy(F.desc("frequency"), "candidate_order")).alias("k"))
-    rows = rows.withColumn("winners", F.count_if(F.col("frequency") == F.col("top")).over(by))
-    chosen = rows.filter("k = 1")
-    return chosen.select("group_id", F.col("candidate").alias("selected_term"), "frequency", (F.col("winners") > 1).alias("tied"), F.when(F.col("winners") > 1, "first_listed").otherwise("frequency").alias("selection_source"))
-
-
-def reconcile_terms(units: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Units with each candidate replaced by its group's preferred term; name is their join."""
-    chosen = select_preferred_term(synonym_frequency(units, synonyms))
-    to = synonyms.join(chosen, "group_id").select(F.col("candidate").alias("unit"), "selected_term")
-    each = units.select("source_id", F.posexplode("units").alias("pos", "unit")).join(to, "unit", "left")
-    new = F.coalesce("selected_term", "unit")
-    return each.groupBy("source_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", new.alias("t")))), lambda x: x["t"]), "").alias("name"),
-        F.count_if(new != F.col("unit")).alias("replaced"),
+#: A tie rule: gets the winners (array, as listed) and gives one of them, or null to leave it to the context.
+Resolver = Callable[[Column], Column]
+
+
+def first_listed(winners: Column) -> Column:
+    return winners[0]
+
+
+def _resolved(winners: Column, resolver: Resolver | None) -> Column:
+    """What the resolver says, which must be a winner; null without one."""
+    if resolver is None:
+        return F.lit(None).cast("string")
+    said = resolver(winners)
+    return F.when(said.isNull() | F.array_contains(winners, said), said).otherwise(F.raise_error("the tie rule gave none of the winners").cast("string"))
+
+
+def term_groups(frequency: DataFrame) -> DataFrame:
+    """Of each group: candidates and winners (those of the greatest frequency) as listed, frequency, frequencies."""
+    rows = frequency.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("candidate_order", "candidate", "frequency"))).alias("c"))  # a group is a handful of words
+    rows = rows.withColumn("top", F.array_max(F.transform("c", lambda x: x["frequency"])))
+    return rows.select(
+        "group_id",
+        F.transform("c", lambda x: x["candidate"]).alias("candidates"),
+        F.transform(F.filter("c", lambda x: x["frequency"] == F.col("top")), lambda x: x["candidate"]).alias("winners"),
+        F.col("top").alias("frequency"),
+        F.map_from_arrays(F.transform("c", lambda x: x["candidate"]), F.transform("c", lambda x: x["frequency"])).alias("frequencies"),
     )
 
 
-def surface_frequency(df: DataFrame, terms: list[str]) -> DataFrame:
-    """Longest-first, non-overlapping occurrences of terms in descriptions, and the rows that hold them."""
+def select_preferred_term(frequency: DataFrame, resolver: Resolver | None = None) -> DataFrame:
+    """The most frequent candidate of each group; among equals what the resolver says, else the first in order."""
+    tied, said = F.size("winners") > 1, _resolved(F.col("winners"), resolver)
+    return term_groups(frequency).select(
+        "group_id",
+        F.when(tied, F.coalesce(said, F.array_min("winners"))).otherwise(F.col("winners")[0]).alias("selected_term"),
+        "frequency",
+        tied.alias("tied"),
+        F.when(~tied, "frequency").when(said.isNotNull(), "context_resolver").otherwise("deterministic_fallback").alias("selection_source"),
+    )
+
+
+MOST_CANDIDATES = 10_000
+
+
+def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFrame | None = None, resolver: Resolver | None = None) -> tuple[DataFrame, DataFrame]:
+    """results with each unit that is a candidate replaced by its group's preferred term, and the decisions.
+
+    results: source_id, units, weight, and where they matter original_description, table_name,
+    table_description, action, reason. Frequencies come from population (units, weight), by default results.
+    A tie is settled by the resolver, else by the row's own texts (8 for the description, 3 for the table's
+    name, 2 for its description, 1 for its units), else in order. Adds name (the units joined) and replaced;
+    a changed row that was kept counts as normalised, and its reason says so. Decisions: source_id, group_id,
+    selected_term, frequency, frequencies, tied, selection_source, for the groups that a row has units of.
+
+    Rows aren't shuffled: the rules (MOST_CANDIDATES at most, as they are written by hand) go to them."""
+    if synonyms.count() > MOST_CANDIDATES:
+        raise ValueError(f"over {MOST_CANDIDATES} candidates in the synonym rules")
+    groups = term_groups(synonym_frequency(population if population is not None else results, synonyms))
+    of = groups.select(F.explode("candidates").alias("candidate"), "group_id").agg(F.map_from_entries(F.collect_list(F.struct("candidate", "group_id"))).alias("_of"))
+    rules = groups.agg(F.map_from_entries(F.collect_list(F.struct("group_id", F.struct("group_id", "winners", "frequency", "frequencies")))).alias("_rules")).crossJoin(of)  # one row a side
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in results.columns else F.lit("")
+
+    def score(winners: Column, term: Column) -> Column:
+        said = lambda c, points: F.when(X.contains_distinct(text(c), term, winners), points).otherwise(0)
+        return said("original_description", 8) + said("table_name", 3) + said("table_description", 2) + F.when(F.array_contains("units", term), 1).otherwise(0)
+
+    def by_context(winners: Column) -> Column:
+        scored = F.transform(winners, lambda t: F.struct(score(winners, t).alias("s"), t.alias("t")))
+        return X.let(scored, lambda z: X.let(F.filter(z, lambda x: (x["s"] > 0) & (x["s"] == F.array_max(F.transform(z, lambda y: y["s"])))), lambda best: F.when(F.size(best) == 1, best[0]["t"])))
+
+    def decision(g: Column) -> Column:
+        winners, tied = g["winners"], F.size(g["winners"]) > 1
+        said = F.struct(_resolved(winners, resolver).alias("r"), by_context(winners).alias("c"))
+
+        def made(x: Column) -> Column:
+            term = F.when(~tied, winners[0]).otherwise(F.coalesce(x["r"], x["c"], F.array_min(winners)))
+            source = F.when(~tied, "frequency").when(x["r"].isNotNull(), "context_resolver").when(x["c"].isNotNull(), "context_evidence").otherwise("deterministic_fallback")
+            return F.struct(g["group_id"].alias("group_id"), term.alias("selected_term"), g["frequency"].alias("frequency"), g["frequencies"].alias("frequencies"), tied.alias("tied"), source.alias("selection_source"))
+
+        return F.when(tied, X.let(said, made)).otherwise(made(F.struct(F.lit(None).cast("string").alias("r"), F.lit(None).cast("string").alias("c"))))
+
+    rows = results.crossJoin(F.broadcast(rules)).withColumn("_hits", F.transform("units", lambda u: F.try_element_at("_of", u)))
+    rows = rows.withColumn("_decisions", F.transform(F.array_sort(F.array_distinct(F.array_compact("_hits"))), lambda g: X.let(F.try_element_at("_rules", g), decision)))
+    to = F.map_from_arrays(F.transform("_decisions", lambda d: d["group_id"]), F.transform("_decisions", lambda d: d["selected_term"]))
+    rows = rows.withColumn("_to", to).withColumn("_new", F.transform("units", lambda u, i: F.coalesce(F.try_element_at("_to", F.get("_hits", i)), u)))
+    replaced = F.size(F.filter(F.zip_with("units", "_new", lambda a, b: a != b), lambda x: x))
+    rows = rows.withColumn("replaced", F.coalesce(replaced, F.lit(0)))
+    # a reason names the groups that changed a unit
+    changed = F.filter("_decisions", lambda d: F.exists(F.zip_with("_hits", "units", lambda h, u: h.eqNullSafe(d["group_id"]) & (u != d["selected_term"])), lambda x: F.coalesce(x, F.lit(False))))
+    note = F.concat(F.lit(UNIFIED), F.array_join(F.transform(changed, lambda d: F.concat(d["group_id"], F.lit(":"), d["selected_term"], F.lit(" ("), d["selection_source"], F.lit(")"))), ", "))
+    new = {"units": F.col("_new"), "name": F.array_join("_new", "")}
+    if {"action", "reason"} <= set(results.columns):
+        kept, why = F.col("action") == KEPT, F.coalesce("reason", F.lit(""))
+        new["reason"] = F.when(F.col("replaced") == 0, F.col("reason")).when(kept | (why == ""), note).otherwise(F.concat(why, F.lit("; "), note))
+        new["action"] = F.when((F.col("replaced") > 0) & kept, NORMALIZED).otherwise(F.col("action"))
+    out = rows.withColumns(new).select(*[c for c in results.columns if c != "name"], "name", "replaced")
+    return out, rows.select("source_id", F.explode("_decisions").alias("d")).select("source_id", "d.*")
+
+
+def surface_sources(df: DataFrame, terms: list[str]) -> DataFrame:
+    """term, source_id, n: longest-first, non-overlapping occurrences of terms in each description."""
     by = sorted(terms, key=lambda t: (-len(t), t))
     pattern = "|".join(f"\\Q{t}\\E" for t in by)
     each = df.select("source_id", F.explode(F.regexp_extract_all("column_description", F.lit(f"({pattern})"), 0)).alias("term"))
-    return each.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("source_id").alias("n_sources"))
+    return each.groupBy("term", "source_id").agg(F.count("*").alias("n"))
+
+
+def surface_frequency(df: DataFrame, terms: list[str]) -> DataFrame:
+    """Occurrences of terms in descriptions, and how many rows hold them (surface_sources has which)."""
+    return surface_sources(df, terms).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("n_sources"))
 
 
 def comment_issues(results: DataFrame) -> DataFrame:
-    """results: source_id, column_description, original_description, name, action, reason. Rules on source,
-    characters, numbers and action; without a name nothing further is looked at."""
+    """results: source_id, column_description, original_description, name, action, reason; review_reasons,
+    added_concepts and removed_concepts may be left out and then count as empty. Rules on source, characters,
+    numbers, action and slashes: code and severity. Without a name nothing further is looked at."""
     source, name = F.coalesce("column_description", F.lit("")), F.coalesce("name", F.lit(""))
-    named = name != ""
+    named, kept = name != "", F.coalesce(F.col("action") == KEPT, F.lit(False))
+    filled = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0 if c in results.columns else F.lit(False)
+    reasoned, slash = X.trim_all(F.coalesce("reason", F.lit(""))) != "", F.contains(source, F.lit("/"))
+    alternatives = F.filter(F.split(source, "/"), lambda p: p != "")
     tests = {
         "empty_source_description": X.trim_all(source) == "",
         "original_description_mismatch": ~F.col("original_description").eqNullSafe(F.col("column_description")),
@@ -67,10 +159,14 @@ def comment_issues(results: DataFrame) -> DataFrame:
         "noncanonical_unicode": named & (X.nfkc(name) != name),
         "english_not_allowed": named & (F.size(X.invalid_english_tokens(name)) > 0),
         "symbol_not_allowed": named & (F.size(X.symbols_in(name)) > 0),
+        "invalid_character": named & F.rlike(X.nfkc(name), F.lit(rf"(?U)[^A-Za-z0-9{X.HANGUL}\s\p{{P}}\p{{S}}]")),
         "numeric_sequence_mismatch": named & ~X.digits_preserved(source, name),
-        "keep_result_changed": named & (F.col("action") == "유지") & (name != source),
-        "change_reason_missing": named & (F.col("action") != "유지") & (X.trim_all(F.coalesce("reason", F.lit(""))) == ""),
-        "slash_alternatives_not_resolved": named & F.contains(source, F.lit("/")) & F.forall(F.split(source, "/"), lambda p: F.contains(name, X.compact_whitespace(p))),
+        "keep_result_changed": named & kept & (name != source),
+        "change_reason_missing": named & ~kept & ~reasoned,
+        "semantic_scope_change_reported": named & (filled("added_concepts") | filled("removed_concepts")),
+        "slash_selection_evidence_missing": named & slash & ~(reasoned & filled("review_reasons")),
+        "slash_alternatives_not_resolved": named & slash & reasoned & filled("review_reasons") & F.forall(alternatives, lambda p: F.contains(name, p)),
     }
     codes = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]), lambda x: x.isNotNull())
-    return results.select("source_id", F.explode(codes).alias("code"))
+    out = results.select("source_id", F.explode(codes).alias("code"))
+    return out.withColumn("severity", F.when(F.col("code") == "semantic_scope_change_reported", "warning").otherwise("error"))

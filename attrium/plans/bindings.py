@@ -19,6 +19,11 @@ VIEWS = {
     "dict_rows": "SELECT abbreviation, full_name, korean_word, occurrence_count, CAST(row_number() OVER (ORDER BY abbreviation, full_name DESC) AS BIGINT) AS row_no FROM dict_part",
     "cand_part": """SELECT CASE WHEN w.row_no % 13 = 0 THEN concat('x-', w.source_id) ELSE w.source_id END AS source_id, w.word AS abbreviation,
         CASE WHEN w.row_no % 7 = 0 THEN concat(w.word, 'S') ELSE w.word END AS full_name, k.korean AS korean_word FROM part_words w JOIN korean k ON k.word = w.word WHERE w.row_no % 11 <> 0""",
+    "cat_said": """SELECT c.row_no, c.source_id, c.column_name, c.table_name, c.table_description, c.data_type, CASE WHEN c.row_no % 23 = 0 THEN '' ELSE concat(a.korean, ' ', b.korean) END AS column_description
+        FROM cat_part c JOIN korean a ON a.word = split_part(c.column_name, '_', 1) JOIN korean b ON b.word = split_part(c.column_name, '_', 2)""",
+    "cand_said": """SELECT source_id, CASE WHEN length(source_id) % 2 = 0 AND abbreviation = 'RED' THEN 'QQQ' ELSE abbreviation END AS abbreviation, full_name,
+        CASE WHEN abbreviation = 'GEAR' AND length(source_id) % 2 = 1 THEN '없음' ELSE korean_word END AS korean_word FROM cand_part""",
+    "dict_short": "SELECT * FROM dict_part WHERE abbreviation <> 'RED'",
     "cat_doc": """SELECT CAST(doc_id AS BIGINT) AS row_no, concat('row-', CAST(doc_id AS STRING)) AS source_id, 'TEXT' AS column_name, source AS table_name, lang AS schema_name,
         concat(text, CASE WHEN doc_id % 5 = 0 THEN concat(' ', source) ELSE '' END, CASE WHEN doc_id % 10 = 0 THEN concat('/', lang) ELSE '' END) AS column_description FROM {documents}""",
     "ratings": """SELECT concat('row-', CAST(d.doc_id AS STRING)) AS source_id, d.source AS review, d.lang AS stratum, CAST(1 + 4 * l.quality AS INT) AS clarity, CAST(5 - 2 * l.toxic AS INT) AS tone,
@@ -27,6 +32,7 @@ VIEWS = {
 }
 NEEDS = {
     "cat_part": (), "cat_glued": ("cat_part",), "part_words": ("cat_part",), "korean": (), "dict_part": ("part_words", "korean"), "dict_rows": ("dict_part",),
+    "cat_said": ("cat_part", "korean"), "cand_said": ("cand_part",), "dict_short": ("dict_part",),
     "cand_part": ("part_words", "korean"), "cat_doc": (), "ratings": (), "job_log": (),
 }
 TABLES = ("part", "documents", "labels", "events")

@@ -53,7 +53,12 @@ _column("b11_english_tokens", "cat_doc", lambda: F.array_join(X.english_tokens(d
 _column("b12_invalid_english", "cat_doc", lambda: F.size(X.invalid_english_tokens(desc())), f"CAST(len({EN}) AS INT)")
 _column("b13_forbidden", "cat_doc", lambda: F.array_join(X.forbidden_characters(desc()), ""), f"regexp_replace(column_description, 'ID|[0-9]|[{H}]', '', 'g')")
 _column("b14_symbols", "cat_doc", lambda: F.array_join(F.array_sort(X.symbols_in(desc())), ""), f"array_to_string(list_sort(list_distinct({SYM})), '')")
-_query("b15_valid_name", "korean", lambda df: df.select("word", X.is_valid_name(F.col("korean")).alias("korean_ok"), X.is_valid_name(F.col("word")).alias("word_ok")), "SELECT word, true AS korean_ok, false AS word_ok FROM korean")
+_query(
+    "b15_valid_name", "cat_part korean",
+    lambda c, k: c.join(k, F.col("word") == F.split("column_name", "_")[0]).select("source_id", X.is_valid_name(F.concat("korean", "data_type")).alias("name_ok"), X.is_valid_name(F.col("column_name")).alias("column_ok"), X.is_valid_name(F.concat("korean", F.lit("ID")), "comment").alias("comment_ok"), X.is_valid_name(cname(), "comment").alias("english_ok")),
+    f"""SELECT source_id, regexp_full_match(concat(korean, data_type), '[가-힣0-9]+') AS name_ok, regexp_full_match(column_name, '[가-힣0-9]+') AS column_ok,
+  regexp_full_match(concat(korean, 'ID'), '([{H}0-9]|ID)+') AS comment_ok, regexp_full_match(column_name, '([{H}0-9]|ID)+') AS english_ok FROM cat_part JOIN korean ON word = split_part(column_name, '_', 1)""",
+)
 _column("b16_can_keep", "cat_doc", lambda: X.can_keep_description(desc()), f"column_description <> '' AND regexp_replace(column_description, 'ID|[0-9]|[{H}]', '', 'g') = ''")
 _column("b17_compact_whitespace", "cat_doc", lambda: X.compact_whitespace(desc()), r"regexp_replace(column_description, '\s+', '', 'g')")
 RISK_SQL = rf"""
@@ -63,8 +68,8 @@ SELECT source_id, array_to_string(list_filter([
   CASE WHEN odd THEN 'unsupported_character' END], lambda x: x IS NOT NULL), ',') AS codes,
   CASE WHEN blank THEN 'critical' WHEN slash OR en THEN 'high' WHEN ws OR sym OR num OR odd THEN 'medium' ELSE 'low' END AS level,
   blank OR ws OR slash OR sym OR en OR odd AS requires_generation, blank OR slash OR odd AS requires_review
-FROM (SELECT source_id, trim(regexp_replace(column_description, '\s+', ' ', 'g')) = '' AS blank, regexp_matches(column_description, '\s') AS ws,
-  contains(column_description, '/') AS slash, len(list_filter({SYM}, lambda x: x <> '/')) > 0 AS sym, len({EN}) > 0 AS en, regexp_matches(column_description, '[0-9]') AS num,
+FROM (SELECT source_id, column_description = '' AS blank, regexp_matches(column_description, '\s') AS ws,
+  contains(column_description, '/') AS slash, len({SYM}) > 0 AS sym, len({EN}) > 0 AS en, regexp_matches(column_description, '[0-9]') AS num,
   regexp_replace(regexp_replace(column_description, '[\p{{P}}\p{{S}}\s]', '', 'g'), '[A-Za-z0-9{H}]', '', 'g') <> '' AS odd FROM cat_doc)
 """
 _query("b18_risk", "cat_doc", lambda df: df.select("source_id", X.classify_risk(desc()).alias("r")).select("source_id", F.array_join("r.codes", ",").alias("codes"), "r.level", "r.requires_generation", "r.requires_review"), RISK_SQL)
@@ -111,8 +116,8 @@ _query("e11_catalog_profile", "cat_doc", lambda df: core.catalog_profile(df).sel
 _query("e12_dictionary_profile", "dict_part", D.dictionary_profile, "SELECT CAST(sum(n) AS BIGINT) AS entries, count(*) AS abbreviations, count_if(k > 1) AS ambiguous_korean, count_if(f > 1) AS ambiguous_full_name FROM (SELECT count(*) AS n, count(DISTINCT korean_word) AS k, count(DISTINCT full_name) AS f FROM dict_part GROUP BY abbreviation)")
 _query(
     "e14_token_template", "cat_part korean",
-    lambda df, k: core.token_rules_template(df, k.limit(0).select(F.col("word").alias("source"))),
-    """, t AS (SELECT row_no, column_description, unnest(list_distinct(regexp_extract_all(column_description, '[A-Za-z]+'))) AS token FROM cat_part),
+    lambda df, k: core.token_rules_template(df, k.filter("word > 'M'").select(F.lower("word").alias("source"))),
+    """, u AS (SELECT row_no, column_description, unnest(list_distinct(regexp_extract_all(column_description, '[A-Za-z]+'))) AS token FROM cat_part), t AS (SELECT * FROM u WHERE token NOT IN (SELECT lower(word) FROM korean WHERE word > 'M')),
 f AS (SELECT token, column_description, min(row_no) AS first FROM t GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY first, column_description) AS k FROM f)
 SELECT token, n, examples FROM (SELECT token, count(*) AS n FROM t GROUP BY 1) JOIN (SELECT token, string_agg(column_description, ' | ' ORDER BY k) AS examples FROM k WHERE k <= 3 GROUP BY 1) USING (token)""",
 )
@@ -120,10 +125,10 @@ _query("e19_consistency", "cat_part", lambda df: core.consistency(df, ["column_n
 _query("e21_stage_durations", "job_log", lambda df: core.stage_durations(df).withColumn("seconds", F.round("seconds", 6)), """SELECT job, stage, round(CAST(sum(s) AS DOUBLE) / 1e6, 6) AS seconds, count(*) AS entries FROM (SELECT job, stage, coalesce(epoch_us(lead(ts) OVER (PARTITION BY job ORDER BY ts, stage)) - epoch_us(ts), 0) AS s FROM job_log) GROUP BY ALL""")
 _query("e22_comment_profile", "cat_doc", lambda df: core.comment_profile(df, ("src0", "/en")).withColumns({c: F.round(c, 6) for c in ("median_length", "p90_length")}), "SELECT count_if(regexp_matches(column_description, '[A-Za-z]')) AS letters, count_if(regexp_matches(column_description, '[0-9]')) AS digits, count_if(contains(column_description, '/')) AS slashes, round(CAST(quantile_cont(length(column_description), 0.5) AS DOUBLE), 6) AS median_length, round(CAST(quantile_cont(length(column_description), 0.9) AS DOUBLE), 6) AS p90_length, CAST(max(length(column_description)) AS INT) AS max_length, count_if(suffix(column_description, 'src0')) AS suffix_0, count_if(suffix(column_description, '/en')) AS suffix_1 FROM cat_doc")
 
-SENSES = """, d AS (SELECT DISTINCT * FROM dict_part), frag AS (SELECT DISTINCT w.word AS fragment, c.table_name, c.table_description FROM part_words w JOIN cat_part c USING (source_id)),
+SENSES = r""", d AS (SELECT DISTINCT * FROM dict_part), frag AS (SELECT DISTINCT w.word AS fragment, c.table_name, c.table_description FROM part_words w JOIN cat_part c USING (source_id)),
 many AS (SELECT abbreviation, count(DISTINCT (korean_word, full_name)) > 1 AS many FROM d GROUP BY 1),
-scored AS (SELECT fragment, table_name, table_description, full_name, korean_word, occurrence_count, round(ln(1 + occurrence_count) + CASE WHEN contains(table_description, korean_word) THEN 8 ELSE 0 END
-  + CASE WHEN list_has_any(string_split(full_name, ' '), string_split_regex(upper(table_name), '[^A-Z0-9]+')) THEN 2 ELSE 0 END, 6) AS score FROM frag JOIN d ON d.abbreviation = fragment)
+scored AS (SELECT fragment, table_name, table_description, full_name, korean_word, occurrence_count, round(ln(1 + occurrence_count) + CASE WHEN contains(regexp_replace(table_description, '[\s_/·(),.-]', '', 'g'), regexp_replace(korean_word, '[\s_/·(),.-]', '', 'g')) THEN 8 ELSE 0 END
+  + CASE WHEN list_has_any(string_split_regex(full_name, '[^A-Z0-9]+'), list_filter(string_split_regex(upper(table_name), '[^A-Z0-9]+'), lambda x: x <> '')) THEN 2 ELSE 0 END, 6) AS score FROM frag JOIN d ON d.abbreviation = fragment)
 SELECT s.*, many FROM (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY fragment, table_name, table_description ORDER BY score DESC, occurrence_count DESC, full_name, korean_word) = 1) s JOIN many ON many.abbreviation = fragment"""
 _query("f01_resolve_sense", "part_words cat_part dict_part", lambda w, c, d: D.resolve_sense(w.withColumnRenamed("word", "fragment").join(c.select("source_id", "table_name", "table_description"), "source_id").select("fragment", "table_name", "table_description"), d).select("fragment", "table_name", "table_description", "full_name", "korean_word", "occurrence_count", "score", "many"), SENSES)
 _query("f05_first_representative", "cat_part", lambda df: core.dedup_sources(df, "mapping"), "SELECT source_id, first_value(source_id) OVER w AS representative, count(*) OVER (PARTITION BY column_name, column_description) AS weight FROM cat_part WINDOW w AS (PARTITION BY column_name, column_description ORDER BY row_no)")
@@ -139,33 +144,69 @@ _query("f12_batches", "cat_part", lambda df: core.batch_rows(df, 25, 8).groupBy(
 _query("g02_replace_rows", "cat_part", lambda df: core.replace_rows(df.select("source_id", "column_name"), df.filter("row_no % 7 = 0").select("source_id", F.lit("X").alias("column_name"))), "SELECT source_id, CASE WHEN row_no % 7 = 0 THEN 'X' ELSE column_name END AS column_name FROM cat_part")
 _query("g03_id_difference", "cand_part cat_part", lambda c, s: core.id_difference(c, s), "SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(x, 0) AS n_left, coalesce(y, 0) AS n_right FROM (SELECT source_id, count(*) AS x FROM cand_part GROUP BY 1) a FULL JOIN (SELECT source_id, count(*) AS y FROM cat_part GROUP BY 1) b ON a.source_id = b.source_id WHERE coalesce(x, 0) <> coalesce(y, 0)")
 
-ISSUES = """, r AS (SELECT c.*, s.column_name, s.column_description FROM cand_part c JOIN cat_part s USING (source_id)),
-v AS (SELECT abbreviation, korean_word, full_name, count(DISTINCT source_id) AS n FROM cand_part GROUP BY ALL),
-b AS (SELECT abbreviation, korean_word, count(*) AS names, min_by(full_name, (-n, full_name)) AS recommended FROM v GROUP BY ALL HAVING count(*) > 1),
-issues AS (SELECT source_id, 'abbreviation_not_in_column' AS code FROM r WHERE NOT contains(regexp_replace(column_name, '[^A-Z0-9]', '', 'g'), abbreviation)
-UNION ALL SELECT source_id, 'korean_word_not_in_description' FROM r WHERE NOT contains(column_description, korean_word)
-UNION ALL SELECT source_id, 'unknown_source_id' FROM cand_part WHERE source_id NOT IN (SELECT source_id FROM cat_part)
-UNION ALL SELECT source_id, 'missing_source_mapping' FROM cat_part WHERE source_id NOT IN (SELECT source_id FROM cand_part)
-UNION ALL SELECT source_id, 'conflicting_full_name' FROM cand_part JOIN b USING (abbreviation, korean_word) WHERE full_name <> recommended) """
-_query("h01_h06_mapping_issues", "cat_part cand_part", lambda s, c: D.mapping_issues(s, c).select("source_id", "code"), ISSUES + "SELECT source_id, code FROM issues")
-_query("e18_issue_counts", "cat_part cand_part", lambda s, c: core.issue_code_counts(D.mapping_issues(s, c)).select("code", "n"), ISSUES + "SELECT code, count(*) AS n FROM issues GROUP BY 1")
-_query("e17_issue_stats", "cat_part cand_part", lambda s, c: core.issue_stats(D.mapping_issues(s, c)), ISSUES + "SELECT count(*) AS errors, 0::BIGINT AS warnings, count(DISTINCT source_id) AS affected FROM issues")
-_query("h05_duplicate_mapping", "cand_part", D.duplicate_mapping, "SELECT count(*) - count(DISTINCT (source_id, abbreviation, full_name, korean_word)) AS duplicates FROM cand_part")
-_query("i09_partition_failed", "cat_part cand_part", lambda s, c: D.partition_failed(c, D.mapping_issues(s, c))[0], ISSUES + "SELECT c.*, codes FROM cand_part c JOIN (SELECT source_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM issues GROUP BY 1) i ON i.source_id = c.source_id")
-_query("i17_mine_dictionary", "cat_part cand_part dict_rows", lambda s, c, d: D.aggregate_dictionary(D.reconcile_full_name(core.fan_out(core.missing(c, core.missing(c, s)), core.dedup_sources(s, "mapping")), d)), """, firsts AS (SELECT source_id, first_value(source_id) OVER (PARTITION BY column_name, column_description ORDER BY row_no) AS rep FROM cat_part)
-SELECT abbreviation, abbreviation AS full_name, korean_word, count(DISTINCT f.source_id) AS occurrence_count FROM cand_part c JOIN firsts f ON f.rep = c.source_id GROUP BY ALL""")
+#: Issues of the candidates {c} on the sources {s}, against the entries of dict_rows.
+def _issues(c: str, s: str) -> str:
+    return f""", r AS (SELECT c.*, s.column_name, s.column_description FROM {c} c JOIN {s} s USING (source_id)),
+v AS (SELECT abbreviation, korean_word, full_name, count(DISTINCT source_id) AS n FROM {c} GROUP BY ALL),
+b AS (SELECT abbreviation, korean_word, min_by(full_name, (-n, full_name)) AS recommended FROM v GROUP BY ALL HAVING count(*) > 1),
+known AS (SELECT abbreviation, korean_word, min_by(full_name, (-occurrence_count, row_no)) AS known FROM dict_rows GROUP BY ALL),
+issues AS (SELECT source_id, 'abbreviation_not_in_column' AS code, 'error' AS severity, abbreviation, full_name, korean_word FROM r WHERE NOT contains(regexp_replace(column_name, '[^A-Z0-9]', '', 'g'), abbreviation)
+UNION ALL SELECT source_id, 'korean_word_not_in_description', 'error', abbreviation, full_name, korean_word FROM r WHERE column_description <> '' AND NOT contains(replace(column_description, ' ', ''), korean_word)
+UNION ALL SELECT source_id, 'unknown_source_id', 'error', abbreviation, full_name, korean_word FROM {c} WHERE source_id NOT IN (SELECT source_id FROM {s})
+UNION ALL SELECT source_id, 'missing_source_mapping', 'error', NULL, NULL, NULL FROM {s} WHERE source_id NOT IN (SELECT source_id FROM {c})
+UNION ALL SELECT source_id, 'noncanonical_full_name', 'error', abbreviation, full_name, korean_word FROM r JOIN known USING (abbreviation, korean_word) WHERE full_name <> known
+UNION ALL SELECT source_id, 'conflicting_full_name', 'error', abbreviation, full_name, korean_word FROM {c} JOIN b USING (abbreviation, korean_word) WHERE full_name <> recommended
+UNION ALL SELECT NULL, 'duplicate_mapping', 'warning', NULL, NULL, NULL FROM (SELECT count(*) - count(DISTINCT (source_id, abbreviation, full_name, korean_word)) AS n FROM {c}) WHERE n > 0) """
+
+
+ISSUES = _issues("cand_part", "cat_part")
+PARTED = """, spread AS (SELECT source_id, abbreviation, full_name, korean_word, code FROM issues WHERE severity = 'error' AND abbreviation IS NOT NULL
+UNION ALL SELECT i.source_id, c.abbreviation, c.full_name, c.korean_word, code FROM issues i LEFT JOIN (SELECT DISTINCT * FROM {c}) c USING (source_id) WHERE severity = 'error' AND i.abbreviation IS NULL),
+failed AS (SELECT source_id, abbreviation, full_name, korean_word, string_agg(DISTINCT code, ', ' ORDER BY code) AS issue_codes FROM spread WHERE source_id IN (SELECT source_id FROM {s}) GROUP BY ALL) """
+_query("h01_h06_mapping_issues", "cat_part cand_part dict_rows", lambda s, c, d: D.mapping_issues(s, c, d).select("source_id", "code", "severity"), ISSUES + "SELECT source_id, code, severity FROM issues")
+_query("h01_h03_said", "cat_said cand_said dict_rows", lambda s, c, d: D.mapping_issues(s, c, d).select("source_id", "code"), _issues("cand_said", "cat_said") + "SELECT source_id, code FROM issues")
+_query("e18_issue_counts", "cat_part cand_part dict_rows", lambda s, c, d: core.issue_code_counts(D.mapping_issues(s, c, d)).select("code", "n"), ISSUES + "SELECT code, count(*) AS n FROM issues GROUP BY 1")
+_query("e17_issue_stats", "cat_part cand_part dict_rows", lambda s, c, d: core.issue_stats(D.mapping_issues(s, c, d), c), ISSUES + "SELECT count_if(severity = 'error') AS errors, count_if(severity = 'warning') AS warnings, count(DISTINCT source_id) AS affected, (SELECT count(DISTINCT source_id) FROM cand_part) AS covered, (SELECT count(*) - count(DISTINCT (source_id, abbreviation, full_name, korean_word)) FROM cand_part) AS duplicates FROM issues")
+_query("h05_duplicate_mapping", "cand_part", D.duplicate_mapping, "SELECT CAST(NULL AS VARCHAR) AS source_id, 'duplicate_mapping' AS code, 'warning' AS severity, CAST(n AS VARCHAR) AS details FROM (SELECT count(*) - count(DISTINCT (source_id, abbreviation, full_name, korean_word)) AS n FROM cand_part) WHERE n > 0")
+_query("i09_partition_failed", "cat_said cand_said dict_rows", lambda s, c, d: D.partition_failed(s, c, D.mapping_issues(s, c, d))[0], _issues("cand_said", "cat_said") + PARTED.format(c="cand_said", s="cat_said") + "SELECT * FROM failed")
+_query("i09_valid", "cat_said cand_said dict_rows", lambda s, c, d: D.partition_failed(s, c, D.mapping_issues(s, c, d))[1], _issues("cand_said", "cat_said") + PARTED.format(c="cand_said", s="cat_said") + "SELECT c.* FROM cand_said c LEFT JOIN failed f ON f.source_id = c.source_id AND f.abbreviation = c.abbreviation AND f.full_name = c.full_name AND f.korean_word = c.korean_word WHERE f.source_id IS NULL")
+_query("i08_corrections", "cat_part cand_part dict_rows", lambda s, c, d: D.recommended_corrections(c, D.mapping_issues(s, c, d)), ISSUES + ", t AS (SELECT abbreviation, korean_word, coalesce(max(recommended), max(known)) AS target FROM (SELECT i.abbreviation, i.korean_word, CASE WHEN code = 'conflicting_full_name' THEN recommended END AS recommended, CASE WHEN code = 'noncanonical_full_name' THEN known END AS known FROM issues i LEFT JOIN b USING (abbreviation, korean_word) LEFT JOIN known USING (abbreviation, korean_word) WHERE code IN ('conflicting_full_name', 'noncanonical_full_name')) GROUP BY ALL) SELECT source_id, abbreviation, coalesce(target, full_name) AS full_name, korean_word FROM cand_part LEFT JOIN t USING (abbreviation, korean_word)")
+# after unification no full name is odd, so what fails is an abbreviation or a word that the column lacks
+_query("i17_mine_dictionary", "cat_said cand_said dict_rows", lambda s, c, d: D.mine_dictionary(s, c, d)[0], """, firsts AS (SELECT source_id, column_name, column_description, first_value(source_id) OVER (PARTITION BY column_name, replace(column_description, ' ', '') ORDER BY row_no) AS rep FROM cat_said),
+own AS (SELECT f.*, abbreviation, full_name, korean_word FROM cand_said c JOIN firsts f ON f.rep = c.source_id),
+known AS (SELECT abbreviation, korean_word, min_by(full_name, (-occurrence_count, row_no)) AS known FROM dict_rows GROUP BY ALL),
+votes AS (SELECT abbreviation, korean_word, full_name, count(DISTINCT source_id) AS n FROM own GROUP BY ALL), most AS (SELECT abbreviation, korean_word, min_by(full_name, (-n, full_name)) AS most FROM votes GROUP BY ALL)
+SELECT abbreviation, coalesce(known, most) AS full_name, korean_word, count(DISTINCT source_id) AS occurrence_count FROM own JOIN most USING (abbreviation, korean_word) LEFT JOIN known USING (abbreviation, korean_word)
+WHERE contains(replace(column_name, '_', ''), abbreviation) AND (column_description = '' OR contains(replace(column_description, ' ', ''), korean_word)) GROUP BY ALL""")
 _query("i03_segment_names", "cat_glued dict_part", lambda c, d: D.segment_names(c, d).select("column_name", "table_name", "table_description", "rank", "covered", "score", F.array_join("fragments", "|").alias("fragments"), F.array_join("origins", "|").alias("origins"), "ambiguity"))
 _query("i03_best_fragments", "cat_glued dict_part", lambda c, d: D.segment_names(c, d).filter("rank = 1").select("column_name", F.array_join("fragments", "|").alias("fragments")).distinct(), "SELECT DISTINCT replace(g.column_name, '_', '') AS column_name, replace(c.column_name, '_', '|') AS fragments FROM cat_glued g JOIN cat_part c USING (source_id)")
-_query("i05_deterministic", "cat_part dict_part", D.deterministic_results)
-_query("e13_segmentation_profile", "cat_part dict_part", lambda c, d: D.segmentation_profile(D.deterministic_results(c, d)).select("n_rows", "segmentable"), "SELECT count(*) AS n_rows, count(*) AS segmentable FROM cat_part")
-_query("i06_direct_baseline", "cat_part dict_part", D.direct_baseline, """, senses AS (SELECT abbreviation, count(DISTINCT (korean_word, full_name)) > 1 AS many, min_by(full_name, (-occurrence_count, full_name)) AS full_name, min_by(korean_word, (-occurrence_count, full_name)) AS korean FROM dict_part GROUP BY 1)
-SELECT source_id, concat(a.full_name, ' ', b.full_name) AS english_full_name, CASE WHEN a.korean = b.korean THEN a.korean ELSE concat(a.korean, b.korean) END AS korean_attribute_name, CASE WHEN a.many OR b.many THEN 65 ELSE 80 END AS confidence
-FROM cat_part c JOIN senses a ON a.abbreviation = split_part(c.column_name, '_', 1) JOIN senses b ON b.abbreviation = split_part(c.column_name, '_', 2)""")
-_query("i11_apply_status", "cat_part dict_part", lambda c, d: (lambda r: D.apply_status(D.assign_strata(r.withColumn("source_id", F.col("source_id"))), D.naming_issues(r)))(D.deterministic_results(c, d)))
+BEST = """, senses AS (SELECT abbreviation, count(DISTINCT (korean_word, full_name)) > 1 AS many, min_by(full_name, (-occurrence_count, full_name)) AS full_name, min_by(korean_word, (-occurrence_count, full_name)) AS korean FROM {d} GROUP BY 1),
+parts AS (SELECT c.*, split_part(c.column_name, '_', 1) AS w1, split_part(c.column_name, '_', 2) AS w2, coalesce(a.full_name, w1) AS f1, coalesce(b.full_name, w2) AS f2, coalesce(a.korean, '미정') AS k1, coalesce(b.korean, '미정') AS k2,
+  a.abbreviation IS NULL AS o1, b.abbreviation IS NULL AS o2, coalesce(a.many, false) AS m1, coalesce(b.many, false) AS m2 FROM cat_part c LEFT JOIN senses a ON a.abbreviation = split_part(c.column_name, '_', 1) LEFT JOIN senses b ON b.abbreviation = split_part(c.column_name, '_', 2)) """
+# RED can't be read from the other words of a name, so each word is one component; of a name of one word twice both lack
+FIVE = BEST.format(d="dict_short") + """, five AS (SELECT *, CASE WHEN k1 = k2 THEN k1 ELSE concat(k1, k2) END AS korean, CAST(round_even(70.0 * ((CASE WHEN o1 THEN 0 ELSE length(w1) END) + (CASE WHEN o2 THEN 0 ELSE length(w2) END)) / (length(w1) + length(w2)), 0) AS INT)
+  + CASE WHEN o1 OR o2 THEN -20 ELSE 15 END - 6 * (CAST(m1 AS INT) + CAST(m2 AS INT)) AS raw FROM parts),
+det AS (SELECT *, CAST(greatest(0, raw) AS INT) AS confidence, CASE WHEN o1 OR o2 THEN 'unmapped_inference' WHEN m1 OR m2 THEN 'mapping_ambiguity' ELSE 'deterministic' END AS own FROM five),
+dup AS (SELECT column_name, count(DISTINCT (table_name, table_description, data_type)) > 1 AS dup FROM cat_part GROUP BY 1),
+strata AS (SELECT det.*, CASE WHEN dup THEN 'duplicate_context' ELSE own END AS s1, dup FROM det JOIN dup USING (column_name)),
+pick AS (SELECT source_id FROM strata WHERE NOT dup AND NOT (own = 'deterministic' AND confidence >= 85) ORDER BY own <> 'deterministic', row_no LIMIT 5),
+done AS (SELECT *, CASE WHEN source_id IN (SELECT source_id FROM pick) THEN 'review_needed' ELSE s1 END AS review_stratum FROM strata) """
+_named = ("source_id", "english_full_name", "korean_attribute_name", "evidence", "confidence")
+_query("i05_deterministic", "cat_part dict_short", lambda c, d: D.deterministic_results(c, d).select(*_named, "review_stratum"), FIVE + "SELECT source_id, concat(f1, ' ', f2) AS english_full_name, korean AS korean_attribute_name, concat(w1, '→', f1, '→', k1, CASE WHEN o1 THEN '[inference] | ' ELSE '[mapping] | ' END, w2, '→', f2, '→', k2, CASE WHEN o2 THEN '[inference]' ELSE '[mapping]' END) AS evidence, confidence, own AS review_stratum FROM det")
+_query("f07_assign_strata", "cat_part dict_short", lambda c, d: D.assign_strata(D.deterministic_results(c, d)).select("source_id", "review_stratum"), FIVE + "SELECT source_id, review_stratum FROM done")
+_query("e13_segmentation_profile", "cat_part dict_short", lambda c, d: D.segmentation_profile(D.deterministic_results(c, d)), FIVE + "SELECT count(*) AS n_rows, count_if(NOT o1 AND NOT o2) AS segmentable, 0::BIGINT AS split_ambiguous, count_if(own = 'mapping_ambiguity') AS meaning_ambiguous, (SELECT count(DISTINCT w) FROM (SELECT w1 AS w FROM det WHERE o1 UNION ALL SELECT w2 FROM det WHERE o2)) AS unresolved_tokens FROM det")
+_query("i06_direct_baseline", "cat_part dict_short", D.direct_baseline, BEST.format(d="dict_short") + "SELECT source_id, concat(f1, ' ', f2) AS english_full_name, CASE WHEN k1 = k2 THEN k1 ELSE concat(k1, k2) END AS korean_attribute_name, CASE WHEN o1 OR o2 THEN 25 WHEN m1 OR m2 THEN 65 ELSE 80 END AS confidence, CASE WHEN o1 OR o2 THEN 'unmapped_inference' WHEN m1 OR m2 THEN 'mapping_ambiguity' ELSE 'deterministic' END AS review_stratum FROM parts")
+_query(
+    "i11_apply_status", "cat_part dict_short",
+    lambda c, d: (lambda r: D.apply_status(D.assign_strata(r), D.naming_issues(r)))(D.deterministic_results(c, d)),
+    FIVE + """, st AS (SELECT source_id, confidence, review_stratum, list_filter([CASE WHEN confidence < 85 THEN 'low_confidence' END, CASE WHEN contains(korean, '미정') THEN 'placeholder_korean_name' END], lambda x: x IS NOT NULL) AS codes, contains(korean, '미정') AS bad FROM done)
+SELECT source_id, CASE WHEN bad THEN '검증실패' WHEN confidence >= 85 AND review_stratum = 'deterministic' THEN '자동확정' ELSE '검토필요' END AS status, confidence, review_stratum, array_to_string(codes, ',') AS validation_codes FROM st""",
+)
 
 
 def _units(df: DataFrame) -> DataFrame:
-    return df.select("source_id", F.filter(F.split(F.lower(desc()), "[^a-z]+"), lambda x: x.isin("the", "that", "and", "of", "with")).alias("units"), F.lit(1).alias("weight"))
+    """All words of the texts."""
+    return df.select("source_id", F.regexp_extract_all(F.lower(desc()), F.lit("[a-z]+"), 0).alias("units"), F.lit(1).alias("weight"))
 
 
 def _synonyms(df: DataFrame) -> DataFrame:
@@ -174,14 +215,16 @@ def _synonyms(df: DataFrame) -> DataFrame:
 
 
 SYN = """, syn AS (SELECT * FROM (VALUES ('g1','the',0),('g1','that',1),('g2','of',0),('g2','with',1),('g3','none',0),('g3','never',1)) t(group_id, candidate, candidate_order)),
-units AS (SELECT source_id, list_filter(string_split_regex(lower(column_description), '[^a-z]+'), lambda x: x IN ('the','that','and','of','with')) AS u FROM cat_doc),
-freq AS (SELECT group_id, candidate, candidate_order, count(source_id) AS frequency FROM syn LEFT JOIN units ON list_contains(u, candidate) GROUP BY ALL),
-pref AS (SELECT group_id, candidate AS selected_term, frequency, (SELECT count(*) FROM freq g WHERE g.group_id = f.group_id AND g.frequency = f.frequency) > 1 AS tied FROM freq f QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY frequency DESC, candidate_order) = 1) """
+units AS (SELECT source_id, regexp_extract_all(lower(column_description), '[a-z]+') AS u FROM cat_doc), words AS (SELECT source_id, unnest(u) AS w, generate_subscripts(u, 1) AS pos FROM units),
+freq AS (SELECT group_id, candidate, candidate_order, count(w) AS frequency FROM syn LEFT JOIN words ON w = candidate GROUP BY ALL),
+pref AS (SELECT group_id, candidate AS selected_term, frequency, (SELECT count(*) FROM freq g WHERE g.group_id = f.group_id AND g.frequency = f.frequency) > 1 AS tied FROM freq f QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY frequency DESC, candidate) = 1) """
 _query("e06_synonym_frequency", "cat_doc", lambda df: terms.synonym_frequency(_units(df), _synonyms(df)), SYN + "SELECT * FROM freq")
-_query("f04_preferred_term", "cat_doc", lambda df: terms.select_preferred_term(terms.synonym_frequency(_units(df), _synonyms(df))), SYN + "SELECT *, CASE WHEN tied THEN 'first_listed' ELSE 'frequency' END AS selection_source FROM pref")
-_query("i10_reconcile_terms", "cat_doc", lambda df: terms.reconcile_terms(_units(df), _synonyms(df)), SYN + """, m AS (SELECT candidate, selected_term FROM syn JOIN pref USING (group_id)), e AS (SELECT source_id, unnest(u) AS w, generate_subscripts(u, 1) AS pos FROM units)
-SELECT source_id, string_agg(coalesce(selected_term, w), '' ORDER BY pos) AS name, count_if(coalesce(selected_term, w) <> w) AS replaced FROM e LEFT JOIN m ON candidate = w GROUP BY source_id""")
-_query("h13_h17_comment_issues", "cat_part", lambda df: terms.comment_issues(df.select("source_id", desc(), desc().alias("original_description"), F.when(F.col("row_no") % 3 != 0, desc()).alias("name"), F.lit("유지").alias("action"), F.lit("").alias("reason"))), "SELECT source_id, unnest(CASE WHEN row_no % 3 = 0 THEN ['empty_korean_attribute_name'] ELSE ['whitespace_not_allowed', 'english_not_allowed'] END) AS code FROM cat_part")
+_query("f04_preferred_term", "cat_doc", lambda df: terms.select_preferred_term(terms.synonym_frequency(_units(df), _synonyms(df))), SYN + "SELECT *, CASE WHEN tied THEN 'deterministic_fallback' ELSE 'frequency' END AS selection_source FROM pref")
+_query("i10_reconcile_terms", "cat_doc", lambda df: terms.reconcile_terms(_units(df), _synonyms(df))[0].select("source_id", "name", "replaced"), SYN + """, m AS (SELECT candidate, selected_term FROM syn JOIN pref USING (group_id))
+SELECT source_id, coalesce(string_agg(coalesce(selected_term, w), '' ORDER BY pos), '') AS name, CAST(count_if(coalesce(selected_term, w) <> w) AS INT) AS replaced FROM units LEFT JOIN words USING (source_id) LEFT JOIN m ON candidate = w GROUP BY source_id""")
+_query("i10_decisions", "cat_doc", lambda df: terms.reconcile_terms(_units(df), _synonyms(df))[1].drop("frequencies"), SYN + "SELECT DISTINCT source_id, group_id, selected_term, frequency, tied, CASE WHEN tied THEN 'deterministic_fallback' ELSE 'frequency' END AS selection_source FROM words JOIN syn ON w = candidate JOIN pref USING (group_id)")
+_query("e08_surface_sources", "cat_doc", lambda df: terms.surface_sources(df, ["the", "that", "then"]), "SELECT term, source_id, count(*) AS n FROM (SELECT source_id, unnest(regexp_extract_all(column_description, 'that|then|the')) AS term FROM cat_doc) GROUP BY ALL")
+_query("h13_h17_comment_issues", "cat_part", lambda df: terms.comment_issues(df.select("source_id", desc(), desc().alias("original_description"), F.when(F.col("row_no") % 3 != 0, desc()).alias("name"), F.lit("유지").alias("action"), F.lit("").alias("reason"))).select("source_id", "code"), "SELECT source_id, unnest(CASE WHEN row_no % 3 = 0 THEN ['empty_korean_attribute_name'] ELSE ['whitespace_not_allowed', 'english_not_allowed'] END) AS code FROM cat_part")
 _query("a05_read_dictionary", "dict_part", catalog.read_dictionary, "SELECT * FROM dict_part")
 _query("a09_read_ratings", "ratings", lambda df: review.read_ratings(df, ["clarity", "tone"])[0], "SELECT source_id, 'clarity' AS dimension, clarity AS rating FROM ratings UNION ALL SELECT source_id, 'tone', tone FROM ratings")
 _query(
