@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from .core import issue, missing, union_issues
+from .core import issue, missing, required_minus_present, union_issues
 
 
 def component_issues(sources: DataFrame, results: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -132,3 +132,45 @@ def score_observations(ratings: DataFrame, rubric: DataFrame, facts: DataFrame,
     bad = (F.col("failed_checks") > 0) | (F.col("reviewed") != F.col("expected")) | (F.col("expected") <= 0)
     score = F.round(F.least("raw", F.when(F.col("critical") > 0, 69.0), F.when(bad, 59.0)), 2)
     return sums.join(facts, "review").select("review", F.round("raw", 2).alias("raw"), score.alias("score"), ((score >= passing) & (F.col("lowest") >= least) & (F.col("critical") == 0) & ~bad).alias("passed"))
+
+
+def description_evidence(candidates: DataFrame, sources: DataFrame, word: str = "korean_word", texts: tuple[str, ...] = ("column_description", "table_description")) -> DataFrame:
+    """Candidates of which the word, without spaces and the like, stands in one of their source's texts."""
+    rows = candidates.join(sources.select("source_id", *texts), "source_id")
+    key = X.normalize_korean_key(F.col(word))
+    said = reduce(lambda a, c: a | F.coalesce(F.contains(X.normalize_korean_key(F.col(c)), key), F.lit(False)), texts, F.lit(False))
+    return rows.filter((key != "") & said).select(*candidates.columns)
+
+
+def references(commented: DataFrame) -> DataFrame:
+    """column_name and reference: the comment of names that have exactly one, and how many rows have it."""
+    per = commented.groupBy("column_name", "column_description").agg(F.count("*").alias("n"))
+    return per.groupBy("column_name").agg(F.count("*").alias("k"), F.min("column_description").alias("reference"), F.sum("n").alias("n")).filter("k = 1").drop("k")
+
+
+def terminology_audit(sources: DataFrame, names: DataFrame, synonyms: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decisions checked against the texts: group_id and code.
+
+    sources: source_id, column_description; names: source_id, name; decisions: group_id, selected_term,
+    frequencies (map), tied. Each group's candidates are counted anew in the descriptions, longest first.
+    frequency_mismatch, tie_mismatch, selected_not_most_frequent, group_missing (it occurs, but nothing was
+    decided), selected_term_absent (no name holds it)."""
+    groups = [(r["group_id"], r["c"]) for r in synonyms.groupBy("group_id").agg(F.array_sort(F.collect_list("candidate")).alias("c")).collect()]  # rules, written by hand
+    found = [F.struct(F.lit(g).alias("group_id"), F.regexp_extract_all("column_description", F.lit("(" + "|".join(f"\\Q{t}\\E" for t in sorted(c, key=lambda t: (-len(t), t))) + ")"), 1).alias("t")) for g, c in groups]
+    each = sources.select(F.explode(F.array(*found)).alias("f")).select("f.group_id", F.explode("f.t").alias("candidate"))
+    counts = synonyms.select("group_id", "candidate").join(each.groupBy("group_id", "candidate").agg(F.count("*").alias("n")), ["group_id", "candidate"], "left").fillna(0)
+    anew = counts.groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("candidate", "n")))).alias("counts"), F.max("n").alias("top"))
+    rows = decisions.select("group_id", "selected_term", F.transform_values("frequencies", lambda _, n: n.cast("long")).alias("frequencies"), "tied").join(anew, "group_id")
+    winners = F.size(F.map_filter("counts", lambda _, n: n == F.col("top")))
+    same = F.array_sort(F.map_entries("counts")) == F.array_sort(F.map_entries("frequencies"))
+    row = lambda df, code: df.select("group_id", F.lit(code).alias("code"))
+    terms = rows.select("group_id", "selected_term").distinct()
+    held = names.select(F.explode(F.array(*[F.when(F.contains("name", F.lit(t)), t) for t in sorted({t for _, c in groups for t in c})])).alias("selected_term")).distinct()
+    return (
+        row(rows.filter(~same), "frequency_mismatch")
+        .unionByName(row(rows.filter(F.col("tied") != (winners > 1)), "tie_mismatch"))
+        .unionByName(row(rows.filter(F.coalesce(F.try_element_at("counts", F.col("selected_term")), F.lit(-1)) != F.col("top")), "selected_not_most_frequent"))
+        .unionByName(row(required_minus_present(anew.filter("top > 0"), decisions, "group_id"), "group_missing"))
+        .unionByName(row(terms.join(held, "selected_term", "left_anti"), "selected_term_absent"))
+        .distinct()
+    )

@@ -66,6 +66,21 @@ def id_difference(a: DataFrame, b: DataFrame, key: str = "source_id") -> DataFra
     return both.filter("n_left != n_right")
 
 
+def required_minus_present(required: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """Values of key that are required and not present, once each."""
+    return required.select(key).subtract(present.select(key))
+
+
+def sort_output(df: DataFrame, key: str = "source_id") -> DataFrame:
+    """df in the order of the number at the end of its ids; ids without one come first, in their own order."""
+    return df.orderBy(F.expr(f"try_cast(regexp_extract({key}, '([0-9]+)$', 1) AS bigint)"), key)
+
+
+def result_stats(results: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows for each combination of keys, for each key alone and in all (null: over all of that key)."""
+    return results.cube(*keys).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
 def consistency(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """Keys with more than one distinct value: n_values and n_rows. Distinct pairs are counted first."""
     pairs = df.select(*keys, value.alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))

@@ -22,6 +22,13 @@ def canonical_dictionary(df: DataFrame) -> DataFrame:
     return best.select("abbreviation", "korean_key", "e.full_name", "e.occurrence_count")
 
 
+def canonical_lookup(candidates: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """candidates with canonical: the dictionary's full name for their abbreviation and Korean key, if it has one."""
+    known = canonical_dictionary(dictionary).select(F.col("abbreviation").alias("_a"), "korean_key", F.col("full_name").alias("canonical"))
+    rows = candidates.withColumns({"_a": X.upper_trim(F.col("abbreviation")), "korean_key": X.normalize_korean_key(F.col("korean_word"))})
+    return rows.join(known, ["_a", "korean_key"], "left").select(*candidates.columns, "canonical")
+
+
 def reconcile_full_name(candidates: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """Candidates with one full name for each (abbreviation, Korean key): the dictionary's, else that of
     most distinct sources, the smallest among equals. cause: dictionary, majority or '' (unchanged)."""

@@ -31,10 +31,46 @@ def stratified_sample(population: DataFrame, stage: str, quotas: dict[str, int],
     return chosen.unionByName(fill.select("source_id", F.lit("minimum-fill").alias("stratum"), F.lit(len(quotas)).alias("step")))
 
 
-def sample_manifest(population: DataFrame, sample: DataFrame) -> DataFrame:
-    """Sizes, and a hash over the sorted ids of the sample (bounded by its quotas)."""
-    of = sample.agg(F.count("*").alias("selected"), F.sha2(F.array_join(F.array_sort(F.collect_list("source_id")), "\n"), 256).alias("selection_sha256"))
-    return population.agg(F.count("*").alias("population")).crossJoin(of)  # one row each
+def sample_manifest(population: DataFrame, sample: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """One row for each stratum of quotas: rows available, required, selected and whether it is missing; beside
+    them the sizes of population and sample and a hash over the sorted ids of the sample, which is bounded by
+    its quotas. population: source_id, review_strata; sample: source_id, stratum."""
+    required = population.sparkSession.createDataFrame(list(quotas.items()), "stratum string, required int")
+    available = population.select(F.explode("review_strata").alias("stratum")).groupBy("stratum").agg(F.count("*").alias("available"))
+    selected = sample.groupBy("stratum").agg(F.count("*").alias("selected"))
+    rows = required.join(available, "stratum", "left").join(selected, "stratum", "left").fillna(0)
+    whole = sample.agg(F.count("*").alias("sample"), F.sha2(F.array_join(F.array_sort(F.collect_list("source_id")), "\n"), 256).alias("selection_sha256"))
+    return rows.withColumn("missing", F.col("available") == 0).crossJoin(F.broadcast(population.agg(F.count("*").alias("population")).crossJoin(whole)))  # one row
+
+
+def sample_completeness(rated: DataFrame, manifest: DataFrame, quotas: dict[str, int], minimum: int) -> DataFrame:
+    """Issues of a rated sample (pos, source_id, stratum) against its manifest (pos, source_id): code and details
+    for ids that differ or stand elsewhere, a sample under minimum, and strata short of their quota."""
+    both = manifest.withColumnRenamed("source_id", "listed").join(rated.select("pos", "source_id"), "pos", "full").filter(~F.col("listed").eqNullSafe(F.col("source_id")))
+    row = lambda df, code, c: df.select(F.lit(code).alias("code"), F.col(c).cast("string").alias("details"))
+    size = rated.agg(F.count("*").alias("n"))
+    need = rated.sparkSession.createDataFrame(list(quotas.items()), "stratum string, required int")
+    have = need.join(rated.groupBy("stratum").agg(F.count("*").alias("n")), "stratum", "left").fillna(0)
+    return (
+        row(both, "sample_order_mismatch", "pos")
+        .unionByName(row(size.filter(F.col("n") < minimum), "sample_too_small", "n"))
+        .unionByName(row(have.filter("n = 0 and required > 0"), "stratum_missing", "stratum"))
+        .unionByName(row(have.filter("n > 0 and n < required"), "stratum_short", "stratum"))
+    )
+
+
+def score_history(scores: DataFrame) -> DataFrame:
+    """scores: stage, run (in order), score, passed. Each with the change from the stage's run before it."""
+    by = Window.partitionBy("stage").orderBy("run")
+    return scores.select("stage", "run", "score", "passed", F.round(F.col("score") - F.lag("score").over(by), 6).alias("change"))
+
+
+def strata_coverage(ratings: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """ratings: review, stratum, a row for each rated row. Of each review the strata of quotas that it has rows
+    of, over all of them."""
+    wanted = F.array(*map(F.lit, sorted(quotas)))
+    seen = ratings.groupBy("review").agg(F.collect_set(F.when(F.col("stratum").isin(list(quotas)), F.col("stratum"))).alias("seen"))
+    return seen.select("review", F.round(F.size("seen") / F.size(wanted), 6).alias("coverage"), F.array_join(F.array_sort(F.array_except(wanted, "seen")), ",").alias("missing_strata"))
 
 
 def validate_rubric(rubric: DataFrame) -> DataFrame:

@@ -91,16 +91,6 @@ _query("c01_needs_generation", "cat_doc", lambda df: df.filter(X.classify_risk(d
 _query("d02_missing_results", "cat_part cand_part", lambda s, c: core.missing(s, c).select("source_id"), "SELECT source_id FROM cat_part WHERE source_id NOT IN (SELECT source_id FROM cand_part)")
 _query("d03_unknown_results", "cand_part cat_part", lambda c, s: core.missing(c, s).select("source_id", "abbreviation"), "SELECT source_id, abbreviation FROM cand_part WHERE source_id NOT IN (SELECT source_id FROM cat_part)")
 _query("d06_fan_out", "cat_part", lambda df: core.fan_out(df.select("source_id", "column_name"), core.dedup_sources(df, "mapping")), "SELECT source_id, column_name FROM cat_part")
-_query(
-    "d08_description_evidence", "cand_part cat_part",
-    lambda c, s: c.join(s, "source_id").filter(F.contains(F.upper("column_description"), F.upper("abbreviation"))).select("source_id", "abbreviation"),
-    "SELECT source_id, abbreviation FROM cand_part JOIN cat_part USING (source_id) WHERE contains(upper(column_description), abbreviation)",
-)
-_query(
-    "d11_reference_match", "cat_part",
-    lambda df: df.join(core.consistency(df, ["column_name"], desc()).select("column_name"), "column_name", "left_anti").groupBy("column_name").agg(F.first("column_description").alias("reference"), F.count("*").alias("n")),
-    "SELECT column_name, min(column_description) AS reference, count(*) AS n FROM cat_part GROUP BY column_name HAVING count(DISTINCT column_description) = 1",
-)
 
 _query("e01_aggregate_dictionary", "cand_part", D.aggregate_dictionary, "SELECT abbreviation, full_name, korean_word, count(DISTINCT source_id) AS occurrence_count FROM cand_part GROUP BY ALL")
 UNIFIED = """, votes AS (SELECT abbreviation, korean_word, full_name, count(DISTINCT source_id) AS n FROM cand_part GROUP BY ALL),
@@ -111,7 +101,6 @@ _query("e04_ambiguous_korean", "dict_part", lambda df: D.ambiguous(df, "korean_w
 _query("e05_canonical", "dict_rows", D.canonical_dictionary, "SELECT abbreviation, korean_word AS korean_key, full_name, occurrence_count FROM dict_rows")
 _query("e07_source_weights", "cat_part", lambda df: core.dedup_sources(df, "context").select("representative", "weight").distinct(), "SELECT min_by(source_id, row_no) AS representative, count(*) AS weight FROM cat_part GROUP BY column_name, table_name, table_description, data_type")
 _query("e08_surface_frequency", "cat_doc", lambda df: terms.surface_frequency(df, ["the", "that", "then"]), "SELECT term, count(*) AS n, count(DISTINCT source_id) AS n_sources FROM (SELECT source_id, unnest(regexp_extract_all(column_description, 'that|then|the')) AS term FROM cat_doc) GROUP BY term")
-_query("e10_result_stats", "cat_part", lambda df: df.groupBy("table_name", "data_type").agg(F.count("*").alias("n")), "SELECT table_name, data_type, count(*) AS n FROM cat_part GROUP BY ALL")
 _query("e11_catalog_profile", "cat_doc", lambda df: core.catalog_profile(df).select("n_rows", "names", "descriptions", "pairs", "slash_ambiguity", "numeric_sensitive"), r"SELECT count(*) AS n_rows, count(DISTINCT column_name) AS names, count(DISTINCT column_description) AS descriptions, count(DISTINCT (column_name, column_description)) AS pairs, count_if(contains(column_description, '/')) AS slash_ambiguity, count_if(regexp_matches(column_description, '[0-9]')) AS numeric_sensitive FROM cat_doc")
 _query("e12_dictionary_profile", "dict_part", D.dictionary_profile, "SELECT CAST(sum(n) AS BIGINT) AS entries, count(*) AS abbreviations, count_if(k > 1) AS ambiguous_korean, count_if(f > 1) AS ambiguous_full_name FROM (SELECT count(*) AS n, count(DISTINCT korean_word) AS k, count(DISTINCT full_name) AS f FROM dict_part GROUP BY abbreviation)")
 _query(
@@ -234,4 +223,3 @@ _query(
 c AS (SELECT *, round(least(raw, CASE WHEN major > 0.02 THEN 84.0 ELSE 1e9 END), 6) AS score FROM s)
 SELECT review, round(raw, 6) AS raw, score, round(lowest, 6) AS lowest, 0::BIGINT AS critical, score >= 85 AND lowest >= 3.5 AND major <= 0.02 AS passed FROM c""",
 )
-_query("f10_sample_manifest", "ratings", lambda df: review.sample_manifest(df, df.filter("clarity = 5").select("source_id")), "SELECT count(*) AS population, count_if(clarity = 5) AS selected, sha256(string_agg(source_id, chr(10) ORDER BY source_id) FILTER (WHERE clarity = 5)) AS selection_sha256 FROM ratings")
