@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
+import uuid
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -11,15 +12,23 @@ from ..functions import text as X
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut at the folder in spark.checkpoint.dir. Where that is unset, a temporary one on a
-    local master (tests); on a cluster, where executors would not see it, an error."""
-    sc = df.sparkSession.sparkContext
-    found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if found or not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not found and not sc.master.startswith("local"):
+    """df written as a table in the folder of spark.checkpoint.dir and read again, so that its lineage ends there
+    and it is worked out once. Where that is unset, a temporary folder on a local master (tests); on a cluster,
+    where executors would not see it, an error."""
+    spark = df.sparkSession
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        found = _own_folder()
+    path = f"{found.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def keyed(df: DataFrame, mode: str) -> DataFrame:

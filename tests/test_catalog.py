@@ -1,12 +1,16 @@
 """Cases of the catalog operators, and their queries against DuckDB on the smallest tables."""
 
+import json
+
 import pytest
 from compare import compare, connection
 from pyspark.sql import functions as F
 
 from attrium.functions import text as X
-from attrium.operators import audit, core, dictionary as D, naming as N, terms
+from attrium.operators import audit, core, dictionary as D, naming as N, proposals as P, review, terms
 from attrium.plans import more_queries as queries
+from attrium.sources import catalog
+from attrium.streaming.progress import stage_durations_stream
 
 SF = "/root/testdata/sf0.001"
 DICT = [("DT", "DATE", "일자", 10), ("HMS", "TIME", "시각", 10), ("ORG", "ORGANIZATION", "기관", 10), ("CD", "CODE", "코드", 10)]
@@ -43,6 +47,161 @@ def test_preferred_term(spark):
     assert {r["name"] for r in terms.reconcile_terms(units, syn)[0].collect()} == {"납부금"}
 
 
+SYN = [("차량", "차", 0), ("차량", "차량", 1), ("낸", "납입", 0), ("낸", "납부", 1)]
+RESULTS = "source_id string, units array<string>, weight int, original_description string, action string, reason string"
+
+
+def test_reconciled_terms_say_why(spark):
+    """Whole units only; units count, not rows; a kept row becomes normalised; decisions for groups in use."""
+    rows = [("1", ["차", "형태", "코드"], 1, "차형태코드", "유지", "kept"), ("2", ["차량", "차량"], 1, "", "재작성", "why"), ("3", ["차액"], 10, "", "유지", "kept"), ("4", [], 1, "", "유지", "kept")]
+    syn = spark.createDataFrame(SYN, "group_id string, candidate string, candidate_order int")
+    out, decisions = terms.reconcile_terms(spark.createDataFrame(rows, RESULTS), syn)
+    got = {r["source_id"]: (r["name"], r["action"], r["reason"], r["replaced"]) for r in out.collect()}
+    assert got == {"1": ("차량형태코드", "정규화", "용어 통일 빈도 기준 차량:차량 (frequency)", 1), "2": ("차량차량", "재작성", "why", 0), "3": ("차액", "유지", "kept", 0), "4": ("", "유지", "kept", 0)}
+    assert sorted((r["source_id"], r["group_id"], r["frequency"]) for r in decisions.collect()) == [("1", "차량", 2), ("2", "차량", 2)]
+
+
+def test_ties(spark):
+    """The rule first, then the row's own texts, then the order; a rule may only name a winner."""
+    syn = spark.createDataFrame(SYN, "group_id string, candidate string, candidate_order int")
+    rows = spark.createDataFrame([("1", ["차", "납입"], 5, "차량형태코드", "유지", ""), ("2", ["차량", "납부"], 5, "", "유지", "")], RESULTS)
+    of = lambda **k: {(r["source_id"], r["group_id"]): (r["selected_term"], r["selection_source"], r["tied"]) for r in terms.reconcile_terms(rows, syn, **k)[1].collect()}
+    assert of() == {("1", "차량"): ("차량", "context_evidence", True), ("1", "낸"): ("납입", "context_evidence", True), ("2", "차량"): ("차량", "context_evidence", True), ("2", "낸"): ("납부", "context_evidence", True)}
+    assert set(of(resolver=terms.first_listed).values()) == {("차", "context_resolver", True), ("납입", "context_resolver", True)}
+    even = spark.createDataFrame([("1", ["차", "차량"], 5, "", "유지", "")], RESULTS)
+    assert [tuple(r)[1:3] for r in terms.reconcile_terms(even, syn)[1].select("group_id", "selected_term", "selection_source").collect()] == [("차", "deterministic_fallback")]
+    with pytest.raises(Exception, match="none of the winners"):
+        of(resolver=lambda w: F.lit("차액"))
+
+
+def test_comment_issues(spark):
+    cases = [
+        ("a/b", "가", "재작성", "why", ["x"], {"numeric": 0}, set()),
+        ("가/나", "가나", "재작성", "why", ["x"], {}, {"slash_alternatives_not_resolved"}),
+        ("가/나", "가", "재작성", "", ["x"], {}, {"change_reason_missing", "slash_selection_evidence_missing"}),
+        ("가ゟ", "가ゟ", "유지", "", [], {}, {"invalid_character", "noncanonical_unicode"}),
+        ("가あ", "가あ", "유지", "", [], {}, {"invalid_character"}),
+        ("가1", "나2", "정규화", "why", [], {}, {"numeric_sequence_mismatch"}),
+        ("가", "나", "유지", "", [], {}, {"keep_result_changed"}),
+    ]
+    df = spark.createDataFrame([(str(i), c[0], c[0], c[1], c[2], c[3], c[4], ["added"] if i == 0 else []) for i, c in enumerate(cases)], "source_id string, column_description string, original_description string, name string, action string, reason string, review_reasons array<string>, added_concepts array<string>")
+    got = {}
+    for r in terms.comment_issues(df).collect():
+        got.setdefault(r["source_id"], set()).add(r["code"])
+    assert {str(i): c[6] | ({"semantic_scope_change_reported"} if i == 0 else set()) for i, c in enumerate(cases)} == {str(i): got.get(str(i), set()) for i in range(len(cases))}
+
+
+def test_risks(spark):
+    cases = [(None, ["empty_description"], "critical"), (" ", ["whitespace"], "medium"), ("가/나", ["slash_ambiguity", "special_symbol"], "high"), ("고객ID", [], "low"), ("IDX값1", ["english_translation_required", "numeric_sensitive"], "high"), ("ＡＢ", ["unicode_normalization", "english_translation_required"], "high"), ("가あ", ["unsupported_character"], "medium"), ("가,나", ["special_symbol"], "medium")]
+    got = spark.createDataFrame([(c[0],) for c in cases], "c string").select(X.classify_risk(F.col("c")).alias("r")).collect()
+    assert [(r["r"]["codes"], r["r"]["level"]) for r in got] == [c[1:] for c in cases]
+
+
+CATALOG = "row_no long, source_id string, column_name string, table_name string, table_description string, data_type string, column_description string"
+
+
+def test_no_row_is_lost(spark):
+    """Null tables, names without letters and null names have results; unknown tokens have the placeholder."""
+    rows = [(1, "a", "ORGCD", "T", "d", "s", ""), (2, "b", "ORGCD", None, None, None, None), (3, "c", "__", "T", "d", "s", ""), (4, "e", None, "T", "d", "s", ""), (5, "f", "XYZ_DT", "T", "d", "s", "")]
+    df, d = spark.createDataFrame(rows, CATALOG), spark.createDataFrame(DICT, "abbreviation string, full_name string, korean_word string, occurrence_count int")
+    got = {r["source_id"]: (r["english_full_name"], r["korean_attribute_name"], r["confidence"], r["review_stratum"]) for r in D.deterministic_results(df, d).collect()}
+    whole = ("ORGANIZATION CODE", "기관코드", 85, "deterministic")
+    assert got == {"a": whole, "b": whole, "c": ("__", "미정", 0, "unmapped_inference"), "e": ("", "미정", 0, "unmapped_inference"), "f": ("XYZ DATE", "미정일자", 8, "unmapped_inference")}
+    base = {r["source_id"]: (r["english_full_name"], r["korean_attribute_name"], r["confidence"]) for r in D.direct_baseline(df, d).collect()}
+    assert base == {"a": ("ORGCD", "미정", 25), "b": ("ORGCD", "미정", 25), "c": ("", "미정", 80), "e": ("", "미정", 80), "f": ("XYZ DATE", "미정일자", 25)}
+    strata = {r["source_id"]: r["review_stratum"] for r in D.assign_strata(D.deterministic_results(df, d)).collect()}
+    assert strata == {"a": "duplicate_context", "b": "duplicate_context", "c": "review_needed", "e": "review_needed", "f": "review_needed"}
+    named = {r["source_id"]: r["status"] for r in P.name_from_dictionary(df, d).collect()}
+    assert set(named) == set("abcef") and named["c"] == "검증실패"
+
+
+def test_failures_are_those_of_a_candidate(spark):
+    """One bad candidate leaves its source's good ones; a source without candidates has a row of its own."""
+    sources = spark.createDataFrame([(1, "1", "DTYN", "", "", "", "일자 여부"), (2, "2", "ZZ", "", "", "", "x")], CATALOG)
+    rows = [("1", "DT", "DATE", "일자"), ("1", "XYZ", "DATE", "일자"), ("9", "DT", "DATE", "일자")]
+    c = spark.createDataFrame(rows, "source_id string, abbreviation string, full_name string, korean_word string")
+    failed, valid = D.partition_failed(sources, c, D.mapping_issues(sources, c))
+    assert sorted(tuple(r) for r in failed.collect()) == [("1", "XYZ", "DATE", "일자", "abbreviation_not_in_column"), ("2", None, None, None, "missing_source_mapping")]
+    assert sorted(tuple(r) for r in valid.collect()) == [rows[0], rows[2]]
+
+
+def test_model_hook(spark):
+    """A batch that fails keeps its failure to itself; answers in either form are read; what isn't answered is known."""
+    df = spark.createDataFrame([(i, f"r{i}", "x") for i in range(40)], "row_no long, source_id string, request string")
+
+    def model(part):
+        if "r3" in set(part["source_id"]):
+            raise TimeoutError
+        ids = [i for i in part["source_id"] if i != "r5"]
+        return [json.dumps({"resolutions": [{"id": i, "c": [["A", "B", "가", "mapping"]]} for i in ids]})]
+
+    answers = P.propose(df, model, batch=3, buckets=8)
+    good, unread = P.decode_resolutions(answers)
+    codes = [r["failure_code"] for r in answers.collect()]
+    assert codes.count("timeout") == 1 and set(codes) == {"", "timeout"}
+    found = {r["source_id"] for r in good.collect()}
+    lost = {r["source_id"] for r in P.unanswered(df, good).collect()}
+    assert found | lost == {f"r{i}" for i in range(40)} and {"r3", "r5"} <= lost and len(lost) <= 4 and unread.count() == 1
+    assert [P.failure_code(e) for e in (ConnectionError(), ValueError(), RuntimeError(), KeyError())] == ["connection_error", "response_error", "model_error", "unexpected_error"]
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps({"glossary": [{"source": "FY", "target": "회계"}], "synonym_groups": [{"id": "g", "candidates": ["차", "차량"]}]}))
+    glossary, synonyms = catalog.read_rules(spark, str(path))
+    assert [tuple(r) for r in glossary.collect()] == [("FY", "회계")] and sorted(tuple(r) for r in synonyms.collect()) == [("g", "차", 0), ("g", "차량", 1)]
+    assert catalog.read_rules(spark, None)[0].count() == 0 == catalog.read_rules(spark, str(tmp_path / "no"), optional=True)[1].count()
+    with pytest.raises(FileNotFoundError):
+        catalog.read_rules(spark, str(tmp_path / "no"))
+    path.write_text("{\"other\": []}")
+    with pytest.raises(ValueError, match="other"):
+        catalog.read_rules(spark, str(path))
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("column name (*),note\n a_b ,x\n,\n ,y\nc,z\n")
+    good, bad = catalog.read_catalog(spark, str(tmp_path / "in.csv"), "csv", ["columnname"], "columnname", header="true")
+    assert [(r["source_id"], r["columnname"]) for r in good.collect()] == [("row-1", "A_B"), ("row-4", "C")] and [r["source_id"] for r in bad.collect()] == ["row-3"]
+    for policy, text in (("fail", "row 3 has no"), ("collect", "1 rows have no columnname: 3")):
+        with pytest.raises(ValueError, match=text):
+            catalog.read_catalog(spark, str(tmp_path / "in.csv"), "csv", ["columnname"], "columnname", policy=policy, header="true")
+    with pytest.raises(ValueError, match="missing headers: other"):
+        catalog.read_catalog(spark, str(tmp_path / "in.csv"), "csv", ["other"], "columnname", header="true")
+    catalog.write_results(good, good.select("source_id", F.lit("n").alias("name")), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).columns == ["source_id", "note", "columnname", "row_no", "name"] or spark.read.parquet(str(tmp_path / "out")).count() == 2
+    with pytest.raises(ValueError, match="differ"):
+        catalog.write_results(good, good.limit(1).select("source_id"), str(tmp_path / "bad"))
+    d = spark.createDataFrame(DICT, "abbreviation string, full_name string, korean_word string, occurrence_count int")
+    catalog.write_dictionary(d, d.limit(0), str(tmp_path / "dict"))
+    assert catalog.read_dictionary(spark.read.parquet(str(tmp_path / "dict/dictionary"))).count() == len(DICT)
+    with pytest.raises(ValueError):
+        catalog.write_dictionary(d.limit(0), d.limit(0), str(tmp_path / "none"))
+    catalog.write_population(good, str(tmp_path / "population"))
+    catalog.write_blind_sample(good.withColumn("status", F.lit("s")), ["clarity"], str(tmp_path / "blind"))
+    assert "status" not in spark.read.option("header", "true").csv(str(tmp_path / "blind")).columns
+    meta = catalog.run_metadata(spark, str(tmp_path / "in.csv"), str(tmp_path / "dict"), good.agg(F.count("*").alias("n")), {"a": "b"}).first()
+    assert meta["n"] == 2 and meta["input_bytes"] == 42 and len(meta["output_sha256"]) == 64 and meta["options"] == {"a": "b"}
+
+
+def test_rubric_and_completeness(spark):
+    rubric = lambda rows: tuple(review.validate_rubric(spark.createDataFrame(rows, "id string, weight double")).first())
+    assert rubric([("x", 60.0), ("y", 40.0)]) == (True, True) and rubric([("x", 60.0), ("x", 30.0)]) == (False, False)
+    manifest = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "pos int, source_id string")
+    rated = spark.createDataFrame([(0, "a", "en"), (1, "c", "en")], "pos int, source_id string, stratum string")
+    got = sorted(tuple(r) for r in review.sample_completeness(rated, manifest, {"en": 3, "de": 1, "fr": 0}, 3).collect())
+    assert got == [("sample_order_mismatch", "1"), ("sample_order_mismatch", "2"), ("sample_too_small", "2"), ("stratum_missing", "de"), ("stratum_short", "en")]
+
+
+def test_progress_stream(spark, tmp_path):
+    schema = "job long, stage string, ts timestamp"
+    for day in (1, 2):
+        (tmp_path / "log").mkdir(exist_ok=True)
+        (tmp_path / "log" / f"{day}.json").write_text("\n".join(json.dumps({"job": j, "stage": s, "ts": f"2026-01-0{day}T00:00:0{k}Z"}) for j in (1, 2) for k, s in enumerate("ab")))
+        stage_durations_stream(spark, str(tmp_path / "log"), schema, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    batch = core.stage_durations(spark.read.schema(schema).json(str(tmp_path / "log")))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_fan_out_keeps_rows(spark):
     df = spark.createDataFrame([(i, f"r{i}", "A" if i % 3 else None, "d", "t", "u", "v") for i in range(30)], "row_no long, source_id string, column_name string, column_description string, table_name string, table_description string, data_type string")
     for mode in ("mapping", "context", "comment"):
