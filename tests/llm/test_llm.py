@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from compare import compare, connection
 from pyspark.sql import functions as F
 
 from attrium.llm import compression, knn, langid, line_dedup, minhash, mixing, pagediff, pieces, queries, simhash, urlfilter
@@ -164,6 +165,8 @@ def test_simhash_edges(spark, edges):
     out = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(edges).collect()}
     assert {(1, 1), (2, 1), (4, 4), (5, 4), (3, 3), (None, None)} == out
     assert simhash.simhash_components(edges.limit(0)).count() == 0
+    clash = edges.withColumns({c: F.lit(1) for c in ("fp", "component_id", "n", "_text", "_appended_from", "least", "key")})
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(clash).collect()} == out
 
 
 @pytest.mark.parametrize("hot", [16, 2])
@@ -400,6 +403,33 @@ def test_pieces(spark, edges):
     assert sorted(r["text"] for r in back) == sorted(t or "" for _, t, *_ in EDGES)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query(spark, name):
+    assert compare(spark, connection(SF), SF, queries.QUERIES[name], queries.ORACLES[name]) == ""
+
+
+def test_pipeline_edges(spark):
+    """Nulls in any column, empty and long texts, repeated rows and no rows at all."""
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 30").collect()
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = [tuple(r) for r in rows]
+    rows += [(1000, None, None, None, None), (1001, "", "en", "s", 0), (None, "only one without an id, but quite a text", "en", None, 5), (1002, rows[0][1] * 60, None, "s", None), rows[3], rows[3]]
+    for rows_in in (rows, []):
+        docs = spark.createDataFrame(rows_in, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name == "near_duplicates":
+                ids = [r["doc_id"] for r in out.collect()]
+                assert len(ids) == len(set(ids))
+            if name != "pieces":
+                assert out.columns == docs.columns
+                docs = spark.createDataFrame(out.collect(), schema)
+            else:
+                assert out.count() == docs.count() and (docs.count() > 5) == bool(rows_in)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
