@@ -91,7 +91,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 9) for c in ("ratio", "probability", "weight")})
 
 
-def _op6_sql(rounds: int = 12, share: float = 0.8) -> str:
+def _op6_sql(rounds: int = 40, share: float = 0.8) -> str:
     powers = {"source": 0.5, "lang": 0.7, "topic": 1.0}
     steps, last = [], {d: f"t_{d}" for d in powers}
     for d, power in powers.items():
