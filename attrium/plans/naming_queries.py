@@ -48,11 +48,11 @@ _query(
     NAMES + "SELECT source_id, name, '재작성' AS action, CASE WHEN red THEN 55 ELSE 96 END AS confidence, CASE WHEN w1 = 'RED' THEN split_part(column_description, ' ', 1) WHEN w2 = 'RED' THEN split_part(column_description, ' ', 2) ELSE '' END AS unknown, CASE WHEN red THEN 'unknown_english' ELSE '' END AS reasons FROM n",
 )
 _query(
-    "c02_needs_review", "cat_part cand_part korean",
-    lambda s, c, k: N.needs_review(N.deterministic_names(s, glossary(k)).withColumns({x: F.array().cast("array<string>") for x in ("added_concepts", "removed_concepts")}), D.mapping_issues(s, c)),
-    ISSUES + "SELECT source_id FROM issues UNION SELECT source_id FROM cat_part WHERE list_contains(string_split(column_name, '_'), 'RED')",
+    "c02_needs_review", "cat_part cand_part dict_rows korean",
+    lambda s, c, d, k: N.needs_review(N.deterministic_names(s, glossary(k)).withColumns({x: F.array().cast("array<string>") for x in ("added_concepts", "removed_concepts")}), D.mapping_issues(s, c, d)),
+    ISSUES + "SELECT source_id FROM issues WHERE severity = 'error' UNION SELECT source_id FROM cat_part WHERE list_contains(string_split(column_name, '_'), 'RED')",
 )
-_query("c03_pending_ids", "cat_part cand_part", lambda s, c: N.pending_ids(D.mapping_issues(s, c)), ISSUES + "SELECT DISTINCT source_id FROM issues")
+_query("c03_pending_ids", "cat_part cand_part dict_rows", lambda s, c, d: N.pending_ids(D.mapping_issues(s, c, d)), ISSUES + "SELECT DISTINCT source_id FROM issues WHERE severity = 'error'")
 _query(
     "c05_accept_resolution", "cat_part korean dict_part",
     lambda c, k, d: N.accept_resolution(c, proposals(c, k), d).select("source_id", "english_full_name", "korean_attribute_name", "confidence", "review_stratum"),
