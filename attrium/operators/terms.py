@@ -114,12 +114,16 @@ def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFra
     rows = results.crossJoin(F.broadcast(rules)).withColumn("_hits", F.transform("units", lambda u: F.try_element_at("_of", u)))
     rows = rows.withColumn("_decisions", F.transform(F.array_sort(F.array_distinct(F.array_compact("_hits"))), lambda g: X.let(F.try_element_at("_rules", g), decision)))
     to = F.map_from_arrays(F.transform("_decisions", lambda d: d["group_id"]), F.transform("_decisions", lambda d: d["selected_term"]))
-    rows = rows.withColumn("_to", to).withColumn("_new", F.transform("units", lambda u, i: F.coalesce(F.try_element_at("_to", F.get("_hits", i)), u)))
+    # bound by let(), as the optimiser would work the map out again for each unit
+    parts = F.struct(to.alias("to"), F.col("units").alias("units"), F.col("_hits").alias("hits"))
+    rows = rows.withColumn("_new", X.let(parts, lambda z: F.zip_with(z["units"], z["hits"], lambda u, h: F.coalesce(F.try_element_at(z["to"], h), u))))
     replaced = F.size(F.filter(F.zip_with("units", "_new", lambda a, b: a != b), lambda x: x))
     rows = rows.withColumn("replaced", F.coalesce(replaced, F.lit(0)))
     # a reason names the groups that changed a unit
-    changed = F.filter("_decisions", lambda d: F.exists(F.zip_with("_hits", "units", lambda h, u: h.eqNullSafe(d["group_id"]) & (u != d["selected_term"])), lambda x: F.coalesce(x, F.lit(False))))
+    replacing = F.array_distinct(F.zip_with("_hits", F.zip_with("units", "_new", lambda u, t: u != t), lambda h, x: F.when(x, h)))
+    changed = X.let(F.struct(replacing.alias("groups"), F.col("_decisions").alias("all")), lambda z: F.filter(z["all"], lambda d: F.coalesce(F.array_contains(z["groups"], d["group_id"]), F.lit(False))))
     note = F.concat(F.lit(UNIFIED), F.array_join(F.transform(changed, lambda d: F.concat(d["group_id"], F.lit(":"), d["selected_term"], F.lit(" ("), d["selection_source"], F.lit(")"))), ", "))
+    rows = rows.withColumn("_note", note)
     new = {"units": F.col("_new"), "name": F.array_join("_new", "")}
     if {"action", "reason"} <= set(results.columns):
         kept, why = F.col("action") == KEPT, F.coalesce("reason", F.lit(""))
