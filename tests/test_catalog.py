@@ -180,7 +180,7 @@ def test_sources_and_sinks(spark, tmp_path):
     catalog.write_blind_sample(good.withColumn("status", F.lit("s")), ["clarity"], str(tmp_path / "blind"))
     assert "status" not in spark.read.option("header", "true").csv(str(tmp_path / "blind")).columns
     meta = catalog.run_metadata(spark, str(tmp_path / "in.csv"), str(tmp_path / "dict"), good.agg(F.count("*").alias("n")), {"a": "b"}).first()
-    assert meta["n"] == 2 and meta["input_bytes"] == 42 and len(meta["output_sha256"]) == 64 and meta["options"] == {"a": "b"}
+    assert meta["n"] == 2 and meta["input_bytes"] == 39 and len(meta["output_sha256"]) == 64 and meta["options"] == {"a": "b"}
 
 
 def test_rubric_and_completeness(spark):
