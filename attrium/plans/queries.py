@@ -182,12 +182,12 @@ pick AS (SELECT source_id FROM strata WHERE NOT dup AND NOT (own = 'deterministi
 done AS (SELECT *, CASE WHEN source_id IN (SELECT source_id FROM pick) THEN 'review_needed' ELSE s1 END AS review_stratum FROM strata) """
 _named = ("source_id", "english_full_name", "korean_attribute_name", "evidence", "confidence")
 _query("i05_deterministic", "cat_part dict_short", lambda c, d: D.deterministic_results(c, d).select(*_named, "review_stratum"), FIVE + "SELECT source_id, concat(f1, ' ', f2) AS english_full_name, korean AS korean_attribute_name, concat(w1, '→', f1, '→', k1, CASE WHEN o1 THEN '[inference] | ' ELSE '[mapping] | ' END, w2, '→', f2, '→', k2, CASE WHEN o2 THEN '[inference]' ELSE '[mapping]' END) AS evidence, confidence, own AS review_stratum FROM det")
-_query("f07_assign_strata", "cat_part dict_short", lambda c, d: D.assign_strata(D.deterministic_results(c, d)).select("source_id", "review_stratum"), FIVE + "SELECT source_id, review_stratum FROM done")
-_query("e13_segmentation_profile", "cat_part dict_short", lambda c, d: D.segmentation_profile(D.deterministic_results(c, d)), FIVE + "SELECT count(*) AS n_rows, count_if(NOT o1 AND NOT o2) AS segmentable, 0::BIGINT AS split_ambiguous, count_if(own = 'mapping_ambiguity') AS meaning_ambiguous, (SELECT count(DISTINCT w) FROM (SELECT w1 AS w FROM det WHERE o1 UNION ALL SELECT w2 FROM det WHERE o2)) AS unresolved_tokens FROM det")
+_query("f07_assign_strata", "cat_part dict_short", lambda c, d: D.assign_strata(core.cut(D.deterministic_results(c, d))).select("source_id", "review_stratum"), FIVE + "SELECT source_id, review_stratum FROM done")
+_query("e13_segmentation_profile", "cat_part dict_short", lambda c, d: D.segmentation_profile(core.cut(D.deterministic_results(c, d))), FIVE + "SELECT count(*) AS n_rows, count_if(NOT o1 AND NOT o2) AS segmentable, 0::BIGINT AS split_ambiguous, count_if(own = 'mapping_ambiguity') AS meaning_ambiguous, (SELECT count(DISTINCT w) FROM (SELECT w1 AS w FROM det WHERE o1 UNION ALL SELECT w2 FROM det WHERE o2)) AS unresolved_tokens FROM det")
 _query("i06_direct_baseline", "cat_part dict_short", D.direct_baseline, BEST.format(d="dict_short") + "SELECT source_id, concat(f1, ' ', f2) AS english_full_name, CASE WHEN k1 = k2 THEN k1 ELSE concat(k1, k2) END AS korean_attribute_name, CASE WHEN o1 OR o2 THEN 25 WHEN m1 OR m2 THEN 65 ELSE 80 END AS confidence, CASE WHEN o1 OR o2 THEN 'unmapped_inference' WHEN m1 OR m2 THEN 'mapping_ambiguity' ELSE 'deterministic' END AS review_stratum FROM parts")
 _query(
     "i11_apply_status", "cat_part dict_short",
-    lambda c, d: (lambda r: D.apply_status(D.assign_strata(r), D.naming_issues(r)))(D.deterministic_results(c, d)),
+    lambda c, d: (lambda r: D.apply_status(D.assign_strata(r), D.naming_issues(r)))(core.cut(D.deterministic_results(c, d))),
     FIVE + """, st AS (SELECT source_id, confidence, review_stratum, list_filter([CASE WHEN confidence < 85 THEN 'low_confidence' END, CASE WHEN contains(korean, '미정') THEN 'placeholder_korean_name' END], lambda x: x IS NOT NULL) AS codes, contains(korean, '미정') AS bad FROM done)
 SELECT source_id, CASE WHEN bad THEN '검증실패' WHEN confidence >= 85 AND review_stratum = 'deterministic' THEN '자동확정' ELSE '검토필요' END AS status, confidence, review_stratum, array_to_string(codes, ',') AS validation_codes FROM st""",
 )
