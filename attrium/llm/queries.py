@@ -7,10 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .compression import calibrate, quality_rules
+from .exact import exact_duplicates
+from .importance import importance_resample
 from .knn import voronoi_top_k
 from .langid import identify
 from .line_dedup import dedup_lines
 from .mixing import form, mix
+from .negatives import hard_negatives
 from .pagediff import extract_pages
 from .pieces import encode_pieces
 from .simhash import simhash_components
@@ -169,6 +172,85 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"), model_path())
 
 
+def op11_exact_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256."""
+    found = exact_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc.doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("doc.text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP11_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank: documents towards the distribution of benchmark."""
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# CRC32 bit by bit gives the table of bytes, and that the CRC of each feature
+OP12_SQL = """
+WITH steps AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))) AS crc_of
+), words AS MATERIALIZED (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+), features AS MATERIALIZED (
+  SELECT kind, id, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS f FROM words
+), coded AS MATERIALIZED (
+  SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM features)
+), hashed AS MATERIALIZED (
+  SELECT f, xor(4294967295, list_reduce([4294967295] || list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  FROM coded, steps
+), counted AS MATERIALIZED (
+  SELECT kind, id, bucket, count(*) AS n FROM features JOIN hashed USING (f) GROUP BY ALL
+), buckets AS (
+  SELECT range AS bucket, coalesce(s, 0) AS s, coalesce(t, 0) AS t FROM range(10000)
+  LEFT JOIN (SELECT bucket, sum(n) FILTER (WHERE kind = 'd') AS s, sum(n) FILTER (WHERE kind = 'b') AS t FROM counted GROUP BY bucket) ON bucket = range
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM buckets
+), weighed AS (
+  SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM counted JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY id
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents LEFT JOIN weighed ON id = doc_id
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS total FROM scored WHERE n_features >= 39
+)
+SELECT scored.*, CASE WHEN r <= 25 * total // 100 THEN r END AS rank FROM scored LEFT JOIN placed USING (doc_id)
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+OP13_SQL = """
+WITH ok AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, s.vec_id, a.label = s.label AS same, CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(s.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM ok a JOIN ok s ON a.vec_id % 50 = 0 AND a.vec_id <> s.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -182,6 +264,9 @@ QUERIES = {
         op8_url_filter,
         op9_warc_chain,
         op10_pieces,
+        op11_exact_fingerprints,
+        op12_importance_resample,
+        op13_hard_negatives,
     )
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op5_voronoi_topk": OP5_SQL, "op6_mix_sources": _op6_sql(), "op9_warc_chain": OP9_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_voronoi_topk": OP5_SQL, "op6_mix_sources": _op6_sql(), "op9_warc_chain": OP9_SQL, "op11_exact_fingerprints": OP11_SQL, "op12_importance_resample": OP12_SQL, "op13_hard_negatives": OP13_SQL}
