@@ -194,9 +194,43 @@ def test_stage_finds_all_similar_texts(spark, monkeypatch, hot):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     order = lambda pairs: sorted(pairs, key=repr)
     assert order(tuple(r) for r in minhash.near_duplicates(docs).collect()) == order((i, ids[part[k]]) for k, (i, _) in enumerate(rows))
-    kept = set(ids.values())
-    assert order(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == order(r for r in rows if r[0] in kept)
-    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    # of each component the row with the smallest id stays, the first of those that repeat it; without id comes last
+    first = [min((i for i in range(len(rows)) if part[i] == c), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)) for c in set(part)]
+    assert order(tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == order(rows[i] for i in first)
+
+
+def test_stage_chooses_rows_not_ids(spark):
+    import corpus_pipeline
+
+    a, z = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    for rows, want in (
+        ([(0, a), (1, a), (1, z)], [(0, a), (1, z)]),
+        ([(0, a), (None, a), (None, z)], [(0, a), (None, z)]),
+        ([(None, a), (None, a), (None, z), (3, z)], [(None, a), (3, z)]),
+        ([(5, a), (5, a), (2, "")], [(5, a), (2, "")]),
+        ([], []),
+    ):
+        docs = spark.createDataFrame([(*r, {"k": 1}, 7, "x") for r in rows], "doc_id long, text string, doc map<string,int>, row int, a string")
+        found = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert found.columns == docs.columns and sorted((tuple(r)[:2] for r in found.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_set_join_finds_all_similar_sets(spark):
+    """Near copies of one text, which share most of their shingles, and texts of some words only."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(rng.randrange(9)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(40)}"
+        texts.append(" ".join(words[: rng.choice([150, 150, 140, 125])]))
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    sets = [minhash.shingles(t) for t in texts]
+    root = [rng.randrange(40) for _ in texts]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if root[i] != root[j] and minhash.similar(sets[i], sets[j])}
+    found = [tuple(r) for r in minhash._set_pairs(spark.createDataFrame([(i, root[i], t) for i, t in enumerate(texts)], "node long, root long, text string")).collect()]
+    assert want <= set(found) and len(found) == len(set(found)) < 2 * len(want) and len(want) > 300
 
 
 def test_language_held_out(spark):
