@@ -20,6 +20,7 @@ from .store import append_columns, stored
 DIM = 1 << 16  # trigram buckets
 SMOOTH = 0.05  # added to each bucket's count
 NEAR = 0.1  # log likelihood that expectation-maximisation may lie below the greatest when it ends
+CLIMBS = 200  # steps of a climb at most
 LANGUAGES = 400  # of a model at most: 100 MB
 PENALTY = 0.02  # log likelihood a trigram that each further language must gain, beside half the log of their number
 
@@ -87,17 +88,56 @@ def train(labelled: DataFrame, docs_per_lang: int = 10_000) -> tuple[list[str],
     return [r["lang"] for r in rows], np.stack([np.frombuffer(r["p"], np.float32) for r in rows]).astype(np.float64) if rows else np.zeros((0, DIM))
 
 
+def _climb(p: np.ndarray, n: np.ndarray, w: np.ndarray, near: float) -> np.ndarray:
+    """Better proportions of a few languages: expectation-maximisation, speeded up by Newton steps to the edge of
+    what is allowed. It ends when no mixture of them is more than `near` better, or after CLIMBS steps."""
+    total = n.sum()
+    for _ in range(CLIMBS):
+        mixed = w @ p
+        slope = p @ (n / mixed)
+        if slope.max() - total <= near:
+            break
+        now = n @ np.log(mixed)
+        free = (w > 0) | (slope > total)
+        f = p[free]
+        k = len(f)
+        curve = np.ones((k + 1, k + 1))
+        curve[:k, :k] = (f * (n / mixed**2)) @ f.T
+        curve[:k, :k] += np.eye(k) * 1e-9 * np.trace(curve[:k, :k]) / k
+        curve[k, k] = 0
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(curve, np.append(slope[free] - total, 0))[:k]
+        down = step < 0
+        far = min(1.0, float((w[down] / -step[down]).min(initial=1.0)))
+        new = w * slope / total  # what expectation-maximisation gives
+        if far > 1e-3:
+            there = np.maximum(0, w + far * step)
+            there[there < 1e-12] = 0
+            there /= there.sum()
+            if n @ np.log(there @ p) > max(now, n @ np.log(new @ p)):
+                new = there
+        w = new
+    return w
+
+
 def _em(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     """Proportions of the languages in p (one row each), and the log likelihood. It ends when no mixture of
-    these languages is more than NEAR better: the likelihood is concave, so its steepest slope bounds that."""
-    w = np.full(len(p), 1 / len(p))
-    total = n.sum()
-    while True:
+    these languages is more than NEAR better: the likelihood is concave, so its steepest slope bounds that. Languages come
+    in one at a time, the steepest first, and those without a share go, so few are weighed at once."""
+    total, every = n.sum(), len(p)
+    w = np.zeros(every)
+    w[np.argmax(np.log(p) @ n)] = 1
+    for _ in range(3 * every + 10):
         mixed = w @ p
         slope = p @ (n / mixed)
         if slope.max() - total <= NEAR:
-            return w, float(n @ np.log(mixed))
-        w = w * slope / total
+            break
+        inside = np.flatnonzero(w > 0)
+        new = np.union1d(inside, [np.argmax(slope)])
+        start = w[new] * 0.9 + 0.1 * (new == np.argmax(slope))
+        w = np.zeros(every)
+        w[new] = _climb(p[new], n, start / start.sum(), NEAR / 2)
+    return w, float(n @ np.log(w @ p))
 
 
 def mixture(counts: np.ndarray, at: np.ndarray, p: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,24 +146,42 @@ def mixture(counts: np.ndarray, at: np.ndarray, p: np.ndarray, logp: np.ndarray)
 
     The set has the greatest likelihood less the penalty. It grows from the best language by additions; then
     languages are dropped or exchanged as long as that gains. No set is tried that cannot gain: a mixture of k
-    languages is at best as likely as that of all."""
+    languages is at best as likely as that of all, and one more language adds at most what its slope is over the
+    number of trigrams."""
     own, part, n = logp[:, at] @ counts, p[:, at], counts.sum()
     every, top = _em(part, counts)
     least = PENALTY * n + 0.5 * np.log(n)
     known: dict[tuple[int, ...], tuple[np.ndarray, float]] = {}
+    slopes: dict[tuple[int, ...], np.ndarray] = {}
 
     def value(chosen: tuple[int, ...]) -> float:
         if chosen not in known:
             known[chosen] = (np.ones(1), float(own[chosen[0]])) if len(chosen) == 1 else _em(part[list(chosen)], counts)
         return known[chosen][1] - least * len(chosen)
 
+    def with_one_more(chosen: tuple[int, ...]) -> np.ndarray:
+        """A bound of the value of the set with each language added."""
+        if not chosen:
+            return own - least
+        before = value(chosen)
+        if chosen not in slopes:
+            slopes[chosen] = part @ (counts / (known[chosen][0] @ part[list(chosen)]))
+        return before + np.maximum(slopes[chosen] - n, 0) + NEAR - least
+
     best = (int(np.argmax(own)),)
     gained = top + NEAR - 2 * least > value(best)
     while gained:
         gained, rest = False, [k for k in np.argsort(-every, kind="stable").tolist() if k not in best]
-        others = [tuple(sorted((*best, k))) for k in rest] if top + NEAR - least * (len(best) + 1) > value(best) else []
-        others += [tuple(x for x in best if x != out) for out in best if len(best) > 1]
-        others += [tuple(sorted({*best, k} - {out})) for k in rest for out in best] if top + NEAR - least * len(best) > value(best) else []
+        others = []
+        if top + NEAR - least * (len(best) + 1) > value(best):
+            may = with_one_more(best)
+            others += [tuple(sorted((*best, k))) for k in rest if may[k] > value(best)]
+        less = [tuple(x for x in best if x != out) for out in best]
+        others += [x for x in less if x]
+        if top + NEAR - least * len(best) > value(best):
+            for x in less:
+                may = with_one_more(x)
+                others += [tuple(sorted((*x, k))) for k in rest if may[k] > value(best)]
         for chosen in others:
             if value(chosen) > value(best):
                 best, gained = chosen, True

@@ -91,7 +91,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its raked ratio, probability, weight, whether it is kept, and copies."""
     found = mix(_table(spark, sf_dir, "documents"), form(F.col("text")))
-    return found.withColumns({c: F.round(c, 9) for c in ("ratio", "probability", "weight")})
+    return found.drop("settled").withColumns({c: F.round(c, 9) for c in ("ratio", "probability", "weight")})
 
 
 def _op6_sql(rounds: int = 40, share: float = 0.8) -> str:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -268,6 +269,22 @@ def test_every_language_is_weighed():
     assert every[1] > every[2] and chosen.tolist() == [0, 2]
 
 
+def test_time_with_many_similar_languages():
+    """A hundred languages that hardly differ, and a text of a million trigrams."""
+    rng = np.random.default_rng(2)
+    base = rng.dirichlet(np.full(langid.DIM, 0.1)) + 1e-7
+    p = np.stack([base * rng.uniform(0.95, 1.05, langid.DIM) for _ in range(100)])
+    p /= p.sum(axis=1, keepdims=True)
+    counts = rng.multinomial(1_000_000, 0.6 * p[3] + 0.4 * p[70]).astype(float)
+    at = np.flatnonzero(counts)
+    began = time.process_time()
+    every, chosen, _ = langid.mixture(counts[at], at, p, np.log(p))
+    assert time.process_time() - began < 60 and len(chosen) == 1 and every.sum() == pytest.approx(1)
+    # no mixture is much better
+    mixed = every @ p[:, at]
+    assert (p[:, at] @ (counts[at] / mixed)).max() - counts.sum() <= 1
+
+
 def brute_top_k(rows, dim, every, k=5):
     ints = {i: [int(np.floor(256 * x)) for x in v] + [0] * (dim - len(v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     held = lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
@@ -351,6 +368,39 @@ def test_raking_meets_marginals(spark, edges):
     assert mixing.mix(edges.limit(0), F.lit("t")).count() == 0
 
 
+@pytest.mark.parametrize("most", [mixing.CELLS, 0])
+def test_raking_goes_on_until_targets_are_met(spark, monkeypatch, most):
+    """Cells that are hard to balance are, and targets out of reach are told."""
+    monkeypatch.setattr(mixing, "CELLS", most)
+
+    def raked(tokens, shares):
+        cells = spark.createDataFrame([("ab"[i], "xy"[j], tokens[i][j]) for i in range(2) for j in range(2)], "source string, lang string, tokens long")
+        total = sum(map(sum, tokens))
+        wanted = {d: spark.createDataFrame([(v, s * total) for v, s in zip(names, of, strict=True)], f"{d} string, target double") for d, names, of in (("source", "ab", shares[0]), ("lang", "xy", shares[1]))}
+        out = mixing.rake(cells, wanted).toPandas()
+        out["w"] = out["tokens"] * out["ratio"] / total
+        return out.groupby("source")["w"].sum().tolist(), out.groupby("lang")["w"].sum().tolist(), set(out["settled"])
+
+    hard = [[100_000, 100], [100, 100_000]] if most else [[300, 100], [100, 300]]
+    by_source, by_lang, settled = raked(hard, ([0.8, 0.2], [0.2, 0.8]))
+    assert by_source == pytest.approx([0.8, 0.2], rel=1e-7) and by_lang == pytest.approx([0.2, 0.8], rel=1e-7) and settled == {True}
+    if most:
+        by_source, by_lang, settled = raked([[100, 0], [0, 100]], ([0.8, 0.2], [0.2, 0.8]))
+        assert by_lang == pytest.approx([0.2, 0.8]) and settled == {False}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ("_lines", "_lid_score", "_lid_lang_pred", "_cell", "cell", "doc", "row", "copies", "ratio", "_key")
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 40")
+    docs = rows.withColumns({n: F.create_map(F.lit(n), "doc_id") for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {tuple(next(iter(r[n].items())) for n in names) for r in out.collect()} <= {tuple((n, i) for n in names) for i in range(40)}
+
+
 PAGE = "<html><head><title>T</title><script>var t='</p>';</script></head><body><div>Site of all things</div><header>Top</header><div class='ad big'>Buy</div>{}<section id=comments><p>me too</p></section><div>Imprint and terms</div><footer>foot</footer></body>"
 
 
