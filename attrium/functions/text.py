@@ -78,7 +78,9 @@ def symbols_in(c: Column) -> Column:
 
 
 def is_valid_name(c: Column, mode: str = "dictionary") -> Column:
-    """dictionary: Hangul syllables and digits only; comment: not empty and no forbidden character."""
+    """dictionary: Hangul syllables and digits only; audit: `ID` beside them, or alone; comment: not empty and no forbidden character."""
+    if mode == "audit":
+        return F.coalesce((c == "ID") | F.rlike(F.replace(c, F.lit("ID"), F.lit("")), F.lit(r"^[\x{AC00}-\x{D7A3}0-9]+$")), F.lit(False))
     if mode == "dictionary":
         return F.coalesce(F.rlike(c, F.lit(r"^[\x{AC00}-\x{D7A3}0-9]+$")), F.lit(False))
     return F.coalesce((c != "") & (F.size(forbidden_characters(c)) == 0), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 from .core import issue, missing, required_minus_present, union_issues
+from .matching import find_terms
 
 
 def component_issues(sources: DataFrame, results: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -26,13 +27,19 @@ def component_issues(sources: DataFrame, results: DataFrame, dictionary: DataFra
     )
 
 
+CONTEXT = ["column_name", "table_name", "table_description", "data_type"]
+
+
+def context_findings(rows: DataFrame) -> DataFrame:
+    """Contexts (name, table, its description, type) with more than one result, and what is found: code, severity."""
+    pairs = rows.select(*CONTEXT, "english_full_name", "korean_attribute_name").distinct()
+    return pairs.groupBy(*CONTEXT).agg(F.count("*").alias("n_values")).filter("n_values > 1").select(*CONTEXT, F.lit("inconsistent_context_result").alias("code"), F.lit("error").alias("severity"), F.concat_ws(" / ", *CONTEXT).alias("details"))
+
+
 def context_issues(sources: DataFrame, results: DataFrame) -> DataFrame:
-    """Contexts (name, table, its description, type) with more than one result. No source_id: a finding on
-    the whole, which changes no row's status."""
-    key = ["column_name", "table_name", "table_description", "data_type"]
-    rows = sources.select("source_id", *key).join(results.select("source_id", "english_full_name", "korean_attribute_name"), "source_id")
-    pairs = rows.select(*key, "english_full_name", "korean_attribute_name").distinct()
-    return pairs.groupBy(*key).agg(F.count("*").alias("n_values")).filter("n_values > 1").select(F.lit(None).cast("string").alias("source_id"), F.lit("inconsistent_context_result").alias("code"), F.lit("error").alias("severity"), F.concat_ws(" / ", *key).alias("details"))
+    """Contexts with more than one result. No source_id: a finding on the whole, which changes no row's status."""
+    rows = sources.select("source_id", *CONTEXT).join(results.select("source_id", "english_full_name", "korean_attribute_name"), "source_id")
+    return context_findings(rows).select(F.lit(None).cast("string").alias("source_id"), "code", "severity", "details")
 
 
 def set_issues(sources: DataFrame, results: DataFrame) -> DataFrame:
@@ -154,23 +161,134 @@ def terminology_audit(sources: DataFrame, names: DataFrame, synonyms: DataFrame,
     sources: source_id, column_description; names: source_id, name; decisions: group_id, selected_term,
     frequencies (map), tied. Each group's candidates are counted anew in the descriptions, longest first.
     frequency_mismatch, tie_mismatch, selected_not_most_frequent, group_missing (it occurs, but nothing was
-    decided), selected_term_absent (no name holds it)."""
-    groups = [(r["group_id"], r["c"]) for r in synonyms.groupBy("group_id").agg(F.array_sort(F.collect_list("candidate")).alias("c")).collect()]  # rules, written by hand
-    found = [F.struct(F.lit(g).alias("group_id"), F.regexp_extract_all("column_description", F.lit("(" + "|".join(f"\\Q{t}\\E" for t in sorted(c, key=lambda t: (-len(t), t))) + ")"), 1).alias("t")) for g, c in groups]
-    each = sources.select(F.explode(F.array(*found)).alias("f")).select("f.group_id", F.explode("f.t").alias("candidate"))
-    counts = synonyms.select("group_id", "candidate").join(each.groupBy("group_id", "candidate").agg(F.count("*").alias("n")), ["group_id", "candidate"], "left").fillna(0)
-    anew = counts.groupBy("group_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("candidate", "n")))).alias("counts"), F.max("n").alias("top"))
-    rows = decisions.select("group_id", "selected_term", F.transform_values("frequencies", lambda _, n: n.cast("long")).alias("frequencies"), "tied").join(anew, "group_id")
-    winners = F.size(F.map_filter("counts", lambda _, n: n == F.col("top")))
-    same = F.array_sort(F.map_entries("counts")) == F.array_sort(F.map_entries("frequencies"))
+    decided), candidates_mismatch (frequencies are of other terms than the rules'), selected_term_absent (no name holds
+    it)."""
+    each = find_terms(sources, synonyms)
+    counts = synonyms.select("group_id", "candidate").distinct().join(each.groupBy("group_id", "candidate").agg(F.count("*").alias("n")), ["group_id", "candidate"], "left").fillna(0)
+    groups = counts.groupBy("group_id").agg(F.max("n").alias("top"))
+    winners = counts.join(groups, "group_id").filter("n = top").groupBy("group_id").agg(F.count("*").alias("k"))
+    decided = decisions.select("group_id", "selected_term", "tied").join(groups, "group_id").join(winners, "group_id")
+    said = decisions.select("group_id", F.explode("frequencies").alias("candidate", "said")).withColumn("listed", F.lit(True))
+    both = counts.join(decisions.select("group_id").distinct(), "group_id", "left_semi").withColumn("ruled", F.lit(True)).join(said, ["group_id", "candidate"], "full")
     row = lambda df, code: df.select("group_id", F.lit(code).alias("code"))
-    terms = rows.select("group_id", "selected_term").distinct()
-    held = names.select(F.explode(F.array(*[F.when(F.contains("name", F.lit(t)), t) for t in sorted({t for _, c in groups for t in c})])).alias("selected_term")).distinct()
+    selected = decisions.select("group_id", F.col("selected_term").alias("candidate"))
+    chosen = selected.join(counts, ["group_id", "candidate"], "left").join(groups, "group_id")
+    terms = selected.join(groups, "group_id", "left_semi").distinct()
+    held = find_terms(names, terms.select("candidate", F.col("candidate").alias("group_id")), "name").select("candidate").distinct()
     return (
-        row(rows.filter(~same), "frequency_mismatch")
-        .unionByName(row(rows.filter(F.col("tied") != (winners > 1)), "tie_mismatch"))
-        .unionByName(row(rows.filter(F.coalesce(F.try_element_at("counts", F.col("selected_term")), F.lit(-1)) != F.col("top")), "selected_not_most_frequent"))
-        .unionByName(row(required_minus_present(anew.filter("top > 0"), decisions, "group_id"), "group_missing"))
-        .unionByName(row(terms.join(held, "selected_term", "left_anti"), "selected_term_absent"))
+        row(both.filter("ruled and listed and n != said"), "frequency_mismatch")
+        .unionByName(row(both.filter("ruled is null or listed is null").join(groups, "group_id", "left_semi"), "candidates_mismatch"))
+        .unionByName(row(decided.filter(F.col("tied") != (F.col("k") > 1)), "tie_mismatch"))
+        .unionByName(row(chosen.filter("n is null or n != top"), "selected_not_most_frequent"))
+        .unionByName(row(required_minus_present(groups.filter("top > 0"), decisions, "group_id"), "group_missing"))
+        .unionByName(row(terms.join(held, "candidate", "left_anti"), "selected_term_absent"))
         .distinct()
     )
+
+
+def affected_issues(sources: DataFrame, names: DataFrame, synonyms: DataFrame, decisions: DataFrame, affected: DataFrame) -> DataFrame:
+    """The rows that decisions say they affect, checked against the texts: group_id, source_id and code.
+
+    affected: group_id, source_id, a row for each. affected_missing (its description holds a candidate, but it isn't
+    listed), affected_extra (listed, and it doesn't), affected_twice, affected_unknown (no such name),
+    selected_term_absent (listed, and its name doesn't hold the selected term)."""
+    key = ["group_id", "source_id"]
+    listed = affected.groupBy(*key).agg(F.count("*").alias("n"))
+    anew = find_terms(sources, synonyms).select(*key).distinct()
+    row = lambda df, code: df.select(*key, F.lit(code).alias("code"))
+    decided = decisions.select("group_id").distinct()
+    known = listed.join(names.select("source_id", "name"), "source_id").join(decisions.select("group_id", "selected_term"), "group_id")
+    return (
+        row(anew.join(decided, "group_id", "left_semi").join(listed, key, "left_anti"), "affected_missing")
+        .unionByName(row(listed.join(anew, key, "left_anti"), "affected_extra"))
+        .unionByName(row(listed.filter("n > 1"), "affected_twice"))
+        .unionByName(row(missing(listed, names), "affected_unknown"))
+        .unionByName(row(known.filter(~F.coalesce(F.contains("name", F.col("selected_term")), F.lit(False))), "selected_term_absent"))
+    )
+
+
+def header_issues(original: list[str], result: list[str]) -> list[tuple[str, str]]:
+    """What happened to the headers of a table: (code, header). header_missing, header_case_changed, header_moved, and
+    header_inserted for one that was added before the end of the originals; what is added after them is fine."""
+    at = {h: i for i, h in enumerate(result)}
+    lower = {h.lower(): h for h in reversed(result)}
+    out, seen = [], []
+    for h in original:
+        if h in at:
+            seen.append(at[h])
+        elif h.lower() in lower and lower[h.lower()] not in original:
+            out.append(("header_case_changed", h))
+            seen.append(at[lower[h.lower()]])
+        else:
+            out.append(("header_missing", h))
+    kept = set(seen)
+    for k, (h, i) in enumerate(zip([h for h in original if ("header_missing", h) not in out], seen, strict=True)):
+        if sorted(seen)[k] != i:
+            out.append(("header_moved", h))
+    out += [("header_inserted", h) for i, h in enumerate(result) if i not in kept and seen and i < max(seen)]
+    return out
+
+
+#: Labels of statuses, and of what was done to a name.
+STATUSES, METHODS = ("자동확정", "검토필요", "검증실패"), ("유지", "정규화", "재작성")
+CHECKS = ("row_preservation", "required_columns_complete", "character_policy_complete", "numeric_preservation_complete", "evidence_traceable", "duplicate_consistency", "terminology_frequency_verified")
+RESULT = ("name", "action", "confidence", "status", "reason", "review_reason")
+
+
+def integrity_audit(sources: DataFrame, results: DataFrame, synonyms: DataFrame, decisions: DataFrame, affected: DataFrame) -> DataFrame:
+    """check, code, severity and source_id (null if it is about the whole) of all that is wrong with results.
+
+    sources: source_id, column_name, column_description and more; results: the columns of sources, then RESULT.
+    A result column that is missing is told, and what needs it isn't looked at. decisions and affected: see
+    terminology_audit and affected_issues."""
+    spark, originals = sources.sparkSession, sources.columns
+    found: list[DataFrame] = []
+
+    def add(check: str, df: DataFrame, code: str | Column, severity: str | Column) -> None:
+        as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+        found.append(df.select(F.lit(check).alias("check"), as_column(code).alias("code"), as_column(severity).alias("severity"), "source_id"))
+
+    def whole(check: str, codes: list[str], severity: str = "critical") -> None:
+        add(check, spark.createDataFrame([(c,) for c in codes], "code string").withColumn("source_id", F.lit(None).cast("string")), F.col("code"), severity)
+
+    whole(CHECKS[0], [code for code, _ in header_issues(originals, results.columns)])
+    n = lambda df: df.agg(F.count("*").alias("n"))
+    size = n(sources).withColumn("k", F.lit(1)).join(n(results).select(F.lit(1).alias("k"), F.col("n").alias("m")), "k").filter("n != m")
+    add(CHECKS[0], size.withColumn("source_id", F.lit(None).cast("string")), "row_count_mismatch", "critical")
+    absent = [c for c in RESULT if c not in results.columns]
+    whole(CHECKS[1], absent + [f"source {c}" for c in ("column_name", "column_description") if c not in originals])
+    kept = [c for c in originals if c != "source_id" and c in results.columns]
+    both = sources.select("source_id", *[F.col(c).alias(f"_{c}") for c in kept]).join(results, "source_id")
+    changed = F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in kept])
+    add(CHECKS[0], both.select("source_id", F.explode(F.array_compact(changed)).alias("column")), "value_changed", "critical")
+    if not absent and {"column_name", "column_description"} <= set(kept):
+        text, name = F.coalesce("_column_description", F.lit("")), F.coalesce("name", F.lit(""))
+        add(CHECKS[2], both.filter(~F.coalesce(X.is_valid_name(name, "audit"), F.lit(False))), F.when(name == "", "empty_name").otherwise("invalid_name"), F.when(name == "", "critical").otherwise("major"))
+        add(CHECKS[3], both.filter(~X.digits_preserved(text, name)), "numbers_changed", "critical")
+        status, method, why = F.coalesce("status", F.lit("")), F.coalesce("action", F.lit("")), lambda c: X.trim_all(F.coalesce(c, F.lit("")))
+        tests = {
+            "invalid_status": ~status.isin(*STATUSES),
+            "invalid_method": ~method.isin(*METHODS),
+            "confidence_out_of_range": ~F.coalesce(F.expr("try_cast(confidence AS int)").between(0, 100), F.lit(False)),
+            "keep_result_changed": (method == METHODS[0]) & (name != text),
+            "change_reason_missing": method.isin(*METHODS[1:]) & (why("reason") == ""),
+            "review_reason_missing": (status != STATUSES[0]) & (why("review_reason") == ""),
+            "review_reason_unexpected": (status == STATUSES[0]) & (why("review_reason") != ""),
+        }
+        codes = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
+        add(CHECKS[4], both.select("source_id", F.explode(codes).alias("code")), F.col("code"), F.when(F.col("code") == "review_reason_unexpected", "minor").otherwise("major"))
+        key = F.to_json(F.struct(X.normalize_column_name(F.col("_column_name")).alias("a"), X.normalize_description_key(text).alias("b")))
+        names = both.select(key.alias("key"), name.alias("name")).distinct().groupBy("key").count().filter("count > 1")
+        add(CHECKS[5], names.withColumn("source_id", F.lit(None).cast("string")), "inconsistent_names", "major")
+        own = results.select("source_id", "name")
+        add(CHECKS[6], terminology_audit(sources, own, synonyms, decisions).filter("code != 'selected_term_absent'").withColumn("source_id", F.lit(None).cast("string")), F.col("code"), "major")
+        add(CHECKS[6], affected_issues(sources, own, synonyms, decisions, affected), F.col("code"), "major")
+    return union_issues(*found)
+
+
+def integrity_summary(found: DataFrame) -> DataFrame:
+    """name, passed and failures of each of the seven checks."""
+    names = found.sparkSession.createDataFrame([(c,) for c in CHECKS], "name string")
+    counts = found.groupBy(F.col("check").alias("name")).agg(F.count("*").alias("failures"))
+    rows = names.join(counts, "name", "left").fillna(0)
+    return rows.select("name", (F.col("failures") == 0).alias("passed"), "failures")

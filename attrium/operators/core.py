@@ -6,26 +6,41 @@ import tempfile
 import uuid
 from functools import cache, reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as a table in the folder of spark.checkpoint.dir and read again, so that its lineage ends there
-    and it is worked out once. Where that is unset, a temporary folder on a local master (tests); on a cluster,
-    where executors would not see it, an error."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one on a local master (tests); on a
+    cluster, where executors would not see it, an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = _own_folder()
-    path = f"{found.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+#: All that one driver cuts lies in a folder of this name, within the shared one.
+RUN = f"attrium-cut-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again, so that its lineage ends there and it is worked out
+    once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{RUN}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Deletes all that this driver has cut; results that are still to be computed from it are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-")
@@ -64,6 +79,12 @@ def replace_rows(df: DataFrame, new: DataFrame, key: str = "source_id") -> DataF
     return missing(df, new, key).unionByName(new)
 
 
+def one_row(df: DataFrame, key: str = "source_id") -> DataFrame:
+    """One row of each key: of several the first in the order of their JSON, so that it's always the same."""
+    row = F.struct(*df.columns)
+    return df.groupBy(F.col(key).alias("_key")).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+
+
 def union_issues(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from .core import cut, fan_out, missing, replace_rows
+from .core import cut, fan_out, missing, one_row, replace_rows
+from .judging import Rule, judged, judged_again
 from .terms import Resolver, comment_issues, first_listed, reconcile_terms
 
 #: Labels of statuses and actions.
@@ -104,9 +105,10 @@ def needs_review(results: DataFrame, issues: DataFrame, decisions: DataFrame | N
 
 def accept_resolution(sources: DataFrame, proposals: DataFrame, dictionary: DataFrame) -> DataFrame:
     """proposals: source_id, components (structs of fragment, full, korean, origin). Those whose fragments
-    rebuild the column name, named; a mapping that the dictionary lacks counts as inference."""
+    rebuild the column name, named; a mapping that the dictionary lacks counts as inference. Of several proposals for
+    an id one is looked at."""
     whole = sources.select("source_id", X.compact_identifier(F.col("column_name")).alias("whole"))
-    fits = proposals.join(whole, "source_id").filter((F.size("components") > 0) & (F.array_join(F.transform("components", lambda c: c["fragment"]), "") == F.col("whole")))
+    fits = one_row(proposals.select("source_id", "components")).join(whole, "source_id").filter((F.size("components") > 0) & (F.array_join(F.transform("components", lambda c: c["fragment"]), "") == F.col("whole")))
     known = dictionary.select(F.col("abbreviation").alias("fragment"), F.col("full_name").alias("full"), F.col("korean_word").alias("korean")).distinct().withColumn("known", F.lit(True))
     parts = fits.select("source_id", F.posexplode("components").alias("pos", "c")).select("source_id", "pos", "c.*").join(known, ["fragment", "full", "korean"], "left")
     origin = F.when((F.col("origin") == "mapping") & F.col("known").isNull(), "inference").otherwise(F.col("origin"))
@@ -196,17 +198,43 @@ def finalize(results: DataFrame, issues: DataFrame, decisions: DataFrame | None
     return rows.select("source_id", confidence.alias("confidence"), status.alias("status"), F.coalesce("codes", F.lit("")).alias("codes"))
 
 
+MOST_ROUNDS = 5
+
+
+def _replaced(results: DataFrame, waiting: DataFrame, proposed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """results with one new row for each waiting id that was proposed for, and the new rows. What was proposed is
+    worked out once: it may come from a model, and must be the same for what goes and what comes."""
+    new = cut(one_row(proposed.join(waiting, "source_id", "left_semi").select(*results.columns)))
+    return cut(replace_rows(results, new)), new
+
+
 def review_loop(results: DataFrame, pending: Callable[[DataFrame], DataFrame], propose: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
     """Up to `rounds` (5 at most) rounds: pending picks the ids that need work, propose gives new rows for
-    them, which replace the old ones. Only pending rows are proposed for; each round's result is checkpointed."""
-    for _ in range(min(rounds, 5)):
-        todo = results.join(pending(results), "source_id", "left_semi")
-        if todo.isEmpty():
+    them, which replace the old ones. Only pending rows are proposed for, of several rows for an id one is taken, and
+    each round's result is written."""
+    for _ in range(min(rounds, MOST_ROUNDS)):
+        waiting = cut(ids(pending(results)))
+        if waiting.isEmpty():
             break
-        results = cut(replace_rows(results, propose(todo).join(ids(todo), "source_id", "left_semi")))
+        results, _ = _replaced(results, waiting, propose(results.join(waiting, "source_id", "left_semi")))
     return results
 
 
+def review_rounds(results: DataFrame, rules: list[Rule], propose: Callable[[DataFrame, DataFrame, int], DataFrame], rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """The same with rules that pick the ids: results and their findings. propose gets the pending rows, their findings
+    and the number of the round, from 1. After a round only what its new rows touch is judged again."""
+    found = cut(judged(results, rules))
+    for n in range(1, min(rounds, MOST_ROUNDS) + 1):
+        waiting = cut(pending_ids(found))
+        if waiting.isEmpty():
+            break
+        todo = results.join(waiting, "source_id", "left_semi")
+        after, new = _replaced(results, waiting, propose(todo, found.join(waiting, "source_id", "left_semi"), n))
+        found = cut(judged_again(found, results, after, new, rules))
+        results = after
+    return results, found
+
+
 def apply_corrections(results: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """results with checked corrections in place, and the issues of the others: duplicate_correction,
     unknown_source_id, invalid_correction. corrections: source_id, english_full_name, korean_attribute_name,

@@ -10,10 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
-from .audit import component_issues, context_issues
-from .core import batch_rows, cut, missing, replace_rows, union_issues
-from .dictionary import apply_status, assign_strata, deterministic_results, naming_issues
-from .naming import accept_resolution, ids, review_loop
+from .answers import Answers
+from .audit import component_issues, context_findings
+from .core import cut, missing, replace_rows
+from .dictionary import CONTEXT, apply_status, assign_strata, deterministic_results, naming_issues, segment_names
+from .judging import Rule
+from .naming import accept_resolution, ids, review_rounds
+
 
 COMPONENT = "struct<fragment:string,full:string,korean:string,origin:string>"
 
@@ -38,34 +41,36 @@ def encode_requests(sources: DataFrame, segments: DataFrame, dictionary: DataFra
     return rows.select("source_id", F.to_json(F.struct(source.alias("source"), F.coalesce("candidates", F.array().cast(found.schema["candidates"].dataType)).alias("candidates"), F.coalesce("mapping_options", F.create_map().cast(options.schema["mapping_options"].dataType)).alias("mapping_options"))).alias("request"))
 
 
-def failure_code(error: BaseException) -> str:
-    """The class of a failed call: timeout, connection_error, response_error, model_error or unexpected_error."""
-    if isinstance(error, TimeoutError):
-        return "timeout"
-    if isinstance(error, ConnectionError):
-        return "connection_error"
-    if isinstance(error, ValueError):  # an answer that can't be read
-        return "response_error"
-    return "model_error" if isinstance(error, RuntimeError) else "unexpected_error"
+def propose(requests: DataFrame, model: Callable[[pd.DataFrame], Iterable[str]], batch: int = 20, attempts: int = 2, answers: Answers | None = None, round_: int = 0) -> DataFrame:
+    """Asks the model for batches of at most `batch` requests (source_id, row_no, request): batch, source_ids, answer and
+    failure_code ('' if it answered). model gives one answer for each table of requests that it gets.
 
+    A batch that fails is asked again up to `attempts` times; its failure stays its own, other batches go on. Answers
+    are written once (see Answers) and read from there, however often the result is used."""
+    return (answers or Answers(requests.sparkSession)).ask(requests, model, round_, batch, attempts)
+
+
+def review_requests(requests: DataFrame, results: DataFrame, found: DataFrame, round_: int) -> DataFrame:
+    """requests (source_id, request) of rows to be looked at again: beside the first request the current result, what
+    was found wrong with it, and the round."""
+    wrong = found.filter("source_id is not null").groupBy("source_id").agg(F.array_sort(F.collect_set(F.struct("code", "severity"))).alias("issues"))
+    now = results.select("source_id", "row_no", F.struct("english_full_name", "korean_attribute_name", "confidence", "evidence").alias("current"))
+    rows = requests.join(now, "source_id").join(wrong, "source_id")
+    return rows.select("source_id", "row_no", F.to_json(F.struct("request", "current", "issues", F.lit(round_).alias("round"))).alias("request"))
 
-def propose(requests: DataFrame, model: Callable[[pd.DataFrame], Iterable[str]], batch: int = 20, buckets: int = 64, attempts: int = 2) -> DataFrame:
-    """Asks the model for batches of at most `batch` requests (source_id, row_no, request): batch, answer and
-    failure_code ('' if it answered). model gives one answer for each table of requests that it gets.
 
-    A batch that fails is asked again up to `attempts` times; its failure stays its own, other batches go on."""
-    rows = batch_rows(requests, batch, buckets).select("batch", "source_id", "request")
+def reviewer(df: DataFrame, dictionary: DataFrame, model: Callable[[pd.DataFrame], Iterable[str]], answers: Answers | None = None, batch: int = 20, attempts: int = 2) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """Asks a model about pending rows: a function for review of name_from_dictionary. With the folder of an earlier
+    run's answers, what that run had asked isn't asked again."""
+    answers = answers or Answers(df.sparkSession)
 
-    def ask(part: pd.DataFrame) -> pd.DataFrame:
-        code = ""
-        for _ in range(attempts):
-            try:
-                return pd.DataFrame({"batch": [part["batch"].iloc[0]], "answer": ["".join(model(part))], "failure_code": [""]})
-            except Exception as error:  # a model may fail in any way; the code says how
-                code = failure_code(error)
-        return pd.DataFrame({"batch": [part["batch"].iloc[0]], "answer": [None], "failure_code": [code]})
+    def review(todo: DataFrame, found: DataFrame, round_: int) -> DataFrame:
+        some = df.join(ids(todo), "source_id", "left_semi")
+        requests = encode_requests(some, segment_names(some, dictionary), dictionary)
+        asked = review_requests(requests, todo, found, round_)
+        return decode_resolutions(propose(asked, model, batch, attempts, answers, round_))[0].select("source_id", "components")
 
-    return rows.groupBy("batch").applyInPandas(ask, "batch string, answer string, failure_code string")
+    return review
 
 
 def decode_resolutions(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -98,26 +103,32 @@ def decode_resolutions(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 NAMED = ("source_id", "row_no", "column_name", "table_name", "table_description", "data_type", "english_full_name", "korean_attribute_name", "evidence", "confidence", "review_stratum", "components")
 
 
-def name_from_dictionary(df: DataFrame, dictionary: DataFrame, proposals: DataFrame | None = None, review: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 0, threshold: int = 85) -> DataFrame:
+def naming_rules(dictionary: DataFrame, threshold: int = 85) -> list[Rule]:
+    """The rules of names from a dictionary. Those on names and components look at one row, that on contexts at all
+    rows of a name in its table."""
+    return [
+        Rule("names", ("source_id",), lambda r: naming_issues(r, threshold)),
+        Rule("components", ("source_id",), lambda r: component_issues(r, r, dictionary)),
+        Rule("contexts", CONTEXT, context_findings),
+    ]
+
+
+def name_from_dictionary(df: DataFrame, dictionary: DataFrame, proposals: DataFrame | None = None, review: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None, rounds: int = 0, threshold: int = 85) -> DataFrame:
     """source_id, names, evidence, confidence, review_stratum, status and validation_codes of every row.
 
     The best segmentation names a row. Rows that it doesn't confirm take an accepted proposal (source_id,
-    components) in its place; then, in up to `rounds` rounds, rows with an error or low confidence are given
-    to review, which gives proposals again. Without proposals and review the dictionary alone decides."""
+    components) in its place; then, in up to `rounds` rounds, rows with an error or low confidence, what was found
+    in them and the round's number are given to review, which gives proposals again (see reviewer). Without proposals
+    and review the dictionary alone decides. After a round only what it changed is judged again."""
     own = cut(deterministic_results(df, dictionary).select(*NAMED))
     open_ = ~((F.col("review_stratum") == "deterministic") & (F.col("confidence") >= threshold))
     results = cut(assign_strata(own, threshold=threshold))
     if proposals is not None:
         results = cut(assign_strata(_taken(results, own.filter(open_), df, proposals, dictionary), threshold=threshold))
-
-    def issues(r: DataFrame) -> DataFrame:
-        return union_issues(naming_issues(r, threshold), component_issues(df.join(ids(r), "source_id", "left_semi"), r, dictionary).unionByName(context_issues(df, r), allowMissingColumns=True))
-
-    if review is not None and rounds:
-        pending = lambda r: ids(issues(r).filter("severity = 'error' or code = 'low_confidence'"))
-        results = review_loop(results, pending, lambda todo: _taken(todo, todo, df, review(todo), dictionary, least=86), rounds)
-    found = issues(results).filter("source_id is not null")
-    done = apply_status(results, found, threshold).select("source_id", "status", "validation_codes")
+    rules = naming_rules(dictionary, threshold)
+    asked = lambda todo, found, n: _taken(todo, todo, df, review(todo, found, n), dictionary, least=86)
+    results, found = review_rounds(results, rules, asked, rounds if review is not None else 0)
+    done = apply_status(results, found.filter("source_id is not null"), threshold).select("source_id", "status", "validation_codes")
     return results.drop("components", "row_no").join(done, "source_id")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
+from .matching import find_terms
 
 #: Labels of actions, and what a reason says of terms that were unified.
 KEPT, NORMALIZED = "유지", "정규화"
@@ -133,15 +134,15 @@ def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFra
     return out, rows.select("source_id", F.explode("_decisions").alias("d")).select("source_id", "d.*")
 
 
-def surface_sources(df: DataFrame, terms: list[str]) -> DataFrame:
-    """term, source_id, n: longest-first, non-overlapping occurrences of terms in each description."""
-    by = sorted(terms, key=lambda t: (-len(t), t))
-    pattern = "|".join(f"\\Q{t}\\E" for t in by)
-    each = df.select("source_id", F.explode(F.regexp_extract_all("column_description", F.lit(f"({pattern})"), 0)).alias("term"))
-    return each.groupBy("term", "source_id").agg(F.count("*").alias("n"))
+def surface_sources(df: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
+    """term, source_id, n: longest-first, non-overlapping occurrences of terms in each description. terms: a list, or a
+    table of candidates of any size."""
+    rules = terms.select("candidate") if isinstance(terms, DataFrame) else df.sparkSession.createDataFrame([(t,) for t in terms], "candidate string")
+    each = find_terms(df, rules.withColumn("group_id", F.lit("")))
+    return each.groupBy(F.col("candidate").alias("term"), "source_id").agg(F.count("*").alias("n"))
 
 
-def surface_frequency(df: DataFrame, terms: list[str]) -> DataFrame:
+def surface_frequency(df: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
     """Occurrences of terms in descriptions, and how many rows hold them (surface_sources has which)."""
     return surface_sources(df, terms).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("n_sources"))
 

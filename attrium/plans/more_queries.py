@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import audit, core, dictionary as D, proposals as P, review, terms
+from ..operators import audit, core, dictionary as D, naming as N, proposals as P, review, terms
 from ..sources import catalog
+from . import naming_queries as NQ
 from .naming_queries import every, proposals
 from .queries import FIVE, ORACLES, QUERIES, QUOTAS, SYN, _column, _query, _synonyms, _units, desc
 
@@ -122,3 +123,89 @@ def echo(requests: pd.DataFrame) -> Iterator[str]:
 
 
 _query("u01_propose", "cat_part", lambda df: P.decode_resolutions(P.propose(df.select("source_id", "row_no", F.col("column_name").alias("request")), echo))[0].select("source_id", "korean_attribute_name", "reason"), "SELECT source_id, '이름' AS korean_attribute_name, 'echo' AS reason FROM cat_part")
+
+
+def forty_more(requests: pd.DataFrame) -> Iterator[str]:
+    """Stands for a model: to a request that is a number, that number and forty."""
+    found = [{"id": i, "c": [["A", "N", "이름", "inference"]], "r": str(int(n) + 40)} for i, n in zip(requests["source_id"], requests["request"], strict=True)]
+    yield json.dumps({"resolutions": found})
+
+
+def _raised(todo: DataFrame) -> DataFrame:
+    given = P.decode_resolutions(P.propose(todo.withColumn("request", F.col("confidence").cast("string")), forty_more))[0]
+    return todo.drop("confidence").join(given.select("source_id", F.col("reason").cast("long").alias("confidence")), "source_id")
+
+
+_query(
+    "i14_review_loop", "cat_part",
+    lambda df: N.review_loop(df.select("source_id", "row_no", (F.col("row_no") % 100).alias("confidence")), lambda r: r.filter("confidence < 90"), _raised, 2).drop("row_no"),
+    ", a AS (SELECT source_id, CASE WHEN row_no % 100 < 90 THEN row_no % 100 + 40 ELSE row_no % 100 END AS c FROM cat_part) SELECT source_id, CASE WHEN c < 90 THEN c + 40 ELSE c END AS confidence FROM a",
+)
+
+
+GROUPS = (("g1", "the", "that"), ("g2", "of", "with"), ("g3", "none", "never"))
+
+
+def _affected(df: DataFrame) -> DataFrame:
+    """Rows that hold a candidate of a group, but for every 11th, of which the others are listed; every 17th twice, every
+    19th under another id."""
+    each = df.select("source_id", "row_no", F.explode(F.array(*[F.struct(F.lit(g).alias("group_id"), (F.contains(desc(), F.lit(a)) | F.contains(desc(), F.lit(b))).alias("holds")) for g, a, b in GROUPS])).alias("g"))
+    listed = each.filter(F.col("g.holds") != every(11)).select("g.group_id", F.when(every(19), F.concat(F.lit("x-"), "source_id")).otherwise(F.col("source_id")).alias("source_id"), "row_no")
+    return listed.unionByName(listed.filter(every(17))).drop("row_no")
+
+
+def _affected_audit(df: DataFrame) -> DataFrame:
+    frequency = terms.synonym_frequency(_units(df), _synonyms(df))
+    names = df.select("source_id", F.when(every(2), "of the never").otherwise("with that none").alias("name"))
+    return audit.affected_issues(df, names, _synonyms(df), terms.select_preferred_term(frequency), _affected(df))
+
+
+_query("h22_affected_ids", "cat_doc", _affected_audit, SYN + """, holds AS (SELECT source_id, row_no, g.group_id, contains(column_description, a) OR contains(column_description, b) AS holds FROM cat_doc, (VALUES ('g1','the','that'),('g2','of','with'),('g3','none','never')) g(group_id, a, b)),
+once AS (SELECT group_id, CASE WHEN row_no % 19 = 0 THEN concat('x-', source_id) ELSE source_id END AS source_id, row_no, row_no % 17 = 0 AS twice FROM holds WHERE holds <> (row_no % 11 = 0))
+SELECT group_id, source_id, 'affected_missing' AS code FROM holds WHERE holds AND NOT EXISTS (SELECT 1 FROM once o WHERE o.group_id = holds.group_id AND o.source_id = holds.source_id)
+UNION ALL SELECT group_id, source_id, 'affected_extra' FROM once WHERE row_no % 11 = 0 OR row_no % 19 = 0
+UNION ALL SELECT group_id, source_id, 'affected_twice' FROM once WHERE twice
+UNION ALL SELECT group_id, source_id, 'affected_unknown' FROM once WHERE row_no % 19 = 0
+UNION ALL SELECT o.group_id, o.source_id, 'selected_term_absent' FROM once o JOIN pref p USING (group_id) WHERE row_no % 19 <> 0 AND NOT contains(CASE WHEN row_no % 2 = 0 THEN 'of the never' ELSE 'with that none' END, p.selected_term)""")
+
+
+def _integrity_audit(s: DataFrame, k: DataFrame) -> DataFrame:
+    """Results with headers moved, changed and inserted, and something of everything wrong with their rows."""
+    names = NQ.N.deterministic_names(s, NQ.glossary(k)).select("source_id", "name")
+    rows = s.join(names, "source_id").withColumns(
+        {
+            "table_name": F.when(every(5), "changed").otherwise(F.col("table_name")),
+            "name": F.concat("name", F.when(every(7), "!").otherwise(""), F.when(every(8), "7").otherwise("")),
+            "action": F.when(every(3), "유지").otherwise("재작성"),
+            "confidence": F.col("row_no") % 120,
+            "status": F.when(every(6), "?").when(every(10), "검토필요").otherwise("자동확정"),
+            "reason": F.when(every(4), " ").otherwise("why"),
+            "review_reason": F.when(every(9), "x").otherwise(""),
+        }
+    )
+    results = rows.select("row_no", "source_id", "table_name", "column_name", "table_description", F.lit(1).alias("extra"), F.col("data_type").alias("DATA_TYPE"), "column_description", *audit.RESULT)
+    spark = s.sparkSession
+    synonyms = spark.createDataFrame([("g1", "small"), ("g1", "large")], "group_id string, candidate string")
+    decisions = spark.createDataFrame([("g1", "small", {"small": 0, "large": 0}, False)], "group_id string, selected_term string, frequencies map<string,long>, tied boolean")
+    found = audit.integrity_audit(s, results, synonyms, decisions, s.limit(0).select(F.lit("g1").alias("group_id"), "source_id"))
+    return found.groupBy("check", "code", "severity").agg(F.count("*").alias("n"), F.count("source_id").alias("n_rows"))
+
+
+_query("h21_integrity_audit", "cat_part korean", _integrity_audit, NQ.NAMES + """, r AS (SELECT *, concat(name, CASE WHEN row_no % 7 = 0 THEN '!' ELSE '' END, CASE WHEN row_no % 8 = 0 THEN '7' ELSE '' END) AS said FROM n),
+t AS (SELECT count(*) AS n, count_if(contains(column_description, 'small')) AS s, count_if(contains(column_description, 'large')) AS l, sum(len(regexp_extract_all(column_description, 'small'))) AS ns, sum(len(regexp_extract_all(column_description, 'large'))) AS nl, count_if(contains(column_description, 'small') OR contains(column_description, 'large')) AS held FROM r),
+f AS (SELECT 'row_preservation' AS "check", unnest(['header_moved', 'header_moved', 'header_case_changed', 'header_inserted']) AS code, 'critical' AS severity, NULL AS id
+UNION ALL SELECT 'row_preservation', 'value_changed', 'critical', source_id FROM r WHERE row_no % 5 = 0
+UNION ALL SELECT 'character_policy_complete', 'invalid_name', 'major', source_id FROM r WHERE red OR row_no % 7 = 0
+UNION ALL SELECT 'numeric_preservation_complete', 'numbers_changed', 'critical', source_id FROM r WHERE row_no % 8 = 0
+UNION ALL SELECT 'evidence_traceable', 'invalid_status', 'major', source_id FROM r WHERE row_no % 6 = 0
+UNION ALL SELECT 'evidence_traceable', 'confidence_out_of_range', 'major', source_id FROM r WHERE row_no % 120 > 100
+UNION ALL SELECT 'evidence_traceable', 'keep_result_changed', 'major', source_id FROM r WHERE row_no % 3 = 0
+UNION ALL SELECT 'evidence_traceable', 'change_reason_missing', 'major', source_id FROM r WHERE row_no % 3 <> 0 AND row_no % 4 = 0
+UNION ALL SELECT 'evidence_traceable', 'review_reason_missing', 'major', source_id FROM r WHERE (row_no % 6 = 0 OR row_no % 10 = 0) AND row_no % 9 <> 0
+UNION ALL SELECT 'evidence_traceable', 'review_reason_unexpected', 'minor', source_id FROM r WHERE row_no % 6 <> 0 AND row_no % 10 <> 0 AND row_no % 9 = 0
+UNION ALL SELECT 'duplicate_consistency', 'inconsistent_names', 'major', NULL FROM (SELECT 1 FROM r GROUP BY column_name, column_description HAVING count(DISTINCT said) > 1)
+UNION ALL SELECT 'terminology_frequency_verified', 'frequency_mismatch', 'major', NULL FROM t WHERE ns <> 0 OR nl <> 0
+UNION ALL SELECT 'terminology_frequency_verified', 'tie_mismatch', 'major', NULL FROM t WHERE ns = nl
+UNION ALL SELECT 'terminology_frequency_verified', 'selected_not_most_frequent', 'major', NULL FROM t WHERE ns < nl
+UNION ALL SELECT 'terminology_frequency_verified', 'affected_missing', 'major', source_id FROM r WHERE contains(column_description, 'small') OR contains(column_description, 'large'))
+SELECT "check", code, severity, count(*) AS n, count(id) AS n_rows FROM f GROUP BY ALL""")

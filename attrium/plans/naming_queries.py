@@ -165,11 +165,6 @@ _query(
     lambda c, k: N.mark_failures(N.deterministic_names(c, glossary(k)), c.filter(every(4)).select("source_id", F.lit("timeout").alias("code"))).select("source_id", "confidence", F.array_join("review_reasons", ",").alias("reasons")),
     NAMES + "SELECT source_id, CASE WHEN red THEN 55 WHEN row_no % 4 = 0 THEN 85 ELSE 96 END AS confidence, concat_ws(',', CASE WHEN red THEN 'unknown_english' END, CASE WHEN row_no % 4 = 0 THEN 'review:timeout' END) AS reasons FROM n",
 )
-_query(
-    "i14_review_loop", "cat_part",
-    lambda df: N.review_loop(df.select("source_id", (F.col("row_no") % 100).alias("confidence")), lambda r: r.filter("confidence < 90").select("source_id"), lambda r: r.withColumn("confidence", F.col("confidence") + 40), 2),
-    ", a AS (SELECT source_id, CASE WHEN row_no % 100 < 90 THEN row_no % 100 + 40 ELSE row_no % 100 END AS c FROM cat_part) SELECT source_id, CASE WHEN c < 90 THEN c + 40 ELSE c END AS confidence FROM a",
-)
 OLD = {"english_full_name": "OLD", "korean_attribute_name": "이름", "evidence": ""}
 _query(
     "i15_repair_failed", "cat_part korean dict_part",

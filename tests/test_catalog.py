@@ -7,7 +7,7 @@ from compare import compare, connection
 from pyspark.sql import functions as F
 
 from attrium.functions import text as X
-from attrium.operators import audit, core, dictionary as D, naming as N, proposals as P, review, terms
+from attrium.operators import answers as A, audit, core, dictionary as D, judging, matching, naming as N, proposals as P, review, terms
 from attrium.plans import more_queries as queries
 from attrium.sources import catalog
 from attrium.streaming.progress import stage_durations_stream
@@ -135,14 +135,165 @@ def test_model_hook(spark):
         ids = [i for i in part["source_id"] if i != "r5"]
         return [json.dumps({"resolutions": [{"id": i, "c": [["A", "B", "가", "mapping"]]} for i in ids]})]
 
-    answers = P.propose(df, model, batch=3, buckets=8)
+    answers = P.propose(df, model, batch=3)
     good, unread = P.decode_resolutions(answers)
     codes = [r["failure_code"] for r in answers.collect()]
     assert codes.count("timeout") == 1 and set(codes) == {"", "timeout"}
     found = {r["source_id"] for r in good.collect()}
     lost = {r["source_id"] for r in P.unanswered(df, good).collect()}
     assert found | lost == {f"r{i}" for i in range(40)} and {"r3", "r5"} <= lost and len(lost) <= 4 and unread.count() == 1
-    assert [P.failure_code(e) for e in (ConnectionError(), ValueError(), RuntimeError(), KeyError())] == ["connection_error", "response_error", "model_error", "unexpected_error"]
+    assert [A.failure_code(e) for e in (ConnectionError(), ValueError(), RuntimeError(), KeyError())] == ["connection_error", "response_error", "model_error", "unexpected_error"]
+
+
+def unsteady(log):
+    """A model that answers about half of its requests, others each time, some twice, and notes all that it was asked;
+    and what it was asked."""
+    log.mkdir()
+
+    def model(part):
+        import random
+        import uuid
+
+        (log / uuid.uuid4().hex).write_text("\n".join(part["source_id"]))
+        found = [{"id": i, "c": [["A", f"N{random.random()}", "가", "inference"]]} for i in part["source_id"] for _ in range(random.randrange(3))]
+        return [json.dumps({"resolutions": found})]
+
+    return model, lambda: sorted(i for f in log.iterdir() for i in f.read_text().split("\n"))
+
+
+def test_answers_are_asked_once(spark, tmp_path):
+    """Several actions and readers, a run that goes on after another, and tasks that fail after the model answered."""
+    ids = sorted(f"r{i}" for i in range(40))
+    (model, asked), df = unsteady(tmp_path / "log"), spark.createDataFrame([(int(i[1:]), i, "x") for i in ids], "row_no long, source_id string, request string")
+    folder = str(tmp_path / "answers")
+    found = P.propose(df.filter("row_no < 25"), model, batch=7, answers=A.Answers(spark, folder), round_=1)
+    assert sorted(map(tuple, found.select("batch", "answer").collect())) == sorted(map(tuple, found.select("batch", "answer").collect()))
+    again = P.propose(df, model, batch=7, answers=A.Answers(spark, folder), round_=1)
+    assert asked() == ids and sorted(i for r in again.collect() for i in r["source_ids"]) == ids
+    assert P.propose(df, model, answers=A.Answers(spark, folder), round_=1).count() == again.count() and asked() == ids
+    P.propose(df, model, answers=A.Answers(spark, folder), round_=2)
+    assert asked() == sorted(ids * 2)
+    # a task that dies after its batch was answered takes the answer when it runs again
+    path, calls = f"file:{tmp_path}/pending", []
+    give = lambda: calls.append(1) or {"answer": f"a{len(calls)}", "failure_code": ""}
+    assert A._asked(path, "x", give) == A._asked(path, "x", give) == {"answer": "a1", "failure_code": ""} and len(calls) == 1
+
+
+def test_a_broken_round_goes_on(spark, tmp_path):
+    """The run breaks off while a round is asked: batches that were answered aren't asked again."""
+    ids = sorted(f"r{i}" for i in range(30))
+    (model, asked), df = unsteady(tmp_path / "log"), spark.createDataFrame([(int(i[1:]), i, "x") for i in ids], "row_no long, source_id string, request string")
+
+    def breaks(part):
+        if "r7" in set(part["source_id"]):
+            raise SystemExit  # not an answer: the task ends
+        return model(part)
+
+    with pytest.raises(Exception):  # noqa: B017
+        P.propose(df, breaks, batch=3, answers=A.Answers(spark, str(tmp_path / "answers")))
+    before = asked()
+    found = P.propose(df, model, batch=3, answers=A.Answers(spark, str(tmp_path / "answers")))
+    assert asked() == ids and len(before) < len(ids) and sorted(i for r in found.collect() for i in r["source_ids"]) == ids
+
+
+def test_unsteady_model_loses_no_row(spark, tmp_path):
+    (model, asked), df = unsteady(tmp_path / "log"), spark.createDataFrame([(i, f"r{i}", 10) for i in range(40)], "row_no long, source_id string, confidence int")
+
+    def propose(todo):
+        given = P.decode_resolutions(P.propose(todo.withColumn("request", F.lit("x")), model, batch=6))[0]
+        return todo.join(given.select("source_id", F.lit(20).alias("_c")), "source_id").select("row_no", "source_id", F.col("_c").alias("confidence"))
+
+    out = N.review_loop(df, lambda r: r.filter("confidence < 90"), propose, 1).collect()
+    assert sorted(r["source_id"] for r in out) == sorted(f"r{i}" for i in range(40)) == asked()
+
+
+def test_only_touched_keys_are_judged_again(spark):
+    """The same findings as of the whole table, from rows in proportion to those that changed."""
+    rows = [(f"r{i}", i % 7, i // 3, i % 5) for i in range(90)]
+    before = spark.createDataFrame(rows, "source_id string, v int, g int, w int")
+    seen = []
+
+    def row_rule(r):
+        seen.append(r.count())
+        return core.issue(r.filter("v < 2"), "small")
+
+    def group_rule(r):
+        seen.append(r.count())
+        return r.groupBy("g").agg(F.count_distinct("w").alias("n")).filter("n > 2").select("g", F.lit("mixed").alias("code"), F.lit("error").alias("severity"))
+
+    rules = [judging.Rule("row", ("source_id",), row_rule), judging.Rule("group", ("g",), group_rule)]
+    # rows change, one moves to another group, one to none, one goes, one comes
+    after = spark.createDataFrame([(i, 0 if i == "r4" else v, {"r5": 20, "r6": None}.get(i, g), 0 if i == "r40" else w) for i, v, g, w in rows if i != "r50"] + [("new", 1, 9, 7)], "source_id string, v int, g int, w int")
+    touched = spark.createDataFrame([(i,) for i in ("r4", "r5", "r6", "r40", "r50", "new")], "source_id string")
+    found = judging.judged(before, rules)
+    whole = sorted(map(tuple, judging.judged(after, rules).collect()), key=repr)
+    del seen[:]
+    assert sorted(map(tuple, judging.judged_again(found, before, after, touched, rules).collect()), key=repr) == whole
+    assert seen[0] == 5 and seen[1] <= 25
+
+
+def test_review_rounds_with_a_model(spark, tmp_path):
+    """Names by a model that mends a row in each round; what it is asked says what was wrong."""
+    d = spark.createDataFrame(DICT, "abbreviation string, full_name string, korean_word string, occurrence_count int")
+    df = spark.createDataFrame([(1, "a", "ORGCD", "T", "d", "s", ""), (2, "b", "QQQ", "T", "d", "s", ""), (3, "c", "ZZDT", "T", "d", "s", "")], CATALOG)
+
+    def model(part):
+        out = []
+        for i, text in zip(part["source_id"], part["request"], strict=True):
+            asked = json.loads(text)
+            assert "placeholder_korean_name" in {x["code"] for x in asked["issues"]}
+            if asked["round"] == 2 or i == "b":
+                out.append({"id": i, "c": [["QQQ", "QUEUE", "대기", "inference"]] if i == "b" else [["ZZ", "ZONE", "구역", "inference"], ["DT", "DATE", "일자", "mapping"]]})
+        return [json.dumps({"resolutions": out})]
+
+    answers = A.Answers(spark, str(tmp_path / "answers"))
+    out = {r["source_id"]: (r["english_full_name"], r["confidence"], r["status"]) for r in P.name_from_dictionary(df, d, review=P.reviewer(df, d, model, answers), rounds=3).collect()}
+    assert out == {"a": ("ORGANIZATION CODE", 85, "자동확정"), "b": ("QUEUE", 86, "검토필요"), "c": ("ZONE DATE", 86, "검토필요")}
+    assert [answers.of(n).select(F.explode("source_ids")).count() for n in (1, 2, 3)] == [2, 1, 0]
+
+    def silent(part):
+        raise AssertionError("asked again")
+
+    same = P.name_from_dictionary(df, d, review=P.reviewer(df, d, silent, answers), rounds=3)
+    assert {r["source_id"]: (r["english_full_name"], r["confidence"], r["status"]) for r in same.collect()} == out
+
+
+@pytest.mark.parametrize("shard", [matching.SHARD, 7])
+def test_terms_by_automaton(spark, shard):
+    """Of a group's terms the leftmost, then the longest, none within another; groups and rows stay apart."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    rules = [("a", "ab"), ("a", "abc"), ("a", "c"), ("b", "bc"), ("b", "ca"), ("b", "a.b"), ("c", "차"), ("c", "차량"), ("c", "ab"), ("a", ""), ("a", "ab"), ("d", None)]
+    texts = [(f"r{i % 37}", "".join(rng.choice(["a", "b", "c", ".", "차", "량", "x"]) for _ in range(rng.randrange(30)))) for i in range(40)] + [("n", None), ("e", "")]
+    want = []
+    for g in "abc":
+        own = sorted({t for h, t in rules if h == g and t}, key=lambda t: -len(t))
+        want += [(i, g, m.group(), m.start()) for i, t in texts for m in re.finditer("|".join(map(re.escape, own)), t or "")]
+    df = spark.createDataFrame(texts, "source_id string, column_description string")
+    found = matching.find_terms(df, spark.createDataFrame(rules, "group_id string, candidate string"), shard=shard)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 100
+    assert matching.find_terms(df, spark.createDataFrame([], "group_id string, candidate string")).count() == 0
+
+
+def test_a_hundred_thousand_candidates(spark):
+    terms_ = spark.range(100_000).select((F.col("id") % 20_000).cast("string").alias("group_id"), F.concat(F.lit("t"), F.col("id"), F.lit(";")).alias("candidate"))
+    df = spark.range(2_000).select(F.concat(F.lit("r"), "id").alias("source_id"), F.concat(F.lit("x t"), F.col("id") * 40, F.lit("; t"), F.col("id") * 40 + 1, F.lit(";")).alias("column_description"))
+    assert terms.surface_frequency(df, terms_).agg(F.count("*"), F.sum("n")).first()[:] == (4_000, 4_000)
+    decisions = terms_.groupBy("group_id").agg(F.min("candidate").alias("selected_term")).select("group_id", "selected_term", F.create_map("selected_term", F.lit(0)).alias("frequencies"), F.lit(False).alias("tied"))
+    codes = {r["code"] for r in audit.terminology_audit(df, df.select("source_id", F.lit("").alias("name")), terms_, decisions).select("code").distinct().collect()}
+    assert codes == {"frequency_mismatch", "candidates_mismatch", "tie_mismatch", "selected_term_absent"}
+
+
+def test_headers():
+    same = ["a", "b", "c", "d"]
+    assert audit.header_issues(same, [*same, "new"]) == []
+    assert audit.header_issues(same, ["a", "b", "d"]) == [("header_missing", "c")]
+    assert audit.header_issues(same, ["a", "B", "c", "d"]) == [("header_case_changed", "b")]
+    assert audit.header_issues(same, ["b", "a", "c", "d"]) == [("header_moved", "a"), ("header_moved", "b")]
+    assert audit.header_issues(same, ["a", "x", "b", "c", "d", "y"]) == [("header_inserted", "x")]
+    assert audit.header_issues(same, []) == [("header_missing", h) for h in same]
 
 
 def test_rules_from_a_file(spark, tmp_path):
