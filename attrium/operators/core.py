@@ -154,9 +154,15 @@ def catalog_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def several_descriptions(df: DataFrame) -> DataFrame:
+    """column_name, n_values and n_rows of names that have more than one description."""
+    return consistency(df, ["column_name"], F.col("column_description"))
+
+
 def comment_profile(df: DataFrame, suffixes: tuple[str, ...] = ("코드", "여부", "번호", "일자", "회차", "일시")) -> DataFrame:
+    """One row of figures on descriptions, and the number of names with several (several_descriptions has which)."""
     c = F.col("column_description")
-    return df.agg(
+    figures = df.agg(
         F.count_if(F.rlike(c, F.lit("[A-Za-z]"))).alias("letters"),
         F.count_if(F.rlike(c, F.lit("[0-9]"))).alias("digits"),
         F.count_if(F.contains(c, F.lit("/"))).alias("slashes"),
@@ -165,6 +171,7 @@ def comment_profile(df: DataFrame, suffixes: tuple[str, ...] = ("코드", "여
         F.max(F.length(c)).alias("max_length"),
         *[F.count_if(F.endswith(c, F.lit(s))).alias(f"suffix_{i}") for i, s in enumerate(suffixes)],
     )
+    return figures.crossJoin(several_descriptions(df).agg(F.count("*").alias("several_descriptions")))  # one row a side
 
 
 def token_rules_template(df: DataFrame, rules: DataFrame, examples: int = 3) -> DataFrame:
@@ -184,3 +191,11 @@ def stage_durations(log: DataFrame) -> DataFrame:
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     spans = log.withColumn("s", F.coalesce(micros(ahead) - micros(F.col("ts")), F.lit(0)))
     return spans.groupBy("job", "stage").agg((F.sum("s") / 1e6).alias("seconds"), F.count("*").alias("entries"))
+
+
+def job_durations(log: DataFrame) -> DataFrame:
+    """Of each job the seconds from its first entry to its last, which all its stages sum up to, its entries and its
+    different stages."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    per = log.groupBy("job", "stage").agg(F.count("*").alias("entries"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return per.groupBy("job").agg(((micros(F.max("last")) - micros(F.min("first"))) / 1e6).alias("seconds"), F.sum("entries").alias("entries"), F.count("*").alias("stages"))

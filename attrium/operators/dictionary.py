@@ -247,10 +247,12 @@ def deterministic_results(df: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def segmentation_profile(results: DataFrame) -> DataFrame:
-    """Rows, rows that the dictionary covers whole, rows of each ambiguity, distinct unresolved pieces."""
+    """Rows, rows whose name is one entry of the dictionary, rows that it covers whole, rows of each ambiguity, distinct
+    unresolved pieces."""
     open_ = F.explode_outer(F.transform(F.filter("components", lambda c: c["origin"] == "inference"), lambda c: c["fragment"]))
     tokens = results.select(open_.alias("t")).agg(F.count_distinct("t").alias("unresolved_tokens"))
-    rows = results.agg(F.count("*").alias("n_rows"), F.count_if(F.expr("coverage = 1")).alias("segmentable"), F.count_if(F.expr("review_stratum = 'segmentation_ambiguity'")).alias("split_ambiguous"), F.count_if(F.expr("review_stratum = 'mapping_ambiguity'")).alias("meaning_ambiguous"))
+    direct = (F.size("components") == 1) & (F.try_element_at("components", F.lit(1))["origin"] == "mapping")
+    rows = results.agg(F.count("*").alias("n_rows"), F.count_if(direct).alias("directly_mapped"), F.count_if(F.expr("coverage = 1")).alias("segmentable"), F.count_if(F.expr("review_stratum = 'segmentation_ambiguity'")).alias("split_ambiguous"), F.count_if(F.expr("review_stratum = 'mapping_ambiguity'")).alias("meaning_ambiguous"))
     return rows.crossJoin(tokens)  # one row a side
 
 

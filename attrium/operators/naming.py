@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 from .core import cut, fan_out, missing, one_row, replace_rows
+from .digests import sequence_digest
 from .judging import Rule, judged, judged_again
 from .terms import Resolver, comment_issues, first_listed, reconcile_terms
 
@@ -318,10 +319,15 @@ def failure_text(code: Column) -> Column:
 
 
 def recovery_stats(events: DataFrame, weights: DataFrame) -> DataFrame:
-    """events: source_id, stage, round, code. Weighted failures and sources for each stage and code, rejections apart."""
+    """events: source_id, stage, round, code ('' where the row succeeded). Of each stage and code the weighted failures
+    and the sources that ever had it, beside the sources and rows that it is open for: those whose last round in the
+    stage ended with it. Rejections are told apart. An event that comes again counts again, but is one last event."""
     rows = events.join(weights, "source_id")
-    per = rows.groupBy("stage", "code", "source_id").agg(F.count("*").alias("n"), F.min("weight").alias("weight"))
-    return per.groupBy("stage", "code").agg(F.sum(F.col("n") * F.col("weight")).alias("failures"), F.sum("weight").alias("sources")).withColumn("rejection", F.col("code") == "rejected_result")
+    failed = rows.filter("code != ''").groupBy("stage", "code", "source_id").agg(F.count("*").alias("n"), F.min("weight").alias("weight"))
+    ever = failed.groupBy("stage", "code").agg(F.sum(F.col("n") * F.col("weight")).alias("failures"), F.sum("weight").alias("sources"))
+    last = rows.groupBy("stage", "source_id").agg(F.max(F.struct("round", "code")).alias("e"), F.min("weight").alias("weight")).filter("e.code != ''")
+    still = last.groupBy("stage", F.col("e.code").alias("code")).agg(F.sum("weight").alias("open_sources"), F.count("*").alias("open_rows"))
+    return ever.join(still, ["stage", "code"], "left").fillna(0, ["open_sources", "open_rows"]).withColumn("rejection", F.col("code") == "rejected_result")
 
 
 def recovery_events(events: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -329,18 +335,44 @@ def recovery_events(events: DataFrame, aliases: DataFrame) -> DataFrame:
     return events.withColumnRenamed("source_id", "representative").join(aliases.select("source_id", "representative"), "representative").select("source_id", "stage", "round", "code")
 
 
+def _hashed_decisions(decisions: DataFrame) -> DataFrame:
+    """decisions with their frequencies as JSON, in the order of their terms, and decision_hash, which names what was
+    decided."""
+    rows = decisions.withColumn("frequencies", F.to_json(F.array_sort(F.map_entries("frequencies"))))
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("group_id", "selected_term", "frequencies", "tied", "selection_source")]
+    return rows.withColumn("decision_hash", F.sha2(F.array_join(F.array(*said), chr(0)), 256))
+
+
 def decision_rollup(decisions: DataFrame) -> DataFrame:
     """decisions: source_id, group_id, selected_term, frequencies (map), tied, selection_source. One row for
-    each different decision, with the number of its sources and their first and last id."""
-    key = F.to_json(F.array_sort(F.map_entries("frequencies")))
-    return decisions.groupBy("group_id", "selected_term", key.alias("frequencies"), "tied", "selection_source").agg(F.count_distinct("source_id").alias("n_sources"), F.min("source_id").alias("first_id"), F.max("source_id").alias("last_id"))
+    each different decision, with its hash, the number of its sources and their first and last id; decision_members
+    has them all."""
+    rows = _hashed_decisions(decisions)
+    return rows.groupBy("decision_hash", "group_id", "selected_term", "frequencies", "tied", "selection_source").agg(F.count_distinct("source_id").alias("n_sources"), F.min("source_id").alias("first_id"), F.max("source_id").alias("last_id"))
+
+
+def decision_members(decisions: DataFrame) -> DataFrame:
+    """decision_hash and source_id: each id that a decision affects, once. A table, as they may be more than fit in a row."""
+    return _hashed_decisions(decisions).select("decision_hash", "source_id").distinct()
+
+
+def lock_manifest(manifest: DataFrame, stage: str) -> DataFrame:
+    """One row that locks a manifest (pos, source_id): stage, n, and sha256 over its rows in order."""
+    return sequence_digest(manifest, "pos", "source_id").select(F.lit(stage).alias("stage"), "n", "sha256")
 
 
-def locked_sample(population: DataFrame, manifest: DataFrame) -> DataFrame:
-    """population rows in the manifest's order (pos, source_id); a listed id that is gone raises ValueError."""
+def locked_sample(population: DataFrame, manifest: DataFrame, lock: DataFrame | None = None, stage: str | None = None) -> DataFrame:
+    """population rows in the manifest's order (pos, source_id). ValueError for a lock of another stage, a manifest that
+    isn't the one that was locked, or a listed id that is gone."""
+    if lock is not None:
+        said, is_ = lock.first(), lock_manifest(manifest, stage or "").first()
+        if stage is not None and said["stage"] != stage:
+            raise ValueError(f"locked for stage {said['stage']}, not {stage}")
+        if (said["n"], said["sha256"]) != (is_["n"], is_["sha256"]):
+            raise ValueError("the manifest isn't the one that was locked")
     if gone := [r["source_id"] for r in missing(manifest, population).limit(5).collect()]:
         raise ValueError(f"missing from the population: {', '.join(gone)}")
-    return population.join(F.broadcast(manifest) if manifest.count() <= 10_000 else manifest, "source_id")
+    return population.join(F.broadcast(manifest) if manifest.count() <= 10_000 else manifest, "source_id").orderBy("pos")
 
 
 MOST_TERMS = 10_000

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .digests import set_digest
+
 
 def draw(stage: str, stratum, key="source_id"):
     return F.sha2(F.concat_ws(chr(0), F.lit(stage), stratum, F.col(key)), 256)
@@ -33,14 +35,14 @@ def stratified_sample(population: DataFrame, stage: str, quotas: dict[str, int],
 
 def sample_manifest(population: DataFrame, sample: DataFrame, quotas: dict[str, int]) -> DataFrame:
     """One row for each stratum of quotas: rows available, required, selected and whether it is missing; beside
-    them the sizes of population and sample and a hash over the sorted ids of the sample, which is bounded by
-    its quotas. population: source_id, review_strata; sample: source_id, stratum."""
+    them the sizes of population and sample, a digest of the population's ids and a hash over the sorted ids of the
+    sample, which is bounded by its quotas. population: source_id, review_strata; sample: source_id, stratum."""
     required = population.sparkSession.createDataFrame(list(quotas.items()), "stratum string, required int")
     available = population.select(F.explode("review_strata").alias("stratum")).groupBy("stratum").agg(F.count("*").alias("available"))
     selected = sample.groupBy("stratum").agg(F.count("*").alias("selected"))
     rows = required.join(available, "stratum", "left").join(selected, "stratum", "left").fillna(0)
     whole = sample.agg(F.count("*").alias("sample"), F.sha2(F.array_join(F.array_sort(F.collect_list("source_id")), "\n"), 256).alias("selection_sha256"))
-    return rows.withColumn("missing", F.col("available") == 0).crossJoin(F.broadcast(population.agg(F.count("*").alias("population")).crossJoin(whole)))  # one row
+    return rows.withColumn("missing", F.col("available") == 0).crossJoin(F.broadcast(set_digest(population, "source_id").select(F.col("n").alias("population"), F.col("sha256").alias("population_sha256")).crossJoin(whole)))  # one row
 
 
 def sample_completeness(rated: DataFrame, manifest: DataFrame, quotas: dict[str, int], minimum: int) -> DataFrame:
@@ -87,13 +89,30 @@ def read_ratings(wide: DataFrame, dimensions: list[str]) -> tuple[DataFrame, Dat
     return long.select("source_id", "dimension", "rating"), bad.unionByName(odd).unionByName(mute)
 
 
-def score_ratings(ratings: DataFrame, rubric: DataFrame, severities: DataFrame, passing: float = 85, least: float = 3.5, major_rate: float = 0.02, cap_critical: float = 69, cap_major: float = 84) -> DataFrame:
-    """One row for each review: weighted mean of ratings in percent, capped by severities, and whether it passes.
-    ratings: review, dimension, rating; rubric: id, weight; severities: review, severity (a row for each rated row)."""
+def score_ratings(
+    ratings: DataFrame,
+    rubric: DataFrame,
+    severities: DataFrame,
+    passing: float = 85,
+    least: float = 3.5,
+    major_rate: float = 0.02,
+    cap_critical: float = 69,
+    cap_major: float = 84,
+    incomplete: DataFrame | None = None,
+    cap_incomplete: float = 59,
+) -> DataFrame:
+    """One row for each review: weighted mean of ratings in percent, capped by severities and an incomplete sample, and
+    whether it passes. ratings: review, dimension, rating; rubric: id, weight; severities: review, severity (a row for
+    each rated row); incomplete: review, of those whose sample lacks rows or strata (see sample_completeness and
+    strata_coverage); none if it is left out."""
     means = ratings.groupBy("review", "dimension").agg(F.avg("rating").alias("mean"))
     score = means.join(rubric, means["dimension"] == rubric["id"]).groupBy("review").agg(F.sum(F.col("weight") * F.col("mean") / 5).alias("raw"), F.min("mean").alias("lowest"))
     sev = severities.groupBy("review").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.avg((F.col("severity") == "major").cast("double")).alias("major"))
-    capped = F.least("raw", F.when(F.col("critical") > 0, cap_critical), F.when(F.col("major") > major_rate, cap_major))
-    rows = score.join(sev, "review").withColumn("score", F.round(capped, 6))
-    ok = (F.col("score") >= passing) & (F.col("lowest") >= least) & (F.col("critical") == 0) & (F.col("major") <= major_rate)
+    rows = score.join(sev, "review")
+    if incomplete is not None:
+        rows = rows.join(incomplete.select("review").distinct().withColumn("_short", F.lit(True)), "review", "left")
+    short = F.coalesce("_short", F.lit(False)) if incomplete is not None else F.lit(False)
+    capped = F.least("raw", F.when(F.col("critical") > 0, cap_critical), F.when(F.col("major") > major_rate, cap_major), F.when(short, cap_incomplete))
+    rows = rows.withColumn("score", F.round(capped, 6))
+    ok = (F.col("score") >= passing) & (F.col("lowest") >= least) & (F.col("critical") == 0) & (F.col("major") <= major_rate) & ~short
     return rows.select("review", F.round("raw", 6).alias("raw"), "score", F.round("lowest", 6).alias("lowest"), "critical", ok.alias("passed"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from ..operators import audit, core, dictionary as D, naming as N, proposals as P, review, terms
+from ..operators import audit, core, dictionary as D, digests, naming as N, proposals as P, review, terms
 from ..sources import catalog
 from . import naming_queries as NQ
 from .naming_queries import every, proposals
@@ -76,7 +76,7 @@ SAMPLE = ORACLES["f09_stratified_sample"].replace("SELECT * FROM a UNION ALL", "
 _query("f10_sample_manifest", "ratings", lambda df: (lambda p: review.sample_manifest(*p, QUOTAS))(_sample(df)))
 ORACLES["f10_sample_manifest"] = SAMPLE + f""", q AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in QUOTAS.items())}) t(stratum, required))
 SELECT q.stratum, q.required, (SELECT count(*) FROM ratings r WHERE r.stratum = q.stratum) AS available, (SELECT count(*) FROM sample s WHERE s.stratum = q.stratum) AS selected, NOT EXISTS (SELECT 1 FROM ratings r WHERE r.stratum = q.stratum) AS missing,
-  (SELECT count(*) FROM ratings) AS population, (SELECT count(*) FROM sample) AS sample, (SELECT sha256(string_agg(source_id, chr(10) ORDER BY source_id)) FROM sample) AS selection_sha256 FROM q"""
+  (SELECT count(*) FROM ratings) AS population, (SELECT sha256(string_agg(sha256(source_id), chr(10) ORDER BY sha256(source_id))) FROM ratings) AS population_sha256, (SELECT count(*) FROM sample) AS sample, (SELECT sha256(string_agg(source_id, chr(10) ORDER BY source_id)) FROM sample) AS selection_sha256 FROM q"""
 _query("f14_sort_output", "cat_part", lambda df: core.sort_output(df.select("source_id", "column_name")), "SELECT source_id, column_name FROM cat_part")
 _query("g04_required_minus_present", "korean part_words", lambda k, w: core.required_minus_present(k, w.filter("row_no % 10 < 2"), "word"), "SELECT word FROM korean WHERE word NOT IN (SELECT word FROM part_words WHERE row_no % 10 < 2)")
 
@@ -209,3 +209,22 @@ UNION ALL SELECT 'terminology_frequency_verified', 'tie_mismatch', 'major', NULL
 UNION ALL SELECT 'terminology_frequency_verified', 'selected_not_most_frequent', 'major', NULL FROM t WHERE ns < nl
 UNION ALL SELECT 'terminology_frequency_verified', 'affected_missing', 'major', source_id FROM r WHERE contains(column_description, 'small') OR contains(column_description, 'large'))
 SELECT "check", code, severity, count(*) AS n, count(id) AS n_rows FROM f GROUP BY ALL""")
+
+# ranges of three digits as soon as there are over 1,000 different rows
+_query(
+    "f10_set_digest", "cat_part", lambda df: digests.set_digest(df, "source_id", "data_type"),
+    """, h AS (SELECT sha256(concat(source_id, chr(0), data_type)) AS h FROM cat_part), p AS (SELECT substr(h, 1, 3) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS t FROM h GROUP BY 1)
+SELECT (SELECT count(*) FROM h) AS n, CASE WHEN (SELECT count(*) FROM h) <= 1000 THEN (SELECT sha256(string_agg(h, chr(10) ORDER BY h)) FROM h) ELSE (SELECT sha256(string_agg(t, chr(10) ORDER BY p)) FROM p) END AS sha256""",
+)
+_query("e21_job_durations", "job_log", lambda df: core.job_durations(df).withColumn("seconds", F.round("seconds", 6)), "SELECT job, round(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1e6, 6) AS seconds, count(*) AS entries, count(DISTINCT stage) AS stages FROM job_log GROUP BY job")
+_query("e22_several_descriptions", "cat_doc", lambda df: core.several_descriptions(df.withColumn("column_name", F.col("table_name"))), "SELECT table_name AS column_name, count(DISTINCT column_description) AS n_values, count(*) AS n_rows FROM cat_doc GROUP BY 1 HAVING count(DISTINCT column_description) > 1")
+_query(
+    "j03_incomplete_samples", "ratings korean",
+    lambda r, k: review.score_ratings(
+        r.unpivot(["review"], ["clarity", "tone"], "dimension", "rating"), k.sparkSession.createDataFrame([("clarity", 60.0), ("tone", 40.0)], "id string, weight double"), r.select("review", "severity"), major_rate=1.0, passing=40, least=1.0,
+        incomplete=review.strata_coverage(r.filter("stratum <> 'fr' or review > 'm'").select("review", "stratum"), QUOTAS).filter("coverage < 1"), cap_incomplete=50.0,
+    ),
+    """, s AS (SELECT review, 60 * avg(clarity) / 5 + 40 * avg(tone) / 5 AS raw, least(avg(clarity), avg(tone)) AS lowest, count(DISTINCT stratum) FILTER (WHERE stratum IN ('de', 'en', 'es', 'fr') AND (stratum <> 'fr' OR review > 'm')) < 4 AS short, count_if(stratum <> 'fr' OR review > 'm') > 0 AS seen FROM ratings GROUP BY 1),
+c AS (SELECT *, round(least(raw, CASE WHEN short AND seen THEN 50.0 ELSE 1e9 END), 6) AS score FROM s)
+SELECT review, round(raw, 6) AS raw, score, round(lowest, 6) AS lowest, 0::BIGINT AS critical, score >= 40 AND lowest >= 1 AND NOT (short AND seen) AS passed FROM c""",
+)

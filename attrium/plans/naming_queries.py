@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..operators import audit, core, dictionary as D, naming as N
+from ..operators import audit, core, dictionary as D, digests, naming as N
 from .queries import ISSUES, ORACLES, QUERIES, _query, desc
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -91,10 +91,18 @@ def _changed(df: DataFrame) -> DataFrame:
 
 _query("d10_positional_join", "cat_part", lambda df: audit.positional_join(df, _changed(df), ["table_name", "data_type"]), "SELECT row_no, row_no % 17 <> 0 AS table_name, row_no % 5 <> 0 AS data_type FROM cat_part")
 _query("h23_preservation", "cat_part", lambda df: audit.preservation(df, _changed(df), ["table_name", "data_type"]), "SELECT count(*) AS n_rows, count_if(row_no % 17 = 0 OR row_no % 5 = 0) AS changed_rows, count_if(row_no % 17 = 0) + count_if(row_no % 5 = 0) AS changed_cells FROM cat_part")
+def _decided(df: DataFrame) -> DataFrame:
+    return df.select("source_id", F.col("table_name").alias("group_id"), F.col("data_type").alias("selected_term"), F.create_map(F.lit("a"), F.col("row_no") % 2).alias("frequencies"), every(2).alias("tied"), F.lit("frequency").alias("selection_source"))
+
+
 _query(
     "e09_decision_rollup", "cat_part",
-    lambda df: N.decision_rollup(df.select("source_id", F.col("table_name").alias("group_id"), F.col("data_type").alias("selected_term"), F.create_map(F.lit("a"), F.col("row_no") % 2).alias("frequencies"), every(2).alias("tied"), F.lit("frequency").alias("selection_source"))),
-    """SELECT table_name AS group_id, data_type AS selected_term, concat('[{"key":"a","value":', row_no % 2, '}]') AS frequencies, row_no % 2 = 0 AS tied, 'frequency' AS selection_source, count(DISTINCT source_id) AS n_sources, min(source_id) AS first_id, max(source_id) AS last_id FROM cat_part GROUP BY ALL""",
+    lambda df: N.decision_rollup(_decided(df)),
+    """SELECT sha256(concat_ws(chr(0), table_name, data_type, concat('[{"key":"a","value":', row_no % 2, '}]'), CASE WHEN row_no % 2 = 0 THEN 'true' ELSE 'false' END, 'frequency')) AS decision_hash, table_name AS group_id, data_type AS selected_term, concat('[{"key":"a","value":', row_no % 2, '}]') AS frequencies, row_no % 2 = 0 AS tied, 'frequency' AS selection_source, count(DISTINCT source_id) AS n_sources, min(source_id) AS first_id, max(source_id) AS last_id FROM cat_part GROUP BY ALL""",
+)
+_query(
+    "e09_decision_members", "cat_part", lambda df: N.decision_members(_decided(df).unionByName(_decided(df.filter(every(3))))),
+    """SELECT DISTINCT sha256(concat_ws(chr(0), table_name, data_type, concat('[{"key":"a","value":', row_no % 2, '}]'), CASE WHEN row_no % 2 = 0 THEN 'true' ELSE 'false' END, 'frequency')) AS decision_hash, source_id FROM cat_part""",
 )
 
 
@@ -108,7 +116,24 @@ _query("e16_recovery_events", "cat_part", lambda df: N.recovery_events(_events(d
 _query(
     "e15_recovery_stats", "cat_part",
     lambda df: N.recovery_stats(_events(df, core.dedup_sources(df, "mapping")), core.dedup_sources(df, "mapping").select(F.col("representative").alias("source_id"), "weight").distinct()),
-    FIRSTS + "SELECT 'review' AS stage, CASE WHEN first % 2 = 0 THEN 'timeout' ELSE 'rejected_result' END AS code, count(*) AS failures, count(*) AS sources, first % 2 <> 0 AS rejection FROM f WHERE first % 3 = 0 GROUP BY ALL",
+    FIRSTS + "SELECT 'review' AS stage, CASE WHEN first % 2 = 0 THEN 'timeout' ELSE 'rejected_result' END AS code, count(*) AS failures, count(*) AS sources, count(*) AS open_sources, count(DISTINCT first) AS open_rows, first % 2 <> 0 AS rejection FROM f WHERE first % 3 = 0 GROUP BY ALL",
+)
+
+
+def _history(df: DataFrame) -> DataFrame:
+    """Three rounds: every 3rd row fails in the first; of these every 2nd in the second, too, and every 5th fails otherwise;
+    the third mends every 4th."""
+    one = df.filter(every(3)).select("row_no", "source_id", F.lit("review").alias("stage"), F.lit(1).alias("round"), F.lit("timeout").alias("code"))
+    two = one.withColumns({"round": F.lit(2), "code": F.when(every(5), "rejected_result").when(every(2), "timeout").otherwise("")})
+    three = two.filter(every(4)).withColumns({"round": F.lit(3), "code": F.lit("")})
+    return one.unionByName(two).unionByName(three).drop("row_no")
+
+
+_query(
+    "e15_open_failures", "cat_part", lambda df: N.recovery_stats(_history(df), df.select("source_id", (F.col("row_no") % 7 + 1).alias("weight"))),
+    """, r AS (SELECT row_no % 7 + 1 AS w, row_no % 4 = 0 AS mended, CASE WHEN row_no % 5 = 0 THEN 'rejected_result' WHEN row_no % 2 = 0 THEN 'timeout' ELSE '' END AS second FROM cat_part WHERE row_no % 3 = 0),
+e AS (SELECT 'timeout' AS code, w, false AS open FROM r UNION ALL SELECT second, w, NOT mended FROM r WHERE second <> '')
+SELECT 'review' AS stage, code, CAST(sum(w) AS BIGINT) AS failures, CAST((SELECT sum(w) FROM r WHERE code = 'timeout' OR second = code) AS BIGINT) AS sources, CAST(coalesce(sum(w) FILTER (WHERE open), 0) AS BIGINT) AS open_sources, count_if(open) AS open_rows, code = 'rejected_result' AS rejection FROM e GROUP BY code""",
 )
 _query(
     "e20_reference_accuracy", "cat_part",
@@ -121,6 +146,20 @@ _query(
     """, k AS (SELECT column_name, column_description, min(row_no) AS f, min_by(source_id, row_no) AS source_id, count(*) AS n FROM cat_part GROUP BY ALL), m AS (SELECT *, count(*) OVER (PARTITION BY column_name) > 1 AS many FROM k)
 SELECT source_id, n AS occurrence_count, array_to_string(list_filter([CASE WHEN n > 1 OR many THEN 'duplicate_context' END, 'english_translation', CASE WHEN f % 2 = 0 THEN 'llm_rewrite' END, CASE WHEN f % 3 = 0 THEN 'review_needed' END, CASE WHEN f % 5 = 0 THEN 'terminology_frequency' END], lambda x: x IS NOT NULL), ',') AS review_strata FROM m""",
 )
+
+
+def _locked(df: DataFrame) -> DataFrame:
+    """Digest of a locked sample of every second row, in order."""
+    manifest = df.filter(every(2)).select(F.col("row_no").alias("pos"), "source_id")
+    rows = N.locked_sample(df, manifest, core.cut(N.lock_manifest(manifest, "S7")), "S7")
+    return digests.sequence_digest(rows, "pos", "source_id", "column_name")
+
+
+_query(
+    "f11_locked_digest", "cat_part", _locked,
+    """, r AS (SELECT row_no, concat(row_no, ':', source_id, chr(0), column_name) AS t FROM cat_part WHERE row_no % 2 = 0), b AS (SELECT row_no // 1000 AS i, sha256(string_agg(t, chr(10) ORDER BY row_no)) AS t FROM r GROUP BY 1)
+SELECT (SELECT count(*) FROM r) AS n, CASE WHEN (SELECT max(row_no) FROM r) < 1000 THEN (SELECT sha256(string_agg(t, chr(10) ORDER BY row_no)) FROM r) ELSE (SELECT sha256(string_agg(t, chr(10) ORDER BY i)) FROM b) END AS sha256""",
+)
 _query("f11_locked_sample", "cat_part", lambda df: N.locked_sample(df, df.filter(every(50)).select(F.col("row_no").alias("pos"), "source_id")).select("pos", "source_id", "column_name"), "SELECT row_no AS pos, source_id, column_name FROM cat_part WHERE row_no % 50 = 0")
 _query("h07_order", "cat_part", lambda df: audit.order_issues(df, df.filter(~every(11)).withColumn("row_no", F.col("row_no") + F.col("row_no") % 2)).select("code"), "SELECT unnest(['row_count_mismatch', 'row_order_changed']) AS code FROM (SELECT count(*) AS n FROM cat_part)")
 _query(

@@ -112,7 +112,7 @@ SELECT token, n, examples FROM (SELECT token, count(*) AS n FROM t GROUP BY 1) J
 )
 _query("e19_consistency", "cat_part", lambda df: core.consistency(df, ["column_name"], F.col("table_name")), "SELECT column_name, count(DISTINCT table_name) AS n_values, count(*) AS n_rows FROM cat_part GROUP BY 1 HAVING count(DISTINCT table_name) > 1")
 _query("e21_stage_durations", "job_log", lambda df: core.stage_durations(df).withColumn("seconds", F.round("seconds", 6)), """SELECT job, stage, round(CAST(sum(s) AS DOUBLE) / 1e6, 6) AS seconds, count(*) AS entries FROM (SELECT job, stage, coalesce(epoch_us(lead(ts) OVER (PARTITION BY job ORDER BY ts, stage)) - epoch_us(ts), 0) AS s FROM job_log) GROUP BY ALL""")
-_query("e22_comment_profile", "cat_doc", lambda df: core.comment_profile(df, ("src0", "/en")).withColumns({c: F.round(c, 6) for c in ("median_length", "p90_length")}), "SELECT count_if(regexp_matches(column_description, '[A-Za-z]')) AS letters, count_if(regexp_matches(column_description, '[0-9]')) AS digits, count_if(contains(column_description, '/')) AS slashes, round(CAST(quantile_cont(length(column_description), 0.5) AS DOUBLE), 6) AS median_length, round(CAST(quantile_cont(length(column_description), 0.9) AS DOUBLE), 6) AS p90_length, CAST(max(length(column_description)) AS INT) AS max_length, count_if(suffix(column_description, 'src0')) AS suffix_0, count_if(suffix(column_description, '/en')) AS suffix_1 FROM cat_doc")
+_query("e22_comment_profile", "cat_doc", lambda df: core.comment_profile(df, ("src0", "/en")).withColumns({c: F.round(c, 6) for c in ("median_length", "p90_length")}), "SELECT count_if(regexp_matches(column_description, '[A-Za-z]')) AS letters, count_if(regexp_matches(column_description, '[0-9]')) AS digits, count_if(contains(column_description, '/')) AS slashes, round(CAST(quantile_cont(length(column_description), 0.5) AS DOUBLE), 6) AS median_length, round(CAST(quantile_cont(length(column_description), 0.9) AS DOUBLE), 6) AS p90_length, CAST(max(length(column_description)) AS INT) AS max_length, count_if(suffix(column_description, 'src0')) AS suffix_0, count_if(suffix(column_description, '/en')) AS suffix_1, (SELECT count(*) FROM (SELECT 1 FROM cat_doc GROUP BY column_name HAVING count(DISTINCT column_description) > 1)) AS several_descriptions FROM cat_doc")
 
 SENSES = r""", d AS (SELECT DISTINCT * FROM dict_part), frag AS (SELECT DISTINCT w.word AS fragment, c.table_name, c.table_description FROM part_words w JOIN cat_part c USING (source_id)),
 many AS (SELECT abbreviation, count(DISTINCT (korean_word, full_name)) > 1 AS many FROM d GROUP BY 1),
@@ -183,7 +183,7 @@ done AS (SELECT *, CASE WHEN source_id IN (SELECT source_id FROM pick) THEN 'rev
 _named = ("source_id", "english_full_name", "korean_attribute_name", "evidence", "confidence")
 _query("i05_deterministic", "cat_part dict_short", lambda c, d: D.deterministic_results(c, d).select(*_named, "review_stratum"), FIVE + "SELECT source_id, concat(f1, ' ', f2) AS english_full_name, korean AS korean_attribute_name, concat(w1, '→', f1, '→', k1, CASE WHEN o1 THEN '[inference] | ' ELSE '[mapping] | ' END, w2, '→', f2, '→', k2, CASE WHEN o2 THEN '[inference]' ELSE '[mapping]' END) AS evidence, confidence, own AS review_stratum FROM det")
 _query("f07_assign_strata", "cat_part dict_short", lambda c, d: D.assign_strata(core.cut(D.deterministic_results(c, d))).select("source_id", "review_stratum"), FIVE + "SELECT source_id, review_stratum FROM done")
-_query("e13_segmentation_profile", "cat_part dict_short", lambda c, d: D.segmentation_profile(core.cut(D.deterministic_results(c, d))), FIVE + "SELECT count(*) AS n_rows, count_if(NOT o1 AND NOT o2) AS segmentable, 0::BIGINT AS split_ambiguous, count_if(own = 'mapping_ambiguity') AS meaning_ambiguous, (SELECT count(DISTINCT w) FROM (SELECT w1 AS w FROM det WHERE o1 UNION ALL SELECT w2 FROM det WHERE o2)) AS unresolved_tokens FROM det")
+_query("e13_segmentation_profile", "cat_part dict_short", lambda c, d: D.segmentation_profile(core.cut(D.deterministic_results(c, d))), FIVE + "SELECT count(*) AS n_rows, 0::BIGINT AS directly_mapped, count_if(NOT o1 AND NOT o2) AS segmentable, 0::BIGINT AS split_ambiguous, count_if(own = 'mapping_ambiguity') AS meaning_ambiguous, (SELECT count(DISTINCT w) FROM (SELECT w1 AS w FROM det WHERE o1 UNION ALL SELECT w2 FROM det WHERE o2)) AS unresolved_tokens FROM det")
 _query("i06_direct_baseline", "cat_part dict_short", D.direct_baseline, BEST.format(d="dict_short") + "SELECT source_id, concat(f1, ' ', f2) AS english_full_name, CASE WHEN k1 = k2 THEN k1 ELSE concat(k1, k2) END AS korean_attribute_name, CASE WHEN o1 OR o2 THEN 25 WHEN m1 OR m2 THEN 65 ELSE 80 END AS confidence, CASE WHEN o1 OR o2 THEN 'unmapped_inference' WHEN m1 OR m2 THEN 'mapping_ambiguity' ELSE 'deterministic' END AS review_stratum FROM parts")
 _query(
     "i11_apply_status", "cat_part dict_short",

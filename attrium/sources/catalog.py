@@ -123,10 +123,13 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def run_metadata(spark: SparkSession, source: str, output: str, stats: DataFrame, options: dict[str, str]) -> DataFrame:
     """One row on a run: its stats (one row), its options, and a digest of its input and of its output, each
-    taken over the names and digests of the files."""
+    taken over the names and digests of the files, however many they are."""
+    from ..operators.digests import set_digest
+
     def digest(path: str, name: str) -> DataFrame:
-        each = F.array_sort(F.collect_list(F.concat_ws(":", "name", "sha256")))  # a line for each file
-        return file_digests(spark, path).agg(F.sha2(F.array_join(each, "\n"), 256).alias(f"{name}_sha256"), F.sum("bytes").alias(f"{name}_bytes"))
+        files = file_digests(spark, path)
+        whole = set_digest(files, "name", "sha256").select(F.col("sha256").alias(f"{name}_sha256"))
+        return whole.crossJoin(files.agg(F.sum("bytes").alias(f"{name}_bytes")))  # one row a side
 
     set_to = F.create_map(*[F.lit(x) for kv in sorted(options.items()) for x in kv]) if options else F.create_map().cast("map<string,string>")
     return stats.crossJoin(digest(source, "input")).crossJoin(digest(output, "output")).withColumn("options", set_to)  # one row a side

@@ -7,10 +7,10 @@ from compare import compare, connection
 from pyspark.sql import functions as F
 
 from attrium.functions import text as X
-from attrium.operators import answers as A, audit, core, dictionary as D, judging, matching, naming as N, proposals as P, review, terms
+from attrium.operators import answers as A, audit, core, dictionary as D, digests, judging, matching, naming as N, proposals as P, review, terms
 from attrium.plans import more_queries as queries
 from attrium.sources import catalog
-from attrium.streaming.progress import stage_durations_stream
+from attrium.streaming.progress import stage_durations_stream, streamed_durations
 
 SF = "/root/testdata/sf0.001"
 DICT = [("DT", "DATE", "일자", 10), ("HMS", "TIME", "시각", 10), ("ORG", "ORGANIZATION", "기관", 10), ("CD", "CODE", "코드", 10)]
@@ -349,8 +349,43 @@ def test_progress_stream(spark, tmp_path):
         (tmp_path / "log").mkdir(exist_ok=True)
         (tmp_path / "log" / f"{day}.json").write_text("\n".join(json.dumps({"job": j, "stage": s, "ts": f"2026-01-0{day}T00:00:0{k}Z"}) for j in (1, 2) for k, s in enumerate("ab")))
         stage_durations_stream(spark, str(tmp_path / "log"), schema, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    # late entries: before all of a job's, between two, and at the time of another
+    late = [(1, "z", "2026-01-01T00:00:00Z"), (1, "m", "2026-01-01T12:00:00Z"), (2, "a", "2025-12-31T00:00:00Z"), (2, "a", "2026-01-01T00:00:00Z"), (3, "only", "2026-01-01T00:00:00Z")]
+    (tmp_path / "log" / "3.json").write_text("\n".join(json.dumps(dict(zip(("job", "stage", "ts"), r, strict=True))) for r in late))
+    query = stage_durations_stream(spark, str(tmp_path / "log"), schema, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert sum(p["numInputRows"] for p in query.recentProgress) == len(late)
     batch = core.stage_durations(spark.read.schema(schema).json(str(tmp_path / "log")))
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, batch.collect()))
+    assert sorted(map(tuple, streamed_durations(spark.read.parquet(str(tmp_path / "out"))).collect())) == sorted(map(tuple, batch.collect()))
+    jobs = {r["job"]: (r["seconds"], r["entries"], r["stages"]) for r in core.job_durations(spark.read.schema(schema).json(str(tmp_path / "log"))).collect()}
+    assert jobs == {1: (86401.0, 6, 4), 2: (172801.0, 6, 2), 3: (0.0, 1, 1)}
+
+
+def test_digests(spark):
+    """The same from any partitioning and order, other for any change; nulls and repeated rows count."""
+    ids = spark.range(5_000).select(F.concat(F.lit("r"), "id").alias("a"), (F.col("id") % 3).alias("b"))
+    of = lambda df: tuple(digests.set_digest(df, "a", "b").first())
+    whole = of(ids.repartition(1))
+    assert whole == of(ids.repartition(200)) == of(ids.orderBy(F.desc("a"))) and whole[0] == 5_000
+    others = [of(ids.filter("a != 'r7'")), of(ids.unionByName(ids.filter("a = 'r7'"))), of(ids.withColumn("b", F.when(F.col("a") != "r7", F.col("b")))), of(ids.limit(0))]
+    assert len({whole, *others}) == 5
+    seq = spark.range(2_500).select(F.col("id").alias("pos"), F.concat(F.lit("r"), "id").alias("a"))
+    in_order = tuple(digests.sequence_digest(seq, "pos", "a").first())
+    swapped = seq.withColumn("pos", F.when(F.col("pos") < 2, 1 - F.col("pos")).otherwise(F.col("pos")))
+    assert in_order == tuple(digests.sequence_digest(seq.repartition(50), "pos", "a").first()) != tuple(digests.sequence_digest(swapped, "pos", "a").first())
+
+
+def test_locked_sample(spark):
+    df = spark.createDataFrame([(f"r{i}", i) for i in range(30)], "source_id string, v int")
+    manifest = spark.createDataFrame([(k, f"r{i}") for k, i in enumerate((5, 3, 17, 0))], "pos int, source_id string")
+    lock = core.cut(N.lock_manifest(manifest, "S1"))
+    assert [r["source_id"] for r in N.locked_sample(df, manifest, lock, "S1").collect()] == ["r5", "r3", "r17", "r0"]
+    with pytest.raises(ValueError, match="stage S1, not S2"):
+        N.locked_sample(df, manifest, lock, "S2")
+    with pytest.raises(ValueError, match="isn't the one"):
+        N.locked_sample(df, manifest.withColumn("pos", 3 - F.col("pos")), lock, "S1")
+    with pytest.raises(ValueError, match="missing from the population: r17"):
+        N.locked_sample(df.filter("v != 17"), manifest, lock, "S1")
 
 
 def test_fan_out_keeps_rows(spark):
