@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as X
-from .core import consistency, cut, dedup_sources, fan_out, issue, missing, union_issues
+from .core import consistency, cut, dedup_sources, fan_out, issue, union_issues
 
 KEY = ["abbreviation", "full_name", "korean_word"]
 #: Names at the end of which the last abbreviation scores higher.
@@ -54,7 +54,7 @@ def mine_dictionary(sources: DataFrame, candidates: DataFrame, dictionary: DataF
     """Proposals of representatives to a counted dictionary, and the failed rows: fan out, unify, check, take
     what the checks recommend, check again, part, count. Proposals for unknown ids are left out."""
     aliases = dedup_sources(sources, "mapping")
-    own = fan_out(missing(candidates, missing(candidates, sources)), aliases)
+    own = fan_out(candidates.join(sources.select("source_id").distinct(), "source_id", "left_semi"), aliases)
     unified = cut(reconcile_full_name(own, dictionary).drop("cause"))
     corrected = cut(recommended_corrections(unified, mapping_issues(sources, unified, dictionary)))
     failed, good = partition_failed(sources, corrected, mapping_issues(sources, corrected, dictionary))
@@ -269,39 +269,45 @@ def assign_strata(results: DataFrame, few: int = 5, threshold: int = 85) -> Data
     return out.withColumn("review_stratum", F.when(F.col("dup"), "duplicate_context").when(F.col("pick"), "review_needed").otherwise(F.col("review_stratum"))).drop("dup", "pick")
 
 
-def _about(rows: DataFrame, code: str, details: str, severity: str = "error") -> DataFrame:
-    """Issues that carry the candidate they are about."""
-    return rows.select("source_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col(details).cast("string").alias("details"), *KEY)
-
-
 def mapping_issues(sources: DataFrame, candidates: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """All rules on mined mappings: format, meaning, coverage, duplicates and conflicts. Issues of a candidate
-    carry its abbreviation, full_name and korean_word; those of a source don't."""
-    rows = candidates.join(sources.select("source_id", "column_name", "column_description"), "source_id")
+    carry its abbreviation, full_name and korean_word; those of a source don't.
+
+    Candidates meet their sources once, in a full join; what the dictionary and the votes of all candidates say of their
+    keys is looked up, and the codes of a row are put out together."""
+    word = X.normalize_korean_key(F.col("korean_word"))
+    own = candidates.select("source_id", *KEY, word.alias("korean_key"), F.lit(True).alias("_mapped"))
+    votes = candidates.groupBy("source_id", *KEY).count().groupBy(*KEY).agg(F.count("source_id").alias("n"))
+    best = votes.groupBy("abbreviation", "korean_word").agg(F.count("*").alias("names"), F.min_by("full_name", F.struct(-F.col("n"), F.col("full_name"))).alias("recommended")).filter("names > 1")
+    own = own.join(best.drop("names"), ["abbreviation", "korean_word"], "left")
+    if dictionary is not None:
+        known = canonical_dictionary(dictionary).select("abbreviation", "korean_key", F.col("full_name").alias("known"))
+        own = own.join(known, ["abbreviation", "korean_key"], "left")
+    else:
+        own = own.withColumn("known", F.lit(None).cast("string"))
+    rows = own.join(sources.select("source_id", "column_name", "column_description", F.lit(True).alias("_source")), "source_id", "full")
+    mapped, sourced = F.col("_mapped").isNotNull(), F.col("_source").isNotNull()
+    both = mapped & sourced
     ok_abbr = F.rlike("abbreviation", F.lit("^[A-Z][A-Z0-9]*$"))
     ok_full = F.rlike("full_name", F.lit("^[A-Z][A-Z0-9]*( [A-Z0-9]+)*$"))
     inside = F.contains(X.compact_identifier(F.col("column_name")), F.col("abbreviation"))
-    word, said = X.normalize_korean_key(F.col("korean_word")), X.normalize_korean_key(F.coalesce("column_description", F.lit("")))
     described = F.coalesce("column_description", F.lit("")) != ""
-    found = [
-        _about(rows.filter(~ok_abbr), "invalid_abbreviation", "abbreviation"),
-        _about(rows.filter(ok_abbr & ~inside), "abbreviation_not_in_column", "abbreviation"),
-        _about(rows.filter(~ok_full), "invalid_full_name", "full_name"),
-        _about(rows.filter(word == ""), "empty_korean_word", "abbreviation"),
-        _about(rows.filter((word != "") & described & ~F.contains(said, word)), "korean_word_not_in_description", "korean_word"),
-        _about(missing(candidates, sources), "unknown_source_id", "abbreviation"),
-        issue(missing(sources, candidates), "missing_source_mapping"),
-        duplicate_mapping(candidates),
+    said = X.normalize_korean_key(F.coalesce("column_description", F.lit("")))
+    tests = [
+        (both & ~ok_abbr, "invalid_abbreviation", "abbreviation"),
+        (both & ok_abbr & ~inside, "abbreviation_not_in_column", "abbreviation"),
+        (both & ~ok_full, "invalid_full_name", "full_name"),
+        (both & (F.col("korean_key") == ""), "empty_korean_word", "abbreviation"),
+        (both & (F.col("korean_key") != "") & described & ~F.contains(said, F.col("korean_key")), "korean_word_not_in_description", "korean_word"),
+        (both & ok_abbr & ok_full & (F.col("full_name") != F.col("known")), "noncanonical_full_name", "known"),
+        (mapped & (F.col("full_name") != F.col("recommended")), "conflicting_full_name", "recommended"),
+        (mapped & ~sourced, "unknown_source_id", "abbreviation"),
+        (sourced & ~mapped, "missing_source_mapping", None),
     ]
-    if dictionary is not None:
-        known = canonical_dictionary(dictionary).select("abbreviation", "korean_key", F.col("full_name").alias("known"))
-        odd = rows.filter(ok_abbr & ok_full).withColumn("korean_key", word).join(known, ["abbreviation", "korean_key"]).filter("full_name != known")
-        found.append(_about(odd, "noncanonical_full_name", "known"))
-    votes = candidates.groupBy(*KEY).agg(F.count_distinct("source_id").alias("n"))
-    best = votes.groupBy("abbreviation", "korean_word").agg(F.count("*").alias("names"), F.min_by("full_name", F.struct(-F.col("n"), F.col("full_name"))).alias("recommended")).filter("names > 1")
-    minority = candidates.join(best, ["abbreviation", "korean_word"]).filter("full_name != recommended")
-    found.append(_about(minority, "conflicting_full_name", "recommended"))
-    return union_issues(*found)
+    none = F.lit(None).cast("string")
+    codes = F.array_compact(F.array(*[F.when(t, F.struct(F.lit(code).alias("code"), (F.col(of) if of else none).alias("details"))) for t, code, of in tests]))
+    each = rows.select("source_id", F.explode(codes).alias("i"), *KEY)
+    return union_issues(each.select("source_id", "i.code", F.lit("error").alias("severity"), "i.details", *KEY), duplicate_mapping(candidates))
 
 
 def duplicate_mapping(candidates: DataFrame) -> DataFrame:

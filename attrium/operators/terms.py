@@ -117,12 +117,17 @@ def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFra
     to = F.map_from_arrays(F.transform("_decisions", lambda d: d["group_id"]), F.transform("_decisions", lambda d: d["selected_term"]))
     # bound by let(), as the optimiser would work the map out again for each unit
     parts = F.struct(to.alias("to"), F.col("units").alias("units"), F.col("_hits").alias("hits"))
-    rows = rows.withColumn("_new", X.let(parts, lambda z: F.zip_with(z["units"], z["hits"], lambda u, h: F.coalesce(F.try_element_at(z["to"], h), u))))
-    replaced = F.size(F.filter(F.zip_with("units", "_new", lambda a, b: a != b), lambda x: x))
-    rows = rows.withColumn("replaced", F.coalesce(replaced, F.lit(0)))
+
+    def taken(u: Column, term: Column, h: Column) -> Column:
+        """The unit that comes, and the group if it is another one."""
+        return F.struct(F.coalesce(term, u).alias("unit"), F.when(term != u, h).alias("group"))
+
+    changes = X.let(parts, lambda z: F.zip_with(z["units"], z["hits"], lambda u, h: F.when(h.isNull(), F.struct(u.alias("unit"), F.lit(None).cast("string").alias("group"))).otherwise(taken(u, F.try_element_at(z["to"], h), h))))
+    rows = rows.withColumn("_changes", F.when(F.size("_decisions") > 0, changes))
+    rows = rows.withColumns({"_new": F.coalesce(F.col("_changes")["unit"], F.col("units")), "_groups": F.coalesce(F.array_compact(F.col("_changes")["group"]), F.array().cast("array<string>"))})
+    rows = rows.withColumn("replaced", F.size("_groups"))
     # a reason names the groups that changed a unit
-    replacing = F.array_distinct(F.zip_with("_hits", F.zip_with("units", "_new", lambda u, t: u != t), lambda h, x: F.when(x, h)))
-    changed = X.let(F.struct(replacing.alias("groups"), F.col("_decisions").alias("all")), lambda z: F.filter(z["all"], lambda d: F.coalesce(F.array_contains(z["groups"], d["group_id"]), F.lit(False))))
+    changed = X.let(F.struct(F.array_distinct("_groups").alias("groups"), F.col("_decisions").alias("all")), lambda z: F.filter(z["all"], lambda d: F.array_contains(z["groups"], d["group_id"])))
     note = F.concat(F.lit(UNIFIED), F.array_join(F.transform(changed, lambda d: F.concat(d["group_id"], F.lit(":"), d["selected_term"], F.lit(" ("), d["selection_source"], F.lit(")"))), ", "))
     rows = rows.withColumn("_note", note)
     new = {"units": F.col("_new"), "name": F.array_join("_new", "")}
