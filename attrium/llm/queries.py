@@ -17,10 +17,14 @@ from .negatives import hard_negatives
 from .pagediff import extract_pages
 from .pieces import encode_pieces
 from .simhash import simhash_components
+from .store import discard
 from .urlfilter import judge_urls
 from .warc import archived
 
 
+__all__ = ["ORACLES", "QUERIES", "discard"]
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

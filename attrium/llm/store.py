@@ -31,16 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: All that one driver stores lies in a folder of this name, within the shared one.
 RUN = f"attrium-{uuid.uuid4().hex}"
+_within = [RUN]  # where new tables go: the last
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{RUN}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_within[-1]}/{label}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def discard(spark: SparkSession) -> None:
     """Deletes all that this driver has stored; results that are still to be computed from it are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{RUN}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, f"{shared_dir(spark)}/{RUN}")
+
+
+def kept(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
+    """What make gives, as a table, and its folder; all that was stored to make it goes."""
+    path, scratch = new_path(spark, label), f"{_within[-1]}/scratch-{uuid.uuid4().hex}"
+    _within.append(scratch)
+    try:
+        df = make()
+        df.write.parquet(path)
+    finally:
+        _within.pop()
+        delete(spark, f"{shared_dir(spark)}/{scratch}")
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
