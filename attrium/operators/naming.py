@@ -32,9 +32,11 @@ def semantic_units(c: Column, terms: list[str]) -> Column:
 
 
 def processing_key(df: DataFrame) -> DataFrame:
-    """Adds processing_key: name and description, and the row's context too if it needs generation."""
+    """Adds processing_key: name and description, and the row's context (schema, table, its description, data type, in
+    lower case; a column that df lacks counts as empty) too if it needs generation."""
     text = F.col("column_description")
-    context = F.when(X.classify_risk(text)["requires_generation"], F.struct(*[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("table_name", "table_description", "data_type")]))
+    said = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))) if c in df.columns else F.lit("")
+    context = F.when(X.classify_risk(text)["requires_generation"], F.struct(*[said(c).alias(c) for c in ("schema_name", "table_name", "table_description", "data_type")]))
     return df.withColumn("processing_key", F.struct(X.normalize_column_name(F.col("column_name")).alias("name"), X.normalize_description_key(text).alias("description"), context.alias("context")))
 
 

@@ -14,8 +14,8 @@ from .answers import Answers
 from .audit import component_issues, context_findings
 from .core import cut, missing, replace_rows
 from .dictionary import CONTEXT, apply_status, assign_strata, deterministic_results, naming_issues, segment_names
-from .judging import Rule
-from .naming import accept_resolution, ids, review_rounds
+from .judging import Rule, judged
+from .naming import FAILED, accept_resolution, ids, review_rounds
 
 
 COMPONENT = "struct<fragment:string,full:string,korean:string,origin:string>"
@@ -132,6 +132,23 @@ def name_from_dictionary(df: DataFrame, dictionary: DataFrame, proposals: DataFr
     return results.drop("components", "row_no").join(done, "source_id")
 
 
+def repair_names(results: DataFrame, sources: DataFrame, proposals: DataFrame, dictionary: DataFrame, threshold: int = 85) -> DataFrame:
+    """Earlier results (see read_results) in which failed rows take accepted proposals, and then strata, rules and status
+    of all rows anew: source_id, names, evidence, confidence, review_stratum, status and validation_codes. Ids that
+    results and sources don't share raise ValueError."""
+    if not missing(results, sources).isEmpty() or not missing(sources, results).isEmpty():
+        raise ValueError("source and result ids differ")
+    own = ["english_full_name", "korean_attribute_name", "evidence", "confidence", "review_stratum"]
+    parts = F.transform("components", lambda c: F.struct(*[c[x].alias(x) for x in ("fragment", "full", "korean", "origin")])).alias("components")
+    context = sources.select("source_id", "row_no", *[F.coalesce(c, F.lit("")).alias(c) for c in CONTEXT])
+    earlier = context.join(results.select("source_id", *own, parts), "source_id").select(*NAMED)
+    failed = results.filter(F.col("status") == FAILED).select("source_id")
+    merged = cut(assign_strata(cut(_taken(earlier, failed, sources, proposals, dictionary)), threshold=threshold))
+    found = judged(merged, naming_rules(dictionary, threshold)).filter("source_id is not null")
+    done = apply_status(merged, found, threshold).select("source_id", "status", "validation_codes")
+    return merged.select("source_id", *own).join(done, "source_id")
+
+
 def _taken(results: DataFrame, todo: DataFrame, df: DataFrame, proposals: DataFrame, dictionary: DataFrame, least: int = 0) -> DataFrame:
     """results with accepted proposals for the rows of todo."""
     new = accept_resolution(df, proposals.join(ids(todo), "source_id", "left_semi"), dictionary).drop("status")

@@ -37,6 +37,11 @@ _query(
     lambda df: N.processing_key(df).select("source_id", "processing_key.name", "processing_key.description", "processing_key.context.table_name"),
     r"SELECT source_id, column_name AS name, trim(regexp_replace(column_description, '\s+', ' ', 'g')) AS description, lower(table_name) AS table_name FROM cat_part",
 )
+_query(
+    "b08_context", "cat_doc",
+    lambda df: N.processing_key(df.withColumn("table_name", F.upper("table_name"))).select("source_id", "processing_key.context.schema_name", "processing_key.context.table_name", "processing_key.context.data_type"),
+    "SELECT source_id, lower(schema_name) AS schema_name, lower(table_name) AS table_name, '' AS data_type FROM cat_doc",
+)
 _query(
     "b22_semantic_units", "cat_part",
     lambda df: df.select("source_id", F.array_join(N.semantic_units(desc(), ["small", "ring"]), "|").alias("units")),

@@ -296,6 +296,22 @@ def test_headers():
     assert audit.header_issues(same, []) == [("header_missing", h) for h in same]
 
 
+def test_repaired_names_are_judged_again(spark):
+    """Failed rows take accepted proposals, others stay; strata and status of all are worked out anew."""
+    d = spark.createDataFrame(DICT, "abbreviation string, full_name string, korean_word string, occurrence_count int")
+    df = spark.createDataFrame([(i + 1, s, n, "T", "d", "s", "") for i, (s, n) in enumerate((("a", "ORGCD"), ("b", "ZZDT"), ("c", "QQQ"), ("e", "DTHMS")))], CATALOG)
+    kept = "ORG→ORGANIZATION→기관[mapping] | CD→CODE→코드[mapping]"
+    rows = [("a", "ORGCD", "ORGANIZATION CODE", "기관코드", "자동확정", 100, kept), ("b", "ZZDT", "", "", "검증실패", 0, ""), ("c", "QQQ", "", "", "검증실패", 0, ""), ("e", "DTHMS", "WRONG", "잘못", "자동확정", 100, "DTHMS→WRONG→잘못[mapping]")]
+    old = N.read_results(spark.createDataFrame(rows, "source_id string, column_name string, english_full_name string, korean_attribute_name string, status string, confidence int, evidence string"))
+    part = "array<struct<fragment:string,full:string,korean:string,origin:string>>"
+    given = spark.createDataFrame([("b", [("ZZ", "ZONE", "구역", "inference"), ("DT", "DATE", "일자", "mapping")]), ("a", [("ORGCD", "NO", "아니", "inference")])], f"source_id string, components {part}")
+    out = {r["source_id"]: (r["english_full_name"], r["status"], r["validation_codes"]) for r in P.repair_names(old, df, given, d).collect()}
+    assert out["a"] == ("ORGANIZATION CODE", "자동확정", "") and out["b"] == ("ZONE DATE", "검토필요", "low_confidence")
+    assert out["c"][1] == "검증실패" and "empty_full_name" in out["c"][2] and out["e"] == ("WRONG", "검증실패", "mapping_evidence_mismatch")
+    with pytest.raises(ValueError, match="differ"):
+        P.repair_names(old.filter("source_id = 'a'"), df, given, d)
+
+
 def test_rules_from_a_file(spark, tmp_path):
     path = tmp_path / "rules.json"
     path.write_text(json.dumps({"glossary": [{"source": "FY", "target": "회계"}], "synonym_groups": [{"id": "g", "candidates": ["차", "차량"]}]}))
