@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
 from .core import consistency, cut, dedup_sources, fan_out, issue, union_issues
@@ -95,13 +92,84 @@ def resolve_sense(fragments: DataFrame, dictionary: DataFrame) -> DataFrame:
     return best.join(many, "abbreviation").withColumnRenamed("abbreviation", "fragment")
 
 
+WIDE = 24  # ways that are kept from each place of a token to its end
+
+#: A way through a token or a name: what it is ranked by (most covered, highest score, fewest components, then their
+#: texts), the score itself and how many of its senses are ambiguous.
+PART = "struct<fragment:string,full:string,korean:string,origin:string>"
+WAY = f"struct<covered:int,rank:double,size:int,parts:array<{PART}>,score:double,ambiguity:int>"
+
+
+def _way(covered: Column, score: Column, parts: Column, ambiguity: Column) -> Column:
+    return F.struct(covered.cast("int").alias("covered"), (-F.round(score, 6)).alias("rank"), F.size(parts).alias("size"), parts.alias("parts"), score.alias("score"), ambiguity.cast("int").alias("ambiguity"))
+
+
+def _none() -> Column:
+    """The way through nothing."""
+    return F.array(_way(F.lit(0), F.lit(0.0), F.array().cast(f"array<{PART}>"), F.lit(0)))
+
+
+def _steps(token: Column, edges: Column) -> Column:
+    """Of each place of the token the steps that begin there: dictionary entries, a run of digits, and the letter itself
+    as unknown."""
+    n = F.length(token)
+    part = lambda fragment, full, korean, origin: F.struct(fragment.alias("fragment"), full.alias("full"), korean.alias("korean"), F.lit(origin).alias("origin"))
+    step = lambda end, covered, score, what, many: F.struct(end.cast("int").alias("end"), covered.cast("int").alias("covered"), score.cast("double").alias("score"), what.alias("part"), many.cast("int").alias("many"))
+
+    def entry(e: Column) -> Column:
+        size, many = e["end"] - e["start"], F.coalesce(e["many"], F.lit(False)).cast("int")
+        fragment = F.substring(token, e["start"] + 1, size)
+        last = (e["end"] == n) & fragment.isin(*SUFFIXES)
+        return step(e["end"], size, 10 * size + size * size + F.log1p(e["n"].cast("double")) - 1 - 3 * many + F.when(last, 4).otherwise(0), part(fragment, e["full_name"], e["korean_word"], "mapping"), many)
+
+    def at(i: Column) -> Column:
+        digits = F.regexp_extract(F.substring(token, i + 1, n), "^[0-9]+", 0)
+        letter, size = F.substring(token, i + 1, F.lit(1)), F.length(digits)
+        own = F.array(step(i + 1, F.lit(0), F.lit(-20.0), part(letter, letter, F.lit(""), "inference"), F.lit(0)))
+        run = F.when(digits != "", F.array(step(i + size, size, 0.5 * size, part(digits, digits, digits, "numeric"), F.lit(0)))).otherwise(F.slice(own, 1, 0))
+        return F.concat(F.transform(F.filter(edges, lambda e: e["start"] == i), entry), run, own)
+
+    return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+
+def _token_ways(token: Column, edges: Column, k: int) -> Column:
+    """The k best ways through a token. From its end to its start, each place has the WIDE best ways of its steps with
+    the ways from where they end; unknown letters that follow each other are one component."""
+    n = F.length(token)
+
+    def with_tail(step: Column, tail: Column) -> Column:
+        first = F.try_element_at(tail["parts"], F.lit(1))
+        merge = (step["part"]["origin"] == "inference") & F.coalesce(first["origin"] == "inference", F.lit(False))
+        joined = F.concat(step["part"]["fragment"], first["fragment"])
+        one = F.struct(joined.alias("fragment"), joined.alias("full"), F.lit("").alias("korean"), F.lit("inference").alias("origin"))
+        parts = F.when(merge, F.concat(F.array(one), F.slice(tail["parts"], 2, 1 << 20))).otherwise(F.concat(F.array(step["part"]), tail["parts"]))
+        return _way(tail["covered"] - step["covered"], tail["score"] + step["score"], parts, tail["ambiguity"] + step["many"])
+
+    def place(tails: Column, steps: Column) -> Column:
+        # tails: of this place's right neighbour first, of the end last
+        to = lambda step: F.element_at(tails, (step["end"] - n + F.size(tails)).cast("int"))
+        found = F.flatten(F.transform(steps, lambda step: F.transform(to(step), lambda tail: with_tail(step, tail))))
+        return F.concat(F.array(F.slice(F.array_sort(found), 1, WIDE)), tails)
+
+    start = F.array(_none()).cast(f"array<array<{WAY}>>")
+    return F.slice(F.aggregate(F.reverse(_steps(token, edges)), start, lambda tails, steps: place(tails, steps).cast(f"array<array<{WAY}>>"))[0], 1, k)
+
+
+def _name_ways(tokens: Column, k: int) -> Column:
+    """The k best combinations of the ways of a name's tokens; the rank adds up, so pruning to k at each is exact."""
+    both = lambda a, b: _way(a["covered"] + b["covered"], a["score"] + F.round(b["score"], 6), F.concat(a["parts"], b["parts"]), a["ambiguity"] + b["ambiguity"])
+    more = lambda done, ways: F.slice(F.array_sort(F.flatten(F.transform(done, lambda a: F.transform(ways, lambda b: both(a, b))))), 1, k)
+    return F.aggregate(tokens, _none().cast(f"array<{WAY}>"), lambda done, ways: more(done, ways).cast(f"array<{WAY}>"))
+
+
 def segment_names(names: DataFrame, dictionary: DataFrame, k: int = 8) -> DataFrame:
     """names: column_name, table_name, table_description. The k best segmentations of each distinct name.
 
     Substrings of distinct tokens, no longer than the longest abbreviation, meet the dictionary in an
     equi-join; senses are resolved once for each (fragment, table). Each (token, table) then has its lattice of
-    edges in one row; a small search gives the k best ways through each distinct lattice, and tokens of a name
-    are combined, each distinct list of ways once. Null names and tables count as empty; a name without A-Z0-9
+    edges in one row. Ways are worked out once for each distinct lattice, and those of names once for each distinct
+    list of lattices; a hash of 128 bits stands for either, so that neither goes through a shuffle but once. Null names and
+    tables count as empty; a name without A-Z0-9
     has no row. Columns: the inputs, rank, covered (characters in dictionary or digit pieces), score,
     fragments, full_names, korean_words, origins, ambiguity."""
     key = ["column_name", "table_name", "table_description"]
@@ -121,60 +189,26 @@ def segment_names(names: DataFrame, dictionary: DataFrame, k: int = 8) -> DataFr
     )
     lattice = each.join(edges.groupBy("token", "table_name", "table_description").agg(F.sort_array(F.collect_list("e")).alias("edges")), ["token", "table_name", "table_description"], "left")
     lattice = lattice.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<start:int,end:int,full_name:string,korean_word:string,n:int,many:boolean>>")))
-    kind = "array<struct<covered:int,score:double,fragments:array<string>,full_names:array<string>,korean_words:array<string>,origins:array<string>,ambiguity:int>>"
-
-    best = F.udf(lambda token, edges: _paths(token, edges or [], k), kind, useArrow=True)
-    combined = F.udf(lambda parts: _combined(parts, k), kind, useArrow=True)
-    ways = lattice.select("token", "edges").distinct().select("token", "edges", best("token", "edges").alias("paths"))
-    solved = lattice.join(ways, ["token", "edges"]).drop("edges")
-    whole = tokens.join(solved, ["token", "table_name", "table_description"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "paths"))), lambda x: x["paths"]).alias("parts"))
-    names_of = whole.select("parts").distinct().select("parts", combined("parts").alias("found"))
-    out = whole.join(names_of, "parts").select(*key, F.posexplode("found").alias("rank", "p"))
-    return out.select(*key, (F.col("rank") + 1).alias("rank"), "p.*")
-
-
-def _rank(p: tuple) -> tuple:
-    return (-p[0], -round(p[1], 6), len(p[2]), p[2])
-
-
-def _paths(token: str, edges: list, k: int, wide: int = 24) -> list[dict]:
-    """The k best ways from end to start of a token: most covered, highest score, fewest components."""
-    n = len(token)
-    out: dict[int, list] = {i: [] for i in range(n)}
-    for e in edges:
-        size = e["end"] - e["start"]
-        s = 10 * size + size * size + math.log1p(e["n"]) - 1 - 3 * bool(e["many"]) + 4 * (e["end"] == n and token[e["start"] :] in SUFFIXES)
-        out[e["start"]].append((e["end"], s, size, (token[e["start"] : e["end"]], e["full_name"], e["korean_word"], "mapping"), int(bool(e["many"]))))
-    for i in range(n):
-        if token[i].isdigit():
-            end = next((j for j in range(i, n) if not token[j].isdigit()), n)
-            out[i].append((end, 0.5 * (end - i), end - i, (token[i:end], token[i:end], token[i:end], "numeric"), 0))
-        out[i].append((i + 1, -20.0, 0, (token[i], token[i], "", "inference"), 0))
-    tails: list[list] = [[] for _ in range(n)] + [[(0, 0.0, (), 0)]]
-    for i in range(n - 1, -1, -1):
-        best: dict[tuple, tuple] = {}
-        for end, s, size, part, amb in out[i]:
-            for covered, score, parts, a in tails[end]:
-                merge = part[3] == "inference" and parts and parts[0][3] == "inference"
-                new = ((part[0] + parts[0][0], part[0] + parts[0][0], "", "inference"), *parts[1:]) if merge else (part, *parts)
-                now = (covered + size, score + s, new, a + amb)
-                if new not in best or _rank(now) < _rank(best[new]):
-                    best[new] = now
-        tails[i] = heapq.nsmallest(wide, best.values(), key=_rank)
-    return [_struct(p) for p in tails[0][:k]]
-
-
-def _struct(p: tuple) -> dict:
-    return {"covered": p[0], "score": round(p[1], 6), **{name: [c[i] for c in p[2]] for i, name in enumerate(("fragments", "full_names", "korean_words", "origins"))}, "ambiguity": p[3]}
-
-
-def _combined(parts: list[list], k: int) -> list[dict]:
-    """Combinations of the paths of a name's tokens; the rank adds up, so pruning to k at each is exact."""
-    done = [(0, 0.0, (), 0)]
-    for paths in parts:
-        more = [(p["covered"], p["score"], tuple(zip(*(p[c] for c in ("fragments", "full_names", "korean_words", "origins")), strict=True)), p["ambiguity"]) for p in paths]
-        done = heapq.nsmallest(k, ((a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b[3]) for a in done for b in more), key=_rank)
-    return [_struct(p) for p in done]
+    lattice = cut(lattice.withColumn("lattice", F.md5(F.to_json(F.struct("token", "edges")))))
+    ways = lattice.groupBy("lattice").agg(F.any_value("token").alias("token"), F.any_value("edges").alias("edges")).select("lattice", _token_ways(F.col("token"), F.col("edges"), k).alias("ways"))
+    of_name = tokens.join(lattice.select("token", "table_name", "table_description", "lattice"), ["token", "table_name", "table_description"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lattice"))), lambda x: x["lattice"]).alias("lattices"))
+    of_name = cut(of_name.withColumn("name", F.md5(F.array_join("lattices", ""))))
+    each_name = of_name.groupBy("name").agg(F.any_value("lattices").alias("lattices")).select("name", F.posexplode("lattices").alias("pos", "lattice"))
+    found = each_name.join(ways, "lattice").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ways"))), lambda x: x["ways"]).alias("tokens"))
+    found = found.select("name", _name_ways(F.col("tokens"), k).alias("found"))
+    out = of_name.join(found, "name").select(*key, F.posexplode("found").alias("rank", "p"))
+    said = F.col("p.parts")
+    return out.select(
+        *key,
+        (F.col("rank") + 1).alias("rank"),
+        (-F.col("p.covered")).alias("covered"),
+        F.round("p.score", 6).alias("score"),
+        said["fragment"].alias("fragments"),
+        said["full"].alias("full_names"),
+        said["korean"].alias("korean_words"),
+        said["origin"].alias("origins"),
+        F.col("p.ambiguity").alias("ambiguity"),
+    )
 
 
 #: Fixed value: what stands for a Korean name that nothing is known of.

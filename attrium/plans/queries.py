@@ -167,7 +167,18 @@ known AS (SELECT abbreviation, korean_word, min_by(full_name, (-occurrence_count
 votes AS (SELECT abbreviation, korean_word, full_name, count(DISTINCT source_id) AS n FROM own GROUP BY ALL), most AS (SELECT abbreviation, korean_word, min_by(full_name, (-n, full_name)) AS most FROM votes GROUP BY ALL)
 SELECT abbreviation, coalesce(known, most) AS full_name, korean_word, count(DISTINCT source_id) AS occurrence_count FROM own JOIN most USING (abbreviation, korean_word) LEFT JOIN known USING (abbreviation, korean_word)
 WHERE contains(replace(column_name, '_', ''), abbreviation) AND (column_description = '' OR contains(replace(column_description, ' ', ''), korean_word)) GROUP BY ALL""")
-_query("i03_segment_names", "cat_glued dict_part", lambda c, d: D.segment_names(c, d).select("column_name", "table_name", "table_description", "rank", "covered", "score", F.array_join("fragments", "|").alias("fragments"), F.array_join("origins", "|").alias("origins"), "ambiguity"))
+# all ways through each name, step by step; none of these names has a digit
+WAYS = """, t AS (SELECT DISTINCT column_name AS token FROM cat_glued), d AS (SELECT abbreviation AS f, length(abbreviation) AS l, max(occurrence_count) AS n, count(*) > 1 AS many FROM dict_part GROUP BY 1),
+s AS (SELECT token, i AS start, i + l AS stop, l AS covered, CAST(10 * l + l * l + ln(1 + n) - 1 - CASE WHEN many THEN 3 ELSE 0 END AS DOUBLE) AS score, CAST(many AS INT) AS many, f, 'mapping' AS origin FROM t, range(0, 30) r(i), d WHERE l > 1 AND substr(token, i + 1, l) = f
+  UNION ALL SELECT token, i, i + 1, 0, -20.0, 0, substr(token, i + 1, 1), 'inference' FROM t, range(0, 30) r(i) WHERE i < length(token)),
+p AS (SELECT token, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS covered, CAST(0 AS DOUBLE) AS score, CAST([] AS VARCHAR[]) AS fragments, CAST([] AS VARCHAR[]) AS origins, 0 AS ambiguity FROM t
+  UNION ALL SELECT p.token, s.stop, p.covered + s.covered, p.score + s.score,
+    CASE WHEN origin = 'inference' AND origins[-1] = 'inference' THEN list_concat(fragments[:-2], [concat(fragments[-1], f)]) ELSE list_append(fragments, f) END,
+    CASE WHEN origin = 'inference' AND origins[-1] = 'inference' THEN origins ELSE list_append(origins, origin) END, ambiguity + many FROM p JOIN s ON s.token = p.token AND s.start = p.place),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY token ORDER BY covered DESC, round(score, 6) DESC, len(fragments), fragments) AS INT) AS rank FROM p WHERE place = length(token))
+SELECT DISTINCT column_name, table_name, table_description, rank, CAST(covered AS INT) AS covered, round(score, 6) AS score, array_to_string(fragments, '|') AS fragments, array_to_string(origins, '|') AS origins, ambiguity FROM cat_glued JOIN best ON token = column_name WHERE rank <= 8"""
+_query("i03_segment_names", "cat_glued dict_part", lambda c, d: D.segment_names(c, d).select("column_name", "table_name", "table_description", "rank", "covered", "score", F.array_join("fragments", "|").alias("fragments"), F.array_join("origins", "|").alias("origins"), "ambiguity"), WAYS)
+ORACLES["i03_segment_names"] = ORACLES["i03_segment_names"].replace("WITH", "WITH RECURSIVE", 1)
 _query("i03_best_fragments", "cat_glued dict_part", lambda c, d: D.segment_names(c, d).filter("rank = 1").select("column_name", F.array_join("fragments", "|").alias("fragments")).distinct(), "SELECT DISTINCT replace(g.column_name, '_', '') AS column_name, replace(c.column_name, '_', '|') AS fragments FROM cat_glued g JOIN cat_part c USING (source_id)")
 BEST = """, senses AS (SELECT abbreviation, count(DISTINCT (korean_word, full_name)) > 1 AS many, min_by(full_name, (-occurrence_count, full_name)) AS full_name, min_by(korean_word, (-occurrence_count, full_name)) AS korean FROM {d} GROUP BY 1),
 parts AS (SELECT c.*, split_part(c.column_name, '_', 1) AS w1, split_part(c.column_name, '_', 2) AS w2, coalesce(a.full_name, w1) AS f1, coalesce(b.full_name, w2) AS f2, coalesce(a.korean, '미정') AS k1, coalesce(b.korean, '미정') AS k2,
