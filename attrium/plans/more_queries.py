@@ -228,3 +228,17 @@ _query(
 c AS (SELECT *, round(least(raw, CASE WHEN short AND seen THEN 50.0 ELSE 1e9 END), 6) AS score FROM s)
 SELECT review, round(raw, 6) AS raw, score, round(lowest, 6) AS lowest, 0::BIGINT AS critical, score >= 40 AND lowest >= 1 AND NOT (short AND seen) AS passed FROM c""",
 )
+_query("c04_not_auto_confirmed", "cat_part", lambda df: N.not_auto_confirmed(df.select("source_id", F.when(every(3), "자동확정").when(every(2), "검토필요").alias("status"))), "SELECT source_id, CASE WHEN row_no % 2 = 0 THEN '검토필요' END AS status FROM cat_part WHERE row_no % 3 <> 0")
+
+
+def _completeness(df: DataFrame) -> DataFrame:
+    """Every 40th row listed; of these every 3rd not rated, every 5th under another id."""
+    manifest = df.filter(every(40)).select((F.col("row_no") / 40).cast("long").alias("pos"), "source_id", "row_no", F.col("data_type").alias("stratum"))
+    rated = manifest.filter(~every(120)).withColumn("source_id", F.when(every(200), "x").otherwise(F.col("source_id")))
+    return review.sample_completeness(rated.drop("row_no"), manifest.select("pos", "source_id"), {"0": 1, "1": 100_000, "9": 1}, 100_000)
+
+
+_query("j04_sample_completeness", "cat_part", _completeness, """, m AS (SELECT CAST(row_no // 40 AS BIGINT) AS pos, row_no, data_type FROM cat_part WHERE row_no % 40 = 0), r AS (SELECT * FROM m WHERE row_no % 120 <> 0),
+h AS (SELECT q.s, q.n AS required, (SELECT count(*) FROM r WHERE data_type = q.s) AS n FROM (VALUES ('0', 1), ('1', 100000), ('9', 1)) q(s, n))
+SELECT 'sample_order_mismatch' AS code, CAST(pos AS VARCHAR) AS details FROM m WHERE row_no % 120 = 0 OR row_no % 200 = 0 UNION ALL SELECT 'sample_too_small', CAST((SELECT count(*) FROM r) AS VARCHAR)
+UNION ALL SELECT 'stratum_missing', s FROM h WHERE n = 0 UNION ALL SELECT 'stratum_short', s FROM h WHERE n > 0 AND n < required""")
