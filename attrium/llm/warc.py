@@ -181,9 +181,20 @@ def _reached(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(reached=seen[:n])[_names(REACHED)]
 
 
+def _alone(rows: pd.DataFrame) -> pd.DataFrame:
+    """The same for a file of one run, which its chain enters at its start."""
+    return _reached(_placed(rows), pd.DataFrame({"start": [0]}))
+
+
 REACHED = "file string, start long, successor long, whole boolean, piece binary, reached boolean, " + RECORD
 
 
+def _raise_if_broken(files: DataFrame, ends: DataFrame) -> None:
+    """files: file, file_bytes. Raises if one of them isn't among the ends that chains reach."""
+    if broken := files.join(ends, ["file", "file_bytes"], "left_anti").count():
+        raise ValueError(f"the chain of records breaks off in {broken} files")
+
+
 def _chained(placed: DataFrame) -> DataFrame:
     """file, block, run, start: where the chain of each file enters its runs. Raises if one breaks off."""
     files = placed.groupBy("file").agg(F.first("file_bytes").alias("file_bytes"))
@@ -196,9 +207,7 @@ def _chained(placed: DataFrame) -> DataFrame:
         seen = stored(seen.unionByName(ahead).distinct(), "seen")
         onward = steps.select("file", F.col("to").alias("then"), F.col("start").alias("to"))
         steps = stored(steps.join(onward, ["file", "to"], "left").select("file", "start", F.coalesce("then", "to").alias("to")), "steps")
-    ends = seen.withColumnRenamed("start", "file_bytes")
-    if broken := files.join(ends, ["file", "file_bytes"], "left_anti").count():
-        raise ValueError(f"the chain of records breaks off in {broken} files")
+    _raise_if_broken(files, seen.withColumnRenamed("start", "file_bytes"))
     return jump.join(seen, ["file", "start"]).select("file", "block", "run", "start")
 
 
@@ -224,11 +233,16 @@ def read_archives(spark: SparkSession, path: str, cell: int = 1 << 26) -> DataFr
     found = stored(_pieces(spark, path).mapInArrow(_scan, from_arrow_schema(PIECE)).withColumn("run", F.shiftright("seq", RUN.bit_length() - 1)), "pieces")
     runs = found.groupBy("file", "block", "run").agg((F.sum("size") + F.count("*") * len(CUT)).alias("n"))
     before = F.expr("coalesce(sum(n) over (partition by file order by block, run rows between unbounded preceding and 1 preceding), 0)")
-    runs = runs.select("file", "block", "run", before.alias("base"), F.expr(f"sum(n) over (partition by file) - {len(CUT)}").alias("file_bytes"))
-    run = ["file", "block", "run"]
-    placed = stored(found.join(runs, run).groupBy(*run).applyInPandas(_placed, PLACED), "placed")
-    entries = _chained(placed)
-    marked = stored(placed.groupBy(*run).cogroup(entries.groupBy(*run)).applyInPandas(_reached, REACHED), "marked")
+    runs = stored(runs.select("file", "block", "run", before.alias("base"), F.expr(f"sum(n) over (partition by file) - {len(CUT)}").alias("file_bytes"), F.expr("count(*) over (partition by file)").alias("runs")), "runs")
+    run, one = ["file", "block", "run"], F.col("runs") == 1
+    # the chain of a file of one run is settled there; those of others are joined
+    marked = stored(found.join(runs.filter(one), run).groupBy(*run).applyInPandas(_alone, REACHED), "marked")
+    ends = marked.filter("reached").groupBy("file").agg(F.max("successor").alias("file_bytes"))
+    _raise_if_broken(runs.filter(one).select("file", "file_bytes"), ends)
+    if not runs.filter(~one).isEmpty():
+        placed = stored(found.join(runs.filter(~one), run).groupBy(*run).applyInPandas(_placed, PLACED), "placed")
+        entries = _chained(placed)
+        marked = marked.unionByName(stored(placed.groupBy(*run).cogroup(entries.groupBy(*run)).applyInPandas(_reached, REACHED), "marked"))
     numbers = lambda df: df.select(*[F.col(c).cast("long") if c in ("page_id", "refers_to") else c for c in _names(RECORD)])
     out = numbers(marked.filter("reached and whole"))
     parts = marked.filter("reached and not whole").select("file", "start", "successor", "piece")
