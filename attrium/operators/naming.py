@@ -10,7 +10,7 @@ from ..functions import text as X
 from .core import cut, fan_out, missing, one_row, replace_rows
 from .digests import sequence_digest
 from .judging import Rule, judged, judged_again
-from .terms import Resolver, comment_issues, first_listed, reconcile_terms
+from .terms import Resolver, comment_issues, first_listed, reconcile_terms, units_at_terms
 
 #: Labels of statuses and actions.
 CONFIRMED, REVIEW, FAILED = "자동확정", "검토필요", "검증실패"
@@ -377,9 +377,6 @@ def locked_sample(population: DataFrame, manifest: DataFrame, lock: DataFrame |
     return population.join(F.broadcast(manifest) if manifest.count() <= 10_000 else manifest, "source_id").orderBy("pos")
 
 
-MOST_TERMS = 10_000
-
-
 def name_from_comments(df: DataFrame, glossary: DataFrame, synonyms: DataFrame | None = None, proposals: DataFrame | None = None, resolver: Resolver | None = first_listed, threshold: int = 90) -> DataFrame:
     """source_id, name, action, reason, confidence, status, codes for every row.
 
@@ -403,13 +400,11 @@ def name_from_comments(df: DataFrame, glossary: DataFrame, synonyms: DataFrame |
         named = old.join(taken, "source_id").withColumn("action", F.when(renamed, REWRITE).otherwise(F.col("action"))).drop("_policy", "failure_code")
     decisions = None
     if synonyms is not None:
-        candidates = [r["candidate"] for r in synonyms.select("candidate").distinct().limit(MOST_TERMS + 1).collect()]
-        if len(candidates) > MOST_TERMS:
-            raise ValueError(f"over {MOST_TERMS} terms in the synonym rules")
         weights = aliases.filter("source_id = representative").select("source_id", "weight")
-        parted = lambda r: r.withColumn("units", semantic_units(F.col("name"), candidates)).join(weights, "source_id")
-        around = first.select("source_id", "table_name", "table_description")
-        named, decisions = reconcile_terms(parted(named).join(around, "source_id"), synonyms, parted(policy), resolver)
+        parted = lambda r: cut(units_at_terms(cut(r), synonyms).join(weights, "source_id"))
+        around, units = first.select("source_id", "table_name", "table_description"), parted(policy)
+        now = parted(named) if proposals is not None else units
+        named, decisions = reconcile_terms(now.join(around, "source_id"), synonyms, units, resolver)
         decisions = fan_out(decisions, aliases)
     every = fan_out(named.drop("original_description", "weight", "table_name", "table_description"), aliases)
     every = every.join(df.select("source_id", "column_description", F.coalesce("column_description", F.lit("")).alias("original_description")), "source_id")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
+from .core import cut
 from .matching import find_terms
 
 #: Labels of actions, and what a reason says of terms that were unified.
@@ -72,10 +73,29 @@ def select_preferred_term(frequency: DataFrame, resolver: Resolver | None = None
     )
 
 
+#: Candidates that go to all rows with their groups; of more, each row gets those that it has.
 MOST_CANDIDATES = 10_000
 
 
-def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFrame | None = None, resolver: Resolver | None = None) -> tuple[DataFrame, DataFrame]:
+def _all_rules(results: DataFrame, groups: DataFrame) -> DataFrame:
+    """results with _of, the group of each candidate, and _rules, what is known of each group: the same maps for all rows."""
+    of = groups.select(F.explode("candidates").alias("candidate"), "group_id").agg(F.map_from_entries(F.collect_list(F.struct("candidate", "group_id"))).alias("_of"))
+    rules = groups.agg(F.map_from_entries(F.collect_list(F.struct("group_id", F.struct("group_id", "winners", "frequency", "frequencies")))).alias("_rules")).crossJoin(of)  # one row a side
+    return results.crossJoin(F.broadcast(rules))
+
+
+def _own_rules(results: DataFrame, groups: DataFrame) -> DataFrame:
+    """The same with maps of each row's own candidates and groups. Rows without any aren't shuffled for them."""
+    rows, groups = cut(results.withColumn("_row", F.monotonically_increasing_id())), cut(groups)
+    of = groups.select("group_id", F.explode("candidates").alias("candidate"))
+    hits = cut(rows.select("_row", F.explode(F.array_distinct("units")).alias("candidate")).join(of, "candidate"))
+    own = hits.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("candidate", "group_id"))).alias("_of"))
+    rules = hits.select("_row", "group_id").distinct().join(groups, "group_id")
+    rules = rules.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("group_id", F.struct("group_id", "winners", "frequency", "frequencies")))).alias("_rules"))
+    return rows.join(own.join(rules, "_row"), "_row", "left").drop("_row")
+
+
+def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFrame | None = None, resolver: Resolver | None = None, most: int = MOST_CANDIDATES) -> tuple[DataFrame, DataFrame]:
     """results with each unit that is a candidate replaced by its group's preferred term, and the decisions.
 
     results: source_id, units, weight, and where they matter original_description, table_name,
@@ -85,12 +105,9 @@ def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFra
     a changed row that was kept counts as normalised, and its reason says so. Decisions: source_id, group_id,
     selected_term, frequency, frequencies, tied, selection_source, for the groups that a row has units of.
 
-    Rows aren't shuffled: the rules (MOST_CANDIDATES at most, as they are written by hand) go to them."""
-    if synonyms.count() > MOST_CANDIDATES:
-        raise ValueError(f"over {MOST_CANDIDATES} candidates in the synonym rules")
+    With up to `most` candidates rows aren't shuffled: the rules go to them. More candidates meet the units in a join."""
     groups = term_groups(synonym_frequency(population if population is not None else results, synonyms))
-    of = groups.select(F.explode("candidates").alias("candidate"), "group_id").agg(F.map_from_entries(F.collect_list(F.struct("candidate", "group_id"))).alias("_of"))
-    rules = groups.agg(F.map_from_entries(F.collect_list(F.struct("group_id", F.struct("group_id", "winners", "frequency", "frequencies")))).alias("_rules")).crossJoin(of)  # one row a side
+    ruled = (_all_rules if synonyms.count() <= most else _own_rules)(results, groups)
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in results.columns else F.lit("")
 
     def score(winners: Column, term: Column) -> Column:
@@ -112,7 +129,7 @@ def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFra
 
         return F.when(tied, X.let(said, made)).otherwise(made(F.struct(F.lit(None).cast("string").alias("r"), F.lit(None).cast("string").alias("c"))))
 
-    rows = results.crossJoin(F.broadcast(rules)).withColumn("_hits", F.transform("units", lambda u: F.try_element_at("_of", u)))
+    rows = ruled.withColumn("_hits", F.transform("units", lambda u: F.try_element_at("_of", u)))
     rows = rows.withColumn("_decisions", F.transform(F.array_sort(F.array_distinct(F.array_compact("_hits"))), lambda g: X.let(F.try_element_at("_rules", g), decision)))
     to = F.map_from_arrays(F.transform("_decisions", lambda d: d["group_id"]), F.transform("_decisions", lambda d: d["selected_term"]))
     # bound by let(), as the optimiser would work the map out again for each unit
@@ -139,6 +156,20 @@ def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFra
     return out, rows.select("source_id", F.explode("_decisions").alias("d")).select("source_id", "d.*")
 
 
+def units_at_terms(df: DataFrame, rules: DataFrame, text_col: str = "name") -> DataFrame:
+    """df with units: the text cut at the candidates of rules, of any number, the longest first; what lies between them
+    stays whole, and a text without any is one unit. Each different text is looked at once."""
+    texts = df.select(text_col).distinct()
+    hits = find_terms(texts, rules.select(F.lit("").alias("group_id"), "candidate"), text_col, text_col)
+    at = hits.groupBy(text_col).agg(F.array_sort(F.collect_list(F.struct("start", F.length("candidate").alias("size")))).alias("_at"))  # of a name: few
+    end = lambda i: F.coalesce(F.get("_at", i)["start"] + F.get("_at", i)["size"], F.lit(0))
+    piece = lambda begin, size: F.substring(F.col(text_col), begin + 1, size)
+    cuts = F.transform("_at", lambda x, i: F.array(piece(end(i - 1), x["start"] - end(i - 1)), piece(x["start"], x["size"])))
+    rest = piece(end(F.size("_at") - 1), F.length(text_col))
+    units = F.filter(F.concat(F.flatten(cuts), F.array(rest)), lambda u: u != "")
+    return df.join(at, text_col, "left").select(*[df[c] for c in df.columns], F.when(F.col("_at").isNull(), F.array(text_col)).otherwise(units).alias("units"))
+
+
 def surface_sources(df: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
     """term, source_id, n: longest-first, non-overlapping occurrences of terms in each description. terms: a list, or a
     table of candidates of any size."""

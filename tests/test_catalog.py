@@ -51,25 +51,27 @@ SYN = [("차량", "차", 0), ("차량", "차량", 1), ("낸", "납입", 0), ("
 RESULTS = "source_id string, units array<string>, weight int, original_description string, action string, reason string"
 
 
-def test_reconciled_terms_say_why(spark):
+@pytest.mark.parametrize("most", [terms.MOST_CANDIDATES, 0])
+def test_reconciled_terms_say_why(spark, most):
     """Whole units only; units count, not rows; a kept row becomes normalised; decisions for groups in use."""
     rows = [("1", ["차", "형태", "코드"], 1, "차형태코드", "유지", "kept"), ("2", ["차량", "차량"], 1, "", "재작성", "why"), ("3", ["차액"], 10, "", "유지", "kept"), ("4", [], 1, "", "유지", "kept")]
     syn = spark.createDataFrame(SYN, "group_id string, candidate string, candidate_order int")
-    out, decisions = terms.reconcile_terms(spark.createDataFrame(rows, RESULTS), syn)
+    out, decisions = terms.reconcile_terms(spark.createDataFrame(rows, RESULTS), syn, most=most)
     got = {r["source_id"]: (r["name"], r["action"], r["reason"], r["replaced"]) for r in out.collect()}
     assert got == {"1": ("차량형태코드", "정규화", "용어 통일 빈도 기준 차량:차량 (frequency)", 1), "2": ("차량차량", "재작성", "why", 0), "3": ("차액", "유지", "kept", 0), "4": ("", "유지", "kept", 0)}
     assert sorted((r["source_id"], r["group_id"], r["frequency"]) for r in decisions.collect()) == [("1", "차량", 2), ("2", "차량", 2)]
 
 
-def test_ties(spark):
+@pytest.mark.parametrize("most", [terms.MOST_CANDIDATES, 0])
+def test_ties(spark, most):
     """The rule first, then the row's own texts, then the order; a rule may only name a winner."""
     syn = spark.createDataFrame(SYN, "group_id string, candidate string, candidate_order int")
     rows = spark.createDataFrame([("1", ["차", "납입"], 5, "차량형태코드", "유지", ""), ("2", ["차량", "납부"], 5, "", "유지", "")], RESULTS)
-    of = lambda **k: {(r["source_id"], r["group_id"]): (r["selected_term"], r["selection_source"], r["tied"]) for r in terms.reconcile_terms(rows, syn, **k)[1].collect()}
+    of = lambda **k: {(r["source_id"], r["group_id"]): (r["selected_term"], r["selection_source"], r["tied"]) for r in terms.reconcile_terms(rows, syn, most=most, **k)[1].collect()}
     assert of() == {("1", "차량"): ("차량", "context_evidence", True), ("1", "낸"): ("납입", "context_evidence", True), ("2", "차량"): ("차량", "context_evidence", True), ("2", "낸"): ("납부", "context_evidence", True)}
     assert set(of(resolver=terms.first_listed).values()) == {("차", "context_resolver", True), ("납입", "context_resolver", True)}
     even = spark.createDataFrame([("1", ["차", "차량"], 5, "", "유지", "")], RESULTS)
-    assert [tuple(r)[1:3] for r in terms.reconcile_terms(even, syn)[1].select("group_id", "selected_term", "selection_source").collect()] == [("차", "deterministic_fallback")]
+    assert [tuple(r)[1:3] for r in terms.reconcile_terms(even, syn, most=most)[1].select("group_id", "selected_term", "selection_source").collect()] == [("차", "deterministic_fallback")]
     with pytest.raises(Exception, match="none of the winners"):
         of(resolver=lambda w: F.lit("차액"))
 
@@ -425,6 +427,30 @@ def test_semantic_units(spark):
     assert [r["u"] for r in row] == [["차량", "형태코드", "차"], [""]]
 
 
+def test_units_at_many_terms(spark):
+    """As with a pattern, by an automaton of 30,000 terms; repeated, empty and null texts; other planes."""
+    texts = ["차량형태코드차", "", None, "차량차", "형태", "x😀차😀", "차량형태코드차", "차", "aab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "source_id long, name string")
+    few = ["차", "차량", "a", "ab", "aa"]
+    rules = spark.range(30_000).select(F.concat(F.lit("q"), "id").alias("candidate")).union(spark.createDataFrame([(c,) for c in [*few, None, ""]], "candidate string"))
+    got = {r[0]: r[1:] for r in terms.units_at_terms(df, rules).collect()}
+    assert got == {r[0]: r[1:] for r in df.select("*", N.semantic_units(F.col("name"), few)).collect()}
+    assert got[8] == ("aab", ["aa", "b"]) and got[5][1] == ["x😀", "차", "😀"] and got[2] == (None, [None])
+
+
+def test_names_with_many_synonyms(spark):
+    """Groups of over 10,000 candidates in all: names are unified as with the groups that occur."""
+    cols = "row_no long, source_id string, column_name string, column_description string, table_name string, table_description string, data_type string"
+    df = spark.createDataFrame([(i, f"r{i}", f"N{i}", d, "t", "", "") for i, d in enumerate(["차량번호", "차번호", "차량형태", "납부금", "납입금", None])], cols)
+    syn = spark.createDataFrame(SYN, "group_id string, candidate string, candidate_order int")
+    more = spark.range(10_002).select((F.col("id") / 2).cast("long").cast("string").alias("group_id"), F.concat(F.lit("항"), "id").alias("candidate"), (F.col("id") % 2).cast("int").alias("candidate_order"))
+    g = spark.createDataFrame([], "source string, target string")
+    of = lambda s: sorted(map(tuple, N.name_from_comments(df, g, s).collect()))
+    few = of(syn)
+    assert [r[1] for r in few] == ["차량번호", "차량번호", "차량형태", "납입금", "납입금", ""]
+    assert of(syn.union(more)) == few
+
+
 def test_review_loop(spark):
     """Only pending rows are proposed for, what is proposed for others is dropped, and it ends after its rounds."""
     df = spark.createDataFrame([("a", 10), ("b", 95), ("c", 60)], "source_id string, confidence int")
