@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -242,3 +243,105 @@ _query("j04_sample_completeness", "cat_part", _completeness, """, m AS (SELECT C
 h AS (SELECT q.s, q.n AS required, (SELECT count(*) FROM r WHERE data_type = q.s) AS n FROM (VALUES ('0', 1), ('1', 100000), ('9', 1)) q(s, n))
 SELECT 'sample_order_mismatch' AS code, CAST(pos AS VARCHAR) AS details FROM m WHERE row_no % 120 = 0 OR row_no % 200 = 0 UNION ALL SELECT 'sample_too_small', CAST((SELECT count(*) FROM r) AS VARCHAR)
 UNION ALL SELECT 'stratum_missing', s FROM h WHERE n = 0 UNION ALL SELECT 'stratum_short', s FROM h WHERE n > 0 AND n < required""")
+
+_query(
+    "i18_unified_names", "cat_part korean",
+    lambda c, k: N.name_from_comments(c, NQ.glossary(k), c.sparkSession.createDataFrame([("size", "대형", 0), ("size", "소형", 1)], "group_id string, candidate string, candidate_order int")).select("source_id", "name", "confidence", "status", "codes"),
+    NQ.NAMES + """, t AS (SELECT count_if(w1 = 'LARGE') + count_if(w2 = 'LARGE') AS l, count_if(w1 = 'SMALL') + count_if(w2 = 'SMALL') AS s FROM n), u AS (SELECT n.*, l, s, l = s AND (w1 IN ('LARGE', 'SMALL') OR w2 IN ('LARGE', 'SMALL')) AS tied FROM n, t)
+SELECT source_id, CASE WHEN l >= s THEN replace(name, '소형', '대형') ELSE replace(name, '대형', '소형') END AS name, CASE WHEN red THEN 55 WHEN tied THEN 89 ELSE 96 END AS confidence,
+  CASE WHEN red THEN '검증실패' WHEN tied THEN '검토필요' ELSE '자동확정' END AS status, CASE WHEN red THEN 'english_not_allowed' ELSE '' END AS codes FROM u""",
+)
+_query(
+    "b22_units_at_terms", "cat_doc korean",
+    lambda df, k: terms.units_at_terms(df, k.select(F.lower("word").alias("candidate")).union(k.sparkSession.createDataFrame([(c,) for c in ("the", "then", "there", "of")], "candidate string")), "column_description").select("source_id", F.array_join("units", chr(1)).alias("units")),
+    r"""SELECT source_id, trim(regexp_replace(regexp_replace(column_description, '(there|then|the|of|anvil|blue|bolt|cold|gear|gizmo|hot|large|new|old|plate|red|ring|rod|small|widget)', concat(chr(1), '\1', chr(1)), 'g'), concat(chr(1), '+'), chr(1), 'g'), chr(1)) AS units FROM cat_doc""",
+)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{core.shared_folder(spark)}/{core.RUN}/{uuid.uuid4().hex}"
+
+
+def _rules(df: DataFrame) -> DataFrame:
+    """Rules written as a file and read again: a sense for each type, and a group for each brand with its types."""
+    glossary = df.select(F.struct(F.col("table_name").alias("source"), F.lower("table_name").alias("target")).alias("g")).distinct().agg(F.array_sort(F.collect_list("g")).alias("glossary"))
+    groups = df.groupBy("table_description").agg(F.array_sort(F.collect_set("table_name")).alias("candidates")).select(F.struct(F.col("table_description").alias("id"), "candidates").alias("g")).agg(F.collect_list("g").alias("synonym_groups"))
+    path = _folder(df.sparkSession)
+    glossary.crossJoin(groups).select(F.to_json(F.struct("glossary", "synonym_groups")).alias("value")).coalesce(1).write.text(path)  # one row a side
+    senses, synonyms = catalog.read_rules(df.sparkSession, path)
+    return synonyms.unionByName(senses.select(F.col("source").alias("group_id"), F.col("target").alias("candidate")), allowMissingColumns=True)
+
+
+_query("a06_read_rules", "cat_part", _rules, """, g AS (SELECT DISTINCT table_description AS group_id, table_name AS candidate FROM cat_part)
+SELECT *, CAST(row_number() OVER (PARTITION BY group_id ORDER BY candidate) - 1 AS INT) AS candidate_order FROM g UNION ALL SELECT DISTINCT table_name, lower(table_name), NULL FROM cat_part""")
+
+
+def _dictionary(d: DataFrame, c: DataFrame) -> DataFrame:
+    path, key = _folder(d.sparkSession), ["abbreviation", "full_name", "korean_word"]
+    catalog.write_dictionary(d.drop("row_no"), c.filter(F.startswith("source_id", F.lit("x-"))), path)
+    read = lambda name: d.sparkSession.read.parquet(f"{path}/{name}")
+    return catalog.number_rows(read("dictionary"), "pos").select("pos", *key).unionByName(read("failed").select(F.lit(0).cast("long").alias("pos"), *key))
+
+
+_query("a10_write_dictionary", "dict_rows cand_part", _dictionary, "SELECT row_number() OVER (ORDER BY abbreviation, full_name, korean_word) AS pos, abbreviation, full_name, korean_word FROM dict_rows UNION ALL SELECT 0, abbreviation, full_name, korean_word FROM cand_part WHERE source_id LIKE 'x-%'")
+
+
+def _results(df: DataFrame) -> DataFrame:
+    path = _folder(df.sparkSession)
+    catalog.write_results(df, df.select("source_id", F.lower("column_name").alias("name"), (F.col("row_no") % 100).alias("confidence")), path)
+    return df.sparkSession.read.parquet(path)
+
+
+_query("a11_write_results", "cat_part", _results, "SELECT *, lower(column_name) AS name, row_no % 100 AS confidence FROM cat_part")
+
+
+def _population(df: DataFrame) -> DataFrame:
+    path = _folder(df.sparkSession)
+    catalog.write_population(df.select("row_no", "source_id", "column_name", F.when(every(3), F.col("table_name")).alias("table_name"), "column_description"), path)
+    return df.sparkSession.read.text(path).select("value")
+
+
+_query("a13_write_population", "cat_part", _population, """SELECT concat('{"row_no":', row_no, ',"source_id":"', source_id, '","column_name":"', column_name, CASE WHEN row_no % 3 = 0 THEN concat('","table_name":"', table_name) ELSE '' END, '","column_description":"', column_description, '"}') AS value FROM cat_part""")
+
+
+def _files(df: DataFrame) -> str:
+    """Folder of files with a thousand ids each, a line an id, in order."""
+    path = _folder(df.sparkSession)
+    rows = df.select("source_id", F.floor(F.col("row_no") / 1000).alias("block")).repartition("block").sortWithinPartitions("block", "source_id")
+    rows.write.partitionBy("block").text(path)
+    return path
+
+
+FILES = ", f AS (SELECT CAST(sum(length(source_id) + 1) AS BIGINT) AS bytes, sha256(concat(string_agg(source_id, chr(10) ORDER BY source_id), chr(10))) AS sha256 FROM cat_part GROUP BY row_no // 1000) "
+_query("a14_file_digests", "cat_part", lambda df: catalog.file_digests(df.sparkSession, _files(df)).select("bytes", "sha256"), FILES + "SELECT * FROM f")
+_query(
+    "a14_run_metadata", "cat_part",
+    lambda df: (lambda path: catalog.run_metadata(df.sparkSession, path, path, core.catalog_profile(df).select("n_rows", "names"), {"stage": "S7", "rounds": "2"}))(_files(df)).select("n_rows", "names", "input_bytes", "output_bytes", (F.col("input_sha256") == F.col("output_sha256")).alias("same"), F.array_join(F.map_keys("options"), ",").alias("set")),
+    FILES + "SELECT (SELECT count(*) FROM cat_part) AS n_rows, (SELECT count(DISTINCT column_name) FROM cat_part) AS names, CAST(sum(bytes) AS BIGINT) AS input_bytes, CAST(sum(bytes) AS BIGINT) AS output_bytes, true AS same, 'rounds,stage' AS set FROM f",
+)
+
+
+def _rubrics(df: DataFrame) -> DataFrame:
+    """Rubrics from types: each weighted alike but for the last, which makes up the hundred; then with a weight too
+    many, and with one that is listed twice."""
+    each = df.groupBy(F.col("table_name").alias("id")).agg(F.count("*").alias("n"))
+    sizes = each.agg(F.count("*").alias("k"), F.max("id").alias("last"))
+    even = F.floor(100 / F.col("k"))
+    fits = each.crossJoin(F.broadcast(sizes)).select("id", F.when(F.col("id") == F.col("last"), 100 - even * (F.col("k") - 1)).otherwise(even).alias("weight"))  # one row
+    more, twice = fits.withColumn("weight", F.col("weight") + 1), fits.unionByName(fits.filter("weight > 0").orderBy("id").limit(1))
+    judged = [review.validate_rubric(r).withColumn("rubric", F.lit(n)) for n, r in (("fits", fits), ("more", more), ("twice", twice))]
+    return core.union_issues(*judged)
+
+
+_query("j01_validate_rubric", "cat_part", _rubrics, "SELECT * FROM (VALUES ('fits', true, true), ('more', false, true), ('twice', false, false)) t(rubric, weights_ok, ids_ok) WHERE EXISTS (SELECT 1 FROM cat_part)")
+_query(
+    "u03_tie_resolver", "cat_doc", lambda df: terms.select_preferred_term(terms.synonym_frequency(_units(df), _synonyms(df)), lambda winners: F.element_at(winners, -1)),
+    SYN + ", w AS (SELECT *, frequency = max(frequency) OVER (PARTITION BY group_id) AS won FROM freq) SELECT group_id, max_by(candidate, candidate_order) AS selected_term, max(frequency) AS frequency, count(*) > 1 AS tied, CASE WHEN count(*) > 1 THEN 'context_resolver' ELSE 'frequency' END AS selection_source FROM w WHERE won GROUP BY group_id",
+)
+CODES = ("timeout", "connection_error", "response_error", "model_error", "missing_result", "rejected_result", "unexpected_error", "else")
+_query(
+    "u05_failure_codes", "cat_part",
+    lambda df: P.unanswered(df, df.filter(~every(7) & ~every(5))).join(df.select("source_id", "row_no"), "source_id").withColumn("failure_code", F.when(every(7), F.col("failure_code")).otherwise(F.element_at(F.array(*map(F.lit, CODES)), (F.col("row_no") % 8).cast("int") + 1))).select("source_id", "failure_code", N.failure_text(F.col("failure_code")).alias("label")),
+    """SELECT source_id, CASE WHEN row_no % 7 = 0 THEN 'missing_result' ELSE ['timeout','connection_error','response_error','model_error','missing_result','rejected_result','unexpected_error','else'][row_no % 8 + 1] END AS failure_code,
+  CASE WHEN row_no % 7 = 0 THEN '결과 누락' ELSE ['시간 초과','연결 실패','응답 형식 오류','호출 실패','결과 누락','정책 검증 거부','예상하지 못한 오류','실패'][row_no % 8 + 1] END AS label FROM cat_part WHERE row_no % 7 = 0 OR row_no % 5 = 0""",
+)
