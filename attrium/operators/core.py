@@ -117,9 +117,10 @@ def consistency(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count("*").alias("n_values"), F.sum("_n").alias("n_rows")).filter("n_values > 1")
 
 
-def batch_rows(df: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Adds batch: at most n rows each. Rows are numbered within hash buckets, so no task numbers all."""
-    bucket = F.pmod(F.xxhash64("source_id"), F.lit(buckets)).alias("_b")
+def batch_rows(df: DataFrame, n: int, buckets: int, by: Column | None = None) -> DataFrame:
+    """Adds batch: at most n rows each. Rows are numbered within buckets, so no task numbers all: hashes of the id, or
+    what `by` gives."""
+    bucket = (F.pmod(F.xxhash64("source_id"), F.lit(buckets)) if by is None else F.pmod(by, F.lit(buckets))).alias("_b")
     rows = df.select("*", bucket)
     rank = F.row_number().over(Window.partitionBy("_b").orderBy("row_no", "source_id"))
     return rows.withColumn("batch", F.concat_ws("-", "_b", F.floor((rank - 1) / n))).drop("_b")

@@ -345,3 +345,5 @@ _query(
     """SELECT source_id, CASE WHEN row_no % 7 = 0 THEN 'missing_result' ELSE ['timeout','connection_error','response_error','model_error','missing_result','rejected_result','unexpected_error','else'][row_no % 8 + 1] END AS failure_code,
   CASE WHEN row_no % 7 = 0 THEN '결과 누락' ELSE ['시간 초과','연결 실패','응답 형식 오류','호출 실패','결과 누락','정책 검증 거부','예상하지 못한 오류','실패'][row_no % 8 + 1] END AS label FROM cat_part WHERE row_no % 7 = 0 OR row_no % 5 = 0""",
 )
+_query("f12_batch_members", "cat_part", lambda df: core.batch_rows(df, 25, 8, F.col("row_no")).select("source_id", "batch"), "SELECT source_id, concat(row_no % 8, '-', CAST((row_number() OVER (PARTITION BY row_no % 8 ORDER BY row_no) - 1) // 25 AS BIGINT)) AS batch FROM cat_part")
+_query("f14_output_order", "cat_part", lambda df: catalog.number_rows(core.sort_output(df.select("source_id", "column_name").repartition(5)), "pos"), "SELECT source_id, column_name, row_number() OVER (ORDER BY row_no) AS pos FROM cat_part")

@@ -26,8 +26,10 @@ def resolve_aliases(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
 
 def number_rows(df: DataFrame, name: str = "row_no") -> DataFrame:
     """df with the number of each row, from 1, in the order in which it is read. Partitions are counted first,
-    so that no task numbers all."""
-    at = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    so that no task numbers all. df is written once, as it need not come in the same partitions twice."""
+    from ..operators.core import cut
+
+    at = cut(df.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
     by = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     before = at.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(by), F.lit(0)).alias("_before"))
     return at.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
