@@ -435,6 +435,7 @@ def test_units_at_many_terms(spark):
     rules = spark.range(30_000).select(F.concat(F.lit("q"), "id").alias("candidate")).union(spark.createDataFrame([(c,) for c in [*few, None, ""]], "candidate string"))
     got = {r[0]: r[1:] for r in terms.units_at_terms(df, rules).collect()}
     assert got == {r[0]: r[1:] for r in df.select("*", N.semantic_units(F.col("name"), few)).collect()}
+    assert terms.units_at_terms(df.limit(0), rules).count() == 0 and terms.units_at_terms(df, rules.limit(0)).filter("units[0] <=> name and size(units) = 1").count() == 9
     assert got[8] == ("aab", ["aa", "b"]) and got[5][1] == ["x😀", "차", "😀"] and got[2] == (None, [None])
 
 
