@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
 from .core import cut
-from .matching import find_terms
+from .matching import cut_at_terms, find_terms
 
 #: Labels of actions, and what a reason says of terms that were unified.
 KEPT, NORMALIZED = "유지", "정규화"
@@ -158,16 +158,8 @@ def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFra
 
 def units_at_terms(df: DataFrame, rules: DataFrame, text_col: str = "name") -> DataFrame:
     """df with units: the text cut at the candidates of rules, of any number, the longest first; what lies between them
-    stays whole, and a text without any is one unit. Each different text is looked at once."""
-    texts = df.select(text_col).distinct()
-    hits = find_terms(texts, rules.select(F.lit("").alias("group_id"), "candidate"), text_col, text_col)
-    at = hits.groupBy(text_col).agg(F.array_sort(F.collect_list(F.struct("start", F.length("candidate").alias("size")))).alias("_at"))  # of a name: few
-    end = lambda i: F.coalesce(F.get("_at", i)["start"] + F.get("_at", i)["size"], F.lit(0))
-    piece = lambda begin, size: F.substring(F.col(text_col), begin + 1, size)
-    cuts = F.transform("_at", lambda x, i: F.array(piece(end(i - 1), x["start"] - end(i - 1)), piece(x["start"], x["size"])))
-    rest = piece(end(F.size("_at") - 1), F.length(text_col))
-    units = F.filter(F.concat(F.flatten(cuts), F.array(rest)), lambda u: u != "")
-    return df.join(at, text_col, "left").select(*[df[c] for c in df.columns], F.when(F.col("_at").isNull(), F.array(text_col)).otherwise(units).alias("units"))
+    stays whole, and a text without any is one unit."""
+    return cut_at_terms(df, rules, text_col)
 
 
 def surface_sources(df: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
