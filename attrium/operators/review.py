@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .digests import set_digest
+from .digests import sorted_digest
 
 
 def draw(stage: str, stratum, key="source_id"):
@@ -42,7 +42,7 @@ def sample_manifest(population: DataFrame, sample: DataFrame, quotas: dict[str,
     selected = sample.groupBy("stratum").agg(F.count("*").alias("selected"))
     rows = required.join(available, "stratum", "left").join(selected, "stratum", "left").fillna(0)
     whole = sample.agg(F.count("*").alias("sample"), F.sha2(F.array_join(F.array_sort(F.collect_list("source_id")), "\n"), 256).alias("selection_sha256"))
-    return rows.withColumn("missing", F.col("available") == 0).crossJoin(F.broadcast(set_digest(population, "source_id").select(F.col("n").alias("population"), F.col("sha256").alias("population_sha256")).crossJoin(whole)))  # one row
+    return rows.withColumn("missing", F.col("available") == 0).crossJoin(F.broadcast(sorted_digest(population, "source_id").select(F.col("n").alias("population"), F.col("sha256").alias("population_sha256")).crossJoin(whole)))  # one row
 
 
 def sample_completeness(rated: DataFrame, manifest: DataFrame, quotas: dict[str, int], minimum: int) -> DataFrame:

@@ -1,7 +1,9 @@
 """Cases of the catalog operators, and their queries against DuckDB on the smallest tables."""
 
+import hashlib
 import json
 
+import pyarrow as pa
 import pytest
 from compare import compare, connection
 from pyspark.sql import functions as F
@@ -393,6 +395,26 @@ def test_digests(spark):
     assert in_order == tuple(digests.sequence_digest(seq.repartition(50), "pos", "a").first()) != tuple(digests.sequence_digest(swapped, "pos", "a").first())
 
 
+def test_one_flat_digest_over_any_number_of_ids(spark):
+    """SHA-256 over all sorted hashes; repeated ids count as often as they come, and no rows give the hash of nothing."""
+    of = lambda df: tuple(digests.sorted_digest(df, "a").first())
+    ids = [f"r{i}" for i in range(5_000)] + ["r7"] * 10_000 + ["r8*2"]
+    want = hashlib.sha256("\n".join(sorted(hashlib.sha256(x.encode()).hexdigest() for x in ids)).encode()).hexdigest()
+    df = spark.createDataFrame([(x,) for x in ids], "a string")
+    assert of(df) == of(df.repartition(30)) == (15_001, want)
+    assert of(df.limit(0)) == (0, hashlib.sha256().hexdigest())
+
+
+def test_digest_of_positions_beyond_a_million(spark):
+    """Blocks of a thousand positions under one hash, wherever the last position lies."""
+    rows = [(i * 700, f"r{i}*2") for i in range(2_000)]
+    blocks = {}
+    for pos, a in rows:
+        blocks.setdefault(pos // 1000, []).append(f"{pos}:{a}")
+    want = hashlib.sha256("\n".join(hashlib.sha256("\n".join(b).encode()).hexdigest() for b in blocks.values()).encode()).hexdigest()
+    assert tuple(digests.sequence_digest(spark.createDataFrame(rows, "pos long, a string").repartition(9), "pos", "a").first()) == (2_000, want)
+
+
 def test_locked_sample(spark):
     df = spark.createDataFrame([(f"r{i}", i) for i in range(30)], "source_id string, v int")
     manifest = spark.createDataFrame([(k, f"r{i}") for k, i in enumerate((5, 3, 17, 0))], "pos int, source_id string")
@@ -439,6 +461,25 @@ def test_units_at_many_terms(spark):
     assert got[8] == ("aab", ["aa", "b"]) and got[5][1] == ["x😀", "차", "😀"] and got[2] == (None, [None])
 
 
+@pytest.mark.parametrize("shard", [matching.SHARD, 3])
+def test_texts_cut_where_they_are_read(spark, shard):
+    """No text is shuffled to be cut, and with many automata the units are the same."""
+    texts = [(i, t * 50) for i, t in enumerate(["x차량차 ", "차량형", "", "다른 글", "차량형"])] + [(9, None)]
+    df = spark.createDataFrame(texts, "source_id long, name string")
+    few = ["차", "차량", "량형", "다른"]
+    out = matching.cut_at_terms(df, spark.createDataFrame([(c,) for c in few], "candidate string"), "name", shard)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, df.select("*", N.semantic_units(F.col("name"), few)).collect()), key=str)
+    if shard == matching.SHARD:
+        assert "Exchange" not in out._jdf.queryExecution().toString()
+
+
+def test_long_texts_are_searched_a_few_at_a_time():
+    """A task turns about SLICE bytes of text into Python objects at a time, and puts out few hits at a time."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["r"] * 6), pa.array(["x" * (matching.SLICE // 3)] * 6)], names=["row", "text"])
+    assert [b.num_rows for b in matching._slices([batch], 1)] == [2, 2, 2]
+    assert [b.num_rows for b in matching._slices([batch], 0)] == [6] and matching.ROWS <= 10_000
+
+
 def test_names_with_many_synonyms(spark):
     """Groups of over 10,000 candidates in all: names are unified as with the groups that occur."""
     cols = "row_no long, source_id string, column_name string, column_description string, table_name string, table_description string, data_type string"
