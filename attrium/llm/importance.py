@@ -229,7 +229,7 @@ def weigh(docs: DataFrame, target: DataFrame, text_col: str = "text", target_col
             total += np.bincount(of, sent.value[buckets], len(texts)).astype(np.int64)
         return [n.tolist(), (total // np.maximum(n, 1)).tolist()]
 
-    return append_columns(docs, F.col(text_col), each, pa.schema([(prefix + f.name, f.type) for f in WEIGHED]))
+    return append_columns(docs, tuple(text_col.split(".")), each, pa.schema([(prefix + f.name, f.type) for f in WEIGHED]))
 
 
 def noise(doc_id: Column, seed: int = 7) -> Column:

@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             out.append((langs[chosen[0]], float(min(1.0, every[chosen[0]])), [langs[k] for k in chosen], w.tolist()))
         return [list(x) for x in zip(*out, strict=True)] or [[]] * len(FIELDS)
 
-    return append_columns(docs, docs[text_col], each, pa.schema([(prefix + f.name, f.type) for f in FIELDS]))
+    return append_columns(docs, tuple(text_col.split(".")), each, pa.schema([(prefix + f.name, f.type) for f in FIELDS]))
 
 
 def held_out(doc_id: Column) -> Column:

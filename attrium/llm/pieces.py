@@ -374,7 +374,7 @@ def encode_pieces(docs: DataFrame, model_path: str, n: int = 3, id_col: str = "d
         return [lists, n_pieces, best, others.column(), same]
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return append_columns(docs, F.col("_text"), each, FIELDS).drop("_text")
+    return append_columns(docs, ("_text",), each, FIELDS).drop("_text")
 
 
 def segmentations(encoded: DataFrame) -> DataFrame:
@@ -389,4 +389,4 @@ def decode_pieces(pieces: DataFrame, model_path: str, id_col: str = "doc_id", id
     """doc_id and text of rows of ids; null ids are no text ('')."""
     sent = pieces.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path))
     rows = pieces.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("_ids"))
-    return append_columns(rows, F.col("_ids"), lambda each: [[_lattice(model_path, sent).decode(x or []) for x in each]], pa.schema([("text", pa.string())])).drop("_ids")
+    return append_columns(rows, ("_ids",), lambda each: [[_lattice(model_path, sent).decode(x or []) for x in each]], pa.schema([("text", pa.string())])).drop("_ids")

@@ -83,7 +83,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return append_columns(docs, F.col("_text"), lambda texts: [[fingerprint(t) for t in texts]], pa.schema([("fp", pa.int64())])).drop("_text")
+    return append_columns(docs, ("_text",), lambda texts: [[fingerprint(t) for t in texts]], pa.schema([("fp", pa.int64())])).drop("_text")
 
 
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

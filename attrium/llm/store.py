@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
@@ -90,17 +91,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
         yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
 
 
-def append_columns(df: DataFrame, text: Column, fn: Callable[[list], list[list]], schema: pa.Schema) -> DataFrame:
+def append_columns(df: DataFrame, text: Column | tuple[str, ...], fn: Callable[[list], list[list]], schema: pa.Schema) -> DataFrame:
     """df with the fields of schema after its columns. fn gets the values of `text` in a batch and gives,
-    for each field, the list (or Arrow array) of its values. Other columns pass through as they are."""
+    for each field, the list (or Arrow array) of its values. Other columns pass through as they are. text: an expression,
+    or a column's name and those of fields within it, of which nothing is sent to Python twice."""
     names = list(df.columns)
+    path, own = (text, None) if isinstance(text, tuple) else (("_appended_from",), text)
+    while own is not None and path[0] in names:
+        path = (path[0] + "_",)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, len(names)):
-            new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fn(b.column(len(names)).to_pylist()), schema, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *new], names=[*names, *schema.names])
-
-    own = "_appended_from"
-    while own in names:
-        own += "_"
-    return df.select("*", text.alias(own)).mapInArrow(each, T.StructType([*df.schema.fields, *from_arrow_schema(schema).fields]))
+        for whole in batches:
+            found = whole.column(path[0])
+            for field in path[1:]:
+                found = pc.struct_field(found, field)
+            rows = max(1, whole.num_rows * SLICE // max(SLICE, found.nbytes))
+            for i in range(0, whole.num_rows, rows):
+                b, values = whole.slice(i, rows), found.slice(i, rows).to_pylist()
+                new = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(fn(values), schema, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *new], names=[*names, *schema.names])
+
+    sent = df if own is None else df.select("*", own.alias(path[0]))
+    return sent.mapInArrow(each, T.StructType([*df.schema.fields, *from_arrow_schema(schema).fields]))
