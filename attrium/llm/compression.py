@@ -14,9 +14,9 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .store import append_columns
+from .store import append_columns, stored
 
 #: White space between words, and the characters counted as symbols.
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -78,6 +78,10 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeat
 
 
+def base_failed(counts: tuple[int, int, int, int, int]) -> bool:
+    return counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+
+
 @cache
 def _compressor(level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
@@ -140,21 +144,86 @@ def bands_of(sizes: np.ndarray, found: np.ndarray, band_rows: int = 30, tail: fl
     return tuple(Band(float(2**a), float(m + margin * np.quantile(off[g], tail)), float(m + margin * np.quantile(off[g], 1 - tail))) for a, m, g in zip(at, middle, groups, strict=True))
 
 
-def calibrate(docs: DataFrame, clean: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[Band, ...]:
-    """Bands from about max_rows documents at most (the bound on the sample, drawn by a hash of the id) whose
-    ids are in clean. Those that fail the base rules don't count. BANDS if there are too few."""
-    ids = clean.select(F.col(id_col).cast("long").alias("_clean")).filter("_clean is not null").distinct()
-    share = min(1.0, max_rows / max(1, ids.count()))
-    ids = ids.filter(F.pmod(F.xxhash64("_clean", F.lit("bands")), F.lit(1 << 30)) < share * (1 << 30))
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_clean"), "left_semi")  # about max_rows ids
-
-    def each(texts: list) -> list[list]:
-        raw = [b"" if base_failed(base_counts(t)) else (t or "").encode("utf-8", "replace") for t in texts]
-        return [list(map(len, raw)), list(map(ratio, raw))]
-
-    found = append_columns(texts.select("_text"), F.col("_text"), each, pa.schema([("size", pa.int64()), ("ratio", pa.float64())]))
-    rows = found.filter("size > 0").select("size", "ratio").toPandas().sort_values(["size", "ratio"])
-    return bands_of(rows["size"].to_numpy(float), rows["ratio"].to_numpy(float)) or BANDS
+#: Steps of a ratio (2**-20) in which quantiles are told apart, and of a logarithm's sum, which so is the same in any order.
+STEPS, FINE = 1 << 20, 1 << 10
+MEASURED = pa.schema([("size", pa.int64()), ("ratio", pa.float64()), ("x", pa.float64()), ("half", pa.int64())])
+
+
+def _measured(texts: list) -> list[list]:
+    """Of each text its size, ratio, and the logarithm of its size, also in halves; size 0 if the base rules reject it."""
+    raw = [b"" if base_failed(base_counts(t)) else (t or "").encode("utf-8", "replace") for t in texts]
+    x = np.log2([max(1, len(r)) for r in raw])
+    return [list(map(len, raw)), list(map(ratio, raw)), x.tolist(), np.floor(2 * x).astype(np.int64).tolist()]
+
+
+def _quantiles(rows: DataFrame, value: Column, wanted: list[float]) -> dict[int, list[float]]:
+    """Of each g in rows the quantiles of value over all rows, linear between neighbours: counts in coarse steps tell
+    which of these the neighbours are in, counts in fine steps the neighbours. Only counts come to the driver."""
+    v = F.floor(value * STEPS).cast("long")
+    rows = rows.select("g", F.floor(v / FINE).alias("hi"), F.pmod(v, F.lit(FINE)).alias("lo"))
+    coarse: dict[int, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("g", "hi").agg(F.count("*").alias("n")).collect():  # a few thousand of a band
+        coarse.setdefault(r["g"], []).append((r["hi"], r["n"]))
+    places: dict[tuple[int, int], list[tuple[int, int]]] = {}  # of a band and rank: coarse step and rank in it
+    for g, found in coarse.items():
+        found.sort()
+        ends = np.cumsum([n for _, n in found])
+        for q in wanted:
+            at = q * (int(ends[-1]) - 1)
+            for rank in (int(at), min(int(at) + 1, int(ends[-1]) - 1)):
+                k = int(np.searchsorted(ends, rank, "right"))
+                places[g, rank] = (found[k][0], rank - int(ends[k]) + found[k][1])
+    if not places:
+        return {}
+    steps = rows.sparkSession.createDataFrame(sorted({(g, hi) for (g, _), (hi, _) in places.items()}), "g int, hi long")
+    fine: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r in rows.join(F.broadcast(steps), ["g", "hi"]).groupBy("g", "hi", "lo").agg(F.count("*").alias("n")).collect():  # FINE of a step
+        fine.setdefault((r["g"], r["hi"]), []).append((r["lo"], r["n"]))
+
+    def value_at(g: int, rank: int) -> float:
+        hi, within = places[g, rank]
+        found = sorted(fine[g, hi])
+        k = int(np.searchsorted(np.cumsum([n for _, n in found]), within, "right"))
+        return (hi * FINE + found[k][0]) / STEPS
+
+    out = {}
+    for g, found in coarse.items():
+        last = sum(n for _, n in found) - 1
+        pairs = [(q * last - int(q * last), value_at(g, int(q * last)), value_at(g, min(int(q * last) + 1, last))) for q in wanted]
+        out[g] = [low + part * (high - low) for part, low, high in pairs]
+    return out
+
+
+def calibrate(docs: DataFrame, clean: DataFrame, id_col: str = "doc_id", text_col: str = "text", band_rows: int = 30, tail: float = 0.005, margin: float = 1.35) -> tuple[Band, ...]:
+    """Bands as of bands_of from all documents whose ids are in clean, but for quantiles in steps of 2**-20. Those that fail
+    the base rules don't count. BANDS if there are too few. No text is shuffled."""
+    ids = clean.select(F.col(id_col).cast("long").alias("_id")).filter("_id is not null").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = append_columns(texts, ("_text",), _measured, MEASURED).drop("_text").filter("size > 0")
+    rows = stored(rows.join(ids, "_id", "left_semi").drop("_id"), "ratios")
+    halves = sorted(map(tuple, rows.groupBy("half").agg(F.count("*"), F.sum(F.round(F.col("x") * (1 << 24)).cast("long"))).collect()))  # two for each power of two
+    groups, n, total = [], 0, 0  # the last half of a group, its rows and the sum of their logarithms
+    for half, more, x in halves:
+        n, total = n + more, total + x
+        if n >= band_rows:
+            groups.append([half, n, total])
+            n = total = 0
+    if not groups:
+        return BANDS
+    groups[-1] = [halves[-1][0], groups[-1][1] + n, groups[-1][2] + total]
+    at = [total / n / (1 << 24) for _, n, total in groups]
+    of = F.lit(len(groups) - 1)
+    for g in range(len(groups) - 2, -1, -1):
+        of = F.when(F.col("half") <= groups[g][0], g).otherwise(of)
+    rows = rows.select("x", "ratio", of.cast("int").alias("g"))
+    middle = [m for _, (m,) in sorted(_quantiles(rows, F.col("ratio"), [0.5]).items())]
+    usual_ = F.lit(middle[-1])
+    for g in range(len(groups) - 2, -1, -1):
+        between = F.lit(middle[g]) + (F.col("x") - at[g]) * ((middle[g + 1] - middle[g]) / (at[g + 1] - at[g]))
+        usual_ = F.when(F.col("x") <= at[g + 1], between).otherwise(usual_)
+    usual_ = F.when(F.col("x") <= at[0], middle[0]).otherwise(usual_)
+    off = _quantiles(rows, F.col("ratio") - usual_, [tail, 1 - tail])
+    return tuple(Band(float(2**a), m + margin * off[g][0], m + margin * off[g][1]) for g, (a, m) in enumerate(zip(at, middle, strict=True)))
 
 
 FIELDS = pa.schema(
@@ -163,10 +232,6 @@ FIELDS = pa.schema(
 )
 
 
-def base_failed(counts: tuple[int, int, int, int, int]) -> bool:
-    return counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
-
-
 def judge(text: str | None, bands: tuple[Band, ...] = BANDS) -> tuple:
     base = base_counts(text)
     failed = base_failed(base)
@@ -178,5 +243,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id and FIELDS, one row for each row of docs, repeated rows and null ids included, all from its
     whole text. A null or empty text has no words: it fails the base rules. Works row by row; no shuffle."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    found = append_columns(docs.select("doc_id", "_text"), F.col("_text"), lambda texts: [list(x) for x in zip(*(judge(t, bands) for t in texts), strict=True)] or [[]] * len(FIELDS), FIELDS)
+    found = append_columns(docs.select("doc_id", "_text"), ("_text",), lambda texts: [list(x) for x in zip(*(judge(t, bands) for t in texts), strict=True)] or [[]] * len(FIELDS), FIELDS)
     return found.drop("_text")

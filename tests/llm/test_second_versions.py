@@ -58,6 +58,20 @@ def test_bands_against_a_plain_version(spark):
     assert {"", "repetitive", "incompressible"} <= set(reasons)
 
 
+def test_bands_from_all_texts(spark):
+    """Of 30,000 clean texts each counts: the bands are those that numpy gives for all of them."""
+    rng = np.random.default_rng(5)
+    words = [rng.bytes(4).hex()[: rng.integers(2, 8)] for _ in range(3_000)]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(12, 60, 30_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    raw = [t.encode() for t in texts if not compression.base_failed(compression.base_counts(t))]
+    want = compression.bands_of(np.array([len(r) for r in raw], float), np.array([compression.ratio(r) for r in raw]))
+    got = compression.calibrate(docs, docs.select("doc_id"))
+    assert len(got) == len(want) > 3
+    for a, b in zip(got, want, strict=True):
+        assert abs(a.size / b.size - 1) < 1e-6 and abs(a.low - b.low) < 1e-5 and abs(a.high - b.high) < 1e-5
+
+
 def test_base_counts_against_sql(spark):
     con = connection(SF)
     want = con.execute(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
