@@ -66,7 +66,7 @@ _query(
 
 
 def _accept(c: DataFrame, k: DataFrame) -> DataFrame:
-    base = N.deterministic_names(c, glossary(k)).join(c.select("source_id", "row_no"), "source_id")
+    base = core.cut(N.deterministic_names(c, glossary(k)).join(c.select("source_id", "row_no"), "source_id"))
     new = base.filter(~every(3, 2)).withColumns({"name": F.when(every(3), F.col("name")).otherwise("신규"), "confidence": F.lit(99)})
     return N.accept(base, new, base.filter(F.size("unknown") > 0), new.filter(every(5))).select("source_id", "name", "confidence", "failure_code")
 

@@ -501,6 +501,11 @@ def test_review_loop(spark):
     assert {tuple(r) for r in out.collect()} == {("a", 90), ("b", 95), ("c", 100)}
 
 
+def test_accepting_works_names_out_once(spark):
+    """Base, proposals and their issues all come from one written table: no task sorts pieces for each of them."""
+    assert "Generate" not in queries.QUERIES["c06_c07_accept"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_score_caps(spark):
     rubric = spark.createDataFrame([("x", 60.0), ("y", 40.0)], "id string, weight double")
     ratings = spark.createDataFrame([(r, d, 5.0) for r in "abc" for d in "xy"], "review string, dimension string, rating double")
