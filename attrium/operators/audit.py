@@ -7,14 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from .core import issue, missing, required_minus_present, union_issues
+from .core import issue, merged, missing, required_minus_present, union_issues
 from .matching import find_terms
 
 
 def component_issues(sources: DataFrame, results: DataFrame, dictionary: DataFrame) -> DataFrame:
     """results: source_id, components, evidence. Fragments that don't rebuild the name, components without
     meaning, mappings that the dictionary lacks, evidence that doesn't show a component."""
-    rows = results.join(sources.select("source_id", X.compact_identifier(F.col("column_name")).alias("whole")), "source_id")
+    rows = results.join(merged(sources.select("source_id", X.compact_identifier(F.col("column_name")).alias("whole"))), "source_id")
     each = rows.select("source_id", "evidence", F.explode("components").alias("c")).select("source_id", "evidence", "c.*")
     known = dictionary.select(F.col("abbreviation").alias("fragment"), F.col("full_name").alias("full"), F.col("korean_word").alias("korean")).distinct()
     token = F.concat("fragment", F.lit("→"), "full", F.lit("→"), "korean")

@@ -71,8 +71,14 @@ def fan_out(results: DataFrame, aliases: DataFrame) -> DataFrame:
     return aliases.join(results.withColumnRenamed("source_id", "representative"), "representative").drop("representative", "weight")
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join by keys that grow with the rows: sorted and merged, not collected by the driver and broadcast, which
+    Spark does as long as the files of a table are small, however many rows they hold."""
+    return df.hint("merge")
+
+
 def missing(df: DataFrame, other: DataFrame, key: str = "source_id") -> DataFrame:
-    return df.join(other.select(key).distinct(), key, "left_anti")
+    return df.join(merged(other.select(key).distinct()), key, "left_anti")
 
 
 def replace_rows(df: DataFrame, new: DataFrame, key: str = "source_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as X
-from .core import consistency, cut, dedup_sources, fan_out, issue, union_issues
+from .core import consistency, cut, dedup_sources, fan_out, issue, merged, union_issues
 
 KEY = ["abbreviation", "full_name", "korean_word"]
 #: Names at the end of which the last abbreviation scores higher.
@@ -184,14 +184,14 @@ def segment_names(names: DataFrame, dictionary: DataFrame, k: int = 8) -> DataFr
     known = dictionary.select(F.col("abbreviation").alias("fragment")).distinct()
     hits = parts.join(known, "fragment", "left_semi")
     senses = resolve_sense(hits.select("fragment", "table_name", "table_description"), dictionary)
-    edges = hits.join(senses, ["fragment", "table_name", "table_description"]).select(
+    edges = hits.join(merged(senses), ["fragment", "table_name", "table_description"]).select(
         "token", "table_name", "table_description", F.struct("start", "end", "full_name", "korean_word", F.col("occurrence_count").cast("int").alias("n"), "many").alias("e")
     )
-    lattice = each.join(edges.groupBy("token", "table_name", "table_description").agg(F.sort_array(F.collect_list("e")).alias("edges")), ["token", "table_name", "table_description"], "left")
+    lattice = each.join(merged(edges.groupBy("token", "table_name", "table_description").agg(F.sort_array(F.collect_list("e")).alias("edges"))), ["token", "table_name", "table_description"], "left")
     lattice = lattice.withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<start:int,end:int,full_name:string,korean_word:string,n:int,many:boolean>>")))
     lattice = cut(lattice.withColumn("lattice", F.md5(F.to_json(F.struct("token", "edges")))))
     ways = lattice.groupBy("lattice").agg(F.any_value("token").alias("token"), F.any_value("edges").alias("edges")).select("lattice", _token_ways(F.col("token"), F.col("edges"), k).alias("ways"))
-    of_name = tokens.join(lattice.select("token", "table_name", "table_description", "lattice"), ["token", "table_name", "table_description"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lattice"))), lambda x: x["lattice"]).alias("lattices"))
+    of_name = tokens.join(merged(lattice.select("token", "table_name", "table_description", "lattice")), ["token", "table_name", "table_description"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lattice"))), lambda x: x["lattice"]).alias("lattices"))
     of_name = cut(of_name.withColumn("name", F.md5(F.array_join("lattices", ""))))
     each_name = of_name.groupBy("name").agg(F.any_value("lattices").alias("lattices")).select("name", F.posexplode("lattices").alias("pos", "lattice"))
     found = each_name.join(ways, "lattice").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ways"))), lambda x: x["ways"]).alias("tokens"))
@@ -256,7 +256,7 @@ def deterministic_results(df: DataFrame, dictionary: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(full, F.struct("rank", "fragments")))).alias("complete"),  # of at most k
     )
     rows = df.select("source_id", "row_no", *[F.coalesce(c, F.lit("")).alias(c) for c in CONTEXT if c in df.columns])
-    rows = rows.join(firsts, key, "left")
+    rows = rows.join(merged(firsts), key, "left")
     b, whole, one = F.col("b"), F.col("column_name"), lambda x: F.array(x)
     found = F.arrays_zip(b["fragments"].alias("fragment"), b["full_names"].alias("full"), b["korean_words"].alias("korean"), b["origins"].alias("origin"))
     found = F.when(b.isNull(), F.arrays_zip(one(whole).alias("fragment"), one(whole).alias("full"), one(F.lit("")).alias("korean"), one(F.lit("inference")).alias("origin"))).otherwise(found)
@@ -380,7 +380,7 @@ def partition_failed(sources: DataFrame, candidates: DataFrame, issues: DataFram
 def apply_status(results: DataFrame, issues: DataFrame, threshold: int = 85) -> DataFrame:
     """Status of each result: failed on an error, confirmed if confident and deterministic, else to review."""
     codes = issues.groupBy("source_id").agg(F.max((F.col("severity") == "error").cast("int")).alias("failed"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("validation_codes"))
-    rows = results.join(codes, "source_id", "left")
+    rows = results.join(merged(codes), "source_id", "left")
     status = F.when(F.col("failed") == 1, "검증실패").when((F.col("confidence") >= threshold) & (F.col("review_stratum") == "deterministic"), "자동확정").otherwise("검토필요")
     return rows.select("source_id", status.alias("status"), "confidence", "review_stratum", F.coalesce("validation_codes", F.lit("")).alias("validation_codes"))
 

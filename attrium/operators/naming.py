@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from .core import cut, fan_out, missing, one_row, replace_rows
+from .core import cut, fan_out, merged, missing, one_row, replace_rows
 from .digests import sequence_digest
 from .judging import Rule, judged, judged_again
 from .terms import Resolver, comment_issues, first_listed, reconcile_terms, units_at_terms
@@ -111,7 +111,7 @@ def accept_resolution(sources: DataFrame, proposals: DataFrame, dictionary: Data
     rebuild the column name, named; a mapping that the dictionary lacks counts as inference. Of several proposals for
     an id one is looked at."""
     whole = sources.select("source_id", X.compact_identifier(F.col("column_name")).alias("whole"))
-    fits = one_row(proposals.select("source_id", "components")).join(whole, "source_id").filter((F.size("components") > 0) & (F.array_join(F.transform("components", lambda c: c["fragment"]), "") == F.col("whole")))
+    fits = one_row(proposals.select("source_id", "components")).join(merged(whole), "source_id").filter((F.size("components") > 0) & (F.array_join(F.transform("components", lambda c: c["fragment"]), "") == F.col("whole")))
     known = dictionary.select(F.col("abbreviation").alias("fragment"), F.col("full_name").alias("full"), F.col("korean_word").alias("korean")).distinct().withColumn("known", F.lit(True))
     parts = fits.select("source_id", F.posexplode("components").alias("pos", "c")).select("source_id", "pos", "c.*").join(known, ["fragment", "full", "korean"], "left")
     origin = F.when((F.col("origin") == "mapping") & F.col("known").isNull(), "inference").otherwise(F.col("origin"))
@@ -207,7 +207,7 @@ MOST_ROUNDS = 5
 def _replaced(results: DataFrame, waiting: DataFrame, proposed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """results with one new row for each waiting id that was proposed for, and the new rows. What was proposed is
     worked out once: it may come from a model, and must be the same for what goes and what comes."""
-    new = cut(one_row(proposed.join(waiting, "source_id", "left_semi").select(*results.columns)))
+    new = cut(one_row(proposed.join(merged(waiting), "source_id", "left_semi").select(*results.columns)))
     return cut(replace_rows(results, new)), new
 
 
@@ -219,7 +219,7 @@ def review_loop(results: DataFrame, pending: Callable[[DataFrame], DataFrame], p
         waiting = cut(ids(pending(results)))
         if waiting.isEmpty():
             break
-        results, _ = _replaced(results, waiting, propose(results.join(waiting, "source_id", "left_semi")))
+        results, _ = _replaced(results, waiting, propose(results.join(merged(waiting), "source_id", "left_semi")))
     return results
 
 
@@ -231,8 +231,8 @@ def review_rounds(results: DataFrame, rules: list[Rule], propose: Callable[[Data
         waiting = cut(pending_ids(found))
         if waiting.isEmpty():
             break
-        todo = results.join(waiting, "source_id", "left_semi")
-        after, new = _replaced(results, waiting, propose(todo, found.join(waiting, "source_id", "left_semi"), n))
+        todo = results.join(merged(waiting), "source_id", "left_semi")
+        after, new = _replaced(results, waiting, propose(todo, found.join(merged(waiting), "source_id", "left_semi"), n))
         found = cut(judged_again(found, results, after, new, rules))
         results = after
     return results, found

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import text as X
 from .answers import Answers
 from .audit import component_issues, context_findings
-from .core import cut, missing, replace_rows
+from .core import cut, merged, missing, replace_rows
 from .dictionary import CONTEXT, apply_status, assign_strata, deterministic_results, naming_issues, segment_names
 from .judging import Rule, judged
 from .naming import FAILED, accept_resolution, ids, review_rounds
@@ -129,7 +129,7 @@ def name_from_dictionary(df: DataFrame, dictionary: DataFrame, proposals: DataFr
     asked = lambda todo, found, n: _taken(todo, todo, df, review(todo, found, n), dictionary, least=86)
     results, found = review_rounds(results, rules, asked, rounds if review is not None else 0)
     done = apply_status(results, found.filter("source_id is not null"), threshold).select("source_id", "status", "validation_codes")
-    return results.drop("components", "row_no").join(done, "source_id")
+    return results.drop("components", "row_no").join(merged(done), "source_id")
 
 
 def repair_names(results: DataFrame, sources: DataFrame, proposals: DataFrame, dictionary: DataFrame, threshold: int = 85) -> DataFrame:
@@ -143,18 +143,18 @@ def repair_names(results: DataFrame, sources: DataFrame, proposals: DataFrame, d
     context = sources.select("source_id", "row_no", *[F.coalesce(c, F.lit("")).alias(c) for c in CONTEXT])
     earlier = context.join(results.select("source_id", *own, parts), "source_id").select(*NAMED)
     failed = results.filter(F.col("status") == FAILED).select("source_id")
-    merged = cut(assign_strata(cut(_taken(earlier, failed, sources, proposals, dictionary)), threshold=threshold))
-    found = judged(merged, naming_rules(dictionary, threshold)).filter("source_id is not null")
-    done = apply_status(merged, found, threshold).select("source_id", "status", "validation_codes")
-    return merged.select("source_id", *own).join(done, "source_id")
+    after = cut(assign_strata(cut(_taken(earlier, failed, sources, proposals, dictionary)), threshold=threshold))
+    found = judged(after, naming_rules(dictionary, threshold)).filter("source_id is not null")
+    done = apply_status(after, found, threshold).select("source_id", "status", "validation_codes")
+    return after.select("source_id", *own).join(merged(done), "source_id")
 
 
 def _taken(results: DataFrame, todo: DataFrame, df: DataFrame, proposals: DataFrame, dictionary: DataFrame, least: int = 0) -> DataFrame:
     """results with accepted proposals for the rows of todo."""
-    new = accept_resolution(df, proposals.join(ids(todo), "source_id", "left_semi"), dictionary).drop("status")
+    new = accept_resolution(df, proposals.join(merged(ids(todo)), "source_id", "left_semi"), dictionary).drop("status")
     new = new.withColumn("confidence", F.greatest("confidence", F.lit(least)))
     kept = results.select("source_id", *[c for c in NAMED if c not in new.columns])
-    return replace_rows(results.select(*NAMED), kept.join(new, "source_id").select(*NAMED))
+    return replace_rows(results.select(*NAMED), kept.join(merged(new), "source_id").select(*NAMED))
 
 
 def unanswered(requests: DataFrame, resolutions: DataFrame) -> DataFrame:

@@ -506,6 +506,17 @@ def test_accepting_works_names_out_once(spark):
     assert "Generate" not in queries.QUERIES["c06_c07_accept"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_no_table_of_rows_is_broadcast(spark):
+    """Joins by source_id are merged, also of tables whose files are small enough for Spark to broadcast them."""
+    df = spark.createDataFrame([(i, f"r{i}", "A_B", "T", "D", "X") for i in range(9)], "row_no long, source_id string, column_name string, table_name string, table_description string, data_type string")
+    d = spark.createDataFrame([("A", "AA", "가", 3), ("B", "BB", "나", 2)], "abbreviation string, full_name string, korean_word string, occurrence_count int")
+    p = df.select("source_id", F.expr("array(struct('A' as fragment, 'AA' as full, '가' as korean, 'mapping' as origin), struct('B' as fragment, 'BB' as full, '나' as korean, 'mapping' as origin)) as components"))
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    for frame in (P.name_from_dictionary(df, d), P._taken(core.cut(D.deterministic_results(df, d).select(*P.NAMED)), df, df, core.cut(p), d)):
+        assert "BroadcastHashJoin [source_id" not in plan(frame) and "SortMergeJoin [source_id" in plan(frame)
+    assert {r["korean_attribute_name"] for r in P.name_from_dictionary(df, d, p).collect()} == {"가나"}
+
+
 def test_score_caps(spark):
     rubric = spark.createDataFrame([("x", 60.0), ("y", 40.0)], "id string, weight double")
     ratings = spark.createDataFrame([(r, d, 5.0) for r in "abc" for d in "xy"], "review string, dimension string, rating double")
