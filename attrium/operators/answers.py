@@ -90,8 +90,11 @@ class Answers:
         n = todo.count()
         if not n:
             return self.of(round_)
-        # some batches to a task: models are slow
-        rows = batch_rows(todo, batch, max(1, -(-n // (16 * batch)))).select("batch", "row_no", "source_id", "request")
+        # some batches to a task: models are slow, so that their number decides and not the size of the requests, by which
+        # Spark would put them into a task or two
+        buckets = max(1, -(-n // (16 * batch)))
+        tasks = min(buckets, max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
+        rows = batch_rows(todo, batch, buckets).select("batch", "row_no", "source_id", "request").repartition(tasks, "batch")
         pending = f"{self.folder}/pending-{round_}"
 
         def each(part: pd.DataFrame) -> pd.DataFrame:

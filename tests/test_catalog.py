@@ -183,6 +183,19 @@ def test_answers_are_asked_once(spark, tmp_path):
     assert A._asked(path, "x", give) == A._asked(path, "x", give) == {"answer": "a1", "failure_code": ""} and len(calls) == 1
 
 
+def test_batches_are_asked_in_many_tasks(spark):
+    """Small requests don't end up in a task or two, one model call after the other."""
+    df = spark.range(2000).selectExpr("id AS row_no", "concat('r', id) AS source_id", "'x' AS request")
+
+    def model(part):
+        from pyspark import TaskContext
+
+        return [str(TaskContext.get().partitionId())]
+
+    found = P.propose(df, model, batch=2)
+    assert found.select("answer").distinct().count() > 16 and found.select(F.explode("source_ids")).distinct().count() == 2000
+
+
 def test_a_broken_round_goes_on(spark, tmp_path):
     """The run breaks off while a round is asked: batches that were answered aren't asked again."""
     ids = sorted(f"r{i}" for i in range(30))
