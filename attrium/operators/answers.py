@@ -10,7 +10,8 @@ import hashlib
 import json
 import re
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
 import pandas as pd
 import pyarrow.fs as pafs
@@ -62,6 +63,21 @@ def _asked(folder: str, name: str, ask: Callable[[], dict]) -> dict:
     return given
 
 
+def _whole(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The batches of rows that come in their order; one may lie across frames."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if frame.empty:
+            continue
+        last = frame["batch"] == frame["batch"].iloc[-1]
+        for _, part in frame[~last].groupby("batch", sort=False):
+            yield part.reset_index(drop=True)
+        rest = frame[last].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
 class Answers:
     """The answers of one run. folder: where an earlier run left them, or where this one shall; by default a new one in
     the shared folder. It must be one that pyarrow opens on all executors."""
@@ -94,11 +110,10 @@ class Answers:
         # Spark would put them into a task or two
         buckets = max(1, -(-n // (16 * batch)))
         tasks = min(buckets, max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
-        rows = batch_rows(todo, batch, buckets).select("batch", "row_no", "source_id", "request").repartition(tasks, "batch")
+        rows = batch_rows(todo, batch, buckets).select("batch", "row_no", "source_id", "request").repartition(tasks, "batch").sortWithinPartitions("batch", "row_no", "source_id")
         pending = f"{self.folder}/pending-{round_}"
 
-        def each(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values(["row_no", "source_id"], ignore_index=True)
+        def answered(part: pd.DataFrame) -> tuple:
             ids = part["source_id"].tolist()
             name = hashlib.sha256(json.dumps([ids, part["request"].tolist()]).encode()).hexdigest()
 
@@ -112,9 +127,13 @@ class Answers:
                 return {"answer": None, "failure_code": code}
 
             found = _asked(pending, name, ask)
-            return pd.DataFrame({"batch": [part["batch"].iloc[0]], "source_ids": [ids], "answer": [found["answer"]], "failure_code": [found["failure_code"]]})
+            return part["batch"].iloc[0], ids, found["answer"], found["failure_code"]
+
+        def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for some in batched(map(answered, _whole(frames)), 64):
+                yield pd.DataFrame(some, columns=["batch", "source_ids", "answer", "failure_code"])
 
-        rows.groupBy("batch").applyInPandas(each, SCHEMA).write.parquet(f"{self.folder}/round-{round_}/part-{uuid.uuid4().hex}")
+        rows.mapInPandas(each, SCHEMA).write.parquet(f"{self.folder}/round-{round_}/part-{uuid.uuid4().hex}")
         path, store = self._path(f"pending-{round_}")
         store.delete(path, True)
         return self.of(round_)
