@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -95,13 +96,17 @@ def _own_rules(results: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(own.join(rules, "_row"), "_row", "left").drop("_row")
 
 
-def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFrame | None = None, resolver: Resolver | None = None, most: int = MOST_CANDIDATES) -> tuple[DataFrame, DataFrame]:
+#: Points of a tied term for each column of its row that holds it.
+EVIDENCE = {"original_description": 8, "table_name": 3, "table_description": 2, "units": 1}
+
+
+def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFrame | None = None, resolver: Resolver | None = None, most: int = MOST_CANDIDATES, evidence: dict[str, int] = EVIDENCE) -> tuple[DataFrame, DataFrame]:
     """results with each unit that is a candidate replaced by its group's preferred term, and the decisions.
 
     results: source_id, units, weight, and where they matter original_description, table_name,
     table_description, action, reason. Frequencies come from population (units, weight), by default results.
-    A tie is settled by the resolver, else by the row's own texts (8 for the description, 3 for the table's
-    name, 2 for its description, 1 for its units), else in order. Adds name (the units joined) and replaced;
+    A tie is settled by the resolver, else by the row's own texts (evidence: the points of each; empty: they
+    aren't asked), else in order. Adds name (the units joined) and replaced;
     a changed row that was kept counts as normalised, and its reason says so. Decisions: source_id, group_id,
     selected_term, frequency, frequencies, tied, selection_source, for the groups that a row has units of.
 
@@ -111,10 +116,12 @@ def reconcile_terms(results: DataFrame, synonyms: DataFrame, population: DataFra
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in results.columns else F.lit("")
 
     def score(winners: Column, term: Column) -> Column:
-        said = lambda c, points: F.when(X.contains_distinct(text(c), term, winners), points).otherwise(0)
-        return said("original_description", 8) + said("table_name", 3) + said("table_description", 2) + F.when(F.array_contains("units", term), 1).otherwise(0)
+        holds = lambda c: F.array_contains("units", term) if c == "units" else X.contains_distinct(text(c), term, winners)
+        return reduce(Column.__add__, [F.when(holds(c), points).otherwise(0) for c, points in evidence.items()])
 
     def by_context(winners: Column) -> Column:
+        if not evidence:
+            return F.lit(None).cast("string")
         scored = F.transform(winners, lambda t: F.struct(score(winners, t).alias("s"), t.alias("t")))
         return X.let(scored, lambda z: X.let(F.filter(z, lambda x: (x["s"] > 0) & (x["s"] == F.array_max(F.transform(z, lambda y: y["s"])))), lambda best: F.when(F.size(best) == 1, best[0]["t"])))
 

@@ -58,7 +58,7 @@ def ctes(*names: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     args = {n: view(spark, sf_dir, n) for n in NEEDS[name]}
-    sql = VIEWS[name]
+    sql = VIEWS[name].replace("concat(", "concat_ws('', ")  # skips nulls, as DuckDB's concat does
     for n in args:
         sql = sql.replace(f"FROM {n} ", "FROM {%s} " % n).replace(f"JOIN {n} ", "JOIN {%s} " % n)
         if sql.endswith(f"FROM {n}"):

@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import duckdb
 import pyarrow as pa
 import pytest
 from compare import compare, connection
@@ -493,6 +494,35 @@ def test_long_texts_are_searched_a_few_at_a_time():
     assert [b.num_rows for b in matching._slices([batch], 0)] == [6] and matching.ROWS <= 10_000
 
 
+ODD = {
+    "no word": ["the of", "12 éé.", ""],
+    "null": ["the of", None, None, None, None, None],  # rows 5 and 10 get their source too
+    "tie": ["none the of", "never", "None", "never none, never"],
+    "dotted I": ["wİth İof ofİ the", "THAT of"],
+}
+
+
+@pytest.mark.parametrize("name", ["e06_synonym_frequency", "f04_preferred_term", "i10_reconcile_terms", "i10_decisions"])
+@pytest.mark.parametrize("texts", ODD.values(), ids=ODD)
+def test_terms_of_odd_texts(spark, tmp_path, name, texts):
+    rows = [(i, t, None if i == 10 else "en", f"the{i}") for i, t in enumerate(texts, 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare(spark, con, str(tmp_path), queries.QUERIES[name], queries.ORACLES[name]) == ""
+
+
+@pytest.mark.parametrize("most", [terms.MOST_CANDIDATES, 0])
+def test_ties_without_evidence(spark, most):
+    """No points for any text: the order settles ties. Of the texts with points only those are asked."""
+    syn = spark.createDataFrame(SYN, "group_id string, candidate string, candidate_order int")
+    rows = spark.createDataFrame([("1", ["차"], 5, "차량형태코드", "유지", ""), ("2", ["차량"], 5, "", "유지", "")], RESULTS)
+    of = lambda e: sorted((r["source_id"], r["selected_term"], r["selection_source"]) for r in terms.reconcile_terms(rows, syn, most=most, evidence=e)[1].collect())
+    assert of({}) == [("1", "차", "deterministic_fallback"), ("2", "차", "deterministic_fallback")]
+    assert of({"original_description": 8}) == [("1", "차량", "context_evidence"), ("2", "차", "deterministic_fallback")]
+    assert of({"units": 1}) == [("1", "차", "context_evidence"), ("2", "차량", "context_evidence")]
+
+
 def test_names_with_many_synonyms(spark):
     """Groups of over 10,000 candidates in all: names are unified as with the groups that occur."""
     cols = "row_no long, source_id string, column_name string, column_description string, table_name string, table_description string, data_type string"
